@@ -22,26 +22,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, chunks, mix, remainder, text_bytes, without, word_hashes, words
+from .common import ALNUM, LOWER, Words, chunks, mix, remainder, text_bytes, without, word_hashes, words
 from .labelled import training_rows
 
 MAX_TRAINING_ROWS = 8_000
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-BITS, EPOCHS, ALPHA, BETA, L1, L2 = 20, 4, 0.5, 1.0, 1.5, 0.5
+BITS, EPOCHS, ALPHA, BETA, L1, L2 = 22, 4, 1.0, 1.0, 6.0, 0.5
+#: Coordinates in fewer rows of the sample than this are not learnt.
+MIN_ROWS = 4
 _GAPS = (1, 2)
+_STEMS, _STEM_TIMES = (4, 5, 6, 7), (1, 3)
 
 
 def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, coordinate) of every word, word pair and skip-gram occurrence, for a run of rows."""
+    """(row, coordinate) pairs, each once, for a run of rows.
+
+    Words, word pairs and skip-grams count as present or absent.  Stems, the first bytes of a word, have
+    a coordinate for each of the frequencies in ``_STEM_TIMES`` that they reach in the row, so that an
+    inflected word shows by its stem, and a stem that is merely usual differs from one that abounds.
+    """
     w = words(data, offsets, ALNUM)
-    h = word_hashes(LOWER[data], w)
+    lowered = LOWER[data]
+    h = word_hashes(lowered, w)
     row, value = [w.row], [h]
     for gap in _GAPS:
         if len(h) > gap:
             same = w.row[gap:] == w.row[:-gap]
             row.append(w.row[gap:][same])
             value.append(mix(h[:-gap][same] * np.uint64(2 * gap + 1) + h[gap:][same]))
-    return np.concatenate(row), (np.concatenate(value) >> np.uint64(64 - BITS)).astype(np.int64)
+    for size in _STEMS:
+        long = w.ends - w.starts > size
+        stem = word_hashes(lowered, Words(w.starts[long], w.starts[long] + size, w.row[long], w.counts)) ^ np.uint64(size)
+        order = np.lexsort((stem, w.row[long]))
+        r, v = w.row[long][order], stem[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
+        at = np.flatnonzero(new)
+        times = np.diff(np.append(at, len(r)))
+        for least in _STEM_TIMES:
+            row.append(r[at][times >= least])
+            value.append(mix(v[at][times >= least] + np.uint64(least)))
+    pairs = np.unique(np.concatenate(row) << BITS | (np.concatenate(value) >> np.uint64(64 - BITS)).astype(np.int64))
+    return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
 class Weights(NamedTuple):
@@ -53,11 +75,14 @@ class Weights(NamedTuple):
 
 
 def fit(examples: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Weights:
-    """FTRL-proximal with binary features; coordinate -1 of z and n is the bias, which has no L1."""
+    """FTRL-proximal with binary features; the bias stays at the share of positive labels."""
     if not len(y):
         return Weights(np.zeros(0, np.int64), np.zeros(0), 0.0)
-    size = (1 << BITS) + 1
-    z, n = np.zeros(size), np.zeros(size)
+    z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    rows = np.zeros(1 << BITS, np.int32)
+    for i in examples:
+        rows[i] += 1
+    examples = [i[rows[i] >= MIN_ROWS] for i in examples]
     share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     bias = np.log(share / (1 - share))
 
@@ -75,10 +100,8 @@ def fit(examples: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Weig
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - sigma * w
             n[i] += g * g
-    every = np.arange(size - 1)
-    w = weight(every)
-    at = np.flatnonzero(w)
-    return Weights(at, w[at], float(bias))
+    at = np.flatnonzero(np.abs(z) > L1)
+    return Weights(at, weight(at), float(bias))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> Weights:
@@ -91,8 +114,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
             data, offsets = text_bytes(batch.column("_text"))
             for first, last, part, offs in chunks(data, offsets):
                 row, at = features(part, offs)
-                order = np.argsort(row, kind="stable")
-                examples += [np.unique(x).astype(np.int32) for x in np.split(at[order], np.cumsum(np.bincount(row, minlength=last - first))[:-1])]
+                examples += np.split(at.astype(np.int32), np.cumsum(np.bincount(row, minlength=last - first))[:-1])
             y += batch.column("_label").to_pylist()
         model = fit(examples, np.array(y, float))
         yield pa.RecordBatch.from_arrays([pa.array([-1, *model.at], pa.int64()), pa.array([model.bias, *model.weight], pa.float64())], ["at", "weight"])
@@ -109,9 +131,8 @@ def score_texts(model: Weights, data: np.ndarray, offsets: np.ndarray) -> np.nda
     for first, last, part, offs in chunks(data, offsets):
         row, at = features(part, offs)
         hit = known[at]
-        pairs = np.unique(row[hit] << BITS | at[hit])
-        which = np.searchsorted(model.at, pairs & (1 << BITS) - 1)
-        out[first:last] += np.bincount(pairs >> BITS, weights=model.weight[which] if len(pairs) else None, minlength=last - first)
+        if hit.any():
+            out[first:last] += np.bincount(row[hit], weights=model.weight[np.searchsorted(model.at, at[hit])], minlength=last - first)
     return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
