@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, media, mixing, quality, secrets, simhash, toxicity
+from . import decontaminate, line_dedup, media, mixing, quality, secrets, simhash, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,11 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan(_table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    matched = decontaminate.find_matches(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
+    return decontaminate.contamination(matched).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's place in a mixture with sources weighted by the square root of their size."""
     return mixing.mix_sources(_table(spark, sf_dir, "documents").select("doc_id", "source"))
@@ -44,7 +49,7 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_secrets, op6_mixing, op7_simhash, op8_line_dedup, op9_quality, op10_media)}
+    return {f.__name__: f for f in (op3_toxicity, op4_secrets, op5_decontaminate, op6_mixing, op7_simhash, op8_line_dedup, op9_quality, op10_media)}
 
 
 def oracle_sql() -> dict[str, str]:
