@@ -45,6 +45,12 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most: int, row_bytes: Column | int) -> DataFrame:
+    """df, marked for broadcast if its rows are counted to hold at most ``most`` bytes."""
+    held = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    return F.broadcast(df) if held <= most else df
+
+
 def local_path(path: str) -> str | None:
     """The path without its scheme if the file system is a local or mounted one, else None."""
     if path.startswith("file:"):
@@ -123,6 +129,13 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The inverse of mix."""
+    x = (x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))) * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = (x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))) * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
 def word_hashes(lowered: np.ndarray, w: Words) -> np.ndarray:
     """A 64-bit hash of every word, from one cumulative sum over the bytes."""
     n = len(lowered)

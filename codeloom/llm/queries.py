@@ -4,15 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, media, mixing, quality, secrets, simhash, toxicity
+from . import decontaminate, line_dedup, media, mixing, ngram_lm, quality, secrets, simhash, toxicity, url_filters
+from .common import remainder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _number(text: Column, start: int = 1) -> Column:
+    """A number below 2 ** 28 from a text's MD5, the same in any engine."""
+    return F.conv(F.substring(F.md5(text.cast("binary")), start, 7), 16, 10).cast("long")
+
+
+def _day(number: Column) -> Column:
+    return F.date_add(F.lit("2020-01-01").cast("date"), number.cast("int"))
+
+
+def url_lists(pages: DataFrame) -> DataFrame:
+    """A dated list made from the hosts of all pages, as the tables hold none.
+
+    A third of the hosts are blocked on some day, half of those are delisted later, their parent domains
+    are blocked for a while, and a fifth of all hosts have one path allowed.
+    """
+    hosts = pages.select(url_filters.host(F.col("url")).alias("h")).filter("h != ''").distinct().withColumn("n", _number(F.col("h")))
+    parent = F.regexp_replace("h", r"^[^.]+\.", "")
+    rows = [
+        (F.col("n") % 3 == 0, F.col("h"), F.floor(F.col("n") / 3) % 900, "block"),
+        (F.col("n") % 6 == 0, F.col("h"), 900 + F.floor(F.col("n") / 3) % 400, "delist"),
+        (F.col("n") % 7 == 0, parent, F.floor(F.col("n") / 7) % 700, "block"),
+        (F.col("n") % 14 == 0, parent, 800 + F.floor(F.col("n") / 14) % 300, "delist"),
+        (F.col("n") % 5 == 0, F.concat("h", F.lit("/en")), F.floor(F.col("n") / 5) % 1000, "allow"),
+    ]
+    made = F.array(*[F.when(used, F.struct(pattern.alias("pattern"), _day(day).alias("listed_at"), F.lit(action).alias("action"))) for used, pattern, day, action in rows])
+    return hosts.select(F.explode(F.filter(made, lambda e: e.isNotNull())).alias("e")).select("e.*")
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page against the list in force on the day it was fetched, a day made from its url."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url")
+    captures = pages.withColumn("fetched_at", _day(_number(F.coalesce("url", F.lit(""))) % 1500))
+    return url_filters.decide(captures, url_lists(pages))
+
+
+def op2_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_lm.score_held_out(_table(spark, sf_dir, "documents").select("doc_id", "text"), remainder("doc_id", 7) == 2)
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -49,8 +90,30 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_toxicity, op4_secrets, op5_decontaminate, op6_mixing, op7_simhash, op8_line_dedup, op9_quality, op10_media)}
+    return {f.__name__: f for f in (op1_url_filters, op2_ngram_lm, op3_toxicity, op4_secrets, op5_decontaminate, op6_mixing, op7_simhash, op8_line_dedup, op9_quality, op10_media)}
+
+
+URL_FILTERS_SQL = r"""
+WITH p AS (SELECT page_id, url, DATE '2020-01-01' + CAST(CAST('0x' || substr(md5(coalesce(url, '')), 1, 7) AS BIGINT) % 1500 AS INTEGER) AS fetched_at,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS h,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*/([^?#/]*)', 1) AS seg FROM pages),
+hosts AS (SELECT h, CAST('0x' || substr(md5(h), 1, 7) AS BIGINT) AS n, regexp_replace(h, '^[^.]+\.', '') AS up FROM (SELECT DISTINCT h FROM p WHERE h <> '')),
+entries AS (
+    SELECT h AS pattern, n // 3 % 900 AS day, 3 AS rank FROM hosts WHERE n % 3 = 0
+    UNION ALL SELECT h, 900 + n // 3 % 400, 1 FROM hosts WHERE n % 6 = 0
+    UNION ALL SELECT up, n // 7 % 700, 3 FROM hosts WHERE n % 7 = 0
+    UNION ALL SELECT up, 800 + n // 14 % 300, 1 FROM hosts WHERE n % 14 = 0
+    UNION ALL SELECT h || '/en', n // 5 % 1000, 2 FROM hosts WHERE n % 5 = 0),
+dated AS (SELECT pattern, DATE '2020-01-01' + CAST(day AS INTEGER) AS since, max(rank) AS rank FROM entries GROUP BY ALL),
+intervals AS (SELECT pattern, since, rank, lead(since) OVER (PARTITION BY pattern ORDER BY since) AS until FROM dated),
+met AS (SELECT p.page_id, p.url, p.fetched_at, i.pattern, i.since, i.rank,
+        row_number() OVER (PARTITION BY p.page_id, p.url ORDER BY length(i.pattern) DESC, i.pattern DESC) AS k
+    FROM p JOIN intervals i ON (h = i.pattern OR ends_with(h, '.' || i.pattern) OR lower(h || '/' || seg) = i.pattern)
+        AND fetched_at >= since AND (until IS NULL OR fetched_at < until) AND rank > 1)
+SELECT p.page_id, p.url, p.fetched_at, coalesce(m.rank = 3, false) AS blocked, m.pattern, m.since AS listed_at
+FROM p LEFT JOIN met m ON p.page_id = m.page_id AND p.url = m.url AND m.k = 1
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_url_filters": URL_FILTERS_SQL}

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, materialise, text_bytes, with_last, without, words
+from .common import LOWER, NOT_SPACE, chunks, materialise, small, text_bytes, with_last, without, words
 from .components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
@@ -136,13 +136,43 @@ def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
     return verified.unionByName(stars).distinct()
 
 
+def classes(fingerprints: DataFrame, bucket: int = BUCKET) -> DataFrame:
+    """(_fp, _class) of the different fingerprints of a table; a class is named by its smallest fingerprint."""
+    distinct = materialise(fingerprints.select("_fp").distinct(), "distinct-fingerprints")
+    labels = connected_components(fingerprint_links(distinct, bucket)).withColumnRenamed("id", "_fp")
+    return distinct.join(labels, "_fp", "left").select("_fp", F.coalesce("component", "_fp").alias("_class"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", bucket: int = BUCKET, keep_text: bool = False) -> DataFrame:
     """Every row of docs with ``fingerprint`` (hex) and ``component_id``, the smallest id of its class."""
     marked = materialise(add_fingerprint(docs, keep_text=keep_text), "fingerprints")
-    distinct = materialise(marked.groupBy("_fp").agg(F.min(id_col).alias("_least")), "distinct-fingerprints")
-    labels = connected_components(fingerprint_links(distinct.select("_fp"), bucket))
-    grouped = distinct.join(labels.withColumnRenamed("id", "_fp"), "_fp", "left").withColumn("_class", F.coalesce("component", "_fp"))
+    smallest = marked.groupBy("_fp").agg(F.min(id_col).alias("_least"))
+    grouped = materialise(smallest.join(classes(marked, bucket), "_fp"), "classes")
     least = grouped.groupBy("_class").agg(F.min("_least").alias("component_id"))
     named = grouped.join(least, "_class").select("_fp", "component_id")
     kept = without(marked, "fingerprint", "component_id")
     return kept.join(named, "_fp").select(*[f"`{c}`" for c in kept.columns if c != "_fp"], F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", bucket: int = BUCKET, broadcast_bytes: int = 8 << 20) -> DataFrame:
+    """One document of each class, the one of the smallest id, with its own columns.
+
+    A row is named by the hashes of its id and text.  Those that go are usually few, and are broadcast only
+    if counted to be; rows that repeat in every column but are not beaten by others are reduced to one.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    key = {"_r1": F.xxhash64(F.col(f"`{id_col}`"), text), "_r2": F.xxhash64(F.lit(1), F.col(f"`{id_col}`"), text)}
+    marked = materialise(add_fingerprint(docs.select(F.col(f"`{id_col}`").alias("_id"), *[v.alias(k) for k, v in key.items()], "text")), "fingerprints")
+    order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_r1").alias("r1"), F.col("_r2").alias("r2"))
+    best = marked.groupBy("_fp").agg(F.min(order).alias("_own")).join(classes(marked, bucket), "_fp")
+    best = materialise(best.select("_fp", "_class", "_own"), "class-members")
+    first = best.groupBy("_class").agg(F.min("_own").alias("_first"))
+    judged = marked.join(best.join(first, "_class").select("_fp", "_first"), "_fp").select("_r1", "_r2", (order == F.col("_first")).alias("_kept"))
+    judged = materialise(judged.groupBy("_r1", "_r2").agg(F.max("_kept").alias("_kept"), F.count("*").alias("_n")), "class-verdicts")
+    keyed = docs.withColumns(key)
+    left = keyed.join(small(judged.filter("not _kept").select("_r1", "_r2"), broadcast_bytes, 40), ["_r1", "_r2"], "left_anti")
+    repeated = judged.filter("_kept and _n > 1").select("_r1", "_r2")
+    if not repeated.isEmpty():
+        repeated = small(repeated, broadcast_bytes, 40)
+        left = left.join(repeated, ["_r1", "_r2"], "left_anti").unionByName(left.join(repeated, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]))
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
