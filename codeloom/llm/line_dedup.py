@@ -13,6 +13,9 @@ line, in the order of document and line number, that equals it or is its near-du
   never written out, so a thousand near copies cost a thousand rows and not a million.
 * The winner of each line is verified on the words themselves by an edit distance.
 
+Intermediate tables (shared halves, rivals, lost lines) are broadcast only if their bytes are counted to be
+few (``BROADCAST_BYTES``); larger ones are joined by a shuffle.
+
 Lines of fewer than ``min_words`` words stay where they are, as headings and separators do; lines of fewer
 than ``near_min_words`` (five) are compared for equality only.
 
@@ -27,30 +30,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import materialise, small, without
 
 MIN_WORDS, NEAR_MIN_WORDS = 3, 5
+BROADCAST_BYTES = 8 << 20
 _CHUNK = 256
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \t]"), lambda w: w != "")
-
-
-def _joined(words: Column) -> Column:
-    return F.array_join(words, " ")
+def _plain(line: Column) -> Column:
+    """The line's words with one space between them."""
+    trimmed = F.trim(F.translate(line, "\t", " "))
+    return F.when(F.contains(trimmed, F.lit("  ")), F.regexp_replace(trimmed, " +", " ")).otherwise(trimmed)
 
 
-def _half_keys(words: Column) -> list[Column]:
+def _half_keys(plain: Column, n: Column) -> list[Column]:
     """Hashes of the first and last halves, for this many words and for one more.
 
     With N the words of the longer line, either line keeps its first or its last (N - 1) / 2 words.
     """
-    n, keys = F.size(words), []
+    keys = []
     for more in (0, 1):
         half = F.floor((n + more - 1) / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), n + more, F.slice(words, F.lit(1), half)))
-        keys.append(F.xxhash64(F.lit("last"), n + more, F.slice(words, n - half + 1, half)))
+        keys.append(F.xxhash64(F.lit("first"), n + more, F.call_function("substring_index", plain, F.lit(" "), half)))
+        keys.append(F.xxhash64(F.lit("last"), n + more, F.call_function("substring_index", plain, F.lit(" "), -half)))
     return keys
 
 
@@ -100,51 +102,48 @@ def _documents(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each line that takes part: document hashes, line number, line hashes, words."""
+    """One row for each line that takes part: its place, line hashes, number of words, and words as text."""
     each = _documents(docs, id_col).select(id_col, "_d1", "_d2", F.posexplode(F.split("text", "\n")).alias("_line", "_text"))
-    each = each.withColumn("_words", _words(F.col("_text"))).filter(F.size("_words") >= min_words)
-    plain = _joined(F.col("_words"))
-    return each.select(_order(id_col).alias("_at"), "_words", F.xxhash64(plain).alias("_k1"), F.xxhash64(F.lit(1), plain).alias("_k2"), "_d1", "_d2", "_line")
+    each = each.withColumn("_plain", _plain(F.col("_text"))).withColumn("_n", F.length("_plain") - F.length(F.replace("_plain", F.lit(" "), F.lit(""))) + 1)
+    return each.filter((F.col("_n") >= min_words) & (F.col("_plain") != "")).select(_order(id_col).alias("_at"), F.xxhash64("_plain").alias("_k1"), F.xxhash64(F.lit(1), "_plain").alias("_k2"), "_n", "_plain")
 
 
-def losers(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS) -> DataFrame:
+def losers(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(_d1, _d2, _line) of all lines that an earlier equal or near-duplicate line beats."""
     near_min_words = max(near_min_words, NEAR_MIN_WORDS)
-    found = lines(docs, id_col, min_words)
-    halves = _half_keys(F.col("_words"))
-    near = F.size("_words") >= near_min_words
-    occurrences = materialise(found.select("_at", "_k1", "_k2", "_d1", "_d2", "_line", F.when(near, F.array(*halves)).alias("_halves")), "lines")
-    first = materialise(occurrences.groupBy("_k1", "_k2").agg(F.min("_at").alias("_first")), "first-lines")
-
-    # Lines that share a half with a different line.
-    keyed = occurrences.filter("_halves is not null").select("_k1", "_k2", F.explode("_halves").alias("_half"))
+    halves = F.array(*_half_keys(F.col("_plain"), F.col("_n")))
+    occurrences = lines(docs, id_col, min_words).select("_at", "_k1", "_k2", F.when(F.col("_n") >= near_min_words, halves).alias("_halves"))
+    occurrences = materialise(occurrences, "lines")
+    first = materialise(occurrences.groupBy("_k1", "_k2").agg(F.min("_at").alias("_first"), F.count("*").alias("_copies"), F.first("_halves").alias("_halves")), "first-lines")
+
+    # Lines that share a half with a different line, numbered in order of their first occurrence.
+    keyed = first.filter("_halves is not null").select("_k1", "_k2", "_first", F.explode("_halves").alias("_half"))
     shared = keyed.groupBy("_half").agg(F.min("_k1").alias("_lo"), F.max("_k1").alias("_hi")).filter("_lo != _hi").select("_half")
-    rivals = keyed.join(shared, "_half", "left_semi").select("_k1", "_k2").distinct()
-    rivals = rivals.join(first, ["_k1", "_k2"])
+    rivals = keyed.join(small(materialise(shared, "shared-halves"), broadcast_bytes, 8), "_half", "left_semi").select("_k1", "_k2", "_first").distinct()
+    rivals = materialise(rivals.orderBy("_first").withColumn("_rank", F.monotonically_increasing_id()), "rivals")
 
     # Their words are taken from the first occurrence alone.
-    texts = lines(docs, id_col, near_min_words).select("_at", "_k1", "_k2", "_words")
-    spelt = rivals.join(texts, ["_k1", "_k2"]).filter(F.col("_at") == F.col("_first")).select("_k1", "_k2", "_first", "_words").dropDuplicates(["_k1", "_k2"])
-    spelt = materialise(spelt, "rival-lines")
-    keys = spelt.select("_k1", "_k2", "_first", F.explode(deletion_keys(F.col("_words"))).alias("v")).select("_k1", "_k2", "_first", "v.at", "v.size", "v.key")
+    texts = lines(docs, id_col, near_min_words).select("_at", "_k1", "_k2", "_plain")
+    spelt = texts.join(small(rivals, broadcast_bytes, 72), ["_k1", "_k2"]).filter(F.col("_at") == F.col("_first")).dropDuplicates(["_rank"])
+    spelt = materialise(spelt.select("_rank", "_k1", "_k2", F.split("_plain", " ").alias("_words")), "rival-lines")
+    keys = spelt.select("_rank", F.explode(deletion_keys(F.col("_words"))).alias("v")).select("_rank", "v.at", "v.size", "v.key")
 
     # For each key and position, then for each key, the earliest line.
-    one = keys.groupBy("size", "key", "at").agg(F.min(F.struct("_first", "_k1", "_k2")).alias("least"), F.count("*").alias("n"))
+    one = keys.groupBy("size", "key", "at").agg(F.min("_rank").alias("least"), F.count("*").alias("n"))
     whole = one.groupBy("size", "key").agg(
         F.min("least").alias("any"), F.min(F.when(F.col("at") == 0, F.col("least"))).alias("full"), F.sum("n").alias("members")
     ).filter("members > 1").drop("members")
     rest = keys.join(whole, ["size", "key"])
     rest = rest.join(one.select("size", "key", "at", "least"), ["size", "key", "at"])
     winner = F.when(F.col("at") == 0, F.col("any")).otherwise(F.least("least", "full"))
-    beaten = rest.withColumn("w", winner).filter(F.col("w._first") < F.col("_first")).groupBy("_k1", "_k2").agg(F.min("w").alias("w"))
-    words = spelt.select("_k1", "_k2", "_words")
-    pairs = beaten.select("_k1", "_k2", F.col("w._k1").alias("_w1"), F.col("w._k2").alias("_w2")).join(words, ["_k1", "_k2"])
-    pairs = pairs.join(words.select(F.col("_k1").alias("_w1"), F.col("_k2").alias("_w2"), F.col("_words").alias("_other")), ["_w1", "_w2"])
+    beaten = rest.withColumn("w", winner).filter("w < _rank").groupBy("_rank").agg(F.min("w").alias("w"))
+    words = spelt.select(F.col("_rank").alias("w"), F.col("_words").alias("_other"))
+    pairs = beaten.join(spelt, "_rank").join(words, "w")
     near_lost = pairs.filter(within_one_edit(F.col("_words"), F.col("_other"))).select("_k1", "_k2", F.lit(True).alias("_near"))
 
-    judged = first.join(near_lost, ["_k1", "_k2"], "left")
-    decided = occurrences.select("_k1", "_k2", "_at", "_d1", "_d2", "_line").join(judged, ["_k1", "_k2"])
-    return decided.filter(F.col("_near").isNotNull() | (F.col("_at") != F.col("_first"))).select("_d1", "_d2", "_line")
+    judged = first.select("_k1", "_k2", "_first", "_copies").join(materialise(near_lost, "near-lines"), ["_k1", "_k2"], "left").filter("_near is not null or _copies > 1")
+    decided = occurrences.select("_k1", "_k2", "_at").join(judged, ["_k1", "_k2"])
+    return decided.filter(F.col("_near").isNotNull() | (F.col("_at") != F.col("_first"))).select("_at._d1", "_at._d2", F.col("_at.line").alias("_line"))
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -166,13 +165,19 @@ def within_one_edit(a: Column, b: Column) -> Column:
     return (most - least <= 1) & (F.least(head + tail, least) >= most - 1)
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with the losing lines taken out of ``text``, and ``lines_removed``."""
     docs = without(docs, "lines_removed")
-    gone = losers(docs, id_col, min_words, near_min_words).groupBy("_d1", "_d2").agg(F.array_sort(F.collect_set("_line")).alias("_gone"))
-    marked = _documents(docs, id_col).join(gone, ["_d1", "_d2"], "left")
-    split = F.split("text", "\n")
-    rest = F.array_join(F.filter(split, lambda line, i: ~F.array_contains(F.col("_gone"), i)), "\n")
+    gone = losers(docs, id_col, min_words, near_min_words, broadcast_bytes).groupBy("_d1", "_d2").agg(F.collect_set("_line").alias("_gone"))
+    gone = materialise(gone, "lost-lines")
+    marked = _documents(docs, id_col).join(small(gone, broadcast_bytes, 40 + 4 * F.size("_gone")), ["_d1", "_d2"], "left")
+
+    def rest(parts):
+        kept = F.array_except(F.sequence(F.lit(1), F.size(parts)), F.transform("_gone", lambda i: i + 1))
+        return F.array_join(F.transform(kept, lambda i: F.element_at(parts, i)), "\n")
+
+    # The array of one element makes the lines a variable, so that a text is split once.
+    rest = F.transform(F.array(F.split("text", "\n")), rest)[0]
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
     columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
-    return marked.select(*columns, F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("lines_removed"))
+    return marked.select(*columns, F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("lines_removed"))
