@@ -29,66 +29,58 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import materialise, small, without
 
 MIN_WORDS, NEAR_MIN_WORDS = 3, 5
 BROADCAST_BYTES = 8 << 20
-_CHUNK = 256
 
 
-def _plain(line: Column) -> Column:
-    """The line's words with one space between them."""
-    trimmed = F.trim(F.translate(line, "\t", " "))
-    return F.when(F.contains(trimmed, F.lit("  ")), F.regexp_replace(trimmed, " +", " ")).otherwise(trimmed)
+def _each_line(docs: DataFrame, *columns: str) -> DataFrame:
+    """The columns with ``_line``, the number of a line, and ``_words``.
+
+    Splits at one character and an array of one row, which makes the words a column and not an expression
+    that is computed for every use, keep this pass over the whole corpus cheap.
+    """
+    spaced = F.array_join(F.split("text", "\t"), " ")
+    each = docs.select(*columns, F.posexplode(F.split(spaced, "\n")).alias("_line", "_text"))
+    words = F.array_remove(F.split("_text", " "), "")
+    return each.select(*columns, "_line", F.explode(F.array(words)).alias("_words"))
 
 
-def _half_keys(plain: Column, n: Column) -> list[Column]:
+def _half_keys(words: Column) -> list[Column]:
     """Hashes of the first and last halves, for this many words and for one more.
 
     With N the words of the longer line, either line keeps its first or its last (N - 1) / 2 words.
     """
-    keys = []
+    n, keys = F.size(words), []
     for more in (0, 1):
         half = F.floor((n + more - 1) / 2).cast("int")
-        keys.append(F.xxhash64(F.lit("first"), n + more, F.call_function("substring_index", plain, F.lit(" "), half)))
-        keys.append(F.xxhash64(F.lit("last"), n + more, F.call_function("substring_index", plain, F.lit(" "), -half)))
+        keys.append(F.xxhash64(F.lit("first"), n + more, F.slice(words, F.lit(1), half)))
+        keys.append(F.xxhash64(F.lit("last"), n + more, F.slice(words, n - half + 1, half)))
     return keys
 
 
-def _xor_prefix(values: Column) -> Column:
-    """The running exclusive-or before each element, built in chunks to stay linear in practice."""
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(values) / _CHUNK).cast("int") - 1, F.lit(0))), lambda c: F.slice(values, c * _CHUNK + 1, F.lit(_CHUNK)))
-    start = F.struct(F.lit(0).cast("long").alias("x"), F.array().cast("array<long>").alias("out"))
-
-    def one(state: Column, v: Column) -> Column:
-        return F.struct(state["x"].bitwiseXOR(v).alias("x"), F.concat(state["out"], F.array(state["x"])).alias("out"))
-
-    runs = F.transform(parts, lambda p: F.aggregate(p, start, one))
-    begin = F.struct(F.lit(0).cast("long").alias("x"), F.array().cast("array<array<long>>").alias("out"))
-
-    def whole(state: Column, run: Column) -> Column:
-        moved = F.transform(run["out"], lambda v: v.bitwiseXOR(state["x"]))
-        return F.struct(state["x"].bitwiseXOR(run["x"]).alias("x"), F.concat(state["out"], F.array(moved)).alias("out"))
-
-    return F.aggregate(runs, begin, whole, lambda s: F.flatten(s["out"]))
-
-
-def deletion_keys(words: Column) -> Column:
-    """array<struct<at, size, key>>: the line itself at 0, and its variant without word ``at`` for each word.
+def deletion_keys(lines: DataFrame) -> DataFrame:
+    """(_rank, at, size, key) of lines (_rank, _words): a line itself at 0, and its variant without word ``at``.
 
     A sequence's key is the exclusive-or of the hashes of (word, position), so deleting a word re-hashes
-    nothing: the words behind it count with the position before theirs.
+    nothing: the words behind it count with the position before theirs.  Running and total exclusive-ors
+    are window aggregates over one line.
     """
-    kept = F.transform(words, lambda w, i: F.xxhash64(w, i))
-    moved = F.transform(words, lambda w, i: F.xxhash64(w, i - 1))
-    fold = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda x, y: x.bitwiseXOR(y))
-    before = _xor_prefix(F.zip_with(kept, moved, lambda a, b: a.bitwiseXOR(b)))
-    n = F.size(words)
-    itself = F.array(F.struct(F.lit(0).alias("at"), n.alias("size"), fold(kept).alias("key")))
-    total = fold(moved)
-    variants = F.transform(F.zip_with(before, moved, lambda a, b: a.bitwiseXOR(b)), lambda v, i: F.struct((i + 1).alias("at"), (n - 1).alias("size"), v.bitwiseXOR(total).alias("key")))
-    return F.concat(itself, variants)
+    each = lines.select("_rank", F.posexplode("_words").alias("_pos", "_word"))
+    each = each.select("_rank", "_pos", F.xxhash64("_word", "_pos").alias("kept"), F.xxhash64("_word", F.col("_pos") - 1).alias("moved"))
+    line, before = W.partitionBy("_rank").orderBy("_pos"), W.partitionBy("_rank").orderBy("_pos").rowsBetween(W.unboundedPreceding, -1)
+    whole = line.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    held = each.select(
+        "_rank", "_pos", "moved",
+        F.coalesce(F.bit_xor(F.col("kept").bitwiseXOR(F.col("moved"))).over(before), F.lit(0)).alias("prefix"),
+        F.bit_xor("kept").over(whole).alias("all_kept"), F.bit_xor("moved").over(whole).alias("all_moved"), F.count("*").over(whole).cast("int").alias("n"),
+    )
+    variant = F.struct((F.col("_pos") + 1).alias("at"), (F.col("n") - 1).alias("size"), F.col("prefix").bitwiseXOR(F.col("moved")).bitwiseXOR(F.col("all_moved")).alias("key"))
+    itself = F.struct(F.lit(0).alias("at"), F.col("n").alias("size"), F.col("all_kept").alias("key"))
+    return held.select("_rank", F.explode(F.when(F.col("_pos") == 0, F.array(itself, variant)).otherwise(F.array(variant))).alias("v")).select("_rank", "v.at", "v.size", "v.key")
 
 
 def _order(id_col: str) -> Column:
@@ -102,17 +94,16 @@ def _documents(docs: DataFrame, id_col: str) -> DataFrame:
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
-    """One row for each line that takes part: its place, line hashes, number of words, and words as text."""
-    each = _documents(docs, id_col).select(id_col, "_d1", "_d2", F.posexplode(F.split("text", "\n")).alias("_line", "_text"))
-    each = each.withColumn("_plain", _plain(F.col("_text"))).withColumn("_n", F.length("_plain") - F.length(F.replace("_plain", F.lit(" "), F.lit(""))) + 1)
-    return each.filter((F.col("_n") >= min_words) & (F.col("_plain") != "")).select(_order(id_col).alias("_at"), F.xxhash64("_plain").alias("_k1"), F.xxhash64(F.lit(1), "_plain").alias("_k2"), "_n", "_plain")
+    """One row for each line that takes part: its place, hashes of its words, and the words."""
+    each = _each_line(_documents(docs, id_col), f"`{id_col}`", "_d1", "_d2").filter(F.size("_words") >= min_words)
+    return each.select(_order(id_col).alias("_at"), F.xxhash64("_words").alias("_k1"), F.xxhash64(F.lit(1), "_words").alias("_k2"), "_words")
 
 
 def losers(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(_d1, _d2, _line) of all lines that an earlier equal or near-duplicate line beats."""
     near_min_words = max(near_min_words, NEAR_MIN_WORDS)
-    halves = F.array(*_half_keys(F.col("_plain"), F.col("_n")))
-    occurrences = lines(docs, id_col, min_words).select("_at", "_k1", "_k2", F.when(F.col("_n") >= near_min_words, halves).alias("_halves"))
+    halves = F.array(*_half_keys(F.col("_words")))
+    occurrences = lines(docs, id_col, min_words).select("_at", "_k1", "_k2", F.when(F.size("_words") >= near_min_words, halves).alias("_halves"))
     occurrences = materialise(occurrences, "lines")
     first = materialise(occurrences.groupBy("_k1", "_k2").agg(F.min("_at").alias("_first"), F.count("*").alias("_copies"), F.first("_halves").alias("_halves")), "first-lines")
 
@@ -123,20 +114,19 @@ def losers(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS,
     rivals = materialise(rivals.orderBy("_first").withColumn("_rank", F.monotonically_increasing_id()), "rivals")
 
     # Their words are taken from the first occurrence alone.
-    texts = lines(docs, id_col, near_min_words).select("_at", "_k1", "_k2", "_plain")
-    spelt = texts.join(small(rivals, broadcast_bytes, 72), ["_k1", "_k2"]).filter(F.col("_at") == F.col("_first")).dropDuplicates(["_rank"])
-    spelt = materialise(spelt.select("_rank", "_k1", "_k2", F.split("_plain", " ").alias("_words")), "rival-lines")
-    keys = spelt.select("_rank", F.explode(deletion_keys(F.col("_words"))).alias("v")).select("_rank", "v.at", "v.size", "v.key")
-
-    # For each key and position, then for each key, the earliest line.
-    one = keys.groupBy("size", "key", "at").agg(F.min("_rank").alias("least"), F.count("*").alias("n"))
-    whole = one.groupBy("size", "key").agg(
-        F.min("least").alias("any"), F.min(F.when(F.col("at") == 0, F.col("least"))).alias("full"), F.sum("n").alias("members")
-    ).filter("members > 1").drop("members")
-    rest = keys.join(whole, ["size", "key"])
-    rest = rest.join(one.select("size", "key", "at", "least"), ["size", "key", "at"])
+    placed = rivals.select("_rank", "_k1", "_k2", F.col("_first._d1").alias("_d1"), F.col("_first._d2").alias("_d2"), F.col("_first.line").alias("_line"))
+    source = _documents(docs, id_col).join(small(placed.select("_d1", "_d2").distinct(), broadcast_bytes, 32), ["_d1", "_d2"], "left_semi")
+    texts = _each_line(source, "_d1", "_d2").join(small(placed, broadcast_bytes, 72), ["_d1", "_d2", "_line"])
+    spelt = materialise(texts.dropDuplicates(["_rank"]).select("_rank", "_k1", "_k2", "_words"), "rival-lines")
+    keys = materialise(deletion_keys(spelt), "deletion-keys")
+
+    # For each key that several lines have, and then for each key and position, the earliest line.
+    shared = keys.groupBy("size", "key").agg(F.min("_rank").alias("any"), F.max("_rank").alias("last"), F.min(F.when(F.col("at") == 0, F.col("_rank"))).alias("full"))
+    shared = materialise(shared.filter("any != last").drop("last"), "shared-keys")
+    rest = materialise(keys.join(small(shared, broadcast_bytes, 32), ["size", "key"]), "shared-variants")
+    least = rest.groupBy("size", "key", "at").agg(F.min("_rank").alias("least"))
     winner = F.when(F.col("at") == 0, F.col("any")).otherwise(F.least("least", "full"))
-    beaten = rest.withColumn("w", winner).filter("w < _rank").groupBy("_rank").agg(F.min("w").alias("w"))
+    beaten = rest.join(least, ["size", "key", "at"]).withColumn("w", winner).filter("w < _rank").groupBy("_rank").agg(F.min("w").alias("w"))
     words = spelt.select(F.col("_rank").alias("w"), F.col("_words").alias("_other"))
     pairs = beaten.join(spelt, "_rank").join(words, "w")
     near_lost = pairs.filter(within_one_edit(F.col("_words"), F.col("_other"))).select("_k1", "_k2", F.lit(True).alias("_near"))
