@@ -1,0 +1,69 @@
+"""Column expressions for paths, identifiers and sizes."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+#: File extension to language.
+LANGUAGES = {
+    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python",
+    "rs": "rust", "go": "go", "java": "java", "cs": "csharp", "vue": "vue", "svelte": "svelte", "gql": "graphql", "graphql": "graphql", "toml": "toml",
+}
+#: Directories that are not scanned.
+IGNORED_DIRS = ("node_modules", "dist", "build", "out", "coverage", "target", "vendor", "__pycache__")
+
+
+def normalize_path(path: Column) -> Column:
+    """Forward slashes, none doubled or last, drive letter in lower case."""
+    slashed = F.regexp_replace(path, r"[\\/]+", "/")
+    lower = F.when(slashed.rlike("^[A-Z]:"), F.concat(F.lower(F.substring(slashed, 1, 1)), slashed.substr(F.lit(2), F.length(slashed)))).otherwise(slashed)
+    return F.when(F.length(lower) > 1, F.regexp_replace(lower, "/$", "")).otherwise(lower)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """The path below root; a path outside is unchanged."""
+    inside = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(inside)), path.substr(F.lit(len(inside) + 1), F.length(path))).otherwise(path)
+
+
+def language(path: Column) -> Column:
+    table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
+    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("unknown"))
+
+
+def is_ignored(path: Column) -> Column:
+    """Whether a folder of the path is on the ignored list or hidden."""
+    parts = F.split(path, "/")
+    folders = F.slice(parts, F.lit(1), F.greatest(F.size(parts) - 1, F.lit(0)))
+    return F.exists(folders, lambda d: d.isin(*IGNORED_DIRS) | (d.startswith(".") & (F.length(d) > 1)))
+
+
+def identifier_tokens(name: Column) -> Column:
+    """Lower-cased words of an identifier, of more than one character."""
+    spaced = F.regexp_replace(name, r"([a-z])([A-Z])", "$1 $2")
+    return F.filter(F.split(F.lower(F.regexp_replace(spaced, r"[_\-./ ]+", " ")), " "), lambda t: F.length(t) > 1)
+
+
+def shared_leading_dirs(a: Column, b: Column) -> Column:
+    """How many leading folders two paths have in common."""
+    x, y = F.split(a, "/"), F.split(b, "/")
+    n = F.least(F.size(x), F.size(y)) - 1
+    differ = F.filter(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.element_at(x, i) != F.element_at(y, i))
+    return F.when(n < 1, 0).otherwise(F.coalesce(F.try_element_at(differ, F.lit(1)) - 1, n)).cast("int")
+
+
+def token_estimate(text: Column) -> Column:
+    """A quarter of the code points, rounded up."""
+    return F.ceil(F.length(text) / 4).cast("long")
+
+
+def risk(score: Column) -> Column:
+    return F.when(score >= 80, "critical").when(score >= 50, "high").when(score >= 20, "medium").otherwise("low")
+
+
+def review_score(breaking: Column, dependents: Column, cyclic: Column, unused: Column, no_test: Column, partial: Column) -> Column:
+    flags = reduce(lambda a, b: a + b, [F.when(c, w).otherwise(0) for c, w in ((cyclic, 20), (unused, 10), (no_test, 10), (partial, 10))])
+    return F.least(F.lit(100), 50 * breaking + 5 * dependents + flags).cast("int")
