@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..schema import STUB
-from ..storage import BROADCAST_ROWS, if_small, written
+from ..storage import if_small, written
 
 
 class Reached(NamedTuple):
@@ -72,7 +72,7 @@ def neighbourhood(nodes: DataFrame, edges: DataFrame, root: str, depth: int = 2)
 
 def relations(edges: DataFrame, root: DataFrame, direction: str, depth: int, kinds: list[str] | None = None) -> DataFrame:
     """The edges of all nodes nearer than ``depth``, with the distance of the node they belong to."""
-    kept, (own, _) = usable(edges, kinds), ("source_id", None) if direction == "out" else ("target_id", None)
+    kept, own = usable(edges, kinds), "source_id" if direction == "out" else "target_id"
     near = reach(kept, root, depth - 1, direction).nodes if depth > 0 else root.limit(0).withColumn("depth", F.lit(0))
     return kept.join(near.withColumnRenamed("id", own), own).select(*edges.columns, (F.col("depth") + 1).alias("depth"))
 
@@ -99,5 +99,3 @@ def impact(edges: DataFrame, root: DataFrame, depth: int = 3) -> DataFrame:
     level = F.when((F.col("total") > 20) | (F.col("direct") > 10), "high").when((F.col("total") > 5) | (F.col("direct") > 3), "medium").otherwise("low")
     return near.join(kinds).select("*", level.alias("level"), F.lit(reached.partial).alias("partial"))
 
-
-__all__ = ["BROADCAST_ROWS", "Reached", "budgeted", "crawl", "impact", "induced", "neighbourhood", "reach", "relations", "steps", "usable"]
