@@ -42,9 +42,9 @@ from pyspark.sql import types as T
 from .common import LOWER, NOT_SPACE, chunks, hash_word, local_path, materialise, mix, shared_dir, text_bytes, unmix, without, word_hashes, words
 
 #: Bytes of text for each range of hashes.
-RANGE_BYTES = 32 << 20
+RANGE_BYTES = 16 << 20
 #: Different keys that a counting task holds before it sends them on.
-HELD_KEYS = 2_000_000
+HELD_KEYS = 1_000_000
 #: A space is in no word, so its hash can stand for the end of a text.
 END = np.uint64(hash_word(b" "))
 SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
