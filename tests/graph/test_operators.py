@@ -120,3 +120,18 @@ def test_token_budget_and_page(spark):
     assert [r.id for r in relational.within_budget(nodes, F.length("name"), 7, ["id"], 5).orderBy("id").collect()] == ["n0", "n1", "n2"]
     some, inner = relational.page(nodes, edges_of(spark, [("n1", "n2"), ("n2", "n5")]), ["id"], 1, 2)
     assert [r.id for r in some.orderBy("id").collect()] == ["n1", "n2"] and [(r.source_id, r.target_id) for r in inner.collect()] == [("n1", "n2")]
+
+
+def test_label_communities_of_two_triangles(spark):
+    pairs = [("a", "b"), ("b", "c"), ("c", "a"), ("x", "y"), ("y", "z"), ("z", "x")]
+    got = {r.id: r.community for r in relational.label_communities(edges_of(spark, pairs)).collect()}
+    assert len({got[i] for i in "abc"}) == 1 and len({got[i] for i in "xyz"}) == 1 and got["a"] != got["x"]
+
+
+def test_upsert_keeps_incoming_edges_and_prunes_dangling(spark):
+    node = lambda i, path: (i, i, "function", "python", path, "", 1, 2, True, 1)
+    nodes = spark.createDataFrame([node("a", "f"), node("b", "f"), node("c", "g")], schema.NODES)
+    edges = edges_of(spark, [("a", "c"), ("c", "a"), ("c", "b"), ("c", schema.STUB + "q")])
+    now, left = relational.upsert_files(nodes, edges, spark.createDataFrame([node("a", "f")], schema.NODES), edges_of(spark, [("a", "a")]))
+    assert sorted(r.id for r in now.collect()) == ["a", "c"]
+    assert {(r.source_id, r.target_id) for r in left.collect()} == {("a", "a"), ("c", "a"), ("c", schema.STUB + "q")}
