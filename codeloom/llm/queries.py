@@ -115,5 +115,36 @@ FROM p LEFT JOIN met m ON p.page_id = m.page_id AND p.url = m.url AND m.k = 1
 """
 
 
+_WORDS_SQL = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+DECONTAMINATE_SQL = rf"""
+WITH d AS (SELECT doc_id, coalesce({_WORDS_SQL}, []) AS w FROM documents), b AS (SELECT item_id, {_WORDS_SQL} AS w FROM benchmark),
+windows AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS said
+    FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM (SELECT *, least(len(w), 13) AS n FROM b WHERE len(w) > 0))),
+places AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS said FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM windows))),
+met AS (SELECT doc_id, item_id, i, n FROM places JOIN windows USING (n, said)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM met) GROUP BY doc_id),
+items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS named FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM met) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(named, '')) AS items_sha256,
+    coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+LINE_DEDUP_SQL = """
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
+w AS (SELECT doc_id, n, line, list_filter(string_split(replace(line, chr(9), ' '), ' '), lambda x: x <> '') AS ws, row_number() OVER (ORDER BY doc_id, n) AS r FROM l),
+f AS (SELECT ws, min(r) AS r FROM w WHERE len(ws) >= 3 GROUP BY ws),
+halves AS (SELECT r, ws, unnest([0, 1]) AS more FROM f WHERE len(ws) >= 5),
+keys AS (SELECT r, ws, len(ws) + more AS n, 'first' AS side, ws[1:(len(ws) + more - 1) // 2] AS half FROM halves
+    UNION ALL SELECT r, ws, len(ws) + more, 'last', ws[len(ws) - (len(ws) + more - 1) // 2 + 1:] FROM halves),
+pairs AS (SELECT DISTINCT a.r, a.ws AS x, b.ws AS y, least(len(a.ws), len(b.ws)) AS low, greatest(len(a.ws), len(b.ws)) AS high FROM keys a JOIN keys b USING (n, side, half) WHERE b.r < a.r),
+agree AS (SELECT r, low, high, coalesce(list_position(list_transform(range(1, low + 1), lambda i: x[i] <> y[i]), true) - 1, low) AS head,
+    coalesce(list_position(list_transform(range(1, low + 1), lambda i: x[-i] <> y[-i]), true) - 1, low) AS tail FROM pairs),
+near AS (SELECT DISTINCT r FROM agree WHERE high - low <= 1 AND least(head + tail, low) >= high - 1),
+judged AS (SELECT w.*, f.r IS NOT NULL AND (w.r <> f.r OR near.r IS NOT NULL) AS gone FROM w LEFT JOIN f ON w.ws = f.ws LEFT JOIN near ON near.r = f.r),
+rest AS (SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY n) FILTER (NOT gone), '') AS text, count(*) FILTER (gone) AS lines_removed FROM judged GROUP BY doc_id)
+SELECT d.doc_id, rest.text, coalesce(lines_removed, 0) AS lines_removed FROM documents d LEFT JOIN rest USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": URL_FILTERS_SQL}
+    return {"op1_url_filters": URL_FILTERS_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
