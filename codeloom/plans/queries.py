@@ -295,7 +295,11 @@ def a14_review_score(spark, sf_dir):
 _SIGNATURES = "('f.ts','old','a',0,'x','int',false),('f.ts','new','a',0,'x','string',false),('f.ts','old','a',1,'y','int',true),('f.ts','new','a',1,'y','int',false),('f.ts','new','a',2,'z','int',true),('f.ts','old','b',0,'x','int',false),('f.ts','new','b',1,'w','int',false),('f.ts','new','c',0,'x','int',false)"
 
 
-@query("SELECT * FROM (VALUES ('f.ts', 'a', 0, 'parameter_type_changed', true), ('f.ts', 'a', 1, 'parameter_made_required', true), ('f.ts', 'a', 2, 'optional_parameter_added', false), ('f.ts', 'b', 0, 'parameter_removed', true), ('f.ts', 'b', 1, 'required_parameter_added', true)) t(file_path, name, position, change, breaking)")
+@query(f"""WITH s(file_path, version, name, position, param, type, is_optional) AS (VALUES {_SIGNATURES}),
+    o AS (SELECT * FROM s WHERE version = 'old'), n AS (SELECT * FROM s WHERE version = 'new'), k AS (SELECT file_path, name FROM o INTERSECT SELECT file_path, name FROM n),
+    c AS (SELECT file_path, name, position, CASE WHEN n.param IS NULL THEN 'parameter_removed' WHEN o.param IS NULL THEN CASE WHEN n.is_optional THEN 'optional_parameter_added' ELSE 'required_parameter_added' END
+        WHEN o.type <> n.type THEN 'parameter_type_changed' WHEN o.is_optional AND NOT n.is_optional THEN 'parameter_made_required' END AS change FROM o FULL JOIN n USING (file_path, name, position) SEMI JOIN k USING (file_path, name))
+    SELECT *, change <> 'optional_parameter_added' AS breaking FROM c WHERE change IS NOT NULL""")
 def x15_signature_changes(spark, sf_dir):
     return relational.compare_parameters(spark.sql(f"VALUES {_SIGNATURES} AS t(file_path, version, name, position, param, type, is_optional)"))
 
