@@ -154,3 +154,32 @@ def oldest_files(nodes: DataFrame, share: float = 0.1) -> DataFrame:
     files = nodes.groupBy("path").agg(F.min("indexed_at").alias("indexed_at"))
     room = -(-files.count() * round(share * 1000) // 1000)
     return ranked(files, "indexed_at", "path").filter(F.col("rank") <= room).drop("rank")
+
+
+def review(nodes: DataFrame, edges: DataFrame, changes: DataFrame, paths: DataFrame, unused: DataFrame, tests: DataFrame) -> DataFrame:
+    """Every node of the changed files (path) with its review score and risk, gravest first.
+
+    ``edges`` carry is_cyclic; ``changes`` are compare_parameters rows; ``unused`` has ids; ``tests`` the paths
+    of files with a test.  Dependents are counted directly: the walk beyond them is traverse.impact.
+    """
+    from ..functions.text import review_score, risk
+
+    changed = nodes.join(paths.select("path").distinct(), "path", "left_semi").select("id", "name", "path")
+    broken = changes.filter("breaking").groupBy(F.col("file_path").alias("path"), "name").agg(F.count("*").alias("breaking"))
+    used = edges.groupBy(F.col("target_id").alias("id")).agg(F.countDistinct("source_id").alias("dependents"))
+    ring = edges.filter("is_cyclic").select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().withColumn("cyclic", F.lit(True))
+    dead = unused.select("id").distinct().withColumn("unused", F.lit(True))
+    tested = tests.select("path").distinct().withColumn("tested", F.lit(True))
+    all_of = changed.join(broken, ["path", "name"], "left").join(used, "id", "left").join(ring, "id", "left").join(dead, "id", "left").join(tested, "path", "left")
+    all_of = all_of.fillna(0, ["breaking", "dependents"]).fillna(False, ["cyclic", "unused", "tested"])
+    score = review_score(F.col("breaking"), F.col("dependents"), F.col("cyclic"), F.col("unused"), ~F.col("tested"), F.lit(False))
+    return all_of.withColumn("score", score).withColumn("risk", risk(F.col("score"))).select("path", "name", "id", "breaking", "dependents", "cyclic", "unused", "tested", "score", "risk").orderBy(F.desc("score"), "path", "name")
+
+
+def tested_files(files: DataFrame) -> DataFrame:
+    """(path): files beside which, or in a test folder next to which, a test of their name stands."""
+    stem, ext, folder = F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1), F.regexp_extract("path", r"\.([^./]+)$", 1), F.regexp_replace("path", r"/[^/]*$", "")
+    names = [F.concat(stem, F.lit(".test."), ext), F.concat(stem, F.lit(".spec."), ext), F.concat(F.lit("test_"), stem, F.lit("."), ext), F.concat(stem, F.lit("_test."), ext)]
+    places = [folder, F.concat(folder, F.lit("/tests")), F.concat(folder, F.lit("/__tests__"))]
+    tried = files.select("path", F.explode(F.array(*[F.concat(p, F.lit("/"), n) for p in places for n in names])).alias("_test"))
+    return tried.join(files.select(F.col("path").alias("_test")).distinct(), "_test", "left_semi").select("path").distinct()

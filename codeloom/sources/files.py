@@ -11,7 +11,7 @@ MAX_BYTES = 5 * 1024 * 1024
 
 
 def source_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) -> DataFrame:
-    """(path, text, lang, mtime_ms, size) of all source files below root, ignored folders and large files apart."""
+    """(path, text, lang, mtime_ms, size) of all source files below root, ignored folders, empty and large files apart."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = normalize_path(F.regexp_replace("path", "^file:", ""))
     kept = found.filter(F.col("length") <= max_bytes).withColumn("path", path).withColumn("lang", language(F.col("path")))
