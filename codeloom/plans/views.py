@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import compact
 from ..operators import cycles, relational, reports, symbols
-from ..sources import definitions, tables
+from ..sources import definitions, resolve, tables
 from ..storage import written
 from .queries import EDGES, NODES, _graph, _suppliers, query, SUPPLIERS
 
@@ -222,3 +222,26 @@ def x7_call_graph(spark, sf_dir):
     files = spark.createDataFrame([(p, t, langs[p.rsplit(".", 1)[1]]) for p, t in _SOURCES.items()], "path string, text string, lang string")
     nodes, edges = definitions.extract(files)
     return definitions.resolve_edges(nodes, edges)
+
+
+@query(f"""{WITH}, o AS (SELECT id, name, path FROM nodes WHERE folder = '/ws/small'), u AS (SELECT target_id AS id, count(DISTINCT source_id) AS dependents FROM edges GROUP BY 1),
+    c AS (SELECT source_id AS id FROM edges WHERE type_relation = 'USES' UNION SELECT target_id FROM edges WHERE type_relation = 'USES'), d AS (SELECT id FROM nodes WHERE is_exported AND start_line < 1000),
+    f AS (SELECT o.path, o.name, o.id, 0 AS breaking, coalesce(dependents, 0) AS dependents, o.id IN (FROM c) AS cyclic, o.id IN (FROM d) AS unused, o.path LIKE '%1.src' AS tested FROM o LEFT JOIN u USING (id)),
+    s AS (SELECT *, CAST(least(100, 5 * dependents + 20 * cyclic::INT + 10 * unused::INT + 10 * (NOT tested)::INT) AS INTEGER) AS score FROM f)
+    SELECT *, CASE WHEN score >= 80 THEN 'critical' WHEN score >= 50 THEN 'high' WHEN score >= 20 THEN 'medium' ELSE 'low' END AS risk FROM s""")
+def g16_review(spark, sf_dir):
+    nodes, edges = _graph(spark, sf_dir)
+    none = spark.createDataFrame([], "file_path string, name string, position int, change string, breaking boolean")
+    return reports.review(
+        nodes, edges.withColumn("is_cyclic", F.col("type_relation") == "USES"), none, nodes.filter("folder = '/ws/small'").select("path"), nodes.filter("is_exported and start_line < 1000"), nodes.filter("path like '%1.src'").select("path")
+    )
+
+
+@query(f"""WITH {NODES}, p AS (SELECT DISTINCT path AS source, '../' || split_part(path, '/', 3) || '/' || replace(split_part(path, '/', -1), '.src', '') AS module, path FROM nodes)
+    SELECT '/ws/x/main.ts' AS path, module, replace(path, '.src', '.ts') AS target_path FROM p""")
+def x13_resolve_modules(spark, sf_dir):
+    """One script that imports every file of the part graph by a relative path."""
+    paths = tables.part_nodes(spark, sf_dir).select("path").distinct()
+    name = F.regexp_extract("path", r"/ws/(.*)\.src$", 1)
+    wanted = paths.select(F.lit("/ws/x/main.ts").alias("path"), F.concat(F.lit("../"), name).alias("module"), F.lit("typescript").alias("lang"))
+    return resolve.resolve(wanted, paths.select(F.concat(F.lit("/ws/"), name, F.lit(".ts")).alias("path")))
