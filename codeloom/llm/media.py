@@ -46,12 +46,16 @@ def from_wav(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
+def frames_of(payload: bytes) -> np.ndarray:
+    """Overlapping frames of the samples; silence fills the last one, so that every sample is in a frame."""
+    samples = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
+    missing = FRAME - len(samples) if len(samples) < FRAME else (FRAME - len(samples)) % HOP
+    return np.lib.stride_tricks.sliding_window_view(np.pad(samples, (0, missing)), FRAME)[::HOP]
+
+
 def landmarks(payload: bytes) -> np.ndarray:
     """Time-coded pairs of spectral peaks: frame << 32 | bin << 20 | later bin << 8 | frames between."""
-    samples = np.frombuffer(payload, np.uint8).astype(np.float32) - 128
-    if len(samples) < FRAME:
-        samples = np.pad(samples, (0, FRAME - len(samples)))
-    frames = np.lib.stride_tricks.sliding_window_view(samples, FRAME)[::HOP]
+    frames = frames_of(payload)
     peaks = np.empty(len(frames), np.int64)
     for at in range(0, len(frames), _FRAMES_AT_ONCE):
         block = frames[at : at + _FRAMES_AT_ONCE]

@@ -73,6 +73,22 @@ def test_media_round_trip(spark):
     assert media.spectral_landmarks(media.encode_wav(docs.limit(0))).count() == 0
 
 
+def test_the_last_block_is_in_a_frame():
+    rng = np.random.default_rng(2)
+    for blocks in range(1, 14):
+        payload = rng.integers(0, 256, 64 * blocks, np.uint8).tobytes()
+        frames = media.frames_of(payload)
+        put = np.zeros(128 * len(frames) + 128, np.float32)
+        for i, f in enumerate(frames):
+            put[128 * i : 128 * i + 256] = f
+        assert np.array_equal(put[: len(payload)], np.frombuffer(payload, np.uint8).astype(np.float32) - 128) and not put[len(payload) :].any()
+        assert len(frames) == max(1, -(-(len(payload) - 128) // 128))
+    tone = lambda cycles: (128 + 100 * np.sin(2 * np.pi * cycles * np.arange(64) / 64)).astype(np.uint8).tobytes()
+    for blocks in range(4, 10):
+        silence = bytes([128]) * 64 * blocks
+        assert media.landmarks(silence + tone(16)).tolist() != media.landmarks(silence + tone(24)).tolist()
+
+
 def test_statistics_do_not_depend_on_the_batch():
     import pyarrow as pa
 
