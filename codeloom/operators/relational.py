@@ -182,18 +182,28 @@ def path_communities(paths: DataFrame, umbrellas: tuple[str, ...] = ("src", "lib
     return named.join(ids, "domain", "left").select("path", "domain", F.coalesce("community", F.lit(0)).alias("community"))
 
 
-def label_communities(edges: DataFrame, passes: int = 20) -> DataFrame:
-    """(id, community) by synchronous label propagation, ties to the smallest label."""
+def label_communities(edges: DataFrame, passes: int = 1000) -> DataFrame:
+    """(id, community) by label propagation until no node wants another label, ties to the smallest label.
+
+    A node wants the commonest label around it if more neighbours bear it than bear its own.  Of two
+    neighbours that want to move only one does: the one of fewer neighbours, then by a hash that changes
+    with the pass.  Movers are therefore never adjacent, every pass adds edges within communities, and
+    labels settle on every graph, bipartite ones included.
+    """
     from ..storage import written
 
     both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).filter("a != b")
     both = written(both.union(both.select("b", "a")).distinct(), "undirected")
-    label = written(both.select(F.col("a").alias("id"), F.col("a").alias("community")).distinct(), "labels")
-    for _ in range(passes):
-        votes = both.join(label.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.count("*").alias("n"))
-        new = votes.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("v")).select("id", F.col("v.community").alias("community"))
-        new = written(new, "labels")
-        if new.join(label, ["id", "community"], "left_anti").isEmpty():
-            break
-        label = new
-    return label
+    label = written(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree")).withColumn("community", F.col("id")), "labels")
+    for number in range(passes):
+        votes = both.join(label.select(F.col("id").alias("b"), "community"), "b").groupBy(F.col("a").alias("id"), "community").agg(F.count("*").alias("n"))
+        judged = votes.join(label.select("id", "degree", F.col("community").alias("own")), "id").groupBy("id", "degree", "own")
+        judged = judged.agg(F.min(F.struct((-F.col("n")).alias("n"), "community")).alias("v"), F.coalesce(F.sum(F.when(F.col("community") == F.col("own"), F.col("n"))), F.lit(0)).alias("has"))
+        turn = F.struct("degree", F.xxhash64(F.col("id"), F.lit(number)).alias("h"), "id")
+        wanting = written(judged.filter(-F.col("v.n") > F.col("has")).select("id", F.col("v.community").alias("wanted"), turn.alias("turn")), "wanting")
+        if wanting.isEmpty():
+            return label.select("id", "community")
+        ahead = both.join(wanting.select(F.col("id").alias("b"), "turn"), "b").groupBy(F.col("a").alias("id")).agg(F.min("turn").alias("first"))
+        moved = wanting.join(ahead, "id", "left").filter("first is null or turn < first").select("id", "wanted")
+        label = written(label.join(moved, "id", "left").select("id", "degree", F.coalesce("wanted", "community").alias("community")), "labels")
+    raise RuntimeError(f"labels have not settled after {passes} passes")

@@ -128,6 +128,19 @@ def test_label_communities_of_two_triangles(spark):
     assert len({got[i] for i in "abc"}) == 1 and len({got[i] for i in "xyz"}) == 1 and got["a"] != got["x"]
 
 
+def test_label_communities_settle_on_bipartite_graphs(spark):
+    star = [("h", f"l{i}") for i in range(5)]
+    blocks = [(f"{side}c{i}", f"{side}s{j}") for side in "pq" for i in range(4) for j in range(3)]
+    pairs = [("a", "b"), *star, *blocks, ("pc0", "qs0")]
+    got = {r.id: r.community for r in relational.label_communities(edges_of(spark, pairs)).collect()}
+    assert got["a"] == got["b"] and len({got[i] for edge in star for i in edge}) == 1
+    for node, own in got.items():
+        around = [got[b if a == node else a] for a, b in pairs if node in (a, b)]
+        assert around.count(own) == max(map(around.count, around)), node
+    with pytest.raises(RuntimeError):
+        relational.label_communities(edges_of(spark, pairs), passes=1)
+
+
 def test_upsert_keeps_incoming_edges_and_prunes_dangling(spark):
     node = lambda i, path: (i, i, "function", "python", path, "", 1, 2, True, 1)
     nodes = spark.createDataFrame([node("a", "f"), node("b", "f"), node("c", "g")], schema.NODES)
