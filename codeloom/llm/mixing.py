@@ -5,9 +5,11 @@ block of a source with w units may not start before slot floor((j - 1) * Q / w),
 placed before slot ceil(j * Q / w), its deadline.  Earliest deadline first over the released blocks keeps
 each source within less than one block of its share at every slot.
 
-After Q slots every source has had exactly its w blocks, so the schedule repeats with period Q.  One period
-is scheduled by a fold over Q slots whose state is one entry a source; it has Q rows, a documented bound,
-and is broadcast.  A block of the corpus then finds its slot by an equi-join on source and its number
+After Q slots every source has had exactly its w blocks, so the schedule repeats with period Q.  Q is a power
+of two, at least ``PERIOD`` and four slots a source, and grows up to ``LONGEST`` until the smallest positive
+weight is due a unit; then units differ from Q times the target by less than one.  One period is scheduled by
+a fold over Q slots whose state is one entry a source, Q steps over all sources in a single task; it has Q
+rows and is broadcast.  A block of the corpus then finds its slot by an equi-join on source and its number
 modulo w.  Nothing is sorted globally and no state runs through the corpus.
 
 Blocks are ``block_docs`` documents that follow each other in a pseudo-random order within their source.
@@ -22,6 +24,8 @@ count as the smallest unit.  Repeated rows are rows of their own.  An empty tabl
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -29,8 +33,8 @@ from pyspark.sql import Window as W
 from .common import without
 
 PERIOD = 1024
+LONGEST = 8192
 BLOCK_DOCS = 4
-MAX_SOURCES = 512
 HASH_BITS = 12
 ADDED = ("mix_weight", "mix_block", "mix_release", "mix_deadline", "mix_slot", "mix_in_block")
 
@@ -40,18 +44,31 @@ def tempered_weights(docs: DataFrame, power: float = 0.5, source_col: str = "sou
     return docs.groupBy(F.col(source_col).alias("source")).agg(F.pow(F.count("*").cast("double"), F.lit(power)).alias("weight"))
 
 
+def period_for(weights: DataFrame) -> int:
+    """The period for weights (source, weight), one row a source."""
+    weight = F.when(F.col("weight") > 0, F.col("weight").cast("double"))
+    n, total, least = weights.agg(F.count("*"), F.sum(weight), F.min(weight)).first()
+    due = min(LONGEST, total / least) if total else 1
+    return 1 << math.ceil(math.log2(max(PERIOD, 4 * n, due)))
+
+
 def quotas(weights: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, weight, units): units are at least one, sum to ``period`` and follow the weights.
 
-    One unit goes to each source; the rest is dealt by largest remainders.  Only one row a source is
-    ranked here, at most ``MAX_SOURCES`` of them.
+    A source's share of the period is rounded by largest remainders.  Shares below one unit count as one;
+    what that takes comes from what the other shares have beyond one unit, in proportion.  Only one row a
+    source is ranked here.
     """
     clean = F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(0.0)
     every = W.partitionBy(F.lit(1))
     w = weights.groupBy("source").agg(F.max(clean).alias("weight"))
     w = w.withColumn("_n", F.count("*").over(every)).withColumn("_sum", F.sum("weight").over(every))
+    w = w.withColumn("_n", F.when(F.col("_n") <= period, F.col("_n")).otherwise(F.raise_error(F.lit(f"more sources than the {period} slots of a period")).cast("long")))
     share = F.when(F.col("_sum") > 0, F.col("weight") / F.col("_sum")).otherwise(1 / F.col("_n"))
-    w = w.withColumn("_due", share * (period - F.col("_n"))).withColumn("_base", F.floor("_due"))
+    w = w.withColumn("_over", F.greatest(share * period - 1, F.lit(0.0))).withColumn("_all", F.sum("_over").over(every))
+    # Rounded to hide the error of sums, which would turn a whole number into the one below.
+    due = F.round(F.col("_over") * (period - F.col("_n")) / F.col("_all"), 6)
+    w = w.withColumn("_due", F.when(F.col("_all") > 0, due).otherwise(0.0)).withColumn("_base", F.floor("_due"))
     w = w.withColumn("_left", period - F.col("_n") - F.sum("_base").over(every))
     rank = F.row_number().over(every.orderBy((F.col("_due") - F.col("_base")).desc(), F.col("source").asc_nulls_first()))
     return w.select("source", "weight", (1 + F.col("_base") + (rank <= F.col("_left")).cast("long")).cast("long").alias("units"))
@@ -68,19 +85,18 @@ def _deadline(j: Column, units: Column, period: int) -> Column:
 def period_schedule(units: DataFrame, period: int = PERIOD) -> DataFrame:
     """(source, units, weight, number, slot) for one period: earliest deadline first, ties by source."""
     sources = units.agg(F.array_sort(F.collect_list(F.struct(F.col("source").isNotNull().alias("named"), "source", "units", "weight"))).alias("sources"))
-    # State: for each source the number of its next block; and the choice made in every slot so far.
-    start = F.struct(F.transform("sources", lambda s: F.lit(1).cast("long")).alias("next"), F.array().cast("array<int>").alias("chosen"))
+    # State: each source's next block with its window; and the choice made in every slot so far.
+    window = lambda i, n, units: F.struct(i.cast("int").alias("i"), n.alias("n"), units.alias("units"), _release(n, units, period).alias("release"), _deadline(n, units, period).alias("deadline"))
+    start = F.struct(F.transform("sources", lambda s, i: window(i + 1, F.lit(1).cast("long"), s["units"])).alias("next"), F.array().cast("array<int>").alias("chosen"))
 
     def step(state: Column, slot: Column) -> Column:
-        bids = F.transform(
-            F.sequence(F.lit(1), F.size("sources")),
-            lambda i: F.when(
-                _release(F.element_at(state["next"], i), F.element_at(F.col("sources"), i)["units"], period) <= slot,
-                F.struct(_deadline(F.element_at(state["next"], i), F.element_at(F.col("sources"), i)["units"], period).alias("deadline"), i.alias("i")),
-            ),
-        )
-        best = F.array_min(bids)["i"]
-        return F.struct(F.transform(state["next"], lambda n, i: n + (i + 1 == best).cast("long")).alias("next"), F.concat(state["chosen"], F.array(best)).alias("chosen"))
+        bids = F.transform(state["next"], lambda s: F.when(s["release"] <= slot, F.struct(s["deadline"], s["i"])))
+
+        # The array of one element makes the choice a variable, which is not searched again for every source.
+        def place(best):
+            return F.struct(F.transform(state["next"], lambda s: F.when(s["i"] == best, window(s["i"], s["n"] + 1, s["units"])).otherwise(s)).alias("next"), F.concat(state["chosen"], F.array(best)).alias("chosen"))
+
+        return F.transform(F.array(F.array_min(bids)["i"]), place)[0]
 
     slots = F.sequence(F.lit(0).cast("long"), F.lit(period - 1).cast("long"))
     plan = sources.filter(F.size("sources") > 0).select("sources", F.aggregate(slots, start, step, lambda s: s["chosen"]).alias("chosen"))
@@ -88,16 +104,18 @@ def period_schedule(units: DataFrame, period: int = PERIOD) -> DataFrame:
     return slot.select("s.source", "s.units", "s.weight", "slot", F.row_number().over(W.partitionBy("s.source").orderBy("slot")).cast("long").alias("number"))
 
 
-def mix_sources(docs: DataFrame, weights: DataFrame | None = None, period: int = PERIOD, block_docs: int = BLOCK_DOCS, source_col: str = "source", hash_bits: int = HASH_BITS) -> DataFrame:
+def mix_sources(docs: DataFrame, weights: DataFrame | None = None, period: int | None = None, block_docs: int = BLOCK_DOCS, source_col: str = "source", hash_bits: int = HASH_BITS) -> DataFrame:
     """docs with its place in the mixture, in the columns ADDED.
 
     ``weights`` has (source, weight); without it the square roots of the sources' row counts are used.
+    ``period`` follows from the weights unless it is given; it must hold a slot for every source.
     """
     docs = without(docs, *ADDED)
     present = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("_rows"))
     given = weights if weights is not None else tempered_weights(docs, source_col=source_col)
     given = given.select(F.col("source").alias("_s"), "weight")
     wanted = present.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "weight")
+    period = period_for(wanted) if period is None else period
     schedule = period_schedule(quotas(wanted, period), period)
 
     order = [F.col("_h"), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c in ("doc_id", "text")]]

@@ -51,3 +51,28 @@ def test_empty_and_clashing_names(spark):
     assert mixing.mix_sources(spark.createDataFrame([], "doc_id long, text string, source string")).count() == 0
     df = spark.createDataFrame([(1, "t", "s", 5)], "doc_id long, text string, source string, mix_slot int")
     assert mixing.mix_sources(df).first().mix_slot == 0
+
+
+def test_two_thousand_sources_keep_their_weights(spark):
+    weights = [("hot", 0.3 * 1999 / 0.7), *[(f"s{i}", 1.0) for i in range(1999)]]
+    df = spark.createDataFrame(weights, "source string, weight double")
+    period, total = mixing.period_for(df), sum(w for _, w in weights)
+    units = {r.source: r.units for r in mixing.quotas(df, period).collect()}
+    assert len(units) == 2000 and sum(units.values()) == period and min(units.values()) >= 1
+    assert all(abs(units[s] - period * w / total) < 1 for s, w in weights)
+    docs = [(i, "t", s) for i, (s, _) in enumerate(weights)] + [(5000 + i, "t", "hot") for i in range(1199)]
+    rows = mixed(spark, docs, weights, block_docs=1)
+    assert len(rows) == len(docs)
+    slots = sorted(r.mix_slot for r in rows if r.source == "hot")
+    assert all(abs(k - 0.3 * slot) < 1 + slot / period for k, slot in enumerate(slots))
+
+
+def test_few_sources_follow_the_given_weights(spark):
+    weights = [("hot", 90.0), *[(f"s{i}", 10 / 19) for i in range(19)]]
+    units = {r.source: r.units for r in mixing.quotas(spark.createDataFrame(weights, "source string, weight double")).collect()}
+    assert all(abs(units[s] - mixing.PERIOD * w / 100) < 1 for s, w in weights)
+
+
+def test_more_sources_than_slots_are_refused(spark):
+    with pytest.raises(Exception, match="more sources"):
+        mixed(spark, [(i, "t", f"s{i}") for i in range(9)], period=8)
