@@ -15,6 +15,11 @@ from pyspark.sql import functions as F
 
 #: What may follow a module's path, in order.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".gql", ".graphql")
+#: Added to the rank of files found by the last name alone.
+LAST = 1 << 24
+#: Packages that come with the language or are never part of a source tree.
+JAVA = ("java", "javax", "sun", r"com\.sun", r"org\.w3c", r"org\.xml", r"org\.ietf", r"org\.omg", "jdk", "javafx")
+CSHARP = ("System", "Microsoft", "Newtonsoft", "NUnit", "Xunit", "MSTest", "AutoMapper", "FluentValidation", "MediatR", "Serilog")
 SCRIPTS = ("typescript", "javascript", "vue", "svelte", "graphql")
 
 
@@ -77,15 +82,27 @@ def _rust(imports: DataFrame, roots: tuple[str, ...]) -> DataFrame:
 
 
 def _whole_name(imports: DataFrame, files: DataFrame, lang: str, extension: str, suffix: Column) -> DataFrame:
-    """The files whose path ends in the module's: a join on every ending of at most eight folders."""
+    """The files whose path ends in the module's: a join on every ending of the path."""
     parts = F.split(F.regexp_replace("path", r"\.\w+$", ""), "/")
     n = F.size(parts)
-    endings = F.transform(F.sequence(F.lit(1), F.least(n, F.lit(8))), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "/"))
+    endings = F.transform(F.sequence(F.lit(1), n), lambda k: F.array_join(F.slice(parts, n - k + 1, k), "/"))
     known = files.filter(F.endswith("path", F.lit(extension))).select(F.col("path").alias("target_path"), F.explode(endings).alias("_end"))
     wanted = imports.filter(F.col("lang") == lang).withColumn("_end", suffix).filter("_end != ''")
     return wanted.join(known, "_end").select("path", "module", "target_path", F.length("target_path").alias("rank"))
 
 
+def _last_name(imports: DataFrame, files: DataFrame, lang: str, extension: str, place: Column, own: tuple[str, ...]) -> DataFrame:
+    """Where no file has the whole name: the shortest path whose ``place`` is the module's last name.
+
+    Modules of the language's own packages are left out, as are wildcards.
+    """
+    some = files.filter(F.endswith("path", F.lit(extension))).select(F.col("path").alias("target_path"), F.regexp_extract(place, r"([^/]+)$", 1).alias("_last"), F.length(place).alias("_size"), place.alias("_place"))
+    first = some.groupBy("_last").agg(F.min(F.struct("_size", "_place", "target_path")).alias("f"))
+    wanted = imports.filter(F.col("lang") == lang).filter(F.col("module").rlike(r"^[^./]+(\.[^./]+)*\.[^./*]+$") & ~F.col("module").rlike(rf"^({'|'.join(own)})(\.|$)"))
+    found = wanted.withColumn("_last", F.regexp_extract("module", r"([^.]+)$", 1)).join(first, "_last")
+    return found.select("path", "module", F.col("f.target_path").alias("target_path"), (F.length("f.target_path") + LAST).alias("rank"))
+
+
 def _folder_name(imports: DataFrame, files: DataFrame, lang: str, extension: str, folder: Column, skip: str | None = None) -> DataFrame:
     """The first file by name of the folder that an import names."""
     some = files.filter(F.endswith("path", F.lit(extension)))
@@ -112,6 +129,8 @@ def resolve(imports: DataFrame, files: DataFrame, roots: tuple[str, ...] = (), a
     named = F.replace("module", F.lit("."), F.lit("/"))
     found = found.unionByName(_whole_name(imports, files, "java", ".java", F.when(F.endswith("module", F.lit(".*")), "").otherwise(named)))
     found = found.unionByName(_whole_name(imports, files, "csharp", ".cs", named))
+    found = found.unionByName(_last_name(imports, files, "java", ".java", F.regexp_replace("path", r"\.java$", ""), JAVA))
+    found = found.unionByName(_last_name(imports, files, "csharp", ".cs", parent(F.col("path")), CSHARP))
     best = found.groupBy("path", "module").agg(F.min(F.struct("rank", "target_path")).alias("b"))
     return best.select("path", "module", "b.target_path")
 

@@ -24,6 +24,18 @@ def test_modules_by_language(spark):
     assert resolve.resolve(imports.limit(0), files, **options).count() == 0
 
 
+def test_java_and_csharp_names_of_any_depth_and_the_last_name(spark):
+    deep = [f"p{i}" for i in range(12)]
+    paths = ["/r/" + "/".join(deep) + "/Deep.java", "/r/other/Deep.java", "/r/" + "/".join(deep) + "/Deep.cs", "/r/odd/Svc.java", "/r/odd/far/Svc.java", "/r/App/Services/B.cs", "/r/App/Services/A.cs", "/r/java/List.java"]
+    wanted = [
+        (".".join([*deep, "Deep"]), "java", paths[0]), (".".join([*deep, "Deep"]), "csharp", paths[2]), ("com.acme.Svc", "java", "/r/odd/Svc.java"), ("com.acme.*", "java", None), ("java.util.List", "java", None),
+        ("My.App.Services", "csharp", "/r/App/Services/A.cs"), ("System.Services", "csharp", None), ("com.acme.Gone", "java", None),
+    ]
+    imports = spark.createDataFrame([(f"/r/{lang}", module, lang) for module, lang, _ in wanted], "path string, module string, lang string")
+    got = {(r.path, r.module): r.target_path for r in resolve.resolve(imports, spark.createDataFrame([(p,) for p in paths], "path string")).collect()}
+    assert got == {(f"/r/{lang}", module): to for module, lang, to in wanted if to}
+
+
 def test_usage_cache_stream(spark, tmp_path):
     at = lambda day, hour: f"2024-01-0{day} {hour:02d}:00:00"
     rows = [("a", "b", 1, None, at(1, 0)), ("a", "b", 1, True, at(1, 1)), ("a", "b", 1, None, at(1, 2)), ("a", "b", 2, None, at(1, 3)), ("a", "b", 2, None, at(1, 4)), ("c", "d", 7, False, at(1, 0)), ("c", "d", 7, None, at(1, 23)), ("c", "d", 7, None, at(2, 2))]
