@@ -6,6 +6,7 @@ sent to every task, and the corpus is never gathered.  For one block:
 1. The corpus frequency of the block's terms is counted over all documents.
 2. Every window of ``WINDOW`` test words gets two anchors, its rarest terms by that count.  The positions of
    the anchor terms in every document are stored: the positional index, one row a document with its lists.
+   With ``slop`` a window has as many anchors as leave one near its place in any match in proximity.
 3. Lists are intersected from the rarest terms: a position less the anchor's place in its item is the start
    the item would have, and anchors of a window must agree on that start.
 4. What remains is verified word by word, and gives exact phrase matches.  With ``slop`` above zero, a window
@@ -108,8 +109,17 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def choose_anchors(block: Block, terms: np.ndarray, counts: np.ndarray, window: int) -> Anchors:
-    """The two rarest places of every window; windows in which some term never occurs need none."""
+def _near_enough(size: int) -> int:
+    """How many words of a window of this size must be near their places."""
+    return int(np.ceil(PROXIMITY * size))
+
+
+def choose_anchors(block: Block, terms: np.ndarray, counts: np.ndarray, window: int, slop: int = 0) -> Anchors:
+    """The two rarest places of every window; windows in which some term never occurs need none.
+
+    With ``slop``, words that never occur count as missing, and of the others one more than may still be
+    missing are anchors, the rarest ones: any match has one of them near its place.
+    """
     term = np.searchsorted(terms, block.hashes)
     names: dict[tuple[int, int], int] = {}
     pairs = set()
@@ -118,7 +128,12 @@ def choose_anchors(block: Block, terms: np.ndarray, counts: np.ndarray, window:
         n = counts[of]
         for start in range(max(1, len(of) - window + 1)):
             own = n[start : start + window]
-            if own.min() > 0:
+            if slop:
+                present = np.flatnonzero(own)
+                spare = len(present) - _near_enough(len(own))
+                for p in present[np.argsort(own[present], kind="stable")[: max(0, spare + 1)]]:
+                    names.setdefault((item, int(p) + start), len(names))
+            elif own.min() > 0:
                 order = np.argsort(own, kind="stable")[:2] + start
                 a, b = (names.setdefault((item, int(p)), len(names)) for p in (order[0], order[-1]))
                 pairs.add((item, a, b))
@@ -166,12 +181,17 @@ def positional_index(docs: DataFrame, terms: np.ndarray, keep: list[str]) -> Dat
 
 
 def intersect(index: DataFrame, anchors: Anchors, slop: int = 0) -> DataFrame:
-    """(_k1, _k2, places): the items and starts at which the anchors of some window agree."""
+    """(_k1, _k2, places): the items and starts at which the anchors of some window agree.
+
+    With ``slop`` one anchor is enough, and may itself lie that many places from where it belongs.
+    """
     spark = index.sparkSession
     at = spark.createDataFrame(anchors.rows or [(-1, 0, 0, 0)], "term int, item int, place int, anchor int")
     need = spark.createDataFrame(anchors.pairs or [(-1, 0, 0)], "item int, a int, b int").groupBy("item").agg(F.collect_list(F.struct("a", "b")).alias("pairs"))
     lists = index.select("_k1", "_k2", F.explode("_lists").alias("l")).select("_k1", "_k2", "l.term", "l.positions")
     starts = lists.join(F.broadcast(at), "term").select("_k1", "_k2", "item", "anchor", F.explode(F.transform("positions", lambda p: p - F.col("place"))).alias("start"))
+    if slop:
+        starts = starts.withColumn("start", F.explode(F.array(*[F.col("start") + shift for shift in range(-slop, slop + 1)])))
     met = starts.groupBy("_k1", "_k2", "item", "start").agg(F.collect_set("anchor").alias("met"))
     if not slop:
         met = met.join(F.broadcast(need), "item").filter(F.exists("pairs", lambda p: F.array_contains("met", p["a"]) & F.array_contains("met", p["b"])))
@@ -191,7 +211,7 @@ def _verified(doc: np.ndarray, item: np.ndarray, start: int, window: int, slop:
             if not shift:
                 exact[lo:hi] = same
     out = []
-    for kind, good, least in (("phrase", exact, size), ("proximity", near, int(np.ceil(PROXIMITY * size)))):
+    for kind, good, least in (("phrase", exact, size), ("proximity", near, _near_enough(size))):
         sums = np.concatenate([[0], np.cumsum(good)])
         for at in np.flatnonzero(sums[size:] - sums[:-size] >= least):
             out.append((int(max(0, start + at)), int(min(len(doc), start + at + size)), kind))
@@ -238,7 +258,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
     index, parts = None, []
     for block in test_blocks(benchmark, item_col, block_words):
         terms = np.unique(block.hashes)
-        anchors = choose_anchors(block, terms, term_counts(docs, terms), window)
+        anchors = choose_anchors(block, terms, term_counts(docs, terms), window, slop)
         stored = positional_index(docs, anchors.terms, keep)
         index = stored if index is None else index
         parts.append(verify(docs, intersect(stored, anchors, slop), block, window, slop))

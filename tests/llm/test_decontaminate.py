@@ -67,6 +67,41 @@ def test_proximity(spark):
     assert kinds == {1: {"proximity"}, 2: {"phrase", "proximity"}, 3: set()}
 
 
+def brute_places(text, items, slop, window=13):
+    w, found = split(text), set()
+    for i, t in items:
+        v = split(t)
+        for s in range(max(1, len(v) - window + 1) if v else 0):
+            part = v[s : s + window]
+            for at in range(-len(part), len(w) + 1):
+                near = sum(any(0 <= at + k + x < len(w) and w[at + k + x] == word for x in range(-slop, slop + 1)) for k, word in enumerate(part))
+                ends = (max(0, at), min(len(w), at + len(part)), str(i))
+                if 10 * near >= 8 * len(part):
+                    found.add((*ends, "proximity"))
+                if w[max(0, at) : at + len(part)] == part and at >= 0:
+                    found.add((*ends, "phrase"))
+    return found
+
+
+def test_proximity_matches_brute_force(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(30)}" for _ in range(n))) for i, n in enumerate([13, 13, 16, 20, 5, 3])]
+    items += [(10, "rare1 " + " ".join(f"c{i}" for i in range(12))), (11, "rare2 rare3 " + " ".join(f"e{i}" for i in range(11)))]
+    docs = [(0, items[6][1].replace("rare1", "other")), (1, items[7][1].replace("rare2", "x").replace("rare3", "y")), (2, "rare2 z z rare3")]
+    for i in range(3, 60):
+        w = rng.choice(items)[1].split()
+        for _ in range(rng.randint(0, 4)):
+            kind, at = rng.randrange(3), rng.randrange(len(w))
+            w[at : at + 1] = [["new"], [], [w[at], "more"]][kind]
+            w = w or ["none"]
+        docs.append((i, " ".join([f"w{rng.randrange(30)}" for _ in range(rng.randrange(5))] + w)))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for slop in (1, 2):
+        got = {r.doc_id: {tuple(m) for m in r.matches} for r in d.find_matches(df, bench, slop=slop).collect()}
+        assert got == {i: brute_places(t, items, slop) for i, t in docs}
+        assert got[0] and got[1]
+
+
 def test_decontaminate_keeps_clean_rows_and_columns(spark):
     item = " ".join(f"t{i}" for i in range(13))
     docs = spark.createDataFrame([(1, item, 1), (2, "clean text", 2), (None, None, 3)], "doc_id long, text string, n_words int")
