@@ -16,7 +16,8 @@ line, in the order of document and line number, that equals it or is its near-du
 Intermediate tables (shared halves, rivals, lost lines) are broadcast only if their bytes are counted to be
 few (``BROADCAST_BYTES``); larger ones are joined by a shuffle.
 
-Lines of fewer than ``min_words`` words stay where they are, as headings and separators do; lines of fewer
+Lines of fewer than ``min_words`` words (three, as in op8's SQL; the pipeline takes one) stay where they are, as
+headings and separators do, and so does any line without spaces then, however long; lines of fewer
 than ``near_min_words`` (five) are compared for equality only.
 
 Defined results: a null text stays null and an empty one empty; a document all of whose lines go has an
@@ -101,7 +102,8 @@ def lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS) -
 
 def losers(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """(_d1, _d2, _line) of all lines that an earlier equal or near-duplicate line beats."""
-    near_min_words = max(near_min_words, NEAR_MIN_WORDS)
+    if near_min_words < NEAR_MIN_WORDS:
+        raise ValueError(f"near_min_words is {NEAR_MIN_WORDS} at least")
     halves = F.array(*_half_keys(F.col("_words")))
     occurrences = lines(docs, id_col, min_words).select("_at", "_k1", "_k2", F.when(F.size("_words") >= near_min_words, halves).alias("_halves"))
     occurrences = materialise(occurrences, "lines")

@@ -31,3 +31,9 @@ def test_stages_on_odd_tables(spark, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() <= len(rows)
+
+
+def test_short_and_unspaced_lines_are_deduped(spark):
+    docs = spark.createDataFrame([(1, "Home\n\nhttps://a.example/x\n这是一个很长的句子", "en", "s", 0), (2, "这是一个很长的句子\n\nHome\nAway\nhttps://a.example/x", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
+    assert got == {1: docs.filter("doc_id = 1").first().text, 2: "\nAway"}
