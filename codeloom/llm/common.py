@@ -6,8 +6,6 @@ whole batch at once, so a batch costs a handful of numpy passes and no per-word
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 from typing import NamedTuple
@@ -17,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import shared_folder, written
+
 CHUNK_BYTES = 1 << 20
 _BASE = 0x9E3779B97F4A7C15
 
@@ -26,23 +26,7 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which all executors share.
-
-    Where that setting is absent (tests, a laptop) the session gets a temporary one.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back, which cuts its lineage."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+shared_dir, materialise = shared_folder, written
 
 
 def small(df: DataFrame, most: int, row_bytes: Column | int) -> DataFrame:
@@ -114,10 +98,10 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> Words:
     return Words(starts, ends, row, np.bincount(row, minlength=rows))
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    base, inverse = np.uint64(_BASE), np.uint64(pow(_BASE, -1, 1 << 64))
-    up, down = np.full(n, base, np.uint64), np.full(n, inverse, np.uint64)
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse for the bytes of one block."""
+    up, down = np.full(CHUNK_BYTES, _BASE, np.uint64), np.full(CHUNK_BYTES, pow(_BASE, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
     return np.cumprod(up), np.cumprod(down)
 
@@ -137,14 +121,26 @@ def unmix(x: np.ndarray) -> np.ndarray:
 
 
 def word_hashes(lowered: np.ndarray, w: Words) -> np.ndarray:
-    """A 64-bit hash of every word, from one cumulative sum over the bytes."""
-    n = len(lowered)
+    """A 64-bit hash of every word, from cumulative sums over blocks of CHUNK_BYTES bytes.
+
+    The sums of one block are held at a time.  A word that lies in several blocks adds up what each holds of
+    it, shifted to its place in the word.
+    """
     if not len(w.starts):
         return np.zeros(0, np.uint64)
-    up, down = _powers(1 << max(20, int(n).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((lowered.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return mix((sums[w.ends] - sums[w.starts]) * down[w.starts] + (w.ends - w.starts).astype(np.uint64))
+    up, down = _powers()
+    out = np.zeros(len(w.starts), np.uint64)
+    sums = np.zeros(min(len(lowered), CHUNK_BYTES) + 1, np.uint64)
+    for at in range(0, len(lowered), CHUNK_BYTES):
+        block = lowered[at : at + CHUNK_BYTES]
+        np.cumsum((block.astype(np.uint64) + np.uint64(1)) * up[: len(block)], out=sums[1 : len(block) + 1])
+        own = slice(int(np.searchsorted(w.ends, at, "right")), int(np.searchsorted(w.starts, at + len(block), "left")))
+        starts, ends = np.maximum(w.starts[own] - at, 0), np.minimum(w.ends[own] - at, len(block))
+        held = (sums[ends] - sums[starts]) * down[starts]
+        if len(held) and w.starts[own][0] < at:
+            held[:1] *= np.uint64(pow(_BASE, at - int(w.starts[own][0]), 1 << 64))
+        out[own] += held
+    return mix(out + (w.ends - w.starts).astype(np.uint64))
 
 
 def hash_word(word: bytes) -> int:
@@ -162,3 +158,42 @@ def without(df: DataFrame, *names: str) -> DataFrame:
 def with_last(df: DataFrame, last: str, *names: str) -> DataFrame:
     """df without columns of these names and with the column ``last`` at its end."""
     return df.select(*[F.col(f"`{c}`") for c in without(df, last, *names).columns], F.col(f"`{last}`"))
+
+
+def packed(df: DataFrame, *columns: Column) -> DataFrame:
+    """The rows of df as one struct ``_row``, beside columns made from them: no name of df can clash with an operator's."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"), *columns)
+
+
+def fields(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of df, taken out of ``_row``."""
+    return [F.col("_row").getField(c).alias(c) for c in df.columns if c not in but]
+
+
+def content(text: Column | str = "text") -> list[Column]:
+    """Two hashes that name a text, which is empty if it is null."""
+    text = F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
+    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")]
+
+
+#: Rows of one key that a task may gather, and how many keys may have more than their share of all rows.
+HOT_ROWS, HOT_KEYS = 1_000, 20_000
+
+
+def join_by_key(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", copies: DataFrame | None = None, most: int = 8 << 20, row_bytes: Column | int = 64) -> DataFrame:
+    """rows joined with side, which has one row a key, without gathering the rows of a frequent key in one task.
+
+    A side of at most ``most`` bytes is broadcast.  Beyond it the hot keys, those of more than HOT_ROWS rows and
+    more than 1 in HOT_KEYS of all rows, are at most HOT_KEYS in number; their part of the side is broadcast, and
+    all other keys are shuffled.  ``copies`` (keys, n) says how many rows a key has, else they are counted.
+    """
+    held = side.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    if held <= most:
+        return rows.join(F.broadcast(side), keys, how)
+    copies = rows.groupBy(*keys).agg(F.count("*").alias("n")) if copies is None else copies
+    total = copies.agg(F.sum("n")).first()[0] or 0
+    hot = written(copies.filter(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(*keys), "hot-keys")
+    few = F.broadcast(hot)
+    cold = rows.join(few, keys, "left_anti").join(side.join(few, keys, "left_anti"), keys, how)
+    some = rows.join(few, keys, "left_semi").join(F.broadcast(side.join(few, keys, "left_semi")), keys, how)
+    return cold.unionByName(some)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_by_key, materialise
 
 MAX_ROUNDS = 60
 
@@ -16,15 +16,16 @@ def connected_components(links: DataFrame) -> DataFrame:
     Alternating rounds rewrite the edges.  The large-star round ties each node's larger neighbours to its
     smallest one, the small-star round ties a node and its smaller neighbours to the smallest.  Both keep
     components whole and shrink paths to stars in a number of rounds that is logarithmic in practice.
-    Aggregates use minima, so a hub's neighbours are never gathered in one task.  Edges are written to the
+    Aggregates use minima and joins split hot keys, so a hub's neighbours are never gathered in one task.  Edges are written to the
     shared folder after each round, and the loop ends when a round changes nothing.
     """
     edges = materialise(links.filter("src != dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "edges")
     before = _signature(edges)
     for _ in range(MAX_ROUNDS):
         both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
+        low = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "least-neighbours")
+        large = join_by_key(both, low.select("u", "m"), ["u"], copies=low.select("u", "n")).filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        # A node's edges to smaller ones are few after a large-star round, as each larger neighbour keeps one.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         edges = materialise(small.distinct(), "edges")

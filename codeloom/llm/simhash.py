@@ -1,29 +1,42 @@
 """SimHash near-duplicates, found through tables of distances to reference fingerprints.
 
-A fingerprint holds 64 majority bits over the XXH64 values (seed 42) of a text's word shingles.  Texts
-link when their fingerprints differ in at most two bits; a class is a connected component of links.
-
-Pivot distance tables.  The references are one base fingerprint and 32 more that differ from it in two
-neighbouring bits each.  ``d_i`` is a fingerprint's Hamming distance to reference i.  By the triangle
-inequality two fingerprints at distance r differ by at most r in every coordinate.  The difference
-``d_0 - d_i`` tells how far a fingerprint is from the base within the i-th pair of bits alone, so two bits
-that differ touch at most two of the 32 coordinates.  Split into four quarters of eight coordinates, two
-fingerprints within two bits agree on two whole quarters: each of the six pairs of quarters is a join key.
-Joined pairs are discarded when the largest coordinate difference exceeds two, and the survivors are
-verified by counting differing bits.
-
-Only different fingerprints take part, so copies cost one row however many there are.  A key that more
-than ``BUCKET`` fingerprints share is not paired out.  Its members, and those of every other such key, are
-joined through the fingerprints within one bit of them instead: two fingerprints are within two bits
-exactly if they have one such neighbour in common.  That costs 65 rows for each and loses no link.
-
-Defined results: a null or wordless text has fingerprint zero and links like any other; texts shorter
-than a shingle use their whole word sequence; repeated rows share a class; a class is named by its
-smallest id, ignoring null ids unless there is no other; an empty table gives an empty result.
+A fingerprint holds 64 majority bits over the hashes of a text's word shingles (XXH64 with seed 42, three words,
+in ``near_duplicates``).  Texts link when their fingerprints differ in at most two bits; a class is a connected
+component of links.
+
+Pivot distance tables.  For every different fingerprint the Hamming distances to all references are computed
+once and kept beside it.  By the triangle inequality two fingerprints at distance r differ by at most r in
+every coordinate.
+
+* Near references: a base and the 64 fingerprints one bit away from it.  The distance to the base less that to
+  neighbour i is +1 or -1, so these coordinates are kept as one packed bit each.  They locate: split into four
+  quarters, two fingerprints within two bits agree on two whole quarters, and each of the six pairs of quarters
+  is a join key.
+* Far references: 16 fixed pseudo-random fingerprints.  A joined pair is discarded when its largest coordinate
+  difference is above the radius; the survivors are verified by counting differing bits.
+
+A key that more than ``CROWD`` fingerprints share is split by further coordinates: those not yet in the key are
+quartered again, and so on until keys are small or only two coordinates are left, when four fingerprints at most
+can share one.  Two fingerprints within two bits agree on two quarters at every level, so no link is lost.
+
+``keep_one`` works on similarity instead: five-word shingles with a Jaccard similarity of 0.8 or more.  Such texts
+are up to some 20 bits apart, where pivots can no longer locate partners, so candidates are texts that share a
+band of four minima of hashed shingles (``BANDS`` of them; two texts of similarity 0.8 share one in 99.5 % of
+cases).  In each band the members are compared with a hub, the one nearest to the majority fingerprint, instead
+of all with all; members without a link get further hubs in later rounds, four times as many each round, until
+none is left.  Pairs are discarded by their pivot coordinates and sizes and verified on the sets of shingles.
+
+Only different fingerprints or texts take part, so copies cost one row however many there are.
+
+Defined results: a null or wordless text has fingerprint zero and links like any other; texts shorter than a
+shingle use their whole word sequence; repeated rows share a class; a class is named by its smallest id, ignoring
+null ids unless there is no other; of rows that are equal in id and text one is kept; an empty table gives an empty
+result; input columns named like an output are replaced.
 """
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from itertools import combinations
 
@@ -34,22 +47,41 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, materialise, small, text_bytes, with_last, without, words
+from .common import LOWER, NOT_SPACE, chunks, content, fields, join_by_key, materialise, mix, packed, text_bytes, without, word_hashes, words
 from .components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
-BUCKET = 32
+#: Fingerprints that may share a key before it is split further.
+CROWD = 32
+#: Of keep_one: words of a shingle, the least similarity, bands and the minima of each.
+KEPT_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 4
 _BASE = 0x5A5A5A5A5A5A5A5A
-_GROUPS = 32
-_QUARTERS = 4
-REFERENCES = [_BASE, *[_BASE ^ (3 << (2 * i)) for i in range(_GROUPS)]]
+NEAR = [_BASE, *[_BASE ^ (1 << i) for i in range(64)]]
+FAR = [int(x) for x in mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
+_SHINGLES_AT_ONCE = 1 << 18
+
+
+def _ones(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    """For each row and bit the number of hashes in which it is set; rows ascend."""
+    out = np.zeros((rows, 64), np.int64)
+    for at in range(0, len(hashes), _SHINGLES_AT_ONCE):
+        h, r = hashes[at : at + _SHINGLES_AT_ONCE], row[at : at + _SHINGLES_AT_ONCE]
+        bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        heads = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
+        out[r[heads]] += np.add.reduceat(bits, heads, axis=0, dtype=np.int64)
+    return out
+
+
+def _majority(hashes: np.ndarray, row: np.ndarray, rows: int) -> np.ndarray:
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    n = np.bincount(row, minlength=rows)
+    return ((2 * _ones(hashes, row, rows) > n[:, None]) * weights).sum(axis=1, dtype=np.uint64)
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> np.ndarray:
-    """The fingerprint of every row as an unsigned 64-bit value."""
+    """The fingerprint of every row as an unsigned 64-bit value, by XXH64 over the words joined by spaces."""
     out = np.zeros(len(offsets) - 1, np.uint64)
     digest = xxhash.xxh64_intdigest
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     for first, last, part, offs in chunks(data, offsets):
         w = words(part, offs, NOT_SPACE)
         # The words of the chunk again, each followed by one space, so that a shingle is one slice.
@@ -59,38 +91,39 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE)
         keep = np.repeat(begin - w.starts, length) + _ranges(w.starts, length)
         joined[keep] = LOWER[part][_ranges(w.starts, length)]
         text, end = memoryview(joined.tobytes()), begin + length
-        word = 0
-        for i, n in enumerate(w.counts.tolist()):
-            if n:
-                span = min(n, shingle)
-                lo, hi = begin[word : word + n - span + 1].tolist(), end[word + span - 1 : word + n].tolist()
-                hashes = np.array([digest(text[a:b], SEED) for a, b in zip(lo, hi, strict=True)], np.uint64)
-                ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-                out[first + i] = weights[2 * ones > len(hashes)].sum(dtype=np.uint64)
-            word += n
+        lo, hi, row, _ = _shingle_bounds(w.counts, shingle)
+        hashes = np.array([digest(text[a:b], SEED) for a, b in zip(begin[lo].tolist(), end[hi].tolist(), strict=True)], np.uint64)
+        out[first:last] = _majority(hashes, row, last - first)
     return out
 
 
+def _shingle_bounds(counts: np.ndarray, shingle: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First and last word, row and number of words of every shingle, for rows of these numbers of words."""
+    n = np.where(counts >= shingle, counts - shingle + 1, np.minimum(counts, 1))
+    row = np.repeat(np.arange(len(counts)), n)
+    lo = _ranges(np.cumsum(counts) - counts, n)
+    span = np.minimum(counts, shingle)[row]
+    return lo, lo + span - 1, row, span
+
+
 def _ranges(starts: np.ndarray, length: np.ndarray) -> np.ndarray:
     """start, start + 1, ... for each start, end to end."""
     total = int(length.sum())
     return np.arange(total) + np.repeat(starts - (np.cumsum(length) - length), length)
 
 
-def add_fingerprint(docs: DataFrame, text_col: str = "text", column: str = "_fp", keep_text: bool = False) -> DataFrame:
-    """docs with the fingerprint as a signed long; without the text unless it is to be kept."""
-    kept = without(docs, column) if keep_text else without(docs, column, text_col)
+def add_fingerprint(docs: DataFrame, text_col: str = "text", column: str = "_fp") -> DataFrame:
+    """docs without the text and with the fingerprint as a signed long."""
+    names = [c for c in docs.columns if c != text_col]
+    kept = docs.select(*[f"`{c}`" for c in names])
     schema = T.StructType([*kept.schema.fields, T.StructField(column, T.LongType())])
-    names = kept.columns
-    source = kept if keep_text else with_last(docs, text_col, column)
-    at = names.index(text_col) if keep_text else len(names)
 
     def run(batches):
         for batch in batches:
-            found = fingerprints(*text_bytes(batch.column(at))).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(found, pa.int64())], [*names, column])
+            found = fingerprints(*text_bytes(batch.column(len(names)))).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*names, column])
 
-    return source.mapInArrow(run, schema)
+    return docs.select(*[f"`{c}`" for c in names], F.col(f"`{text_col}`")).mapInArrow(run, schema)
 
 
 def _distance(a: Column, b: Column) -> Column:
@@ -101,78 +134,200 @@ def _long(value: int) -> Column:
     return F.lit(value - (1 << 64) if value >> 63 else value).cast("long")
 
 
-def pivot_table(distinct: DataFrame, column: str = "_fp") -> DataFrame:
-    """distinct with ``coords``: the distances to all references, the base first."""
-    return distinct.withColumn("coords", F.array(*[_distance(F.col(column), _long(r)).cast("tinyint") for r in REFERENCES]))
+def pivot_columns(fp: Column) -> list[Column]:
+    """``_near``, the packed coordinates to the near references, and ``_far``, those to the far ones."""
+    apart = F.struct(*[_distance(fp, _long(r)).cast("tinyint").alias(f"c{i}") for i, r in enumerate(FAR)])
+    return [fp.bitwiseXOR(_long(_BASE)).alias("_near"), apart.alias("_far")]
+
 
+def _within(radius: int, far: str, other: str) -> Column:
+    """Whether no coordinate differs by more than the radius."""
+    return F.greatest(*[F.abs(F.col(f"{far}.c{i}") - F.col(f"{other}.c{i}")) for i in range(len(FAR))]) <= radius
 
-def _keys(coords: Column) -> Column:
-    """The six join keys: for each pair of quarters, the base distances within their coordinates."""
-    size = _GROUPS // _QUARTERS
 
-    def quarter(q):
-        # (d_0 - d_i + 2) / 2 is 0, 1 or 2: two bits for each of the eight coordinates.
-        return reduce(lambda a, i: F.shiftleft(a, 2).bitwiseOR(F.shiftright(coords[0] - coords[1 + i] + 2, 1).cast("long")), range(q * size, (q + 1) * size), F.lit(0).cast("long"))
+def _split(rows: DataFrame, width: int) -> DataFrame:
+    """Every row under six keys: the key so far with two quarters of the ``width`` coordinates that are left."""
+    size = width // 4
+    quarter = [F.shiftrightunsigned("_rest", (3 - q) * size).bitwiseAND(F.lit((1 << size) - 1)) for q in range(4)]
+    options = []
+    for a, b in combinations(range(4), 2):
+        c, d = (q for q in range(4) if q not in (a, b))
+        options.append(F.struct(F.xxhash64("_key", F.lit(10 * a + b), quarter[a], quarter[b]).alias("key"), F.shiftleft(quarter[c], size).bitwiseOR(quarter[d]).alias("rest")))
+    return rows.select("_fp", "_far", F.explode(F.array(*options)).alias("k")).select("_fp", "_far", F.col("k.key").alias("_key"), F.col("k.rest").alias("_rest"))
 
-    quarters = [quarter(q) for q in range(_QUARTERS)]
-    return F.array(*[F.struct(F.lit(n).alias("table"), F.shiftleft(quarters[a], 2 * size).bitwiseOR(quarters[b]).alias("key")) for n, (a, b) in enumerate(combinations(range(_QUARTERS), 2))])
 
+def fingerprint_links(distinct: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """Pairs (src, dst) of the fingerprints (_fp) within MAX_DISTANCE bits."""
+    near, far = pivot_columns(F.col("_fp"))
+    rows, width, found = distinct.select("_fp", far, F.lit(0).cast("long").alias("_key"), near.alias("_rest")), 64, []
+    while True:
+        rows = materialise(_split(rows, width), "pivot-keys")
+        width //= 2
+        sizes = rows.groupBy("_key").agg(F.count("*").alias("n"))
+        crowded = materialise(sizes.filter(F.col("n") > (crowd if width > 2 else 1 << 62)), "crowded-keys")
+        none = crowded.isEmpty()
+        own = rows if none else join_by_key(rows, crowded.select("_key"), ["_key"], "left_anti", crowded)
+        left, right = own.select("_key", F.col("_fp").alias("src"), F.col("_far").alias("_f")), own.select("_key", F.col("_fp").alias("dst"), F.col("_far").alias("_g"))
+        pairs = left.join(right, "_key").filter("src < dst").filter(_within(MAX_DISTANCE, "_f", "_g"))
+        found.append(pairs.filter(_distance(F.col("src"), F.col("dst")) <= MAX_DISTANCE).select("src", "dst"))
+        if none:
+            return reduce(DataFrame.unionByName, found).distinct()
+        rows = join_by_key(rows, crowded.select("_key"), ["_key"], "left_semi", crowded)
 
-def fingerprint_links(distinct: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """Edges (src, dst) whose connected components are those of all pairs within MAX_DISTANCE bits."""
-    table = pivot_table(distinct)
-    keyed = materialise(table.select("_fp", F.explode(_keys(F.col("coords"))).alias("k")).select("_fp", "k.table", "k.key"), "pivot-keys")
-    sizes = keyed.groupBy("table", "key").agg(F.count("*").alias("size")).filter("size > 1")
-    small = keyed.join(sizes.filter(F.col("size") <= bucket), ["table", "key"])
-    left, right = small.select("table", "key", F.col("_fp").alias("src")), small.select("table", "key", F.col("_fp").alias("dst"))
-    pairs = left.join(right, ["table", "key"]).filter("src < dst")
-    apart = F.greatest(*[F.abs(_distance(F.col("src"), _long(r)) - _distance(F.col("dst"), _long(r))) for r in REFERENCES])
-    verified = pairs.filter(apart <= MAX_DISTANCE).filter(_distance(F.col("src"), F.col("dst")) <= MAX_DISTANCE).select("src", "dst")
-    crowded = keyed.join(sizes.filter(F.col("size") > bucket), ["table", "key"], "left_semi").select("_fp").distinct()
-    around = F.array(F.lit(0).cast("long"), *[_long(1 << b) for b in range(64)])
-    balls = crowded.select("_fp", F.explode(F.transform(around, lambda m: m.bitwiseXOR(F.col("_fp")))).alias("near"))
-    hubs = balls.groupBy("near").agg(F.min("_fp").alias("hub"), F.count("*").alias("size")).filter("size > 1")
-    stars = balls.join(hubs, "near").filter("_fp != hub").select(F.col("hub").alias("src"), F.col("_fp").alias("dst"))
-    return verified.unionByName(stars).distinct()
 
+def _parallel(df: DataFrame, column: str) -> DataFrame:
+    """df over as many tasks as a shuffle has, as its few bytes become many times as many in the next step."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), column)
 
-def classes(fingerprints: DataFrame, bucket: int = BUCKET) -> DataFrame:
-    """(_fp, _class) of the different fingerprints of a table; a class is named by its smallest fingerprint."""
-    distinct = materialise(fingerprints.select("_fp").distinct(), "distinct-fingerprints")
-    labels = connected_components(fingerprint_links(distinct, bucket)).withColumnRenamed("id", "_fp")
-    return distinct.join(labels, "_fp", "left").select("_fp", F.coalesce("component", "_fp").alias("_class"))
 
+def classes(counted: DataFrame, crowd: int = CROWD) -> DataFrame:
+    """(_fp, _class) of different fingerprints (_fp); a class is named by its smallest fingerprint."""
+    labels = connected_components(fingerprint_links(_parallel(counted.select("_fp"), "_fp"), crowd)).withColumnRenamed("id", "_fp")
+    return counted.join(labels, "_fp", "left").select(*counted.columns, F.coalesce("component", "_fp").alias("_class"))
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", bucket: int = BUCKET, keep_text: bool = False) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", crowd: int = CROWD, keep_text: bool = False) -> DataFrame:
     """Every row of docs with ``fingerprint`` (hex) and ``component_id``, the smallest id of its class."""
-    marked = materialise(add_fingerprint(docs, keep_text=keep_text), "fingerprints")
-    smallest = marked.groupBy("_fp").agg(F.min(id_col).alias("_least"))
-    grouped = materialise(smallest.join(classes(marked, bucket), "_fp"), "classes")
+    docs = without(docs, "fingerprint", "component_id")
+    out = docs if keep_text else without(docs, "text")
+    row = F.struct(*[F.col(f"`{c}`") for c in out.columns]).alias("_row")
+    marked = materialise(add_fingerprint(docs.select(row, F.col(f"`{id_col}`").alias("_id"), "text")), "fingerprints")
+    counted = materialise(marked.groupBy("_fp").agg(F.min("_id").alias("_least"), F.count("*").alias("n")), "distinct-fingerprints")
+    grouped = materialise(classes(counted, crowd), "classes")
     least = grouped.groupBy("_class").agg(F.min("_least").alias("component_id"))
-    named = grouped.join(least, "_class").select("_fp", "component_id")
-    kept = without(marked, "fingerprint", "component_id")
-    return kept.join(named, "_fp").select(*[f"`{c}`" for c in kept.columns if c != "_fp"], F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = join_by_key(grouped, least, ["_class"]).select("_fp", "component_id")
+    kept = join_by_key(marked, named, ["_fp"], copies=counted)
+    return kept.select(*fields(out), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
+
 
+def sketch_texts(data: np.ndarray, offsets: np.ndarray, shingle: int, bands: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """For every row its fingerprint, the hash of each band of minima, and the sorted set of its shingles.
+
+    Shingles are hashed from the hashes of their words, so no text is built for them; a row without words
+    has one shingle of its own.
+    """
+    rows = len(offsets) - 1
+    prints, keys, sets = np.zeros(rows, np.uint64), np.zeros((rows, bands), np.uint64), []
+    odd = np.arange(1, shingle + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    seeds = mix(np.arange(1, bands * BAND_ROWS + 1, dtype=np.uint64))
+    for first, last, part, offs in chunks(data, offsets):
+        w = words(part, offs, NOT_SPACE)
+        h = word_hashes(LOWER[part], w)
+        lo, hi, row, span = _shingle_bounds(np.maximum(w.counts, 0), shingle)
+        values = np.zeros(len(lo), np.uint64)
+        for i in range(shingle):
+            inside = i < span
+            values[inside] = mix(values[inside] * odd[i] + h[lo[inside] + i])
+        empty = np.flatnonzero(w.counts == 0)
+        at = np.searchsorted(row, empty)
+        row, values = np.insert(row, at, empty), np.insert(values, at, np.uint64(0))
+        own = _majority(values, row, last - first)
+        own[empty] = 0
+        prints[first:last] = own
+        heads = np.searchsorted(row, np.arange(last - first))
+        for b in range(bands):
+            for s in seeds[b * BAND_ROWS : (b + 1) * BAND_ROWS]:
+                least = np.minimum.reduceat((values ^ s) * np.uint64(0x9E3779B97F4A7C15) ^ (values >> np.uint64(29)), heads)
+                keys[first:last, b] = mix(keys[first:last, b] * np.uint64(31) + least)
+        short = (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
+        sets += [np.unique(x) for x in np.split(short, heads[1:])]
+    return prints, keys, sets
+
+
+def _add_sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
+    """docs (..., text) without the text and with _fp, _bands, _n and _set."""
+    names = [c for c in docs.columns if c != "text"]
+    long, whole = T.LongType(), T.IntegerType()
+    added = [T.StructField("_fp", long), T.StructField("_bands", T.ArrayType(long)), T.StructField("_n", whole), T.StructField("_set", T.ArrayType(whole))]
+    schema = T.StructType([*docs.select(*names).schema.fields, *added])
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", bucket: int = BUCKET, broadcast_bytes: int = 8 << 20) -> DataFrame:
-    """One document of each class, the one of the smallest id, with its own columns.
+    def run(batches):
+        for batch in batches:
+            prints, keys, sets = sketch_texts(*text_bytes(batch.column(len(names))), shingle, bands)
+            ends = np.cumsum([0, *map(len, sets)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32), pa.int32()))
+            bands_ = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64)), bands_, pa.array(np.diff(ends), pa.int32()), lists], [*names, *[f.name for f in added]])
+
+    return docs.select(*names, "text").mapInArrow(run, schema)
+
+
+def _radius(similarity: float) -> int:
+    """Bits within which fingerprints of texts this similar lie, four standard deviations included."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(64 * p + 4.3 * math.sqrt(64 * p * (1 - p)))
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """(_key, _centre): the majority fingerprint of every band's members."""
+    sums = rows.groupBy("_key").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("_fp", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)])
+    return sums.select("_key", reduce(Column.bitwiseOR, [F.when(2 * F.col(f"s{i}") > F.col("n"), _long(1 << i)).otherwise(F.lit(0).cast("long")) for i in range(64)]).alias("_centre"))
+
+
+def similar_links(sketches: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) between texts (_t) of this similarity, from sketches (_t, _fp, _n, _bands) and sets (_t, _set)."""
+    _, far = pivot_columns(F.col("_fp"))
+    keyed = sketches.select("_t", "_fp", "_n", far, F.posexplode("_bands").alias("_b", "_v")).select("_t", "_fp", "_n", "_far", F.xxhash64("_b", "_v").alias("_key"))
+    keyed = materialise(keyed, "band-keys")
+    shared = materialise(keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-bands")
+    members = materialise(join_by_key(keyed, shared.select("_key"), ["_key"], "left_semi", shared, row_bytes=8), "band-members")
+    radius, left, links, hubs_each = _radius(similarity), members, None, 1
+    while not left.isEmpty():
+        near = join_by_key(left, _centres(left), ["_key"]).withColumn("_apart", _distance(F.col("_fp"), F.col("_centre")))
+        best = near.groupBy("_key", F.pmod(F.xxhash64("_t"), F.lit(hubs_each)).alias("_share")).agg(F.min(F.struct("_apart", "_t", "_fp", "_n", "_far")).alias("h"))
+        hubs = materialise(best.select("_key", "h._t", "h._fp", "h._n", "h._far"), "band-hubs")
+        listed = hubs.groupBy("_key").agg(F.collect_list(F.struct("_t", "_fp", "_n", "_far")).alias("_hubs"))
+        asked = join_by_key(members, listed, ["_key"], row_bytes=100 * F.size("_hubs")).withColumn("h", F.explode("_hubs")).filter("_t != h._t")
+        sized = F.least("_n", "h._n") >= similarity * F.greatest("_n", "h._n")
+        asked = asked.filter(sized & _within(radius, "_far", "h._far")).filter(_distance(F.col("_fp"), F.col("h._fp")) <= radius)
+        asked = materialise(asked.select("_key", "_t", F.col("h._t").alias("_h"), F.least("_t", "h._t").alias("src"), F.greatest("_t", "h._t").alias("dst")), "asked-pairs")
+        pairs = materialise(asked.select("src", "dst").distinct(), "pairs")
+        ends = pairs.select(F.explode(F.array("src", "dst")).alias("_t")).groupBy("_t").agg(F.count("*").alias("n"))
+        used = materialise(sets.join(ends.select("_t"), "_t", "left_semi").dropDuplicates(["_t"]), "pair-sets")
+        bytes_ = 4 * F.size("_set") + 40
+        both = join_by_key(pairs, used.toDF("src", "_set"), ["src"], row_bytes=bytes_).withColumnRenamed("_set", "_a")
+        both = join_by_key(both, used.toDF("dst", "_set"), ["dst"], row_bytes=bytes_)
+        common = F.size(F.array_intersect("_a", "_set"))
+        good = materialise(both.filter(common >= similarity * (F.size("_a") + F.size("_set") - common)).select("src", "dst"), "similar-pairs")
+        links = good if links is None else links.unionByName(good)
+        linked = asked.join(good, ["src", "dst"]).select("_key", "_t")
+        # A hub has met every member of its band; bands of which one member is left are done.
+        members = members.join(hubs.select("_key", "_t"), ["_key", "_t"], "left_anti")
+        alone = members.groupBy("_key").agg(F.count("*").alias("n"))
+        left = left.join(linked.unionByName(hubs.select("_key", "_t")).distinct(), ["_key", "_t"], "left_anti")
+        open_keys = materialise(alone.filter("n > 1").join(left.select("_key").distinct(), "_key", "left_semi"), "open-bands")
+        members = materialise(join_by_key(members, open_keys.select("_key"), ["_key"], "left_semi", open_keys, row_bytes=8), "band-members")
+        left = materialise(join_by_key(left, open_keys.select("_key"), ["_key"], "left_semi", open_keys, row_bytes=8), "open-members")
+        hubs_each *= 4
+    if links is None:
+        return sketches.select(F.col("_t").alias("src"), F.col("_t").alias("dst")).limit(0)
+    return links.distinct()
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", shingle: int = KEPT_SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
+    """One document of each class of similar texts, the one of the smallest id, with its own columns.
 
     A row is named by the hashes of its id and text.  Those that go are usually few, and are broadcast only
-    if counted to be; rows that repeat in every column but are not beaten by others are reduced to one.
+    if counted to be; rows that are equal in id and text are reduced to one.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    key = {"_r1": F.xxhash64(F.col(f"`{id_col}`"), text), "_r2": F.xxhash64(F.lit(1), F.col(f"`{id_col}`"), text)}
-    marked = materialise(add_fingerprint(docs.select(F.col(f"`{id_col}`").alias("_id"), *[v.alias(k) for k, v in key.items()], "text")), "fingerprints")
+    text, id_ = F.coalesce(F.col("text"), F.lit("")), F.col(f"`{id_col}`")
+    key = [F.xxhash64(id_, text).alias("_r1"), F.xxhash64(F.lit(1), id_, text).alias("_r2")]
+    k1, k2 = content()
+    marked = docs.select(id_.alias("_id"), *key, F.concat_ws("-", F.hex(k1), F.hex(k2)).alias("_t"), "text")
+    marked = materialise(_add_sketches(marked, shingle, bands), "sketches")
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_r1").alias("r1"), F.col("_r2").alias("r2"))
-    best = marked.groupBy("_fp").agg(F.min(order).alias("_own")).join(classes(marked, bucket), "_fp")
-    best = materialise(best.select("_fp", "_class", "_own"), "class-members")
-    first = best.groupBy("_class").agg(F.min("_own").alias("_first"))
-    judged = marked.join(best.join(first, "_class").select("_fp", "_first"), "_fp").select("_r1", "_r2", (order == F.col("_first")).alias("_kept"))
-    judged = materialise(judged.groupBy("_r1", "_r2").agg(F.max("_kept").alias("_kept"), F.count("*").alias("_n")), "class-verdicts")
-    keyed = docs.withColumns(key)
-    left = keyed.join(small(judged.filter("not _kept").select("_r1", "_r2"), broadcast_bytes, 40), ["_r1", "_r2"], "left_anti")
-    repeated = judged.filter("_kept and _n > 1").select("_r1", "_r2")
+    texts = materialise(marked.groupBy("_t").agg(F.min(order).alias("_own"), F.count("*").alias("n"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")), "texts")
+    labels = connected_components(similar_links(_parallel(texts, "_t"), marked.select("_t", "_set"), similarity)).withColumnRenamed("id", "_t")
+    named = materialise(texts.join(labels, "_t", "left").select("_t", "n", "_own", F.coalesce("component", "_t").alias("_class")), "class-members")
+    first = named.groupBy("_class").agg(F.min("_own").alias("_first"))
+    named = join_by_key(named, first, ["_class"]).select("_t", "_first")
+    judged = join_by_key(marked.select("_t", "_id", "_r1", "_r2"), named, ["_t"], copies=texts.select("_t", "n")).select("_r1", "_r2", (order == F.col("_first")).alias("_kept"))
+    judged = materialise(judged.groupBy("_r1", "_r2").agg(F.max("_kept").alias("_kept"), F.count("*").alias("n")), "class-verdicts")
+    keyed = packed(docs, *key)
+    left = join_by_key(keyed, judged.filter("not _kept").select("_r1", "_r2"), ["_r1", "_r2"], "left_anti", row_bytes=40)
+    repeated = materialise(judged.filter("_kept and n > 1").select("_r1", "_r2", "n"), "repeated-rows")
     if not repeated.isEmpty():
-        repeated = small(repeated, broadcast_bytes, 40)
-        left = left.join(repeated, ["_r1", "_r2"], "left_anti").unionByName(left.join(repeated, ["_r1", "_r2"], "left_semi").dropDuplicates(["_r1", "_r2"]))
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+        twice = join_by_key(left, repeated.select("_r1", "_r2"), ["_r1", "_r2"], "left_semi", repeated, row_bytes=40)
+        once = twice.groupBy("_r1", "_r2").agg(F.first("_row").alias("_row"))
+        left = join_by_key(left, repeated.select("_r1", "_r2"), ["_r1", "_r2"], "left_anti", repeated, row_bytes=40).select("_row").unionByName(once.select("_row"))
+    return left.select(*fields(docs))

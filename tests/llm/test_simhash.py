@@ -40,16 +40,76 @@ def corpus(rng):
     return [*out, None, "", " \n"]
 
 
+def shingles(text):
+    w = (text or "").lower().split()
+    return {" ".join(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
 def test_matches_brute_force(spark):
     texts = corpus(random.Random(6))
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     fps = [fingerprint(t) for t in texts]
     want = {i: (f"{fps[i]:016x}", c) for i, c in enumerate(groups(fps))}
-    for bucket in (1, 32):
-        assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, bucket=bucket).collect()} == want
-    kept = {r.doc_id for r in simhash.keep_one(docs).collect()}
-    assert kept == {c for _, c in want.values()}
-    assert {r.doc_id for r in simhash.keep_one(docs, broadcast_bytes=0).collect()} == kept
+    for crowd in (1, 32):
+        assert {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, crowd=crowd).collect()} == want
+
+
+def edited(rng, words, share):
+    out = list(words)
+    for i in range(len(out)):
+        if rng.random() < share:
+            out[i] = f"e{rng.randrange(10**6)}"
+    return out
+
+
+def test_keep_one_matches_brute_force_similarity(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(n)] for n in (4, 60, 300, 300, 800)]
+    texts = [" ".join(edited(rng, b, share)) for b in base for share in (0, 0, 0.01, 0.01, 0.015, 0.02, 0.2)]
+    # A large group around one text, most members of which are less alike among themselves.
+    texts += [" ".join(edited(rng, base[3], rng.choice([0.01, 0.02, 0.025]))) for _ in range(60)] + [None, "", " ", "W1 w2", "w1  w2"]
+    sets = [shingles(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = sorted((find(i), find(j)))
+                parent[b] = a
+    want = {find(i) for i in range(len(texts))}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r.doc_id for r in simhash.keep_one(docs, bands=24).collect()} == want
+    assert len({r.doc_id for r in simhash.keep_one(docs).collect()} ^ want) <= 2
+
+
+def test_hot_keys_are_joined_apart(spark, monkeypatch):
+    from codeloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    rows = spark.createDataFrame([(k, i) for k in range(9) for i in range(2 * k)], "k int, i int")
+    side = spark.createDataFrame([(k, f"s{k}") for k in range(1, 8)], "k int, s string")
+    for how in ("inner", "left", "left_semi", "left_anti"):
+        got = common.join_by_key(rows, side, ["k"], how, most=-1)
+        assert sorted(map(str, got.collect())) == sorted(map(str, rows.join(side, "k", how).collect()))
+
+
+def test_a_hundred_thousand_fingerprints_on_one_key(spark):
+    from pyspark.sql import functions as F
+
+    # All agree on their upper half, and every thousandth has a neighbour two bits away.
+    fps = spark.range(100_000).select(F.pmod(F.xxhash64("id"), F.lit(1 << 31)).alias("_fp"))
+    fps = fps.union(fps.filter("_fp % 1000 = 0").select(F.col("_fp").bitwiseXOR(F.lit(3 << 20)))).distinct()
+    got = {frozenset(r) for r in simhash.fingerprint_links(fps).collect()}
+    all_ = [r[0] for r in fps.collect()]
+    known = set(all_)
+    masks = [1 << i for i in range(32)] + [1 << i | 1 << j for i in range(32) for j in range(i)]
+    want = {frozenset((f, f ^ m)) for f in all_ for m in masks if f ^ m in known}
+    assert got == want
 
 
 def test_links_of_close_fingerprints(spark):
@@ -57,7 +117,7 @@ def test_links_of_close_fingerprints(spark):
     base = [rng.getrandbits(64) for _ in range(5)]
     fps = sorted({b ^ sum(1 << x for x in rng.sample(range(64), rng.randint(0, 4))) for b in base for _ in range(40)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    got = {r._fp: r._class for r in simhash.classes(spark.createDataFrame([(f,) for f in signed], "_fp long"), bucket=4).collect()}
+    got = {r._fp: r._class for r in simhash.classes(spark.createDataFrame([(f,) for f in signed], "_fp long"), crowd=4).collect()}
     mine = groups(fps)
     pairs = {}
     for f, g in zip(signed, mine, strict=True):
