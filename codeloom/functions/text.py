@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -9,11 +10,13 @@ from pyspark.sql import functions as F
 
 #: File extension to language.
 LANGUAGES = {
-    "ts": "typescript", "tsx": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript", "py": "python", "pyi": "python",
-    "rs": "rust", "go": "go", "java": "java", "cs": "csharp", "vue": "vue", "svelte": "svelte", "gql": "graphql", "graphql": "graphql", "toml": "toml",
+    "ts": "typescript", "tsx": "typescript", "mts": "typescript", "cts": "typescript", "js": "javascript", "jsx": "javascript", "mjs": "javascript", "cjs": "javascript",
+    "py": "python", "pyi": "python", "rs": "rust", "vue": "vue", "svelte": "svelte", "gql": "graphql", "graphql": "graphql", "cs": "csharp", "csproj": "csharp", "go": "go", "java": "java",
 }
 #: Directories that are not scanned.
-IGNORED_DIRS = ("node_modules", "dist", "build", "out", "coverage", "target", "vendor", "__pycache__")
+IGNORED_DIRS = ("node_modules", ".git", "dist", "build", "out", "coverage", ".next", ".nuxt", "__pycache__", ".venv", "venv", "target")
+#: Manifests that are listed beside source files.
+MANIFESTS = ("toml",)
 
 
 def normalize_path(path: Column) -> Column:
@@ -29,9 +32,26 @@ def relative_path(path: Column, root: str) -> Column:
     return F.when(F.startswith(path, F.lit(inside)), path.substr(F.lit(len(inside) + 1), F.length(path))).otherwise(path)
 
 
+def extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))
+
+
 def language(path: Column) -> Column:
     table = F.create_map(*[F.lit(x) for pair in LANGUAGES.items() for x in pair])
-    return F.coalesce(F.try_element_at(table, F.lower(F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1))), F.lit("unknown"))
+    return F.coalesce(F.try_element_at(table, extension(path)), F.lit("unknown"))
+
+
+def call_graph_language(path: Column) -> Column:
+    """The language whose rules make the call graph of a file; null where there are none."""
+    lang = language(path)
+    return F.when(lang.isin("vue", "svelte"), "typescript").when(~lang.isin("graphql", "unknown"), lang)
+
+
+def parser_language(path: Column) -> Column:
+    """The parser that a file goes to; manifests go to Rust's, the module forms .mts and .cts to none."""
+    ext, lang = extension(path), language(path)
+    script = lang.isin("typescript", "javascript", "vue", "svelte", "graphql") & ~ext.isin("mts", "cts")
+    return F.when(script, "typescript").when(ext.isin(*MANIFESTS), "rust").when(lang.isin("python", "rust", "csharp", "go", "java"), lang).otherwise("unknown")
 
 
 def is_ignored(path: Column) -> Column:
@@ -67,3 +87,97 @@ def risk(score: Column) -> Column:
 def review_score(breaking: Column, dependents: Column, cyclic: Column, unused: Column, no_test: Column, partial: Column) -> Column:
     flags = reduce(lambda a, b: a + b, [F.when(c, w).otherwise(0) for c, w in ((cyclic, 20), (unused, 10), (no_test, 10), (partial, 10))])
     return F.least(F.lit(100), 50 * breaking + 5 * dependents + flags).cast("int")
+
+
+def is_external(path: Column) -> Column:
+    """Whether an import target is a package and no file: no source extension, no path, unless below node_modules."""
+    known = path.rlike(rf"\.({'|'.join(e for e in (*LANGUAGES, *MANIFESTS) if e not in ('mts', 'cts'))})$")
+    local = path.rlike(r"^(\.|/|[A-Za-z]:)")
+    inside = path.rlike(r"[/\\]") & ~F.contains(path, F.lit("node_modules"))
+    return F.coalesce((path != "") & ~known & ~local & ~inside, F.lit(False))
+
+
+#: Beginnings and ends of relative paths that documentation leaves out unless told otherwise.
+EXCLUDED_BEGINNINGS = ("tests/", "test/", "__tests__/", "dist/", "out/", "build/", "node_modules/", ".git/", ".claude/", ".github/", "graphify-out/")
+EXCLUDED_ENDS = (".test.ts", ".spec.ts", ".test.js", ".spec.js", ".test.tsx", ".spec.tsx", ".d.ts", ".min.js")
+
+
+def _meets(relative: Column, pattern: str) -> Column:
+    """A folder with its slash is a beginning, ``**/x`` an end or a part after a slash, anything else is contained."""
+    plain = re.sub(r"/\*\*$", "/", pattern).replace("**/", "").replace("*", "")
+    if pattern.endswith(("/**", "/")):
+        return F.startswith(relative, F.lit(plain))
+    if pattern.startswith("**/"):
+        return F.endswith(relative, F.lit(pattern[3:])) | F.contains(relative, F.lit("/" + pattern[3:]))
+    return F.contains(relative, F.lit(plain))
+
+
+def in_scope(relative: Column, scope: str | None = None, exclude: list[str] | None = None) -> Column:
+    """Whether a relative path is below ``scope`` and not excluded; without ``exclude`` the usual parts are left out."""
+    inside = F.lit(True)
+    if scope:
+        folder = scope.replace("\\", "/").rstrip("/")
+        inside = F.startswith(relative, F.lit(folder + "/")) | (relative == folder)
+    if exclude is None:
+        out = [F.startswith(relative, F.lit(b)) for b in EXCLUDED_BEGINNINGS] + [F.endswith(relative, F.lit(e)) for e in EXCLUDED_ENDS]
+    else:
+        out = [_meets(relative, p) for p in exclude]
+    return inside & ~reduce(Column.__or__, out, F.lit(False))
+
+
+def split_symbol_id(symbol: Column) -> Column:
+    """(file_path, symbol_name) of an id at its last colon; null where either side of it is missing."""
+    name = F.substring_index(symbol, ":", -1)
+    path = symbol.substr(F.lit(1), F.length(symbol) - F.length(name) - 1)
+    return F.when(F.contains(symbol, F.lit(":")) & (name != ""), F.struct(path.alias("file_path"), name.alias("symbol_name")))
+
+
+def file_of(path_or_id: Column) -> Column:
+    """The file of a symbol id, which is cut at the last colon behind a source extension; a path stays as it is."""
+    cut = F.regexp_extract(path_or_id, r"(?i)^(.+\.(?:ts|tsx|js|jsx|mjs|cjs|py|pyi|rs|vue|svelte|gql|graphql)):.+$", 1)
+    return F.when(cut != "", cut).otherwise(path_or_id)
+
+
+def symbol_ref(ref: Column, root: str) -> Column:
+    """(file_path, symbol_name) of ``file#Symbol``, below root; null for empty parts and for files outside of root."""
+    at = F.instr(ref, "#")
+    raw = F.when(at > 0, ref.substr(F.lit(1), at - 1)).otherwise(ref)
+    name = F.when(at > 0, ref.substr(at + 1, F.length(ref)))
+    full = collapsed(F.when(F.startswith(raw, F.lit("/")), raw).otherwise(F.concat(F.lit(root.rstrip("/") + "/"), raw)))
+    inside = F.startswith(full, F.lit(root.rstrip("/") + "/")) | (full == root.rstrip("/"))
+    good = (F.trim(raw) != "") & (name.isNull() | (F.trim(name) != "")) & inside
+    return F.when(good, F.struct(full.alias("file_path"), name.alias("symbol_name")))
+
+
+def collapsed(path: Column) -> Column:
+    """The path without ``.`` and with ``..`` taken back."""
+    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"))
+
+
+def lsp_kind(kind: Column) -> Column:
+    """The number of a kind of symbol in the language server protocol; 13, a variable, for any other."""
+    #: Fixed values.
+    numbers = {"function": 12, "method": 12, "class": 5, "variable": 13, "property": 13, "interface": 11}
+    return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in numbers.items() for x in p]), F.lower(kind)), F.lit(13))
+
+
+def kind_of_lsp(number: Column) -> Column:
+    """function, class or variable for a kind's number."""
+    #: Fixed values.
+    return F.when(number.isin(12, 6, 9), "function").when(number.isin(5, 11, 10, 2), "class").otherwise("variable")
+
+
+def storage_key(root: Column) -> Column:
+    """Twelve hex digits that name the storage of a workspace."""
+    return F.substring(F.sha2(root.cast("binary"), 256), 1, 12)
+
+
+def complexity(code: Column) -> Column:
+    """Branches of code without comments and strings: if, else, case, default, for, while, catch, finally and ``?``.
+
+    ``do`` counts by its ``while``; optional marks, ``?.`` and ``??`` are no branches.
+    """
+    branch = r"\b(?:if|else|for|while|catch|finally)\b|\bcase\b|\bdefault\s*:|(?<![?])\?(?![.?:,);=\]])"
+    return F.size(F.regexp_extract_all(code, F.lit(branch), F.lit(0)))

@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.text import identifier_tokens, shared_leading_dirs
+from ..functions.text import identifier_tokens
 from ..schema import STUB
+from ..storage import written
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -19,7 +20,8 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def hub_scores(nodes: DataFrame, edges: DataFrame, digits: int = 3) -> DataFrame:
     """In-degree over the largest in-degree."""
-    d = degrees(nodes, edges).select("id", "in_degree")
+    into = edges.groupBy(F.col("target_id").alias("id")).agg(F.count("*").alias("in_degree"))
+    d = nodes.select("id").join(into, "id", "left").fillna(0, ["in_degree"])
     return d.join(F.broadcast(d.agg(F.greatest(F.max("in_degree"), F.lit(1)).alias("_most")))).select("id", F.round(F.col("in_degree") / F.col("_most"), digits).alias("hub_score"))
 
 
@@ -78,15 +80,24 @@ def dead_code(nodes: DataFrame, unused: DataFrame) -> DataFrame:
     return per.withColumn("percent", F.round(100 * F.col("unused") / F.col("exported")).cast("int"))
 
 
+def _folders(path: Column) -> Column:
+    """Every folder above a path, from none to its own."""
+    parts = F.split(path, "/")
+    return F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+
+
 def resolve_stubs(stubs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The best node for every stub (source_path, lang, name): most shared folders, exported, newest, id.
 
-    Nodes of another language never match.
+    Nodes of another language never match.  The best node is found once for each language, name and folder
+    with all below it; a stub then meets one row for each folder above it and takes the deepest, so a name
+    that is defined everywhere costs no more than any other.
     """
-    c = nodes.select("lang", "name", "id", F.col("path").alias("_path"), "is_exported", "indexed_at")
-    scored = stubs.join(c, ["lang", "name"]).withColumn("similarity", shared_leading_dirs(F.col("source_path"), F.col("_path")))
-    best = F.max_by(F.struct("id", "similarity"), F.struct("similarity", F.col("is_exported").cast("int"), "indexed_at", F.struct(F.col("id"))))
-    return scored.groupBy("source_path", "lang", "name").agg(best.alias("b")).select("source_path", "lang", "name", "b.id", "b.similarity")
+    rank = F.struct(F.col("is_exported").cast("int").alias("x"), F.col("indexed_at").alias("t"), F.col("id").alias("id"))
+    best = nodes.select("lang", "name", rank.alias("r"), F.posexplode(_folders(F.col("path"))).alias("similarity", "_folder")).groupBy("lang", "name", "similarity", "_folder").agg(F.max("r").alias("r"))
+    tried = stubs.select("source_path", "lang", "name", F.posexplode(_folders(F.col("source_path"))).alias("similarity", "_folder"))
+    found = tried.join(best.select("lang", "name", "similarity", "_folder", F.col("r.id").alias("id")), ["lang", "name", "similarity", "_folder"])
+    return found.groupBy("source_path", "lang", "name").agg(F.max(F.struct("similarity", "id")).alias("b")).select("source_path", "lang", "name", "b.id", "b.similarity")
 
 
 def resolve_modules(imports: DataFrame, files: DataFrame, extensions: tuple[str, ...] = (".ts", ".tsx", ".js", ".py")) -> DataFrame:
@@ -109,7 +120,10 @@ def keyword_scores(nodes: DataFrame, keywords: list[str], per_keyword: int = 50,
     wanted = nodes.sparkSession.createDataFrame(words or [("", "")], "keyword string, wanted string").distinct()
     n = wanted.groupBy("keyword").agg(F.count("*").alias("_n"))
     tokens = nodes.select("id", F.explode(identifier_tokens(F.col("name"))).alias("token")).distinct()
-    hits = tokens.join(F.broadcast(wanted), F.startswith("token", F.col("wanted"))).groupBy("keyword", "id").agg(F.countDistinct("wanted").alias("_met")).join(F.broadcast(n), "keyword").filter("_met = _n")
+    # A token is met by its beginnings of the wanted lengths, which makes an equi-join of it.
+    lengths = F.array(*[F.lit(n) for n in sorted({len(t) for _, t in words} or {0})])
+    begun = tokens.select("id", F.explode(F.filter(lengths, lambda n: n <= F.length("token"))).alias("_n"), "token").select("id", F.expr("left(token, _n)").alias("wanted"))
+    hits = begun.join(wanted, "wanted").groupBy("keyword", "id").agg(F.countDistinct("wanted").alias("_met")).join(n, "keyword").filter("_met = _n")
     first = hits.withColumn("_k", F.row_number().over(W.partitionBy("keyword").orderBy("id"))).filter(F.col("_k") <= per_keyword)
     return first.groupBy("id").agg(F.count("*").alias("score")).orderBy(F.desc("score"), "id").limit(most)
 
@@ -154,18 +168,81 @@ def invalidate(nodes: DataFrame, edges: DataFrame, paths: DataFrame) -> tuple[Da
 
 
 def compare_parameters(signatures: DataFrame) -> DataFrame:
-    """Changes between the old and new parameters of a function, by position."""
-    key = ["file_path", "name", "position"]
-    side = lambda v: signatures.filter(F.col("version") == v).select(*key, *[F.col(c).alias(f"{v}_{c}") for c in ("param", "type", "is_optional")])
-    known = side("old").select("file_path", "name").distinct().join(side("new").select("file_path", "name").distinct(), ["file_path", "name"])
-    both = side("old").join(side("new"), key, "full").join(known, ["file_path", "name"], "left_semi")
-    change = (
-        F.when(F.col("new_param").isNull(), "parameter_removed")
-        .when(F.col("old_param").isNull(), F.when(F.col("new_is_optional"), "optional_parameter_added").otherwise("required_parameter_added"))
-        .when(F.col("old_type") != F.col("new_type"), "parameter_type_changed")
-        .when(F.col("old_is_optional") & ~F.col("new_is_optional"), "parameter_made_required")
-    )
-    return both.select(*key, change.alias("change")).filter("change is not null").withColumn("breaking", F.col("change") != "optional_parameter_added")
+    """(file_path, name, subject, change, breaking): changes between the old and new parameters of a function.
+
+    Parameters (file_path, version, name, position, param, type, is_optional) are matched by name.  A change of
+    order names the place, counted from 0, where the two versions have different parameters.
+    """
+    key = ["file_path", "name"]
+    side = lambda v: signatures.filter(F.col("version") == v).select(*key, *[F.col(c).alias(f"{v}_{c}") for c in ("position", "param", "type", "is_optional")])
+    old, new = side("old"), side("new")
+    known = old.select(*key).distinct().join(new.select(*key).distinct(), key)
+    both = old.withColumn("param", F.col("old_param")).join(new.withColumn("param", F.col("new_param")), [*key, "param"], "full")
+    there = F.col("old_param").isNotNull() & F.col("new_param").isNotNull()
+    kinds = [
+        (F.col("new_param").isNull(), "parameter-removed", True),
+        (F.col("old_param").isNull() & ~F.col("new_is_optional"), "parameter-added-required", True),
+        (F.col("old_param").isNull() & F.col("new_is_optional"), "parameter-added-optional", False),
+        (there & (F.col("old_type") != F.col("new_type")), "parameter-type-changed", True),
+        (there & F.col("old_is_optional") & ~F.col("new_is_optional"), "parameter-optional-to-required", True),
+    ]
+    changes = _changes(both, key, F.col("param"), kinds)
+    place = lambda d, v: d.select(*key, (F.row_number().over(W.partitionBy(*key).orderBy(f"{v}_position", f"{v}_param")) - 1).alias("place"), f"{v}_param")
+    order = place(old, "old").join(place(new, "new"), [*key, "place"]).filter("old_param != new_param")
+    order = order.select(*key, F.col("place").cast("string").alias("subject"), F.lit("parameter-order-changed").alias("change"), F.lit(False).alias("breaking"))
+    return changes.unionByName(order).join(known, key, "left_semi").select(*key, "subject", "change", "breaking")
+
+
+def _changes(both: DataFrame, key: list[str], subject: Column, kinds: list[tuple[Column, str, bool]]) -> DataFrame:
+    """One row for each of the kinds (condition, change, breaking) that a row meets."""
+    met = F.array(*[F.when(c, F.struct(F.lit(change).alias("change"), F.lit(breaking).alias("breaking"))) for c, change, breaking in kinds])
+    return both.select(*key, subject.alias("subject"), F.explode(F.filter(met, lambda m: m.isNotNull())).alias("c")).select(*key, "subject", "c.change", "c.breaking")
+
+
+def compare_declarations(declarations: DataFrame) -> DataFrame:
+    """Changes of return types, visibility, members and aliases, in the form of compare_parameters.
+
+    ``declarations`` has file_path, version, name, kind (function, member or alias), member (null but for
+    members), type (what is returned, held or meant), visibility and is_optional.  A function or alias that is in
+    one version alone is no change; members are compared where their owner is in both.
+    """
+    key = ["file_path", "name", "kind"]
+    side = lambda v: declarations.filter(F.col("version") == v).select(*key, F.coalesce("member", F.lit("")).alias("member"), *[F.col(c).alias(f"{v}_{c}") for c in ("type", "visibility", "is_optional")], F.lit(True).alias(v))
+    old, new = side("old"), side("new")
+    known = old.select(*key).distinct().join(new.select(*key).distinct(), key)
+    both = old.join(new, [*key, "member"], "full").join(known, key, "left_semi")
+    kind, there, other = F.col("kind"), F.col("old").isNotNull() & F.col("new").isNotNull(), ~F.col("old_type").eqNullSafe(F.col("new_type"))
+    rank = lambda c: F.coalesce(F.array_position(F.array(*map(F.lit, ("private", "protected", "public"))), F.col(c)), F.lit(3))
+    kinds = [
+        (there & (kind == "function") & other, "return-type-changed", True),
+        (there & (rank("new_visibility") < rank("old_visibility")), "visibility-reduced", True),
+        ((kind == "member") & F.col("new").isNull(), "member-removed", True),
+        (there & (kind == "member") & other, "member-type-changed", True),
+        (there & (kind == "member") & F.col("old_is_optional") & ~F.col("new_is_optional"), "member-optional-to-required", True),
+        (there & (kind == "alias") & other, "type-alias-changed", True),
+    ]
+    return _changes(both, ["file_path", "name"], F.col("member"), kinds)
+
+
+def communities(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(id, community) of nodes (id): label communities numbered from 1 by their smallest member; 0 without any edge."""
+    labels = label_communities(edges)
+    numbers = ranked(labels.groupBy("community").agg(F.min("id").alias("_least")), "_least").select("community", F.col("rank").cast("int").alias("_number"))
+    found = labels.join(numbers, "community").select("id", "_number")
+    return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("_number", F.lit(0)).alias("community"))
+
+
+def ranked(rows: DataFrame, *order: str) -> DataFrame:
+    """rows with ``rank`` from 1 in a global order.
+
+    Rows are sorted by ranges and counted by range, so that no task holds more than one range; what comes
+    together is one count for each range.
+    """
+    place = F.monotonically_increasing_id()
+    dealt = written(rows.orderBy(*order).withColumns({"_range": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = counts.select("_range", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return dealt.join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_before") + F.col("_place") + 1).alias("rank"))
 
 
 def path_communities(paths: DataFrame, umbrellas: tuple[str, ...] = ("src", "lib", "packages", "ws")) -> DataFrame:
@@ -178,7 +255,7 @@ def path_communities(paths: DataFrame, umbrellas: tuple[str, ...] = ("src", "lib
     at = F.array_max(F.transform(dirs, lambda d, i: F.when(d.isin(*umbrellas), i + 1).otherwise(0)))
     named = paths.select("path", F.when(at > 0, F.try_element_at(dirs, at + 1)).alias("domain"))
     first = named.filter("domain is not null").groupBy("domain").agg(F.min("path").alias("_first"))
-    ids = first.select("domain", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("_first")).alias("community"))
+    ids = ranked(first, "_first").select("domain", F.col("rank").cast("int").alias("community"))
     return named.join(ids, "domain", "left").select("path", "domain", F.coalesce("community", F.lit(0)).alias("community"))
 
 
@@ -190,8 +267,6 @@ def label_communities(edges: DataFrame, passes: int = 1000) -> DataFrame:
     with the pass.  Movers are therefore never adjacent, every pass adds edges within communities, and
     labels settle on every graph, bipartite ones included.
     """
-    from ..storage import written
-
     both = edges.select(F.col("source_id").alias("a"), F.col("target_id").alias("b")).filter("a != b")
     both = written(both.union(both.select("b", "a")).distinct(), "undirected")
     label = written(both.groupBy(F.col("a").alias("id")).agg(F.count("*").alias("degree")).withColumn("community", F.col("id")), "labels")

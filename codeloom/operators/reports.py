@@ -134,26 +134,11 @@ def compounds(nodes: DataFrame) -> DataFrame:
     return folders.unionByName(nodes.select(F.col("path").alias("id"), F.lit("file").alias("kind"), F.col("folder").alias("parent")).distinct())
 
 
-def ranked(rows: DataFrame, *order: str) -> DataFrame:
-    """rows with ``rank`` from 1 in a global order.
-
-    Rows are sorted by ranges and counted by range, so that no task holds more than one range; what comes
-    together is one count for each range.
-    """
-    from ..storage import written
-
-    place = F.monotonically_increasing_id()
-    dealt = written(rows.orderBy(*order).withColumns({"_range": F.shiftright(place, 33), "_place": place.bitwiseAND(F.lit((1 << 33) - 1))}), "ranges")
-    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
-    before = counts.select("_range", F.coalesce(F.sum("_n").over(W.partitionBy(F.lit(1)).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return dealt.join(F.broadcast(before), "_range").select(*rows.columns, (F.col("_before") + F.col("_place") + 1).alias("rank"))
-
-
 def oldest_files(nodes: DataFrame, share: float = 0.1) -> DataFrame:
     """The paths to evict when an index has grown too large: those not indexed for longest, a share of all, rounded up."""
     files = nodes.groupBy("path").agg(F.min("indexed_at").alias("indexed_at"))
     room = -(-files.count() * round(share * 1000) // 1000)
-    return ranked(files, "indexed_at", "path").filter(F.col("rank") <= room).drop("rank")
+    return relational.ranked(files, "indexed_at", "path").filter(F.col("rank") <= room).drop("rank")
 
 
 def review(nodes: DataFrame, edges: DataFrame, changes: DataFrame, paths: DataFrame, unused: DataFrame, tests: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Bounded graph traversals as frontier joins.
 
-Every hop is one join of the frontier with the edges, a distinct, and an anti join with what was visited;
-its result is written to the shared folder, so lineage stays one hop long and a lost executor costs one hop.
-The frontier is broadcast while it is counted to be small, and joined by a shuffle beyond that.
+Every hop is one join of the frontier with the edges, a distinct, and an anti join with what was visited.
+What was visited is written to the shared folder every few hops, so no plan grows with the depth and a lost
+executor costs a few hops.  The frontier is broadcast while it is counted to be small, and joined by a shuffle
+beyond that.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..schema import STUB
-from ..storage import if_small, written
+from ..storage import BROADCAST_ROWS, Rounds, if_small, written
 
 
 class Reached(NamedTuple):
@@ -42,17 +43,19 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str
     step = steps(edges, direction)
     if gate is not None:
         step = step.join(gate.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
-    frontier = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "frontier")
-    visited, hop = frontier, 0
+    rounds = Rounds("reached")
+    frontier = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "seeds")
+    visited, hop, n = frontier, 0, frontier.count()
     while True:
-        few = if_small(frontier.select(F.col("id").alias("a")))
+        few = frontier.select(F.col("id").alias("a"))
+        few = F.broadcast(few) if n <= BROADCAST_ROWS else few
         found = step.join(few, "a", "left_semi").select(F.col("b").alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
-        found = written(found.withColumn("depth", F.lit(hop + 1)), "frontier")
-        if found.isEmpty():
-            return Reached(visited, False)
-        if depth is not None and hop >= depth:
-            return Reached(visited, True)
-        visited, frontier, hop = visited.unionByName(found), found, hop + 1
+        found = rounds.hold(found.withColumn("depth", F.lit(hop + 1)))
+        n = found.count()
+        if not n or (depth is not None and hop >= depth):
+            return Reached(rounds.write(visited)[0], n > 0)
+        visited, frontier = rounds.turn(visited.unionByName(found), found)
+        hop += 1
 
 
 def induced(edges: DataFrame, ids: DataFrame) -> DataFrame:
@@ -99,3 +102,53 @@ def impact(edges: DataFrame, root: DataFrame, depth: int = 3) -> DataFrame:
     level = F.when((F.col("total") > 20) | (F.col("direct") > 10), "high").when((F.col("total") > 5) | (F.col("direct") > 3), "medium").otherwise("low")
     return near.join(kinds).select("*", level.alias("level"), F.lit(reached.partial).alias("partial"))
 
+
+def review_impact(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+    """(id, dependents, partial) for every root (id): its dependents up to ``depth`` steps, and whether the walk was cut.
+
+    All roots are walked at once, each by its own visited set; the walk is cut if its last step still found some.
+    """
+    back = edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b")).distinct()
+    rounds = Rounds("impact")
+    frontier = rounds.hold(roots.select(F.col("id").alias("root"), "id").distinct())
+    visited = frontier.limit(0)
+    for _ in range(depth):
+        found = frontier.join(back, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct().join(visited, ["root", "id"], "left_anti")
+        frontier = rounds.hold(found)
+        visited, frontier = rounds.turn(visited.unionByName(frontier), frontier)
+    n = visited.groupBy("root").agg(F.count("*").alias("dependents"))
+    cut = frontier.select("root").distinct().withColumn("partial", F.lit(True))
+    joined = roots.select(F.col("id").alias("root")).distinct().join(n, "root", "left").join(cut, "root", "left")
+    return rounds.write(joined.select(F.col("root").alias("id"), F.coalesce("dependents", F.lit(0)).alias("dependents"), F.coalesce("partial", F.lit(False)).alias("partial")))[0]
+
+
+def connected(edges: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id) of everything linked with root (id) in either direction over any distance, and the edges between."""
+    near = reach(edges, root, None, "both").nodes.select("id")
+    return near, edges.join(near.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select(*edges.columns)
+
+
+def visible(edges: DataFrame, root: DataFrame, expanded: DataFrame, parents: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(id) and edges that show when root and the nodes of ``expanded`` (id) are open: the targets of open nodes.
+
+    A node counts as open only if it is reached through open ones.  ``parents`` adds what leads into root.
+    """
+    gate = expanded.select("id").union(root.select("id")).distinct()
+    open_ = reach(induced(edges, gate), root, None).nodes.select("id")
+    shown = edges.join(open_.withColumnRenamed("id", "source_id"), "source_id", "left_semi").select("source_id", "target_id")
+    if parents:
+        shown = shown.union(edges.join(root.select(F.col("id").alias("target_id")), "target_id", "left_semi").select("source_id", "target_id"))
+    shown = shown.distinct()
+    return shown.select(F.col("source_id").alias("id")).union(shown.select("target_id")).union(root.select("id")).distinct(), shown
+
+
+def scoped(nodes: DataFrame, edges: DataFrame, scope: str) -> tuple[DataFrame, DataFrame]:
+    """Files and edges of a scope: around a file its direct neighbours, below a folder all files; edges need both ends."""
+    is_file = not nodes.filter(F.col("id") == scope).isEmpty()
+    if is_file:
+        at = edges.filter((F.col("source_id") == scope) | (F.col("target_id") == scope))
+        kept = at.select(F.col("source_id").alias("id")).union(at.select("target_id")).union(nodes.filter(F.col("id") == scope).select("id")).distinct()
+    else:
+        kept = nodes.filter((F.col("id") == scope) | F.startswith("id", F.lit(scope.rstrip("/") + "/"))).select("id").distinct()
+    return nodes.join(kept, "id", "left_semi"), induced(edges, kept)
+

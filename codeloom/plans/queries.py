@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from ..functions import text as T
 from ..operators import cycles, relational, traverse
@@ -17,24 +16,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
 
 
-def _ordered_sql(days: int) -> str:
-    return f"(SELECT l.*, o_custkey FROM lineitem l JOIN orders ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1996-01-01' + INTERVAL {days} DAY)"
+def _steps_sql(column: str) -> str:
+    return f"""(SELECT * FROM (SELECT {column} AS a, lead({column}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS b,
+        CASE l_returnflag WHEN 'A' THEN 'CALLS' WHEN 'N' THEN 'USES' ELSE 'INHERITS' END AS type_relation, CAST(l_linenumber AS INTEGER) AS line, l_orderkey * 100 + l_linenumber AS place FROM lineitem) WHERE b IS NOT NULL)"""
 
 
-def _followers_sql(column: str, prefix: str, days: int) -> str:
-    return f"""(SELECT '{prefix}' || a AS source_id, '{prefix}' || b AS target_id, type_relation, CAST(min(line) AS INTEGER) AS source_line FROM (
-        SELECT {column} AS a, lead({column}) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS b,
-            CASE l_returnflag WHEN 'A' THEN 'CALLS' WHEN 'N' THEN 'USES' ELSE 'INHERITS' END AS type_relation, l_linenumber AS line FROM {_ordered_sql(days)})
-        WHERE b IS NOT NULL GROUP BY ALL)"""
-
-
-_DAYS, _SUPPLIER_DAYS = 20, 5
 NODES = """nodes AS (SELECT 'n' || p_partkey AS id, replace(p_name, ' ', '_') AS name, ['function','method','class','interface','variable'][p_size % 5 + 1] AS type,
     ['typescript','python','rust'][p_size % 3 + 1] AS lang, '/ws/' || lower(p_type) || '/' || replace(p_brand, 'Brand#', 'b') || '.src' AS path, '/ws/' || lower(p_type) AS folder,
     CAST(p_partkey % 500 * 10 AS INTEGER) AS start_line, CAST(p_partkey % 500 * 10 + p_size AS INTEGER) AS end_line, p_size % 2 = 0 AS is_exported, p_partkey * 7 % 1000 AS indexed_at FROM part)"""
-EDGES = f"edges AS {_followers_sql('l_partkey', 'n', _DAYS)}"
-SUPPLIERS = f"edges AS {_followers_sql('l_suppkey', 's', _SUPPLIER_DAYS)}"
-TRADES = f"edges AS (SELECT DISTINCT 'c' || o_custkey AS source_id, 's' || l_suppkey AS target_id FROM {_ordered_sql(_DAYS)})"
+EDGES = f"edges AS MATERIALIZED (SELECT 'n' || a AS source_id, 'n' || b AS target_id, type_relation, min(line) AS source_line FROM {_steps_sql('l_partkey')} GROUP BY ALL)"
+FIRST = f"edges AS MATERIALIZED (SELECT 'n' || a AS source_id, 'n' || b AS target_id, type_relation, line AS source_line FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY place, b, type_relation, line) AS k FROM {_steps_sql('l_partkey')}) WHERE k = 1)"
+SUPPLIERS = f"""edges AS MATERIALIZED (SELECT 's' || a AS source_id, 's' || b AS target_id, f.type_relation, f.line AS source_line FROM (SELECT a, b, count(*) AS n, min({{'place': place, 'type_relation': type_relation, 'line': line}}) AS f FROM {_steps_sql('l_suppkey')} GROUP BY a, b) QUALIFY n = max(n) OVER (PARTITION BY a))"""
+TRADES = "edges AS MATERIALIZED (SELECT DISTINCT 'c' || o_custkey AS source_id, 's' || l_suppkey AS target_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"
 BOTH = "u AS (SELECT source_id AS a, target_id AS b FROM edges UNION SELECT target_id, source_id FROM edges)"
 
 
@@ -47,17 +40,17 @@ def query(sql: str | None):
 
 
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return tables.part_nodes(spark, sf_dir), tables.followers(spark, sf_dir, "l_partkey", "n", _DAYS)
+    return tables.part_nodes(spark, sf_dir), tables.followers(spark, sf_dir)
 
 
 def _trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The trade graph and its smallest customer."""
-    edges = traverse.written(tables.trades(spark, sf_dir, _DAYS), "trades")
+    edges = traverse.written(tables.trades(spark, sf_dir), "trades")
     return edges, edges.agg(F.min("source_id").alias("id"))
 
 
 def _suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.written(tables.followers(spark, sf_dir, "l_suppkey", "s", _SUPPLIER_DAYS), "suppliers")
+    return traverse.written(tables.usual_followers(spark, sf_dir), "suppliers")
 
 
 def _bfs(edge_view: str, walk: str, depth: int) -> str:
@@ -167,13 +160,12 @@ def j7_dangling(spark, sf_dir):
     return relational.dangling(edges, nodes.filter("is_exported")).select("source_id", "target_id", "type_relation")
 
 
-_DEAD = f"""WITH RECURSIVE {NODES}, {EDGES}, f AS (SELECT edges.*, s.path AS sp, t.path AS tp FROM {_ENDS}), alive(id) AS (SELECT DISTINCT target_id FROM f WHERE sp <> tp UNION SELECT target_id FROM alive JOIN f ON source_id = alive.id AND sp = tp),
+_DEAD = f"""WITH RECURSIVE {NODES}, {FIRST}, f AS (SELECT edges.*, s.path AS sp, t.path AS tp FROM {_ENDS}), alive(id) AS (SELECT DISTINCT target_id FROM f WHERE sp <> tp UNION SELECT target_id FROM alive JOIN f ON source_id = alive.id AND sp = tp),
     dead AS (SELECT id, path FROM nodes WHERE is_exported AND id NOT IN (SELECT id FROM alive))"""
 
 
 def _dead(spark, sf_dir):
-    nodes, edges = _graph(spark, sf_dir)
-    edges = traverse.written(edges, "edges")
+    nodes, edges = tables.part_nodes(spark, sf_dir), traverse.written(tables.first_followers(spark, sf_dir), "edges")
     inner = relational.with_ends(nodes, edges, "path").filter("source_path = target_path").select(*edges.columns)
     return nodes, relational.unreferenced(nodes, edges, inner)
 
@@ -196,22 +188,32 @@ def j8_best_match(spark, sf_dir):
     return relational.resolve_stubs(nodes.filter("not is_exported").select(F.col("path").alias("source_path"), "lang", "name").distinct(), nodes)
 
 
-_FILES = "('/a/x.ts'), ('/a/x/index.ts'), ('/a/y/index.js'), ('/a/z.py'), ('/a/w')"
-_IMPORTS = "('/m.ts', '/a/x'), ('/m.ts', '/a/y'), ('/n.py', '/a/z'), ('/n.py', '/a/none'), ('/o.ts', '/a/w')"
+_STEM = "regexp_replace(path, '\\.src$', '')"
 
 
-@query(f"""WITH files(path) AS (VALUES {_FILES}), i(source_path, base) AS (VALUES {_IMPORTS}), e(rank, suffix) AS (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.py'), (5, '/index.ts'), (6, '/index.tsx'), (7, '/index.js'), (8, '/index.py'))
+@query(f"""WITH {NODES}, {EDGES}, files AS (SELECT DISTINCT {_STEM} || ['.ts', '/index.ts', '.py', '.js', ''][start_line // 10 % 5 + 1] AS path FROM nodes),
+    i AS (SELECT DISTINCT s.path AS source_path, regexp_replace(t.path, '\\.src$', '') AS base FROM edges JOIN nodes s ON source_id = s.id JOIN nodes t ON target_id = t.id),
+    e(rank, suffix) AS (VALUES (0, ''), (1, '.ts'), (2, '.tsx'), (3, '.js'), (4, '.py'), (5, '/index.ts'), (6, '/index.tsx'), (7, '/index.js'), (8, '/index.py'))
     SELECT source_path, base, min_by(path, rank) AS target_path, CAST(min(rank) AS INTEGER) AS rank FROM i, e JOIN files ON path = base || suffix GROUP BY ALL""")
 def j9_module_resolution(spark, sf_dir):
-    return relational.resolve_modules(spark.sql(f"VALUES {_IMPORTS} AS t(source_path, base)"), spark.sql(f"VALUES {_FILES} AS t(path)"))
+    """Every file imports the files that its parts lead to; each of those exists in one or more of five forms."""
+    nodes, edges = _graph(spark, sf_dir)
+    stem = lambda c: F.regexp_replace(c, r"\.src$", "")
+    endings = F.array(*map(F.lit, (".ts", "/index.ts", ".py", ".js", "")))
+    files = nodes.select(F.concat(stem("path"), endings[(F.col("start_line") / 10).cast("int") % 5]).alias("path"))
+    imports = relational.with_ends(nodes, edges, "path").select(F.col("source_path"), stem("target_path").alias("base")).distinct()
+    return relational.resolve_modules(imports, files)
 
 
-@query(f"""WITH {NODES}, c AS (SELECT e.event_id AS cursor, n.path, CAST(e.event_id % 5000 AS INTEGER) AS line FROM events e JOIN (SELECT path, row_number() OVER (ORDER BY path) - 1 AS k FROM (SELECT DISTINCT path FROM nodes)) n ON e.event_id % 7 = k)
+@query(f"""WITH {NODES}, p AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT path FROM nodes)),
+    c AS (SELECT e.event_id AS cursor, p.path, CAST(e.event_id % 5000 AS INTEGER) AS line FROM events e JOIN p ON e.event_id % n = k)
     SELECT cursor, c.path, line, id, start_line FROM c JOIN nodes ON c.path = nodes.path AND start_line <= line AND line <= end_line QUALIFY row_number() OVER (PARTITION BY cursor ORDER BY start_line DESC, id DESC) = 1""")
 def j10_definition_at(spark, sf_dir):
+    """A cursor for every event, dealt to all files in turn."""
     nodes = tables.part_nodes(spark, sf_dir)
-    first = nodes.select("path").distinct().orderBy("path").limit(7).withColumn("k", F.row_number().over(W.partitionBy(F.lit(1)).orderBy("path")) - 1)
-    cursors = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("cursor"), (F.col("event_id") % 5000).cast("int").alias("line"), (F.col("event_id") % 7).alias("m")).join(F.broadcast(first), F.col("m") == F.col("k"))
+    paths = relational.ranked(nodes.select("path").distinct(), "path").withColumn("k", F.col("rank") - 1)
+    n = paths.count()
+    cursors = tables.table(spark, sf_dir, "events").select(F.col("event_id").alias("cursor"), (F.col("event_id") % 5000).cast("int").alias("line"), (F.col("event_id") % max(n, 1)).alias("k")).join(paths, "k")
     return relational.definition_at(cursors.select("cursor", "path", "line"), nodes)
 
 
@@ -234,6 +236,11 @@ def o1_page(spark, sf_dir):
     return relational.page(nodes, edges, ["path", "id"], 10, 25)[0].select("id", "path")
 
 
+@query(f"WITH {NODES}, {EDGES}, p AS (SELECT id FROM nodes ORDER BY path, id LIMIT 400 OFFSET 10) SELECT source_id, target_id, type_relation, source_line FROM edges WHERE source_id IN (FROM p) AND target_id IN (FROM p)")
+def o1_page_edges(spark, sf_dir):
+    return relational.page(*_graph(spark, sf_dir), ["path", "id"], 10, 400)[1]
+
+
 @query(f"WITH {EDGES}, s AS (SELECT source_id, target_id, type_relation, source_line + 100 AS source_line FROM edges WHERE source_line <= 2 UNION ALL SELECT target_id, source_id, type_relation, 7 FROM edges WHERE source_line > 5), a AS (SELECT *, 0 AS k FROM edges UNION ALL SELECT *, 1 FROM s) SELECT source_id, target_id, type_relation, CAST(source_line AS INTEGER) AS source_line FROM a QUALIFY row_number() OVER (PARTITION BY source_id, target_id, type_relation ORDER BY k, source_line) = 1")
 def u1_merge(spark, sf_dir):
     edges = _graph(spark, sf_dir)[1]
@@ -275,6 +282,17 @@ def g23_label_communities(spark, sf_dir):
     return relational.label_communities(_trade(spark, sf_dir)[0])
 
 
+_LINES = "l AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, l_orderkey AS o FROM lineitem)"
+
+
+@query(f"WITH {_LINES}, g AS (SELECT o, min(id) AS first, count(DISTINCT id) AS n FROM l GROUP BY o), c AS (SELECT o, row_number() OVER (ORDER BY first) AS k FROM g WHERE n > 1) SELECT DISTINCT id, CAST(coalesce(k, 0) AS INTEGER) AS community FROM l LEFT JOIN c USING (o)")
+def g23_communities(spark, sf_dir):
+    """Lines of all orders, each linked with the other lines of its order: every order of several lines is a community."""
+    line = tables.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), "l_orderkey").distinct()
+    edges = line.withColumnRenamed("id", "source_id").join(line.withColumnRenamed("id", "target_id"), "l_orderkey").filter("source_id < target_id")
+    return relational.communities(line.select("id"), edges)
+
+
 @query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS href FROM pages")
 def f13_links(spark, sf_dir):
     return tables.links(spark, sf_dir)
@@ -292,16 +310,29 @@ def a14_review_score(spark, sf_dir):
     return tables.part_nodes(spark, sf_dir).select("id", T.review_score(c("start_line") % 2, c("end_line") % 9, c("is_exported"), c("lang") == "rust", c("type") == "class", c("type") == "method").alias("score"))
 
 
-_SIGNATURES = "('f.ts','old','a',0,'x','int',false),('f.ts','new','a',0,'x','string',false),('f.ts','old','a',1,'y','int',true),('f.ts','new','a',1,'y','int',false),('f.ts','new','a',2,'z','int',true),('f.ts','old','b',0,'x','int',false),('f.ts','new','b',1,'w','int',false),('f.ts','new','c',0,'x','int',false)"
+_OLD = "SELECT 'o' || l_orderkey AS file_path, 'old' AS version, 'f' AS name, CAST(l_linenumber AS INTEGER) AS position, 'p' || l_partkey || '-' || l_linenumber AS param, l_returnflag AS type, l_quantity > 25 AS is_optional FROM lineitem"
+_NEW = """SELECT 'o' || l_orderkey, 'new', 'f', CAST(CASE WHEN l_linenumber = 1 AND l_tax < 0.03 THEN 9 ELSE l_linenumber END AS INTEGER), 'p' || l_partkey || '-' || l_linenumber, CASE WHEN l_tax > 0.06 THEN l_linestatus ELSE l_returnflag END, l_quantity > 25 AND l_tax < 0.04 FROM lineitem WHERE l_discount > 0.02
+    UNION ALL SELECT 'o' || l_orderkey, 'new', 'f', CAST(l_linenumber + 10 AS INTEGER), 'q' || l_linenumber, 'int', l_quantity > 40 FROM lineitem WHERE l_discount = 0.05"""
 
 
-@query(f"""WITH s(file_path, version, name, position, param, type, is_optional) AS (VALUES {_SIGNATURES}),
-    o AS (SELECT * FROM s WHERE version = 'old'), n AS (SELECT * FROM s WHERE version = 'new'), k AS (SELECT file_path, name FROM o INTERSECT SELECT file_path, name FROM n),
-    c AS (SELECT file_path, name, position, CASE WHEN n.param IS NULL THEN 'parameter_removed' WHEN o.param IS NULL THEN CASE WHEN n.is_optional THEN 'optional_parameter_added' ELSE 'required_parameter_added' END
-        WHEN o.type <> n.type THEN 'parameter_type_changed' WHEN o.is_optional AND NOT n.is_optional THEN 'parameter_made_required' END AS change FROM o FULL JOIN n USING (file_path, name, position) SEMI JOIN k USING (file_path, name))
-    SELECT *, change <> 'optional_parameter_added' AS breaking FROM c WHERE change IS NOT NULL""")
+@query(f"""WITH s AS ({_OLD} UNION ALL {_NEW}), r AS (SELECT *, row_number() OVER (PARTITION BY file_path, version, name ORDER BY position, param) - 1 AS place FROM s),
+    o AS (SELECT * FROM r WHERE version = 'old'), n AS (SELECT * FROM r WHERE version = 'new'), k AS (SELECT file_path, name FROM o INTERSECT SELECT file_path, name FROM n),
+    j AS (SELECT coalesce(o.file_path, n.file_path) AS file_path, 'f' AS name, coalesce(o.param, n.param) AS subject, o.type AS a, n.type AS b, o.param IS NULL AS added, n.param IS NULL AS gone, o.is_optional AS oo, n.is_optional AS nn FROM o FULL JOIN n ON o.file_path = n.file_path AND o.param = n.param),
+    c AS (SELECT file_path, name, subject, 'parameter-removed' AS change, true AS breaking FROM j WHERE gone UNION ALL SELECT file_path, name, subject, 'parameter-added-required', true FROM j WHERE added AND NOT nn
+        UNION ALL SELECT file_path, name, subject, 'parameter-added-optional', false FROM j WHERE added AND nn UNION ALL SELECT file_path, name, subject, 'parameter-type-changed', true FROM j WHERE NOT added AND NOT gone AND a <> b
+        UNION ALL SELECT file_path, name, subject, 'parameter-optional-to-required', true FROM j WHERE NOT added AND NOT gone AND oo AND NOT nn
+        UNION ALL SELECT o.file_path, o.name, CAST(o.place AS VARCHAR), 'parameter-order-changed', false FROM o JOIN n USING (file_path, name, place) WHERE o.param <> n.param)
+    SELECT c.* FROM c SEMI JOIN k USING (file_path, name)""")
 def x15_signature_changes(spark, sf_dir):
-    return relational.compare_parameters(spark.sql(f"VALUES {_SIGNATURES} AS t(file_path, version, name, position, param, type, is_optional)"))
+    """Every order is a function whose lines are parameters; another version changes lines by their discount and tax."""
+    line = tables.table(spark, sf_dir, "lineitem")
+    file, at, name = F.concat(F.lit("o"), "l_orderkey").alias("file_path"), F.col("l_linenumber"), F.concat(F.lit("p"), "l_partkey", F.lit("-"), "l_linenumber").alias("param")
+    row = lambda version, position, param, type_, optional: (file, F.lit(version).alias("version"), F.lit("f").alias("name"), position.cast("int").alias("position"), param, type_.alias("type"), optional.alias("is_optional"))
+    old = line.select(*row("old", at, name, F.col("l_returnflag"), F.col("l_quantity") > 25))
+    moved = F.when((at == 1) & (F.col("l_tax") < 0.03), 9).otherwise(at)
+    new = line.filter("l_discount > 0.02").select(*row("new", moved, name, F.when(F.col("l_tax") > 0.06, F.col("l_linestatus")).otherwise(F.col("l_returnflag")), (F.col("l_quantity") > 25) & (F.col("l_tax") < 0.04)))
+    more = line.filter("l_discount = 0.05").select(*row("new", at + 10, F.concat(F.lit("q"), "l_linenumber").alias("param"), F.lit("int"), F.col("l_quantity") > 40))
+    return relational.compare_parameters(old.unionByName(new).unionByName(more))
 
 
 @query("""WITH e AS (SELECT 'u' || user_id AS path, ts, CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'create' ELSE 'change' END AS event_type FROM events),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import LANGUAGES, is_ignored, language, normalize_path
+from ..functions.text import MANIFESTS, extension, is_ignored, language, normalize_path
 
 MAX_BYTES = 5 * 1024 * 1024
 
@@ -14,8 +14,10 @@ def source_files(spark: SparkSession, root: str, max_bytes: int = MAX_BYTES) ->
     """(path, text, lang, mtime_ms, size) of all source files below root, ignored folders, empty and large files apart."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     path = normalize_path(F.regexp_replace("path", "^file:", ""))
-    kept = found.filter(F.col("length") <= max_bytes).withColumn("path", path).withColumn("lang", language(F.col("path")))
-    return kept.filter(F.col("lang").isin(*sorted(set(LANGUAGES.values()))) & ~is_ignored(F.col("path"))).select("path", F.decode("content", "UTF-8").alias("text"), "lang", (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime_ms"), F.col("length").alias("size"))
+    kept = found.filter(F.col("length") <= max_bytes).withColumn("path", path)
+    lang = F.when(extension(F.col("path")).isin(*MANIFESTS), extension(F.col("path"))).otherwise(language(F.col("path")))
+    kept = kept.withColumn("lang", lang).filter((F.col("lang") != "unknown") & ~is_ignored(F.col("path")))
+    return kept.select("path", F.decode("content", "UTF-8").alias("text"), "lang", (F.unix_micros("modificationTime") / 1000).cast("long").alias("mtime_ms"), F.col("length").alias("size"))
 
 
 def stale(files: DataFrame, indexed: DataFrame) -> DataFrame:

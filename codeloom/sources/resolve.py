@@ -13,6 +13,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.text import collapsed
+
 #: What may follow a module's path, in order.
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".gql", ".graphql")
 #: Added to the rank of files found by the last name alone.
@@ -27,13 +29,6 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, r"/[^/]*$", "")
 
 
-def collapsed(path: Column) -> Column:
-    """The path without ``.`` and with ``..`` taken back."""
-    parts = F.filter(F.split(path, "/"), lambda p: (p != "") & (p != "."))
-    kept = F.aggregate(parts, F.array().cast("array<string>"), lambda a, p: F.when(p == "..", F.slice(a, F.lit(1), F.greatest(F.size(a) - 1, F.lit(0)))).otherwise(F.concat(a, F.array(p))))
-    return F.concat(F.lit("/"), F.array_join(kept, "/"))
-
-
 def _options(base: Column, endings: tuple[str, ...]) -> Column:
     return F.array(*[F.concat(base, F.lit(e)) for e in endings])
 

@@ -23,24 +23,40 @@ def part_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _ordered(spark: SparkSession, sf_dir: str, days: int) -> DataFrame:
-    since = F.lit("1996-01-01").cast("timestamp_ntz")
-    orders = table(spark, sf_dir, "orders").filter((F.col("o_orderdate") >= since) & (F.col("o_orderdate") < since + F.expr(f"INTERVAL {days} DAYS"))).select("o_orderkey", "o_custkey")
-    return table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-
-
-def followers(spark: SparkSession, sf_dir: str, column: str, prefix: str, days: int) -> DataFrame:
-    """Edges from the part or supplier of a line to that of the next line of its order."""
+def _steps(spark: SparkSession, sf_dir: str, column: str) -> DataFrame:
+    """(a, b, type_relation, line, place): each line of an order with the next one; ``place`` orders all lines."""
     order = W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
     relation = F.when(F.col("l_returnflag") == "A", "CALLS").when(F.col("l_returnflag") == "N", "USES").otherwise("INHERITS")
-    rows = _ordered(spark, sf_dir, days).select(F.col(column).alias("a"), F.lead(column).over(order).alias("b"), relation.alias("type_relation"), F.col("l_linenumber").cast("int").alias("line")).filter("b is not null")
-    edges = rows.groupBy("a", "b", "type_relation").agg(F.min("line").alias("source_line"))
-    return edges.select(F.concat(F.lit(prefix), "a").alias("source_id"), F.concat(F.lit(prefix), "b").alias("target_id"), "type_relation", "source_line")
+    rows = table(spark, sf_dir, "lineitem").select(F.col(column).alias("a"), F.lead(column).over(order).alias("b"), relation.alias("type_relation"), F.col("l_linenumber").cast("int").alias("line"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("place"))
+    return rows.filter("b is not null")
+
+
+def _named(edges: DataFrame, prefix: str) -> DataFrame:
+    return edges.select(F.concat(F.lit(prefix), "a").alias("source_id"), F.concat(F.lit(prefix), "b").alias("target_id"), "type_relation", F.col("line").alias("source_line"))
+
+
+def followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from the part of every line to that of the next line of its order."""
+    return _named(_steps(spark, sf_dir, "l_partkey").groupBy("a", "b", "type_relation").agg(F.min("line").alias("line")), "n")
+
+
+def first_followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One edge a part: to the part that first follows it, a graph with nodes that nothing leads to."""
+    first = _steps(spark, sf_dir, "l_partkey").groupBy("a").agg(F.min(F.struct("place", "b", "type_relation", "line")).alias("f"))
+    return _named(first.select("a", "f.b", "f.type_relation", "f.line"), "n")
+
+
+def usual_followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges from every supplier to those that follow it most often, ties included: a sparse graph with some cycles."""
+    pairs = _steps(spark, sf_dir, "l_suppkey").groupBy("a", "b").agg(F.count("*").alias("n"), F.min(F.struct("place", "type_relation", "line")).alias("f"))
+    most = pairs.groupBy("a").agg(F.max("n").alias("n"))
+    return _named(pairs.join(most, ["a", "n"]).select("a", "b", "f.type_relation", "f.line"), "s")
 
 
-def trades(spark: SparkSession, sf_dir: str, days: int = 20) -> DataFrame:
+def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges from customers to the suppliers of their orders."""
-    pairs = _ordered(spark, sf_dir, days).select(F.concat(F.lit("c"), "o_custkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id")).distinct()
+    both = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    pairs = both.select(F.concat(F.lit("c"), "o_custkey").alias("source_id"), F.concat(F.lit("s"), "l_suppkey").alias("target_id")).distinct()
     return pairs.withColumns({"type_relation": F.lit("CALLS"), "source_line": F.lit(0)})
 
 

@@ -7,6 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 BROADCAST_ROWS = 100_000
 
@@ -36,3 +37,31 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """df of ids or other short columns, marked for broadcast if it is counted to have few rows."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+class Rounds:
+    """The tables of a loop.  Most are held by the executors; every EVERY-th round all that the loop still needs is written.
+
+    A lost executor then costs a few rounds and not the loop, and no plan is deeper than that.
+    """
+
+    EVERY = 6
+
+    def __init__(self, name: str):
+        self.name, self.held, self.n = name, [], 0
+
+    def hold(self, df: DataFrame) -> DataFrame:
+        self.held.append(df.persist(StorageLevel.MEMORY_AND_DISK))
+        return self.held[-1]
+
+    def turn(self, *tables: DataFrame) -> tuple[DataFrame, ...]:
+        """The tables that the next round starts from."""
+        self.n += 1
+        return tables if self.n % self.EVERY else self.write(*tables)
+
+    def write(self, *tables: DataFrame) -> tuple[DataFrame, ...]:
+        out = tuple(written(t, self.name) for t in tables)
+        for t in self.held:
+            t.unpersist()
+        self.held.clear()
+        return out

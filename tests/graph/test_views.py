@@ -1,5 +1,5 @@
 from codeloom.functions import compact
-from codeloom.operators import cycles, reports, symbols
+from codeloom.operators import cycles, relational, reports, symbols
 from pyspark.sql import functions as F
 
 
@@ -40,5 +40,5 @@ def test_staleness_and_empty_index(spark):
 
 
 def test_ranks_follow_a_global_order(spark):
-    got = reports.ranked(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7), "v").collect()
+    got = relational.ranked(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7), "v").collect()
     assert all(r["rank"] == r.v + 1 for r in got) and len(got) == 1000
