@@ -7,7 +7,7 @@ texts that satisfy every clause are candidates.  Candidates are verified by runn
 whole text.  Rules whose expression has no mandatory trigram scan every text.
 
 A text is named in the index by a pair of hashes of its content, so copies share their postings and a row
-needs no id.  Spans count code points, end exclusive; matches of a rule are leftmost and do not overlap.
+needs no id.  Candidates are broadcast to the texts if counted to be few, and then no text is shuffled.  Spans count code points, end exclusive; matches of a rule are leftmost and do not overlap.
 
 Defined results: a null text is an empty one and has no spans; repeated rows get equal results; null ids
 pass through; an empty table gives an empty result; input columns named like an output are replaced.
@@ -24,7 +24,7 @@ from re import _parser as P
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, without
+from .common import content, fields, join_by_key, materialise, packed, without
 
 
 @dataclass(frozen=True)
@@ -125,37 +125,62 @@ def trigram_query(pattern: str) -> list[frozenset[str]]:
     return sorted((c for c in clauses if not any(o < c for o in clauses)), key=sorted)
 
 
-def _text() -> Column:
-    return F.coalesce(F.col("text"), F.lit(""))
-
-
-def _named(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_t1", F.xxhash64(_text())).withColumn("_t2", F.xxhash64(F.lit(1), _text()))
-
-
 def build_index(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Postings (trigram, _t1, _t2) of the lower-cased texts, for the trigrams of the rules' queries."""
+    """Postings (trigram, _k1, _k2) of the lower-cased texts, for the trigrams of the rules' queries."""
     needed = sorted({t for r in rules for clause in trigram_query(r.pattern) for t in clause})
     low = F.translate(F.col("_text"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    texts = _named(docs).select("_t1", "_t2", _text().alias("_text")).withColumn("_low", low)
+    texts = docs.select(*content(), F.coalesce("text", F.lit("")).alias("_text")).withColumn("_low", low)
     found = F.filter(F.array(*[F.when(F.contains("_low", F.lit(t)), F.lit(t)) for t in needed]), lambda t: t.isNotNull()) if needed else F.array().cast("array<string>")
-    return texts.select("_t1", "_t2", F.explode(found).alias("trigram"))
+    return texts.select("_k1", "_k2", F.explode(found).alias("trigram"))
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """(_t1, _t2, kinds): for each text the rules whose clauses its postings satisfy."""
+    """(_k1, _k2, kinds): for each text the rules whose clauses its postings satisfy."""
     terms = [(r.kind, n, t) for r in rules for n, clause in enumerate(trigram_query(r.pattern)) for t in sorted(clause)]
     sizes = {r.kind: len(trigram_query(r.pattern)) for r in rules}
     if not terms:
-        return index.select("_t1", "_t2", F.array(F.lit("")).alias("kinds")).limit(0)
+        return index.select("_k1", "_k2", F.array(F.lit("")).alias("kinds")).limit(0)
     query = index.sparkSession.createDataFrame(terms, "kind string, clause int, trigram string")
-    met = index.join(F.broadcast(query), "trigram").groupBy("_t1", "_t2", "kind").agg(F.expr("bit_or(shiftleft(1L, clause))").alias("met"))
+    met = index.join(F.broadcast(query), "trigram").groupBy("_k1", "_k2", "kind").agg(F.expr("bit_or(shiftleft(1L, clause))").alias("met"))
     complete = reduce(lambda a, k: a | ((F.col("kind") == k) & (F.col("met") == (1 << sizes[k]) - 1)), [k for k in sizes if sizes[k]], F.lit(False))
-    return met.filter(complete).groupBy("_t1", "_t2").agg(F.collect_set("kind").alias("kinds"))
+    return met.filter(complete).groupBy("_k1", "_k2").agg(F.collect_set("kind").alias("kinds"))
+
+
+_SPANS = "array<struct<start:int,rank:int,kind:string,end:int>>"
+_AT_ONCE = 256
+
+
+def _bound(value: Column, use) -> Column:
+    """``use`` of the value as a variable, which is computed once: an array of one element is transformed."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _placed(lengths: Column, rank: int, rule: Rule) -> Column:
+    """Spans from (text before, match, checked group) lengths.
+
+    Lengths are summed in parts of ``_AT_ONCE``, each from the start of the text that the parts before it
+    leave, so that a text with very many matches takes time in proportion to them.
+    """
+
+    def step(state, x):
+        begin = state["at"] + x["b"]
+        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (begin + x["h"]).alias("end"))
+        return F.struct((begin + x["h"]).alias("at"), F.when(x["g"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
+
+    def parts(all_):
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / _AT_ONCE).cast("int")), lambda k: F.slice(all_, k * _AT_ONCE + 1, F.lit(_AT_ONCE)))
+
+    def spans(cut):
+        sums = F.transform(cut, lambda part: F.aggregate(part, F.lit(0), lambda a, x: a + x["b"] + x["h"]))
+        starts = F.aggregate(sums, F.array(F.lit(0)), lambda a, n: F.concat(a, F.array(F.element_at(a, -1) + n)))
+        empty = F.array().cast(_SPANS)
+        return F.flatten(F.zip_with(cut, F.slice(starts, F.lit(1), F.size(cut)), lambda part, at: F.aggregate(part, F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"])))
+
+    return _bound(lengths, lambda all_: F.when(F.size(all_) > 0, _bound(parts(all_), spans)).otherwise(F.array().cast(_SPANS)))
 
 
-def _spans(rule: Rule) -> Column:
-    """array<struct<start, order, kind, end>> of the rule's matches in the text.
+def _spans(rule: Rule, text: Column) -> Column:
+    """array<struct<start, rank, kind, end>> of the rule's matches in the text.
 
     The text between the matches and the matches themselves alternate, so their lengths give the positions.
     """
@@ -164,33 +189,26 @@ def _spans(rule: Rule) -> Column:
         # A greedy run of one class is whole or nothing: ask for its least length at once.
         literal = len(re.sub(r"\[.*", "", exact))
         exact = f"{m[1]}{{{rule.least - literal},}}"
-    hits = F.regexp_extract_all(_text(), F.lit(exact), F.lit(0))
-    wanted = F.regexp_extract_all(_text(), F.lit(exact), F.lit(rule.group)) if rule.group else hits
-    between = F.split(_text(), exact)
+    hits = F.regexp_extract_all(text, F.lit(exact), F.lit(0))
+    wanted = F.regexp_extract_all(text, F.lit(exact), F.lit(rule.group)) if rule.group else hits
+    between = F.split(text, exact)
     lengths = F.zip_with(F.slice(between, F.lit(1), F.greatest(F.size(hits), F.lit(0))), F.zip_with(hits, wanted, lambda h, g: F.struct(F.length(h).alias("h"), F.length(g).alias("g"))), lambda b, x: F.struct(F.length(b).alias("b"), x["h"].alias("h"), x["g"].alias("g")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>").alias("out"))
     rank = next(i for i, r in enumerate(RULES) if r.kind == rule.kind) if rule in RULES else len(RULES)
-
-    def step(state, x):
-        begin = state["at"] + x["b"]
-        span = F.struct(begin.alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), (begin + x["h"]).alias("end"))
-        return F.struct((begin + x["h"]).alias("at"), F.when(x["g"] >= rule.least, F.concat(state["out"], F.array(span))).otherwise(state["out"]).alias("out"))
-
-    return F.aggregate(lengths, start, step, lambda s: s["out"])
+    return _placed(lengths, rank, rule)
 
 
 def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with ``secrets``: its spans, by start and then by the order of the rules."""
     docs = without(docs, "secrets")
     index = materialise(build_index(docs, rules), "trigram-index")
-    found = candidates(index, rules)
-    none = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
-    matched = _named(docs).join(found, ["_t1", "_t2"], "left")
+    found = materialise(candidates(index, rules), "candidate-texts")
+    matched = join_by_key(packed(docs, *content()), found, ["_k1", "_k2"], "left", row_bytes=40 + 16 * F.size("kinds"))
+    text = F.coalesce(F.col("_row").getField("text"), F.lit(""))
     parts = []
     for rule in rules:
         every = not trigram_query(rule.pattern)
-        parts.append(_spans(rule) if every else F.when(F.array_contains("kinds", rule.kind), _spans(rule)).otherwise(none))
-    return matched.select(*[F.col(f"`{c}`") for c in docs.columns], F.array_sort(F.concat(*parts)).alias("secrets"))
+        parts.append(_spans(rule, text) if every else F.when(F.array_contains("kinds", rule.kind), _spans(rule, text)).otherwise(F.array().cast(_SPANS)))
+    return matched.select(*fields(docs), F.array_sort(F.concat(*parts)).alias("secrets"))
 
 
 def _listed(spans: Column) -> Column:
