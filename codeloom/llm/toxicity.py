@@ -9,7 +9,8 @@ Learning takes at most ``MAX_TRAINING_ROWS`` labelled rows and runs in one task
 sample; scoring covers every row and the whole of every text.
 
 Defined results: null and empty texts have no features and get the model's base rate; with no usable
-label every score is 0.5; repeated rows get equal scores; an empty table gives an empty result.
+label every score is 0.5; repeated rows get equal scores; an empty table gives an empty result; input columns
+named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -27,15 +28,19 @@ from .labelled import training_rows
 
 MAX_TRAINING_ROWS = 8_000
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
-BITS, EPOCHS, ALPHA, BETA, L1, L2 = 22, 4, 1.0, 1.0, 6.0, 0.5
-#: Coordinates in fewer rows of the sample than this are not learnt.
-MIN_ROWS = 4
+BITS, EPOCHS, ALPHA, BETA, L1, L2 = 22, 4, 1.0, 1.0, 10.0, 0.5
+#: What a toxic row counts against a clean one in training, as few rows are toxic.
+TOXIC_WEIGHT = 4.0
 _GAPS = (1, 2)
 _STEMS, _STEM_TIMES = (4, 5, 6, 7), (1, 3)
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row, coordinate) pairs, each once, for a run of rows.
+def _coordinate(value: np.ndarray) -> np.ndarray:
+    return (value >> np.uint64(64 - BITS)).astype(np.int64)
+
+
+def features(data: np.ndarray, offsets: np.ndarray, known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, coordinate) pairs, each once, for a run of rows; only coordinates marked in ``known`` if given.
 
     Words, word pairs and skip-grams count as present or absent.  Stems, the first bytes of a word, have
     a coordinate for each of the frequencies in ``_STEM_TIMES`` that they reach in the row, so that an
@@ -44,25 +49,36 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     w = words(data, offsets, ALNUM)
     lowered = LOWER[data]
     h = word_hashes(lowered, w)
-    row, value = [w.row], [h]
+    found = []
+
+    def add(row, value):
+        at = _coordinate(value)
+        if known is not None:
+            some = known[at]
+            row, at = row[some], at[some]
+        found.append(row << BITS | at)
+
+    add(w.row, h)
     for gap in _GAPS:
         if len(h) > gap:
             same = w.row[gap:] == w.row[:-gap]
-            row.append(w.row[gap:][same])
-            value.append(mix(h[:-gap][same] * np.uint64(2 * gap + 1) + h[gap:][same]))
+            add(w.row[gap:][same], mix(h[:-gap][same] * np.uint64(2 * gap + 1) + h[gap:][same]))
     for size in _STEMS:
         long = w.ends - w.starts > size
         stem = word_hashes(lowered, Words(w.starts[long], w.starts[long] + size, w.row[long], w.counts)) ^ np.uint64(size)
-        order = np.lexsort((stem, w.row[long]))
-        r, v = w.row[long][order], stem[order]
+        r = w.row[long]
+        if known is not None:
+            some = np.any([known[_coordinate(mix(stem + np.uint64(least)))] for least in _STEM_TIMES], axis=0)
+            r, stem = r[some], stem[some]
+        order = np.lexsort((stem, r))
+        r, v = r[order], stem[order]
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (v[1:] != v[:-1])
         at = np.flatnonzero(new)
         times = np.diff(np.append(at, len(r)))
         for least in _STEM_TIMES:
-            row.append(r[at][times >= least])
-            value.append(mix(v[at][times >= least] + np.uint64(least)))
-    pairs = np.unique(np.concatenate(row) << BITS | (np.concatenate(value) >> np.uint64(64 - BITS)).astype(np.int64))
+            add(r[at][times >= least], mix(v[at][times >= least] + np.uint64(least)))
+    pairs = np.unique(np.concatenate(found))
     return pairs >> BITS, pairs & ((1 << BITS) - 1)
 
 
@@ -82,7 +98,8 @@ def fit(examples: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Weig
     rows = np.zeros(1 << BITS, np.int32)
     for i in examples:
         rows[i] += 1
-    examples = [i[rows[i] >= MIN_ROWS] for i in examples]
+    # A gradient is below TOXIC_WEIGHT, so L1 keeps a coordinate of this few rows at zero in any case.
+    examples = [i[rows[i] * epochs * TOXIC_WEIGHT > L1] for i in examples]
     share = min(max(float(y.mean()), 1e-3), 1 - 1e-3)
     bias = np.log(share / (1 - share))
 
@@ -96,7 +113,7 @@ def fit(examples: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS) -> Weig
         for i, label in zip(examples, y, strict=True):
             w = weight(i)
             p = 1 / (1 + np.exp(-np.clip(w.sum() + bias, -35, 35)))
-            g = p - label
+            g = (p - label) * (TOXIC_WEIGHT if label else 1.0)
             sigma = (np.sqrt(n[i] + g * g) - np.sqrt(n[i])) / ALPHA
             z[i] += g - sigma * w
             n[i] += g * g
@@ -129,10 +146,9 @@ def score_texts(model: Weights, data: np.ndarray, offsets: np.ndarray) -> np.nda
     known = np.zeros(1 << BITS, bool)
     known[model.at] = True
     for first, last, part, offs in chunks(data, offsets):
-        row, at = features(part, offs)
-        hit = known[at]
-        if hit.any():
-            out[first:last] += np.bincount(row[hit], weights=model.weight[np.searchsorted(model.at, at[hit])], minlength=last - first)
+        row, at = features(part, offs, known)
+        if len(at):
+            out[first:last] += np.bincount(row, weights=model.weight[np.searchsorted(model.at, at)], minlength=last - first)
     return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
