@@ -183,11 +183,11 @@ HOT_ROWS, HOT_KEYS = 1_000, 20_000
 def join_by_key(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", copies: DataFrame | None = None, most: int = 8 << 20, row_bytes: Column | int = 64) -> DataFrame:
     """rows joined with side, which has one row a key, without gathering the rows of a frequent key in one task.
 
-    A side of at most ``most`` bytes is broadcast.  Beyond it the hot keys, those of more than HOT_ROWS rows and
+    A side of at most ``most`` bytes is broadcast (never if that is 0).  Beyond it the hot keys, those of more than HOT_ROWS rows and
     more than 1 in HOT_KEYS of all rows, are at most HOT_KEYS in number; their part of the side is broadcast, and
     all other keys are shuffled.  ``copies`` (keys, n) says how many rows a key has, else they are counted.
     """
-    held = side.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
+    held = (side.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0) if most else 1
     if held <= most:
         return rows.join(F.broadcast(side), keys, how)
     copies = rows.groupBy(*keys).agg(F.count("*").alias("n")) if copies is None else copies

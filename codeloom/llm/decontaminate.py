@@ -13,8 +13,8 @@ sent to every task, and the corpus is never gathered.  For one block:
    also matches in proximity when ``PROXIMITY`` of its words lie within that many places of where they belong.
 
 Texts are named in the index by a pair of hashes of their content.  Copies therefore share one list of
-candidates and no group of copies is gathered.  Candidates are broadcast to the documents only if counted
-to be few; else the join is shuffled.
+candidates and no group of copies is gathered.  Candidates and matches are broadcast to the documents only if
+counted to be few; else the join is shuffled, but for the hot texts (``join_by_key``).
 
 Defined results: a null text has no words; an item of fewer words than a window, but not none, is one window;
 items of the same id count once; repeated rows get equal results; an empty corpus or benchmark gives no
@@ -28,16 +28,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, chunks, materialise, text_bytes, without, word_hashes, words
+from .common import ALNUM, LOWER, chunks, content, fields, join_by_key, materialise, packed, text_bytes, without, word_hashes, words
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
 PROXIMITY = 0.8
-#: Candidate places up to this number are broadcast (at most some 10 MB).
-BROADCAST_PLACES = 200_000
 
 
 class Block(NamedTuple):
@@ -142,16 +140,13 @@ def choose_anchors(block: Block, terms: np.ndarray, counts: np.ndarray, window:
     return Anchors(terms[used], rows, sorted(pairs))
 
 
-def _content(text: Column) -> list[Column]:
-    return [F.xxhash64(text).alias("_k1"), F.xxhash64(F.lit(1), text).alias("_k2")]
-
-
 def positional_index(docs: DataFrame, terms: np.ndarray, keep: list[str]) -> DataFrame:
-    """One row a document: the kept columns, content hashes, n_words, and each term's positions in it."""
+    """One row a document: the kept columns as ``_row``, content hashes, n_words, and each term's positions in it."""
     shared = docs.sparkSession.sparkContext.broadcast(terms)
-    source = docs.select(*[F.col(f"`{c}`") for c in keep], *_content(F.coalesce("text", F.lit(""))), F.col("text").alias("_text"))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct(F.lit(0).alias("none"))
+    source = docs.select(row.alias("_row"), *content(), F.col("text").alias("_text"))
     names = source.columns[:-1]
-    schema = source.select(*[f"`{c}`" for c in names], F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<term:int,positions:array<int>>>").alias("_lists")).schema
+    schema = source.select(*names, F.lit(0).cast("long").alias("n_words"), F.lit(None).cast("array<struct<term:int,positions:array<int>>>").alias("_lists")).schema
 
     def run(batches):
         find = _Lookup(shared.value)
@@ -223,9 +218,7 @@ def _verified(doc: np.ndarray, item: np.ndarray, start: int, window: int, slop:
 def verify(docs: DataFrame, candidates: DataFrame, block: Block, window: int, slop: int) -> DataFrame:
     """(_k1, _k2, matches) of the texts with matches; each match has begin, end, item, kind."""
     candidates = materialise(candidates, "candidate-places")
-    few = (candidates.agg(F.sum(F.size("places"))).first()[0] or 0) <= BROADCAST_PLACES
-    texts = docs.select(*_content(F.coalesce("text", F.lit(""))), "text")
-    joined = texts.join(F.broadcast(candidates) if few else candidates, ["_k1", "_k2"])
+    joined = join_by_key(docs.select(*content(), "text"), candidates, ["_k1", "_k2"], row_bytes=40 + 16 * F.size("places"))
     shared = docs.sparkSession.sparkContext.broadcast(block)
     kind = joined.select(F.lit(None).cast("array<struct<begin:int,end:int,item:string,kind:string>>").alias("matches")).schema["matches"].dataType
     schema = joined.select("_k1", "_k2").schema.add("matches", kind)
@@ -264,7 +257,7 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
         parts.append(verify(docs, intersect(stored, anchors, slop), block, window, slop))
     if index is None:
         index = positional_index(docs, np.zeros(0, np.uint64), keep)
-    columns = [*[F.col(f"`{c}`") for c in keep], F.col("n_words")]
+    columns = [*[F.col("_row").getField(c).alias(c) for c in keep], F.col("n_words")]
     none = F.array().cast("array<struct<begin:int,end:int,item:string,kind:string>>")
     if not parts:
         return index.select(*columns, none.alias("matches"))
@@ -273,8 +266,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, sl
         for p in parts[1:]:
             found = found.unionByName(p)
         found = found.groupBy("_k1", "_k2").agg(F.flatten(F.collect_list("matches")).alias("matches"))
-    found = found.select(F.col("_k1").alias("_m1"), F.col("_k2").alias("_m2"), "matches")
-    joined = index.drop("_lists").join(found, (F.col("_k1") == F.col("_m1")) & (F.col("_k2") == F.col("_m2")), "left")
+    found = materialise(found, "text-matches")
+    joined = join_by_key(index.drop("_lists"), found, ["_k1", "_k2"], "left", row_bytes=40 + 48 * F.size("matches"))
     return joined.select(*columns, F.coalesce("matches", none).alias("matches"))
 
 
@@ -290,6 +283,8 @@ def contamination(matched: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
-    marked = docs.withColumn("_doc1", F.xxhash64(F.coalesce("text", F.lit("")))).withColumn("_doc2", F.xxhash64(F.lit(1), F.coalesce("text", F.lit(""))))
+    marked = docs.select(*[c.alias(n) for c, n in zip(content(), ("_doc1", "_doc2"), strict=True)], "text")
     verdicts = contamination(find_matches(marked, benchmark, window, keep=["_doc1", "_doc2"])).filter("contaminated")
-    return marked.join(verdicts.select("_doc1", "_doc2").distinct(), ["_doc1", "_doc2"], "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = packed(docs, *content())
+    gone = materialise(verdicts.groupBy(F.col("_doc1").alias("_k1"), F.col("_doc2").alias("_k2")).agg(F.count("*").alias("n")), "contaminated-texts")
+    return join_by_key(rows, gone.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti", gone, row_bytes=40).select(*fields(docs))

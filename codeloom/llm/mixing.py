@@ -8,12 +8,12 @@ each source within less than one block of its share at every slot.
 After Q slots every source has had exactly its w blocks, so the schedule repeats with period Q.  Q is a power
 of two, at least ``PERIOD`` and four slots a source, and grows up to ``LONGEST`` until the smallest positive
 weight is due a unit; then units differ from Q times the target by less than one.  One period is scheduled by
-a fold over Q slots whose state is one entry a source, Q steps over all sources in a single task; it has Q
-rows and is broadcast.  A block of the corpus then finds its slot by an equi-join on source and its number
+a fold over Q slots whose state is one entry a source, Q steps over all sources in a single task; its Q rows
+are written once, and broadcast if their bytes are counted to be few.  A block of the corpus then finds its slot by an equi-join on source and its number
 modulo w.  Nothing is sorted globally and no state runs through the corpus.
 
 Blocks are ``block_docs`` documents that follow each other in a pseudo-random order within their source.
-That order comes from hashes: a source's rows are counted in equal ranges of the hash, and only rows of one
+That order comes from hashes of whole rows: a source's rows are counted in equal ranges of the hash, and only rows of one
 range are ever ranked together, so a source that holds most of the corpus is spread like any other.
 
 Defined results: every row is kept.  A null source is a source of its own, named by null.  Sources beyond
@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import without
+from .common import fields, materialise, packed, small, without
 
 PERIOD = 1024
 LONGEST = 8192
@@ -111,35 +111,35 @@ def mix_sources(docs: DataFrame, weights: DataFrame | None = None, period: int |
     ``period`` follows from the weights unless it is given; it must hold a slot for every source.
     """
     docs = without(docs, *ADDED)
-    present = docs.groupBy(F.col(source_col).alias("source")).agg(F.count("*").alias("_rows"))
+    source = F.col(f"`{source_col}`")
+    # A name that is never null, by which rows are windowed and joined alike.
+    named = F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
+    present = docs.groupBy(source.alias("source")).agg(F.count("*").alias("_rows"))
     given = weights if weights is not None else tempered_weights(docs, source_col=source_col)
     given = given.select(F.col("source").alias("_s"), "weight")
-    wanted = present.join(F.broadcast(given), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "weight")
+    wanted = materialise(present.join(given, F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "weight"), "source-weights")
     period = period_for(wanted) if period is None else period
-    schedule = period_schedule(quotas(wanted, period), period)
-
-    order = [F.col("_h"), *[F.col(f"`{c}`") for c, kind in docs.dtypes if c in ("doc_id", "text")]]
-    hashed = docs.withColumn("_h", F.xxhash64(*[F.col(f"`{c}`") for c in ("doc_id", "text") if c in docs.columns] or [F.lit(0)]))
-    hashed = hashed.withColumn("_range", F.shiftright("_h", 64 - hash_bits).cast("int"))
-    source = F.col(f"`{source_col}`")
-    counts = hashed.groupBy(source.alias("_source"), F.col("_range").alias("_r")).agg(F.count("*").alias("_c"))
-    before = counts.withColumn("_before", F.sum("_c").over(W.partitionBy("_source").orderBy("_r").rowsBetween(W.unboundedPreceding, -1))).select("_source", "_r", F.coalesce("_before", F.lit(0)).alias("_before"))
-    ranked = hashed.withColumn("_rank", F.row_number().over(W.partitionBy(source, "_range").orderBy(*order)))
-    placed = ranked.join(before, source.eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
+    schedule = materialise(period_schedule(quotas(wanted, period), period).withColumn("_name", F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))), "schedule")
+
+    hashed = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and "variant" not in kind] or [F.lit(0)]
+    rows = packed(docs, named.alias("_name"), F.xxhash64(*hashed).alias("_h"), F.xxhash64(F.lit(1), *hashed).alias("_h2"))
+    rows = rows.withColumn("_range", F.shiftright("_h", 64 - hash_bits).cast("int"))
+    counts = rows.groupBy("_name", "_range").agg(F.count("*").alias("_c"))
+    sofar = F.sum("_c").over(W.partitionBy("_name").orderBy("_range").rowsBetween(W.unboundedPreceding, -1))
+    units = schedule.select("_name", F.col("units").alias("_units")).distinct()
+    before = counts.withColumn("_before", F.coalesce(sofar, F.lit(0))).join(units, "_name").select("_name", "_range", "_before", "_units")
+    ranked = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_name", "_range").orderBy("_h", "_h2")))
     index = F.col("_before") + F.col("_rank") - 1
-    placed = placed.withColumn("_block", F.floor(index / block_docs).cast("long")).withColumn("mix_in_block", (index % block_docs).cast("int"))
-    per = schedule.select(F.col("source").alias("_ps"), F.col("units").alias("_units"), F.col("weight").alias("_w"), F.col("slot").alias("_slot"), F.col("number").alias("_number"))
-    units = schedule.select(F.col("source").alias("_us"), F.col("units").alias("_u")).distinct()
-    placed = placed.join(F.broadcast(units), source.eqNullSafe(F.col("_us")))
-    placed = placed.withColumn("_k", F.col("_block") % F.col("_u") + 1)
-    placed = placed.join(F.broadcast(per), source.eqNullSafe(F.col("_ps")) & (F.col("_k") == F.col("_number")))
+    placed = ranked.join(before, ["_name", "_range"]).select("_row", "_name", "_units", F.floor(index / block_docs).cast("long").alias("_block"), (index % block_docs).cast("int").alias("_in_block"))
+    placed = placed.withColumn("number", F.col("_block") % F.col("_units") + 1)
+    placed = placed.join(small(schedule.select("_name", "number", "slot"), 8 << 20, F.octet_length("_name") + 24), ["_name", "number"])
     j = F.col("_block") + 1
     return placed.select(
-        *[F.col(f"`{c}`") for c in docs.columns],
+        *fields(docs),
         (F.col("_units") / F.lit(float(period))).alias("mix_weight"),
         j.alias("mix_block"),
         _release(j, F.col("_units"), period).alias("mix_release"),
         _deadline(j, F.col("_units"), period).alias("mix_deadline"),
-        (F.floor(F.col("_block") / F.col("_units")) * period + F.col("_slot")).cast("long").alias("mix_slot"),
-        "mix_in_block",
+        (F.floor(F.col("_block") / F.col("_units")) * period + F.col("slot")).cast("long").alias("mix_slot"),
+        F.col("_in_block").alias("mix_in_block"),
     )

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, remainder, text_bytes, with_last, without, word_hashes, words
+from .common import LOWER, NOT_SPACE, chunks, fields, packed, remainder, text_bytes, with_last, without, word_hashes, words
 from .labelled import training_rows
 
 MAX_TRAINING_ROWS = 20_000
@@ -167,17 +167,17 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS)
     return fit(x, rows["_label"].to_numpy(float))
 
 
-def score_quality(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD, score_col: str = "score", predicted_col: str = "predicted") -> DataFrame:
+def score_quality(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -> DataFrame:
     """docs with score and predicted; all rows and whole texts."""
-    kept = without(docs, score_col, predicted_col)
+    kept = without(docs, "score", "predicted")
     names = kept.columns
-    schema = T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType()), T.StructField(predicted_col, T.IntegerType())])
+    schema = T.StructType([*kept.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     text = names.index("text")
 
     def run(batches):
         for batch in batches:
             score = predict(trees, statistics(*text_bytes(batch.column(text))))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array(score >= threshold, pa.bool_()).cast(pa.int32())], [*names, score_col, predicted_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array(score >= threshold, pa.bool_()).cast(pa.int32())], [*names, "score", "predicted"])
 
     return kept.mapInArrow(run, schema)
 
@@ -190,5 +190,5 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_RO
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
-    scored = score_quality(docs, train(docs, labels, max_rows), score_col="_quality_score", predicted_col="_quality_keep")
-    return scored.filter("_quality_keep = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    scored = score_quality(packed(docs, F.col("text")), train(docs, labels, max_rows))
+    return scored.filter("predicted = 1").select(*fields(docs))

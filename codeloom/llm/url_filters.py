@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, small, without
+from .common import fields, join_by_key, materialise, packed, small, without
 
 SPAN_DAYS = 64
 BROADCAST_BYTES = 8 << 20
@@ -90,11 +90,11 @@ def decide(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_c
     asked = captures.filter(url.isNotNull() & time.isNotNull()).select(url.alias("_url"), time.alias("_time")).distinct()
     tried = asked.select(F.xxhash64("_url").alias("_u1"), F.xxhash64(F.lit(1), "_url").alias("_u2"), "_time", _span(F.col("_time")).alias("span"), F.explode(_candidates(F.col("_url"), labels or [0], segments)).alias("pattern"))
     met = tried.join(small(spread, BROADCAST_BYTES, F.octet_length("pattern") + 40), ["pattern", "span"]).filter((F.col("_time") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("_time") < F.col("valid_to"))))
-    best = met.groupBy("_u1", "_u2", F.col("_time").alias("_t")).agg(F.max(F.struct(F.length("pattern").alias("length"), "pattern", "action", "valid_from")).alias("best"))
-    best = materialise(best.select("_u1", "_u2", "_t", "best.pattern", "best.action", F.col("best.valid_from").alias("listed_at")), "url-decisions")
-    keyed = captures.withColumns({"_k1": F.xxhash64(url), "_k2": F.xxhash64(F.lit(1), url)})
-    joined = keyed.join(small(best, BROADCAST_BYTES, F.octet_length("pattern") + 60), (F.col("_k1") == F.col("_u1")) & (F.col("_k2") == F.col("_u2")) & (time == F.col("_t")), "left")
-    return joined.select(*[F.col(f"`{c}`") for c in captures.columns], F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"), "pattern", "listed_at")
+    best = met.groupBy("_u1", "_u2", "_time").agg(F.max(F.struct(F.length("pattern").alias("length"), "pattern", "action", "valid_from")).alias("best"))
+    best = materialise(best.select("_u1", "_u2", "_time", "best.pattern", "best.action", F.col("best.valid_from").alias("listed_at")), "url-decisions")
+    rows = packed(captures, F.xxhash64(url).alias("_u1"), F.xxhash64(F.lit(1), url).alias("_u2"), time.alias("_time"))
+    joined = join_by_key(rows, best, ["_u1", "_u2", "_time"], "left", most=BROADCAST_BYTES, row_bytes=F.octet_length("pattern") + 60)
+    return joined.select(*fields(captures), F.coalesce(F.col("action") == "block", F.lit(False)).alias("blocked"), "pattern", "listed_at")
 
 
 def allowed(captures: DataFrame, entries: DataFrame, url_col: str = "url", time_col: str = "fetched_at") -> DataFrame:
