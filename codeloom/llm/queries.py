@@ -86,7 +86,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = media.encode_wav(_table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return media.spectral_landmarks(stored, with_landmarks=False)
+    return media.spectral_landmarks(stored)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
