@@ -141,24 +141,25 @@ def oldest_files(nodes: DataFrame, share: float = 0.1) -> DataFrame:
     return relational.ranked(files, "indexed_at", "path").filter(F.col("rank") <= room).drop("rank")
 
 
-def review(nodes: DataFrame, edges: DataFrame, changes: DataFrame, paths: DataFrame, unused: DataFrame, tests: DataFrame) -> DataFrame:
+def review(nodes: DataFrame, edges: DataFrame, changes: DataFrame, paths: DataFrame, unused: DataFrame, tests: DataFrame, depth: int = 3) -> DataFrame:
     """Every node of the changed files (path) with its review score and risk, gravest first.
 
     ``edges`` carry is_cyclic; ``changes`` are compare_parameters rows; ``unused`` has ids; ``tests`` the paths
-    of files with a test.  Dependents are counted directly: the walk beyond them is traverse.impact.
+    of files with a test.  Dependents are those up to ``depth`` steps away; ``partial`` says that there may be more.
     """
     from ..functions.text import review_score, risk
+    from .traverse import review_impact
 
     changed = nodes.join(paths.select("path").distinct(), "path", "left_semi").select("id", "name", "path")
     broken = changes.filter("breaking").groupBy(F.col("file_path").alias("path"), "name").agg(F.count("*").alias("breaking"))
-    used = edges.groupBy(F.col("target_id").alias("id")).agg(F.countDistinct("source_id").alias("dependents"))
+    used = review_impact(edges, changed, depth)
     ring = edges.filter("is_cyclic").select(F.explode(F.array("source_id", "target_id")).alias("id")).distinct().withColumn("cyclic", F.lit(True))
     dead = unused.select("id").distinct().withColumn("unused", F.lit(True))
     tested = tests.select("path").distinct().withColumn("tested", F.lit(True))
     all_of = changed.join(broken, ["path", "name"], "left").join(used, "id", "left").join(ring, "id", "left").join(dead, "id", "left").join(tested, "path", "left")
-    all_of = all_of.fillna(0, ["breaking", "dependents"]).fillna(False, ["cyclic", "unused", "tested"])
-    score = review_score(F.col("breaking"), F.col("dependents"), F.col("cyclic"), F.col("unused"), ~F.col("tested"), F.lit(False))
-    return all_of.withColumn("score", score).withColumn("risk", risk(F.col("score"))).select("path", "name", "id", "breaking", "dependents", "cyclic", "unused", "tested", "score", "risk").orderBy(F.desc("score"), "path", "name")
+    all_of = all_of.fillna(0, ["breaking", "dependents"]).fillna(False, ["cyclic", "unused", "tested", "partial"])
+    score = review_score(F.col("breaking"), F.col("dependents"), F.col("cyclic"), F.col("unused"), ~F.col("tested"), F.col("partial"))
+    return all_of.withColumn("score", score).withColumn("risk", risk(F.col("score"))).select("path", "name", "id", "breaking", "dependents", "cyclic", "unused", "tested", "partial", "score", "risk").orderBy(F.desc("score"), "path", "name")
 
 
 def tested_files(files: DataFrame) -> DataFrame:

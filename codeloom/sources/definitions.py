@@ -18,8 +18,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..functions.text import complexity
 from ..schema import STUB
 from ..storage import written
+from .imports import script
 
 #: Language, type, whether exported (a pattern of the line, or "" for always), definition with the name first.
 RULES = (
@@ -77,7 +79,9 @@ def blank(text: Column, single_quotes: bool = True) -> Column:
 def lines(files: DataFrame) -> DataFrame:
     """(path, lang, line, code, depth, after) of files in brace languages; depth counts open braces before and after a line."""
     family = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for p in _FAMILY.items() for x in p]), "lang"), "lang")
-    source = files.select("path", family.alias("lang"), F.coalesce("text", F.lit("")).alias("text")).filter(F.col("lang").isin(*sorted({r[0] for r in RULES})))
+    # Of single-file components only the script blocks are code; their lines count from the first block.
+    own = F.when(F.col("lang").isin("vue", "svelte"), script(F.col("text"))).otherwise(F.coalesce("text", F.lit("")))
+    source = files.select("path", family.alias("lang"), own.alias("text")).filter(F.col("lang").isin(*sorted({r[0] for r in RULES})))
     code = F.when(F.col("lang") == "rust", blank(F.col("text"), False)).otherwise(blank(F.col("text")))
     each = source.select("path", "lang", F.posexplode(F.split(code, "\n")).alias("_at", "code")).select("path", "lang", (F.col("_at") + 1).alias("line"), "code")
     of = lambda c: F.length("code") - F.length(F.replace("code", F.lit(c), F.lit("")))
@@ -193,6 +197,18 @@ def extract(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, edges
 
 
+def function_complexity(files: DataFrame) -> DataFrame:
+    """(path, name, complexity) of the exported functions in brace languages: the branches on their lines.
+
+    The lines of one function, which the 5 MB limit of a file bounds, are added up.
+    """
+    each = written(lines(files), "lines")
+    found = _ends(written(_found(each), "definitions"), each).filter("is_exported and type in ('function', 'method')")
+    own = found.groupBy("path", "name").agg(F.min(F.struct("line", "end_line")).alias("d")).select("path", "name", F.col("d.line").alias("_from"), F.col("d.end_line").alias("_to"))
+    inside = own.join(each.select("path", "line", "code"), "path").filter((F.col("_from") <= F.col("line")) & (F.col("line") <= F.col("_to")))
+    return inside.groupBy("path", "name").agg(F.sum(complexity(F.col("code"))).cast("int").alias("complexity"))
+
+
 def resolve_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """edges with stubs replaced by the best definition of their name in the same language, where there is one."""
     from ..operators.relational import resolve_stubs

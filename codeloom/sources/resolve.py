@@ -12,6 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.text import collapsed
 
@@ -50,6 +51,19 @@ def _script(imports: DataFrame, aliases: Mapping[str, str]) -> DataFrame:
     return imports.filter(F.col("lang").isin(*SCRIPTS)).withColumn("c", options)
 
 
+def _aliased(imports: DataFrame, scoped: DataFrame) -> DataFrame:
+    """Modules that are, or begin with, an alias (scope, alias, target) whose scope the file is in: innermost scope first, then longest alias."""
+    parts = F.split("module", "/")
+    heads = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/"))
+    tried = imports.filter(F.col("lang").isin(*SCRIPTS)).select("path", "module", F.explode(heads).alias("alias")).join(scoped, "alias").filter(F.startswith("path", F.concat(F.regexp_replace("scope", "/$", ""), F.lit("/"))))
+    order = F.row_number().over(W.partitionBy("path", "module").orderBy(F.desc(F.length("scope")), F.desc(F.length("alias")), "target"))
+    base = F.concat("target", F.col("module").substr(F.length("alias") + 1, F.length("module")))
+    endings = ("", *EXTENSIONS, *[f"/src/index{e}" for e in EXTENSIONS], *[f"/index{e}" for e in EXTENSIONS])
+    stem = F.regexp_replace("_base", r"\.js$", "")
+    placed = tried.withColumn("_order", order).withColumn("_base", base).select("path", "module", "_order", F.posexplode(F.concat(_options(F.col("_base"), endings), _options(stem, EXTENSIONS[:2]))).alias("rank", "target_path"))
+    return placed.select("path", "module", (1000 * F.col("_order") + F.col("rank")).alias("rank"), "target_path")
+
+
 def _python(imports: DataFrame, roots: tuple[str, ...]) -> DataFrame:
     """Leading dots climb from the file's folder; other names start at its folder or at a root."""
     dots = F.length(F.regexp_extract("module", r"^(\.*)", 1))
@@ -106,15 +120,17 @@ def _folder_name(imports: DataFrame, files: DataFrame, lang: str, extension: str
     return imports.filter(F.col("lang") == lang).withColumn("_folder", folder).join(first, "_folder").select("path", "module", "target_path", F.lit(0).alias("rank"))
 
 
-def resolve(imports: DataFrame, files: DataFrame, roots: tuple[str, ...] = (), aliases: Mapping[str, str] | None = None, go_modules: Mapping[str, str] | None = None) -> DataFrame:
+def resolve(imports: DataFrame, files: DataFrame, roots: tuple[str, ...] = (), aliases: Mapping[str, str] | None = None, go_modules: Mapping[str, str] | None = None, scoped: DataFrame | None = None) -> DataFrame:
     """(path, module, target_path) of the imports that lead to one of files.
 
-    ``roots`` are source roots for Python and Rust, ``aliases`` path aliases of script languages,
-    ``go_modules`` module prefixes with their folders.  Ties go to the shorter and then the smaller path.
+    ``roots`` are source roots for Python and Rust, ``aliases`` path aliases of script languages, ``scoped`` those
+    that hold in one folder (configs.alias_table), ``go_modules`` module prefixes with their folders.  Ties go to the shorter and then the smaller path.
     """
     files = files.select("path").distinct()
     imports = imports.select("path", "module", "lang").distinct()
     tried = reduce(DataFrame.unionByName, [d.select("path", "module", F.posexplode("c").alias("rank", "target_path")) for d in (_script(imports, aliases or {}), _python(imports, roots), _rust(imports, roots))])
+    if scoped is not None:
+        tried = tried.unionByName(_aliased(imports, scoped))
     found = tried.join(files.toDF("target_path"), "target_path").select("path", "module", "target_path", "rank")
     go = F.lit(None).cast("string")
     for prefix, folder in sorted((go_modules or {}).items(), key=lambda m: len(m[0])):

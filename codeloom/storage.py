@@ -45,7 +45,7 @@ class Rounds:
     A lost executor then costs a few rounds and not the loop, and no plan is deeper than that.
     """
 
-    EVERY = 6
+    EVERY = 2
 
     def __init__(self, name: str):
         self.name, self.held, self.n = name, [], 0

@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.text import identifier_tokens
-from .operators import cycles, relational, reports, symbols, traverse
-from .sources import definitions, files, imports, resolve, signatures
+from .operators import cycles, graphs, relational, reports, symbols, traverse
+from .sources import configs, definitions, files, imports, resolve, signatures
+from .schema import STUB
 from .storage import written
 
 VERSION = 1
@@ -41,8 +42,11 @@ class Workspace:
     def scan(cls, spark: SparkSession, root: str, **options) -> Workspace:
         """set_workspace and rebuild_index: reads and indexes all source files below root.
 
-        ``options`` go to module resolution (roots, aliases, go_modules).
+        ``options`` go to module resolution (roots, aliases, go_modules, scoped).  Aliases and Go modules that
+        are not given come from the configuration files of the tree.
         """
+        texts = configs.read_texts(spark, root)
+        options = {"scoped": configs.alias_table(spark, texts), "go_modules": configs.go_modules(texts)} | options
         return cls.of(root, files.source_files(spark, root), **options)
 
     @classmethod
@@ -75,6 +79,25 @@ class Workspace:
         rest = lambda t: t.join(gone, "path", "left_anti").select(*t.columns)
         return replace(self, files=rest(self.files), imports=rest(self.imports), file_edges=left, nodes=nodes, edges=edges)
 
+    def refresh(self, current: DataFrame) -> Workspace:
+        """The index after a look at the files now (path, text, lang, mtime_ms, size): new and changed ones are read again, gone ones go."""
+        changed = written(files.stale(current, self.files), "stale-files")
+        gone = written(self.files.select("path").join(current.select("path"), "path", "left_anti").union(changed.select("path")), "replaced-files")
+        rest = lambda t: t.join(gone, "path", "left_anti").select(*t.columns)
+        kept = rest(self.files).unionByName(changed.select(*self.files.columns))
+        found = rest(self.imports).unionByName(imports.imports(changed).join(changed.select("path", "lang"), "path").select(*self.imports.columns))
+        fresh, made = definitions.extract(changed)
+        fresh = written(fresh.join(changed.select("path", F.col("mtime_ms").alias("indexed_at")), "path").select(*self.nodes.columns), "nodes")
+        nodes = written(rest(self.nodes).unionByName(fresh), "nodes")
+        lost = graphs.removed(self.nodes, nodes)
+        kept_edges = self.edges.drop("is_cyclic").join(self.nodes.join(gone, "path", "left_semi").select(F.col("id").alias("source_id")), "source_id", "left_anti")
+        # References to what is gone become stubs of its name again, and may find another definition.
+        name = F.concat(F.lit(STUB), F.substring_index("target_id", ":", -1))
+        orphaned = kept_edges.join(lost.select(F.col("id").alias("target_id"), F.lit(True).alias("_lost")), "target_id", "left")
+        kept_edges = orphaned.withColumn("target_id", F.when(F.col("_lost").isNotNull(), name).otherwise(F.col("target_id"))).drop("_lost")
+        edges = written(cycles.mark_cycles(written(definitions.resolve_edges(nodes, kept_edges.unionByName(made.select(*kept_edges.columns))), "edges")), "edges")
+        return replace(self, files=written(kept, "files"), imports=written(found, "imports"), file_edges=written(resolve.file_edges(found, kept, **self.options), "file-edges"), nodes=nodes, edges=edges)
+
     def get_index_status(self, current: DataFrame | None = None) -> DataFrame:
         """Counts of the index, beside its staleness where ``current`` (path, mtime_ms, size) is given."""
         stats = reports.index_stats(self.file_edges)
@@ -201,7 +224,7 @@ class Workspace:
         return relational.compare_parameters(signatures.signatures(older, "old").unionByName(signatures.signatures(now, "new")))
 
     def review_pr(self, older: DataFrame) -> DataFrame:
-        """The symbols of changed files, given as their older version, by review score."""
+        """The symbols of changed files, given as their older version, by review score; dependents up to three steps away."""
         return reports.review(self.nodes, self.edges, self.analyze_breaking_changes(older), older.select("path"), self._unused(), reports.tested_files(self.files))
 
     @staticmethod
