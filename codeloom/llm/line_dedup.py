@@ -14,7 +14,8 @@ line, in the order of document and line number, that equals it or is its near-du
 * The winner of each line is verified on the words themselves by an edit distance.
 
 Intermediate tables (shared halves, rivals, lost lines) are broadcast only if their bytes are counted to be
-few (``BROADCAST_BYTES``); larger ones are joined by a shuffle.
+few (``BROADCAST_BYTES``); larger ones, and in any case the tables of all lines, are joined by a shuffle that
+leaves out hot keys (``join_by_key``), so a line or half that very many documents share is not gathered in one task.
 
 Lines of fewer than ``min_words`` words (three, as in op8's SQL; the pipeline takes one) stay where they are, as
 headings and separators do, and so does any line without spaces then, however long; lines of fewer
@@ -32,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialise, small, without
+from .common import join_by_key, materialise, packed, small, without
 
 MIN_WORDS, NEAR_MIN_WORDS = 3, 5
 BROADCAST_BYTES = 8 << 20
@@ -84,20 +85,17 @@ def deletion_keys(lines: DataFrame) -> DataFrame:
     return held.select("_rank", F.explode(F.when(F.col("_pos") == 0, F.array(itself, variant)).otherwise(F.array(variant))).alias("v")).select("_rank", "v.at", "v.size", "v.key")
 
 
-def _order(id_col: str) -> Column:
-    return F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_d1"), F.col("_d2"), F.col("_line").alias("line"))
-
-
 def _documents(docs: DataFrame, id_col: str) -> DataFrame:
-    """Adds two hashes that name a document by its id and text."""
+    """(_id, text, _d1, _d2): the last two are hashes that name a document by its id and text."""
     key = [F.col(f"`{id_col}`"), F.col("text")]
-    return docs.withColumn("_d1", F.xxhash64(*key)).withColumn("_d2", F.xxhash64(F.lit(1), *key))
+    return docs.select(key[0].alias("_id"), "text", F.xxhash64(*key).alias("_d1"), F.xxhash64(F.lit(1), *key).alias("_d2"))
 
 
 def lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS) -> DataFrame:
     """One row for each line that takes part: its place, hashes of its words, and the words."""
-    each = _each_line(_documents(docs, id_col), f"`{id_col}`", "_d1", "_d2").filter(F.size("_words") >= min_words)
-    return each.select(_order(id_col).alias("_at"), F.xxhash64("_words").alias("_k1"), F.xxhash64(F.lit(1), "_words").alias("_k2"), "_words")
+    each = _each_line(_documents(docs, id_col), "_id", "_d1", "_d2").filter(F.size("_words") >= min_words)
+    place = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_d1"), F.col("_d2"), F.col("_line").alias("line"))
+    return each.select(place.alias("_at"), F.xxhash64("_words").alias("_k1"), F.xxhash64(F.lit(1), "_words").alias("_k2"), "_words")
 
 
 def losers(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS, near_min_words: int = NEAR_MIN_WORDS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
@@ -107,12 +105,13 @@ def losers(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS,
     halves = F.array(*_half_keys(F.col("_words")))
     occurrences = lines(docs, id_col, min_words).select("_at", "_k1", "_k2", F.when(F.size("_words") >= near_min_words, halves).alias("_halves"))
     occurrences = materialise(occurrences, "lines")
-    first = materialise(occurrences.groupBy("_k1", "_k2").agg(F.min("_at").alias("_first"), F.count("*").alias("_copies"), F.first("_halves").alias("_halves")), "first-lines")
+    first = materialise(occurrences.groupBy("_k1", "_k2").agg(F.min("_at").alias("_first"), F.count("*").alias("n"), F.first("_halves").alias("_halves")), "first-lines")
 
     # Lines that share a half with a different line, numbered in order of their first occurrence.
     keyed = first.filter("_halves is not null").select("_k1", "_k2", "_first", F.explode("_halves").alias("_half"))
-    shared = keyed.groupBy("_half").agg(F.min("_k1").alias("_lo"), F.max("_k1").alias("_hi")).filter("_lo != _hi").select("_half")
-    rivals = keyed.join(small(materialise(shared, "shared-halves"), broadcast_bytes, 8), "_half", "left_semi").select("_k1", "_k2", "_first").distinct()
+    shared = keyed.groupBy("_half").agg(F.min("_k1").alias("_lo"), F.max("_k1").alias("_hi"), F.count("*").alias("n")).filter("_lo != _hi").select("_half", "n")
+    shared = materialise(shared, "shared-halves")
+    rivals = join_by_key(keyed, shared.select("_half"), ["_half"], "left_semi", shared, broadcast_bytes, 8).select("_k1", "_k2", "_first").distinct()
     rivals = materialise(rivals.orderBy("_first").withColumn("_rank", F.monotonically_increasing_id()), "rivals")
 
     # Their words are taken from the first occurrence alone.
@@ -123,18 +122,21 @@ def losers(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WORDS,
     keys = materialise(deletion_keys(spelt), "deletion-keys")
 
     # For each key that several lines have, and then for each key and position, the earliest line.
-    shared = keys.groupBy("size", "key").agg(F.min("_rank").alias("any"), F.max("_rank").alias("last"), F.min(F.when(F.col("at") == 0, F.col("_rank"))).alias("full"))
+    shared = keys.groupBy("size", "key").agg(F.min("_rank").alias("any"), F.max("_rank").alias("last"), F.min(F.when(F.col("at") == 0, F.col("_rank"))).alias("full"), F.count("*").alias("n"))
     shared = materialise(shared.filter("any != last").drop("last"), "shared-keys")
-    rest = materialise(keys.join(small(shared, broadcast_bytes, 32), ["size", "key"]), "shared-variants")
-    least = rest.groupBy("size", "key", "at").agg(F.min("_rank").alias("least"))
+    rest = materialise(join_by_key(keys, shared.drop("n"), ["size", "key"], "inner", shared.select("size", "key", "n"), broadcast_bytes, 32), "shared-variants")
+    least = materialise(rest.groupBy("size", "key", "at").agg(F.min("_rank").alias("least"), F.count("*").alias("n")), "earliest-lines")
     winner = F.when(F.col("at") == 0, F.col("any")).otherwise(F.least("least", "full"))
-    beaten = rest.join(least, ["size", "key", "at"]).withColumn("w", winner).filter("w < _rank").groupBy("_rank").agg(F.min("w").alias("w"))
-    words = spelt.select(F.col("_rank").alias("w"), F.col("_words").alias("_other"))
-    pairs = beaten.join(spelt, "_rank").join(words, "w")
+    ranked = join_by_key(rest, least.drop("n"), ["size", "key", "at"], "inner", least.drop("least"), 0)
+    beaten = materialise(ranked.withColumn("w", winner).filter("w < _rank").groupBy("_rank").agg(F.min("w").alias("w")), "beaten-lines")
+    winners = beaten.groupBy("w").agg(F.count("*").alias("n"))
+    words = spelt.join(winners.select(F.col("w").alias("_rank")), "_rank", "left_semi").select(F.col("_rank").alias("w"), F.col("_words").alias("_other"))
+    pairs = join_by_key(beaten.join(spelt, "_rank"), words, ["w"], "inner", winners, 0)
     near_lost = pairs.filter(within_one_edit(F.col("_words"), F.col("_other"))).select("_k1", "_k2", F.lit(True).alias("_near"))
 
-    judged = first.select("_k1", "_k2", "_first", "_copies").join(materialise(near_lost, "near-lines"), ["_k1", "_k2"], "left").filter("_near is not null or _copies > 1")
-    decided = occurrences.select("_k1", "_k2", "_at").join(judged, ["_k1", "_k2"])
+    judged = first.select("_k1", "_k2", "_first", "n").join(materialise(near_lost, "near-lines"), ["_k1", "_k2"], "left").filter("_near is not null or n > 1")
+    judged = materialise(judged, "judged-lines")
+    decided = join_by_key(occurrences.select("_k1", "_k2", "_at"), judged.drop("n"), ["_k1", "_k2"], "inner", judged.select("_k1", "_k2", "n"), 0)
     return decided.filter(F.col("_near").isNotNull() | (F.col("_at") != F.col("_first"))).select("_at._d1", "_at._d2", F.col("_at.line").alias("_line"))
 
 
@@ -162,14 +164,17 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", min_words: int = MIN_WO
     docs = without(docs, "lines_removed")
     gone = losers(docs, id_col, min_words, near_min_words, broadcast_bytes).groupBy("_d1", "_d2").agg(F.collect_set("_line").alias("_gone"))
     gone = materialise(gone, "lost-lines")
-    marked = _documents(docs, id_col).join(small(gone, broadcast_bytes, 40 + 4 * F.size("_gone")), ["_d1", "_d2"], "left")
+    key = [F.col(f"`{id_col}`"), F.col("text")]
+    rows = packed(docs, F.xxhash64(*key).alias("_d1"), F.xxhash64(F.lit(1), *key).alias("_d2"))
+    marked = join_by_key(rows, gone, ["_d1", "_d2"], "left", most=broadcast_bytes, row_bytes=40 + 4 * F.size("_gone"))
+    text = F.col("_row").getField("text")
 
     def rest(parts):
         kept = F.array_except(F.sequence(F.lit(1), F.size(parts)), F.transform("_gone", lambda i: i + 1))
         return F.array_join(F.transform(kept, lambda i: F.element_at(parts, i)), "\n")
 
     # The array of one element makes the lines a variable, so that a text is split once.
-    rest = F.transform(F.array(F.split("text", "\n")), rest)[0]
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(rest)
-    columns = [text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns]
+    rest = F.transform(F.array(F.split(text, "\n")), rest)[0]
+    left = F.when(F.col("_gone").isNull(), text).otherwise(rest).alias("text")
+    columns = [left if c == "text" else F.col("_row").getField(c).alias(c) for c in docs.columns]
     return marked.select(*columns, F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("lines_removed"))

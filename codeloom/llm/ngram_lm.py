@@ -16,8 +16,8 @@ Training, all in partitioned and shuffled tasks:
 
 Ranges are made in proportion to the bytes of the corpus (``RANGE_BYTES``), so a range fits in a task
 whatever the size.  Arrays are written under a temporary name and then renamed, so a task that runs twice
-leaves one file.  Workers map the arrays into memory and search them; only sizes and discounts, a few
-numbers a range, pass through the driver.
+leaves one file.  Workers map an array into memory when they first search it, and keep ``OPEN_MAPS`` of a kind
+open; only sizes and discounts, a few numbers a range, pass through the driver.
 
 The arrays live in the folder of spark.checkpoint.dir, which must be mounted on the workers (a local path
 in tests, a network or parallel file system on a cluster), as memory mapping needs a file.
@@ -31,10 +31,12 @@ from __future__ import annotations
 
 import os
 import uuid
+from collections import OrderedDict
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,6 +47,8 @@ from .common import LOWER, NOT_SPACE, chunks, hash_word, local_path, materialise
 RANGE_BYTES = 16 << 20
 #: Different keys that a counting task holds before it sends them on.
 HELD_KEYS = 1_000_000
+#: Files of one kind that a worker keeps mapped at a time.
+OPEN_MAPS = 100
 #: A space is in no word, so its hash can stand for the end of a text.
 END = np.uint64(hash_word(b" "))
 SCORES = ("n_tokens", "n_known", "train_tokens", "base_score", "score")
@@ -70,9 +74,21 @@ def _save(folder: str, name: str, array: np.ndarray) -> None:
     os.replace(part, f"{folder}/{name}.npy")
 
 
-def _load(folder: str, name: str) -> np.ndarray:
-    path = f"{folder}/{name}.npy"
-    return np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
+class _Arrays:
+    """The stored arrays of one kind, a range each, mapped when first asked for; the least used maps are closed."""
+
+    def __init__(self, folder: str, name: str):
+        self.folder, self.name, self.open = folder, name, OrderedDict()
+
+    def __getitem__(self, i: int) -> np.ndarray:
+        if i in self.open:
+            self.open.move_to_end(i)
+        else:
+            path = f"{self.folder}/{self.name}-{i}.npy"
+            self.open[i] = np.load(path, mmap_mode="r") if os.path.exists(path) else np.zeros(0, np.uint64)
+            if len(self.open) > OPEN_MAPS:
+                self.open.popitem(last=False)
+        return self.open[i]
 
 
 def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -160,12 +176,26 @@ def _count(texts: DataFrame, ranges: int, keys_of) -> DataFrame:
     return texts.mapInArrow(run, _BLOBS)
 
 
+def _by_range(blobs: DataFrame, ranges: int, store, schema: str) -> DataFrame:
+    """``store`` over the blobs of each range: a range is a partition of its own."""
+
+    def run(batches):
+        held: dict[int, list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for part in batch.column(0).unique().to_pylist():
+                held.setdefault(part, []).append(batch.filter(pc.equal(batch.column(0), part)))
+        for part in sorted(held):
+            yield from store(pa.Table.from_batches(held.pop(part))).to_batches()
+
+    return blobs.repartitionById(ranges, F.col("part")).mapInArrow(run, schema)
+
+
 class _Words:
     """The stored words, found by hash."""
 
     def __init__(self, folder: str, ranges: int, starts: np.ndarray):
         self.ranges, self.starts = ranges, starts
-        self.hashes = [_load(folder, f"words-{i}") for i in range(ranges)]
+        self.hashes = _Arrays(folder, "words")
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """The words' ids, -1 for words that are not stored."""
@@ -220,7 +250,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
         return pa.table({"part": pa.array([part], pa.int32()), "size": pa.array([len(keys)], pa.int64()), "tokens": pa.array([counts.sum()], pa.int64())})
 
     blobs = _count(texts, ranges, lambda part, offs: _tokens(part, offs)[0])
-    found = blobs.repartition(ranges, "part").groupBy("part").applyInArrow(store_words, "part int, size long, tokens long").collect()
+    found = _by_range(blobs, ranges, store_words, "part int, size long, tokens long").collect()
     sizes = np.zeros(ranges, np.int64)
     for r in found:
         sizes[r.part] = r.size
@@ -262,8 +292,7 @@ def train(docs: DataFrame, text_col: str = "text") -> Model:
             rows["sums"].append(sums[own].tobytes())
         return pa.table([pa.array(rows["part"], pa.int32()), pa.array(rows["ids"], pa.binary()), pa.array(rows["sums"], pa.binary())], ["part", "ids", "sums"])
 
-    pairs = _count(texts, ranges, pairs_of).repartition(ranges, "part")
-    partial = materialise(pairs.groupBy("part").applyInArrow(store_pairs, "part int, ids binary, sums binary"), "ngram-sums")
+    partial = materialise(_by_range(_count(texts, ranges, pairs_of), ranges, store_pairs, "part int, ids binary, sums binary"), "ngram-sums")
 
     def store_sums(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -289,7 +318,7 @@ class Scorer:
     def __init__(self, model: Model):
         self.m = model
         self.words = _Words(model.folder, model.ranges, model.starts)
-        self.counts, self.pairs, self.pair_counts, self.sums = ([_load(model.folder, f"{name}-{i}") for i in range(model.ranges)] for name in ("counts", "pairs", "pair-counts", "sums"))
+        self.counts, self.pairs, self.pair_counts, self.sums = (_Arrays(model.folder, name) for name in ("counts", "pairs", "pair-counts", "sums"))
         self.end = int(self.words.ids(np.array([END]))[0])
 
     def _by_id(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -301,8 +330,9 @@ class Scorer:
             own = slice(bounds[i], bounds[i + 1])
             at = different[own] - self.m.starts[i]
             counts[own] = self.counts[i][at]
-            if len(self.sums[i]):
-                sums[own] = self.sums[i][at]
+            stored = self.sums[i]
+            if len(stored):
+                sums[own] = stored[at]
         return counts[back], sums[back]
 
     def _pair_counts(self, keys: np.ndarray) -> np.ndarray:

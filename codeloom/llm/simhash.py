@@ -23,8 +23,10 @@ can share one.  Two fingerprints within two bits agree on two quarters at every
 are up to some 20 bits apart, where pivots can no longer locate partners, so candidates are texts that share a
 band of four minima of hashed shingles (``BANDS`` of them; two texts of similarity 0.8 share one in 99.5 % of
 cases).  In each band the members are compared with a hub, the one nearest to the majority fingerprint, instead
-of all with all; members without a link get further hubs in later rounds, four times as many each round, until
-none is left.  Pairs are discarded by their pivot coordinates and sizes and verified on the sets of shingles.
+of all with all.  Then, in bands of up to ``CROWD`` texts, those without a link are compared with all others.  In
+larger bands they are compared with ``HUBS`` of their own number, so the work grows with the texts and not with
+the square of a band; a text that resembles no hub of any of its bands, but another text there, can stay apart.
+Pairs are discarded by their pivot coordinates and sizes and verified on the sets of shingles.
 
 Only different fingerprints or texts take part, so copies cost one row however many there are.
 
@@ -55,6 +57,8 @@ SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
 CROWD = 32
 #: Of keep_one: words of a shingle, the least similarity, bands and the minima of each.
 KEPT_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 4
+#: Hubs of a band of more than CROWD texts, by round.
+HUBS = (1, 4)
 _BASE = 0x5A5A5A5A5A5A5A5A
 NEAR = [_BASE, *[_BASE ^ (1 << i) for i in range(64)]]
 FAR = [int(x) for x in mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
@@ -264,43 +268,52 @@ def _centres(rows: DataFrame) -> DataFrame:
     return sums.select("_key", reduce(Column.bitwiseOR, [F.when(2 * F.col(f"s{i}") > F.col("n"), _long(1 << i)).otherwise(F.lit(0).cast("long")) for i in range(64)]).alias("_centre"))
 
 
-def similar_links(sketches: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Links (src, dst) between texts (_t) of this similarity, from sketches (_t, _fp, _n, _bands) and sets (_t, _set)."""
+def _shingle_sets(marked: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(_t, _set) of the texts of pairs (src, dst), each from the row that stands for its text."""
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("_t")).distinct()
+    wanted = materialise(texts.select("_t", F.col("_own.r1").alias("_r1"), F.col("_own.r2").alias("_r2")).join(ends, "_t", "left_semi"), "pair-texts")
+    return materialise(join_by_key(marked.select("_r1", "_r2", "_set"), wanted, ["_r1", "_r2"], row_bytes=56).select("_t", "_set").dropDuplicates(["_t"]), "pair-sets")
+
+
+def similar_links(texts: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """Links (src, dst) between texts (_t, _own, _fp, _n, _bands) of this similarity; ``marked`` has rows with their sets."""
     _, far = pivot_columns(F.col("_fp"))
-    keyed = sketches.select("_t", "_fp", "_n", far, F.posexplode("_bands").alias("_b", "_v")).select("_t", "_fp", "_n", "_far", F.xxhash64("_b", "_v").alias("_key"))
+    keyed = texts.select("_t", "_fp", "_n", far, F.posexplode("_bands").alias("_b", "_v")).select("_t", "_fp", "_n", "_far", F.xxhash64("_b", "_v").alias("_key"))
     keyed = materialise(keyed, "band-keys")
     shared = materialise(keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-bands")
-    members = materialise(join_by_key(keyed, shared.select("_key"), ["_key"], "left_semi", shared, row_bytes=8), "band-members")
-    radius, left, links, hubs_each = _radius(similarity), members, None, 1
-    while not left.isEmpty():
-        near = join_by_key(left, _centres(left), ["_key"]).withColumn("_apart", _distance(F.col("_fp"), F.col("_centre")))
-        best = near.groupBy("_key", F.pmod(F.xxhash64("_t"), F.lit(hubs_each)).alias("_share")).agg(F.min(F.struct("_apart", "_t", "_fp", "_n", "_far")).alias("h"))
+    members = materialise(join_by_key(keyed, shared.select("_key", F.col("n").alias("_size")), ["_key"], "inner", shared, row_bytes=16), "band-members")
+    radius, left, links = _radius(similarity), members, None
+    for hubs_each in HUBS:
+        near = join_by_key(left, _centres(left), ["_key"], row_bytes=16).withColumn("_apart", _distance(F.col("_fp"), F.col("_centre")))
+        share = F.pmod(F.xxhash64("_t"), F.lit(hubs_each))
+        share = share if links is None else F.when(F.col("_size") <= CROWD, F.xxhash64("_t")).otherwise(share)
+        best = near.groupBy("_key", share.alias("_share")).agg(F.min(F.struct("_apart", "_t", "_fp", "_n", "_far")).alias("h"))
         hubs = materialise(best.select("_key", "h._t", "h._fp", "h._n", "h._far"), "band-hubs")
         listed = hubs.groupBy("_key").agg(F.collect_list(F.struct("_t", "_fp", "_n", "_far")).alias("_hubs"))
-        asked = join_by_key(members, listed, ["_key"], row_bytes=100 * F.size("_hubs")).withColumn("h", F.explode("_hubs")).filter("_t != h._t")
+        # In bands of up to CROWD texts all that have no link are hubs now; in larger ones hubs meet those without a link.
+        some = members if links is None else members.filter(F.col("_size") <= CROWD).unionByName(left.filter(F.col("_size") > CROWD))
+        asked = join_by_key(some, listed, ["_key"], row_bytes=100 * F.size("_hubs")).withColumn("h", F.explode("_hubs")).filter("_t != h._t")
         sized = F.least("_n", "h._n") >= similarity * F.greatest("_n", "h._n")
         asked = asked.filter(sized & _within(radius, "_far", "h._far")).filter(_distance(F.col("_fp"), F.col("h._fp")) <= radius)
-        asked = materialise(asked.select("_key", "_t", F.col("h._t").alias("_h"), F.least("_t", "h._t").alias("src"), F.greatest("_t", "h._t").alias("dst")), "asked-pairs")
+        asked = materialise(asked.select("_key", "_t", F.least("_t", "h._t").alias("src"), F.greatest("_t", "h._t").alias("dst")), "asked-pairs")
         pairs = materialise(asked.select("src", "dst").distinct(), "pairs")
-        ends = pairs.select(F.explode(F.array("src", "dst")).alias("_t")).groupBy("_t").agg(F.count("*").alias("n"))
-        used = materialise(sets.join(ends.select("_t"), "_t", "left_semi").dropDuplicates(["_t"]), "pair-sets")
-        bytes_ = 4 * F.size("_set") + 40
-        both = join_by_key(pairs, used.toDF("src", "_set"), ["src"], row_bytes=bytes_).withColumnRenamed("_set", "_a")
-        both = join_by_key(both, used.toDF("dst", "_set"), ["dst"], row_bytes=bytes_)
+        sets = _shingle_sets(marked, texts, pairs)
+        # Sets are always shuffled, as they are large; only those of texts with very many pairs are broadcast.
+        both = join_by_key(pairs, sets.toDF("src", "_set"), ["src"], most=0).withColumnRenamed("_set", "_a")
+        both = join_by_key(both, sets.toDF("dst", "_set"), ["dst"], copies=pairs.groupBy("dst").agg(F.count("*").alias("n")), most=0)
         common = F.size(F.array_intersect("_a", "_set"))
         good = materialise(both.filter(common >= similarity * (F.size("_a") + F.size("_set") - common)).select("src", "dst"), "similar-pairs")
         links = good if links is None else links.unionByName(good)
-        linked = asked.join(good, ["src", "dst"]).select("_key", "_t")
-        # A hub has met every member of its band; bands of which one member is left are done.
+        done = asked.join(good, ["src", "dst"]).select("_key", "_t").unionByName(hubs.select("_key", "_t")).distinct()
+        # A hub has met its band; bands of which one member is left are done.
         members = members.join(hubs.select("_key", "_t"), ["_key", "_t"], "left_anti")
-        alone = members.groupBy("_key").agg(F.count("*").alias("n"))
-        left = left.join(linked.unionByName(hubs.select("_key", "_t")).distinct(), ["_key", "_t"], "left_anti")
-        open_keys = materialise(alone.filter("n > 1").join(left.select("_key").distinct(), "_key", "left_semi"), "open-bands")
-        members = materialise(join_by_key(members, open_keys.select("_key"), ["_key"], "left_semi", open_keys, row_bytes=8), "band-members")
-        left = materialise(join_by_key(left, open_keys.select("_key"), ["_key"], "left_semi", open_keys, row_bytes=8), "open-members")
-        hubs_each *= 4
-    if links is None:
-        return sketches.select(F.col("_t").alias("src"), F.col("_t").alias("dst")).limit(0)
+        left = left.join(done, ["_key", "_t"], "left_anti")
+        rest = members.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").join(left.select("_key").distinct(), "_key", "left_semi")
+        rest = materialise(rest, "open-bands")
+        members = materialise(join_by_key(members, rest.select("_key"), ["_key"], "left_semi", rest, row_bytes=8), "band-members")
+        left = materialise(join_by_key(left, rest.select("_key"), ["_key"], "left_semi", rest, row_bytes=8), "open-members")
+        if left.isEmpty():
+            break
     return links.distinct()
 
 
@@ -317,7 +330,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", shingle: int = KEPT_SHINGL
     marked = materialise(_add_sketches(marked, shingle, bands), "sketches")
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_r1").alias("r1"), F.col("_r2").alias("r2"))
     texts = materialise(marked.groupBy("_t").agg(F.min(order).alias("_own"), F.count("*").alias("n"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")), "texts")
-    labels = connected_components(similar_links(_parallel(texts, "_t"), marked.select("_t", "_set"), similarity)).withColumnRenamed("id", "_t")
+    labels = connected_components(similar_links(_parallel(texts, "_t"), marked, similarity)).withColumnRenamed("id", "_t")
     named = materialise(texts.join(labels, "_t", "left").select("_t", "n", "_own", F.coalesce("component", "_t").alias("_class")), "class-members")
     first = named.groupBy("_class").agg(F.min("_own").alias("_first"))
     named = join_by_key(named, first, ["_class"]).select("_t", "_first")
