@@ -135,6 +135,14 @@ def within_budget(rows: DataFrame, size: Column, budget: int, order: list[str],
     return first.withColumn("used", running).filter(F.col("used") <= budget).drop("_size")
 
 
+def subgraph_within_budget(nodes: DataFrame, edges: DataFrame, size: Column, budget: int, order: list[str], most: int) -> tuple[DataFrame, DataFrame]:
+    """The nodes of within_budget and the edges between them."""
+    from .traverse import induced
+
+    some = written(within_budget(nodes, size, budget, order, most), "within-budget")
+    return some, induced(edges, some)
+
+
 def page(nodes: DataFrame, edges: DataFrame, order: list[str], offset: int, limit: int) -> tuple[DataFrame, DataFrame]:
     """A page of the nodes and the edges between them."""
     from .traverse import induced

@@ -99,6 +99,56 @@ def diagram(file_edges: DataFrame, most_nodes: int = 50, most_edges: int = 40) -
     return shown.agg(F.concat_ws("\n", F.lit("flowchart LR"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("source_path", "target_path", line.alias("line")))), lambda s: s["line"]), "\n")).alias("diagram"))
 
 
+def _node_name(c: Column) -> Column:
+    return F.regexp_replace(c, "[^A-Za-z0-9]", "_")
+
+
+def _joined(rows: DataFrame, order: list[str], line: Column) -> Column:
+    """The lines of rows in order, as one text; the rows must be limited, as they come together."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(*order, line.alias("line")))), lambda s: s["line"]), "\n")
+
+
+def caller_diagram(file_edges: DataFrame, path: str, most: int = 50) -> DataFrame:
+    """One row with a Mermaid flow chart of the first ``most`` files that refer to a file."""
+    callers = file_edges.filter((F.col("target_path") == path) & (F.col("source_path") != path)).select("source_path").distinct().orderBy("source_path").limit(most)
+    line = F.concat(F.lit("  "), _node_name(F.col("source_path")), F.lit(" --> "), _node_name(F.lit(path)))
+    return callers.agg(F.concat_ws("\n", F.lit("flowchart LR"), _joined(callers, ["source_path"], line)).alias("diagram"))
+
+
+def architecture_diagram(found: DataFrame, file_edges: DataFrame, most_nodes: int = 50, most_edges: int = 40) -> DataFrame:
+    """One row with a Mermaid chart of the articles (path, score) of the highest scores, and the references between them."""
+    hubs = found.select("path", "score").orderBy(F.desc("score"), "path").limit(most_nodes)
+    ends = file_edges.filter("source_path != target_path").select("source_path", "target_path").distinct()
+    ends = ends.join(F.broadcast(hubs.select(F.col("path").alias("source_path"))), "source_path", "left_semi").join(F.broadcast(hubs.select(F.col("path").alias("target_path"))), "target_path", "left_semi")
+    shown = ends.select("source_path", "target_path").orderBy("source_path", "target_path").limit(most_edges)
+    label = F.concat(F.lit("  "), _node_name(F.col("path")), F.lit('["'), "path", F.lit(" ("), F.col("score").cast("string"), F.lit(')"]'))
+    boxes = hubs.withColumn("_order", -F.col("score")).agg(_joined(hubs, ["_order", "path"], label).alias("boxes"))
+    line = F.concat(F.lit("  "), _node_name(F.col("source_path")), F.lit(" --> "), _node_name(F.col("target_path")))
+    arrows = shown.agg(_joined(shown, ["source_path", "target_path"], line).alias("arrows"))
+    return boxes.crossJoin(arrows).select(F.array_join(F.filter(F.array(F.lit("flowchart TD"), "boxes", "arrows"), lambda t: t != ""), "\n").alias("diagram"))  # one row each
+
+
+def index_page(found: DataFrame, hubs: int = 10, most: int = 10_000) -> DataFrame:
+    """One row with a Markdown page of the top hubs and of the first ``most`` articles (path, score) by path."""
+    link = F.concat(F.lit("- ["), "path", F.lit("](articles/"), F.replace("path", F.lit("/"), F.lit("_")), F.lit(".md)"))
+    top = found.select("path", "score").orderBy(F.desc("score"), "path").limit(hubs).withColumn("_order", -F.col("score"))
+    scored = F.concat(link, F.lit(" ("), F.col("score").cast("string"), F.lit(")"))
+    listed = found.select("path").orderBy("path").limit(most)
+    both = top.agg(_joined(top, ["_order", "path"], scored).alias("top")).crossJoin(listed.agg(_joined(listed, ["path"], link).alias("files")))  # one row each
+    return both.select(F.concat(F.lit("# Index\n\n## Top hubs\n\n"), "top", F.lit("\n\n## Files\n\n"), "files", F.lit("\n")).alias("page"))
+
+
+def graph_report(nodes: DataFrame, file_edges: DataFrame, title: str, most_nodes: int = 260, most_edges: int = 500, label: int = 120) -> DataFrame:
+    """One row with a Markdown list of a graph's files and edges; the limits are the feature, and what is cut shows as dots."""
+    short = lambda c: F.when(F.length(c) > label, F.concat(F.left(c, F.lit(label - 3)), F.lit("..."))).otherwise(c)
+    some, ends = nodes.select("path").orderBy("path").limit(most_nodes), file_edges.select("source_path", "target_path").orderBy("source_path", "target_path").limit(most_edges)
+    total = nodes.agg(F.count("*").alias("n")).crossJoin(file_edges.agg(F.count("*").alias("e")))  # one row each, as are the next two
+    lists = some.agg(_joined(some, ["path"], F.concat(F.lit("- "), short(F.col("path")))).alias("nodes")).crossJoin(ends.agg(_joined(ends, ["source_path", "target_path"], F.concat(F.lit("- "), short(F.col("source_path")), F.lit(" -> "), short(F.col("target_path")))).alias("edges")))
+    dots = lambda n, most: F.when(F.col(n) > most, "\n- ...").otherwise("")
+    text = F.concat(F.lit(f"# {title}\n\n"), F.col("n").cast("string"), F.lit(" nodes, "), F.col("e").cast("string"), F.lit(" edges\n\n"), "nodes", dots("n", most_nodes), F.lit("\n\n"), "edges", dots("e", most_edges), F.lit("\n"))
+    return total.crossJoin(lists).select(text.alias("report"))
+
+
 def session_totals(sessions: DataFrame) -> DataFrame:
     """Sessions of schema version 1 summed by source; real model usage stays apart from estimates."""
     sums = [F.sum(f"totals.{c}").alias(c) for c in COUNTS] + [F.sum("llmUsage.tokensUsed").alias("llmTokensUsed"), F.sum("llmUsage.calls").alias("llmCalls")]

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..storage import if_small
 from . import traverse
@@ -123,3 +124,15 @@ def category(kind: Column) -> Column:
     for name, kinds in groups:
         out = out.when(kind.isin(*kinds), name)
     return out.otherwise("other")
+
+
+def lookup(nodes: DataFrame, path: str, name: str) -> DataFrame:
+    """The first definition of a name in a file."""
+    return nodes.filter((F.col("path") == path) & (F.col("name") == name)).orderBy("start_line", "id").limit(1)
+
+
+def member_tree(symbols: DataFrame) -> DataFrame:
+    """(parent, id, place): every file's symbols and every symbol's members, classes first and then by name."""
+    parent = F.coalesce("parent_symbol_id", "file_path").alias("parent")
+    order = W.partitionBy("parent").orderBy((F.col("kind") != "class").cast("int"), "name", "id")
+    return symbols.select(parent, "id", "kind", "name").withColumn("place", F.row_number().over(order)).select("parent", "id", "place")

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Language, kind, pattern with the module as its first group.
 PATTERNS = (
-    ("typescript", "import", r"""(?m)^[ \t]*import\s+(?!type\b)(?:[\w*{}\s,$]+\s+from\s+)?["']([^"'\n]+)["']"""),
-    ("typescript", "export", r"""(?m)^[ \t]*export\s+(?!type\b)[\w*{}\s,$]+\s+from\s+["']([^"'\n]+)["']"""),
+    ("typescript", "import", r"""(?m)^[ \t]*import\s+(?!type\b)(?!\{\s*type\s+[\w$]+(?:\s+as\s+[\w$]+)?(?:\s*,\s*type\s+[\w$]+(?:\s+as\s+[\w$]+)?)*\s*,?\s*\}\s+from\b)(?:[\w*{}\s,$]+\s+from\s+)?["']([^"'\n]+)["']"""),
+    ("typescript", "export", r"""(?m)^[ \t]*export\s+(?!type\b)(?!\{\s*type\s+[\w$]+(?:\s+as\s+[\w$]+)?(?:\s*,\s*type\s+[\w$]+(?:\s+as\s+[\w$]+)?)*\s*,?\s*\}\s+from\b)[\w*{}\s,$]+\s+from\s+["']([^"'\n]+)["']"""),
     ("typescript", "require", r"""\brequire\(\s*["']([^"'\n]+)["']\s*\)"""),
     ("typescript", "dynamic", r"""\bimport\(\s*["'`]([^"'`\n]+)["'`]\s*\)"""),
     ("graphql", "import", r"""(?m)^#\s*import\s+["']([^"'\n]+)["']"""),
