@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.relational import invalidate, upsert_files
+from ..storage import written
 
 #: In a burst the gravest event counts.
 PRIORITY = ("create", "change", "delete")
@@ -27,3 +30,26 @@ def apply_batch(nodes: DataFrame, edges: DataFrame, changes: DataFrame, new_node
     """The graph after a micro-batch of changes: deleted files go, the others are replaced.  For foreachBatch."""
     nodes, edges = invalidate(nodes, edges, changes.filter("event_type = 'delete'").select("path"))
     return upsert_files(nodes, edges, new_nodes, new_edges)
+
+
+def follow(changes: DataFrame, nodes: DataFrame, edges: DataFrame, read: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, timeout: int = 600) -> tuple[DataFrame, DataFrame]:
+    """The graph after all micro-batches of a stream of changes (path, event_type) that are there now.
+
+    ``read`` gives the nodes and edges of the changed files (path) of a batch.  Each batch's graph is written before
+    the next one, so a batch that runs twice starts from the same graph.
+    """
+    graphs = {-1: (nodes, edges)}
+
+    def step(batch: DataFrame, number: int) -> None:
+        last = graphs[max(n for n in graphs if n < number)]
+        changed = written(batch.select("path", "event_type").distinct(), "changes")
+        fresh = read(changed.filter("event_type != 'delete'").select("path"))
+        # A changed file without any definition is replaced by nothing.
+        gone = changed.select("path", F.lit("delete").alias("event_type"))
+        graphs[number] = tuple(written(t, "graph") for t in apply_batch(*last, gone, *fresh))
+
+    run = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    if not run.awaitTermination(timeout):
+        run.stop()
+        raise TimeoutError("the stream of changes did not end")
+    return graphs[max(graphs)]
