@@ -169,6 +169,22 @@ def kind_of_lsp(number: Column) -> Column:
     return F.when(number.isin(12, 6, 9), "function").when(number.isin(5, 11, 10, 2), "class").otherwise("variable")
 
 
+#: Fixed values, in order: what the name of a callback's container holds, and how the callback is called then.
+CALLBACKS = (
+    ("map", "map callback"), ("filter", "filter predicate"), ("reduce", "reduce callback"), ("foreach", "forEach callback"), ("find", "find predicate"), ("some", "predicate callback"), ("every", "predicate callback"), ("sort", "sort comparator"),
+    ("onclick", "onClick handler"), ("onsubmit", "onSubmit handler"), ("onchange", "onChange handler"), ("onload", "onLoad handler"), ("on[a-z]+", None),
+    ("then", "then callback"), ("catch", "catch handler"), ("finally", "finally callback"), ("settimeout", "setTimeout callback"), ("setinterval", "setInterval callback"), ("requestanimationframe", "animation frame callback"),
+    ("callback", "callback function"), ("handler", "handler function"),
+)
+
+
+def callback_name(name: Column, container: Column) -> Column:
+    """What to call an anonymous function by the name around it; null if it has a name, or none of CALLBACKS is met."""
+    around = F.lower(F.coalesce(container, F.lit("")))
+    options = [F.when(around.rlike(part), F.concat(around, F.lit(" handler")) if said is None else F.lit(said)) for part, said in CALLBACKS]
+    return F.when(F.lower(name).rlike("anonymous|arrow|<function>"), F.coalesce(*options))
+
+
 def storage_key(root: Column) -> Column:
     """Twelve hex digits that name the storage of a workspace."""
     return F.substring(F.sha2(root.cast("binary"), 256), 1, 12)

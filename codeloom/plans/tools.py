@@ -56,6 +56,16 @@ def f19_lsp_kinds(spark, sf_dir):
     return numbered.withColumn("kind", T.kind_of_lsp(F.col("number")))
 
 
+_AROUND = ("items.map", "onClick", "onHover", "forEach", "p.then", "setTimeout", "Callback", "plain", "every", "useEffect", "errorHandler", "list.sort")
+_CALLED = ("map callback", "onClick handler", "onhover handler", "forEach callback", "then callback", "setTimeout callback", "callback function", None, "predicate callback", None, "handler function", "sort comparator")
+
+
+@query(f"""SELECT p_partkey AS k, CASE WHEN p_size % 2 = 0 THEN {[c or '' for c in _CALLED]}[p_partkey % 12 + 1] ELSE '' END AS name FROM part""")
+def f20_callback_names(spark, sf_dir):
+    part = tables.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.when(F.col("p_size") % 2 == 0, "(Anonymous)").otherwise("named").alias("said"))
+    return part.select("k", F.coalesce(T.callback_name(F.col("said"), _pick(*_AROUND)), F.lit("")).alias("name"))
+
+
 @query(f"WITH {NODES} SELECT DISTINCT path, substr(sha256(path), 1, 12) AS key FROM nodes")
 def f26_storage_keys(spark, sf_dir):
     return tables.part_nodes(spark, sf_dir).select("path").distinct().withColumn("key", T.storage_key(F.col("path")))
