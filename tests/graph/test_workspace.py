@@ -67,7 +67,7 @@ def test_changes(spark, tree, tmp_path):
     older = spark.createDataFrame([(f"{root}/lib/b.ts", "export function help(n: string, m: number) {}", "typescript"), (f"{root}/a.ts", TEXTS["a.ts"], "typescript")], "path string, text string, lang string")
     assert {(r.subject, r.change) for r in w.analyze_breaking_changes(older).collect()} == {("n", "parameter-type-changed"), ("m", "parameter-removed")}
     got = [(r.name, r.breaking, r.dependents, r.cyclic, r.unused, r.tested, r.score, r.risk) for r in w.review_pr(older).collect()]
-    assert got == [("help", 2, 2, True, False, True, 100, "critical"), ("main", 0, 0, False, True, False, 20, "medium")]
+    assert got == [("help", 2, 3, True, False, True, 100, "critical"), ("main", 0, 0, False, True, False, 20, "medium")]
     assert "## Callers" in {r.path: r.article for r in w.generate_wiki(str(tmp_path / "wiki")).collect()}[f"{root}/lib/b.ts"]
     assert spark.read.parquet(str(tmp_path / "wiki")).count() == 3
 
