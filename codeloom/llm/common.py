@@ -6,12 +6,13 @@ whole batch at once, so a batch costs a handful of numpy passes and no per-word
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,17 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches: Iterable[pa.RecordBatch], at: int, most: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in smaller ones, of about ``most`` bytes of text or media in column ``at``, which bounds a worker's memory."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        ends, first = np.cumsum(sizes), 0
+        while first < len(ends):
+            last = max(first + 1, int(np.searchsorted(ends, ends[first] - sizes[first] + most, "right")))
+            yield batch.slice(first, last - first)
+            first = last
+
+
 def chunks(data: np.ndarray, offsets: np.ndarray, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows of about ``most`` bytes: first row, row after the last, bytes, offsets."""
     rows, first = len(offsets) - 1, 0

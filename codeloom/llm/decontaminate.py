@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, chunks, content, fields, join_by_key, materialise, packed, text_bytes, without, word_hashes, words
+from .common import ALNUM, LOWER, chunks, content, fields, join_by_key, materialise, packed, pieces, text_bytes, without, word_hashes, words
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -94,7 +94,7 @@ def term_counts(docs: DataFrame, terms: np.ndarray) -> np.ndarray:
 
     def run(batches):
         find, total = _Lookup(shared.value), np.zeros(len(shared.value), np.int64)
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for _, _, part, offs in chunks(*text_bytes(batch.column(0))):
                 _, to = find(word_hashes(LOWER[part], words(part, offs, ALNUM)))
                 total += np.bincount(to, minlength=len(total))
@@ -150,7 +150,7 @@ def positional_index(docs: DataFrame, terms: np.ndarray, keep: list[str]) -> Dat
 
     def run(batches):
         find = _Lookup(shared.value)
-        for batch in batches:
+        for batch in pieces(batches, len(names)):
             data, offsets = text_bytes(batch.column(len(names)))
             rows, terms_, places, n_words = [], [], [], np.zeros(batch.num_rows, np.int64)
             for first, last, part, offs in chunks(data, offsets):
@@ -226,7 +226,7 @@ def verify(docs: DataFrame, candidates: DataFrame, block: Block, window: int, sl
 
     def run(batches):
         b = shared.value
-        for batch in batches:
+        for batch in pieces(batches, 2):
             data, offsets = text_bytes(batch.column("text"))
             places, out = batch.column("places").to_pylist(), []
             for first, _, part, offs in chunks(data, offsets):

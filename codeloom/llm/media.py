@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import with_last, without
+from .common import pieces, with_last, without
 
 BLOCK = 64
 FRAME, HOP, FAN_OUT, RATE = 256, 128, 3, 8000
@@ -74,7 +74,7 @@ def encode_wav(docs: DataFrame, text_col: str = "text", media_col: str = "media"
     names = kept.columns
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, len(names)):
             sizes, media = [], []
             for text in batch.column(len(names)).to_pylist():
                 raw = (text or "").encode()
@@ -106,7 +106,7 @@ def spectral_landmarks(media: DataFrame, media_col: str = "media", with_landmark
     types = {"landmarks": pa.list_(pa.int64())} | {f.name: pa.int64() if isinstance(f.dataType, T.LongType) else pa.string() for f in added if f.name != "landmarks"}
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, len(names)):
             rows = []
             for stored in batch.column(len(names)):
                 stored = stored.as_py()

@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, hash_word, local_path, materialise, mix, shared_dir, text_bytes, unmix, without, word_hashes, words
+from .common import LOWER, NOT_SPACE, chunks, hash_word, local_path, materialise, mix, pieces, shared_dir, text_bytes, unmix, without, word_hashes, words
 
 #: Bytes of text for each range of hashes.
 RANGE_BYTES = 16 << 20
@@ -165,7 +165,7 @@ def _count(texts: DataFrame, ranges: int, keys_of) -> DataFrame:
 
     def run(batches):
         counter = _Counter(ranges)
-        for batch in batches:
+        for batch in pieces(batches, 0):
             for _, _, part, offs in chunks(*text_bytes(batch.column(0))):
                 counter.add(keys_of(part, offs))
                 if counter.full:
@@ -389,7 +389,7 @@ def score_texts(docs: DataFrame, model: Model, text_col: str = "text") -> DataFr
 
     def run(batches):
         scorer = Scorer(model)
-        for batch in batches:
+        for batch in pieces(batches, len(names)):
             found = scorer.score(*text_bytes(batch.column(len(names))))
             found["train_tokens"] = np.full(batch.num_rows, model.tokens)
             found["perplexity"] = 10 ** np.minimum(-found["score"] / np.maximum(found["n_tokens"], 1), 300)

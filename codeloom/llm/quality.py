@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, fields, packed, remainder, text_bytes, with_last, without, word_hashes, words
+from .common import LOWER, NOT_SPACE, chunks, fields, packed, pieces, remainder, text_bytes, with_last, without, word_hashes, words
 from .labelled import training_rows
 
 MAX_TRAINING_ROWS = 20_000
@@ -152,7 +152,7 @@ def document_statistics(df: DataFrame, text_col: str = "text", column: str = "st
     schema = T.StructType([*kept.schema.fields, T.StructField(column, T.ArrayType(T.FloatType()))])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, len(names)):
             stats = statistics(*text_bytes(batch.column(len(names))))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(list(stats), pa.list_(pa.float32()))], [*names, column])
 
@@ -175,7 +175,7 @@ def score_quality(docs: DataFrame, trees: Trees, threshold: float = THRESHOLD) -
     text = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             score = predict(trees, statistics(*text_bytes(batch.column(text))))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array(score >= threshold, pa.bool_()).cast(pa.int32())], [*names, "score", "predicted"])
 

@@ -49,7 +49,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, content, fields, join_by_key, materialise, mix, packed, text_bytes, without, word_hashes, words
+from .common import LOWER, NOT_SPACE, chunks, content, fields, join_by_key, materialise, mix, packed, pieces, text_bytes, without, word_hashes, words
 from .components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
@@ -123,7 +123,7 @@ def add_fingerprint(docs: DataFrame, text_col: str = "text", column: str = "_fp"
     schema = T.StructType([*kept.schema.fields, T.StructField(column, T.LongType())])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, len(names)):
             found = fingerprints(*text_bytes(batch.column(len(names)))).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(found, pa.int64())], [*names, column])
 
@@ -246,7 +246,7 @@ def _add_sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
     schema = T.StructType([*docs.select(*names).schema.fields, *added])
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, len(names)):
             prints, keys, sets = sketch_texts(*text_bytes(batch.column(len(names))), shingle, bands)
             ends = np.cumsum([0, *map(len, sets)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32), pa.int32()))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import ALNUM, LOWER, Words, chunks, mix, remainder, text_bytes, without, word_hashes, words
+from .common import ALNUM, LOWER, Words, chunks, mix, pieces, remainder, text_bytes, without, word_hashes, words
 from .labelled import training_rows
 
 MAX_TRAINING_ROWS = 8_000
@@ -160,7 +160,7 @@ def score_toxicity(docs: DataFrame, model: Weights, threshold: float = THRESHOLD
     text, weights = names.index("text"), docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for batch in batches:
+        for batch in pieces(batches, text):
             score = score_texts(weights.value, *text_bytes(batch.column(text)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score, pa.float64()), pa.array(score >= threshold, pa.bool_()).cast(pa.int32())], [*names, "score", "predicted"])
 
