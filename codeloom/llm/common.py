@@ -32,8 +32,7 @@ shared_dir, materialise = shared_folder, written
 
 def small(df: DataFrame, most: int, row_bytes: Column | int) -> DataFrame:
     """df, marked for broadcast if its rows are counted to hold at most ``most`` bytes."""
-    held = df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
-    return F.broadcast(df) if held <= most else df
+    return F.broadcast(df) if _weight(df, row_bytes) <= most else df
 
 
 def local_path(path: str) -> str | None:
@@ -190,22 +189,39 @@ def content(text: Column | str = "text") -> list[Column]:
 
 #: Rows of one key that a task may gather, and how many keys may have more than their share of all rows.
 HOT_ROWS, HOT_KEYS = 1_000, 20_000
+#: Bytes of a side's part for hot keys that may be broadcast.
+HOT_BYTES = 8 << 20
+
+
+def _weight(df: DataFrame, row_bytes: Column | int) -> int:
+    return df.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0
 
 
 def join_by_key(rows: DataFrame, side: DataFrame, keys: list[str], how: str = "inner", copies: DataFrame | None = None, most: int = 8 << 20, row_bytes: Column | int = 64) -> DataFrame:
     """rows joined with side, which has one row a key, without gathering the rows of a frequent key in one task.
 
     A side of at most ``most`` bytes is broadcast (never if that is 0).  Beyond it the hot keys, those of more than HOT_ROWS rows and
-    more than 1 in HOT_KEYS of all rows, are at most HOT_KEYS in number; their part of the side is broadcast, and
-    all other keys are shuffled.  ``copies`` (keys, n) says how many rows a key has, else they are counted.
+    more than 1 in HOT_KEYS of all rows, are at most HOT_KEYS in number.  Their part of the side is broadcast if its bytes
+    are at most HOT_BYTES; otherwise each hot key is dealt over as many salts as it has times that share of the rows, which
+    repeats that part at most 2 * HOT_KEYS times in all.  All other keys are shuffled.  ``copies`` (keys, n) says how many
+    rows a key has, else they are counted.
     """
-    held = (side.agg(F.sum(row_bytes if isinstance(row_bytes, Column) else F.lit(row_bytes))).first()[0] or 0) if most else 1
-    if held <= most:
+    if most and _weight(side, row_bytes) <= most:
         return rows.join(F.broadcast(side), keys, how)
     copies = rows.groupBy(*keys).agg(F.count("*").alias("n")) if copies is None else copies
     total = copies.agg(F.sum("n")).first()[0] or 0
-    hot = written(copies.filter(F.col("n") > max(HOT_ROWS, total // HOT_KEYS)).select(*keys), "hot-keys")
-    few = F.broadcast(hot)
+    share = max(HOT_ROWS, total // HOT_KEYS)
+    hot = written(copies.filter(F.col("n") > share).select(*keys, F.ceil(F.col("n") / share).cast("int").alias("_salts")), "hot-keys")
+    if hot.isEmpty():
+        return rows.join(side, keys, how)
+    few = F.broadcast(hot.select(*keys))
     cold = rows.join(few, keys, "left_anti").join(side.join(few, keys, "left_anti"), keys, how)
-    some = rows.join(few, keys, "left_semi").join(F.broadcast(side.join(few, keys, "left_semi")), keys, how)
+    hot_side = side.join(few, keys, "left_semi")
+    if _weight(hot_side, row_bytes) <= HOT_BYTES:
+        some = rows.join(few, keys, "left_semi").join(F.broadcast(hot_side), keys, how)
+    else:
+        hashed = [F.col(f"`{c}`") for c, kind in rows.dtypes if "map<" not in kind and "variant" not in kind]
+        dealt = rows.join(F.broadcast(hot), keys).withColumn("_salt", F.pmod(F.xxhash64(*hashed), F.col("_salts")).cast("int")).drop("_salts")
+        everywhere = hot_side.join(F.broadcast(hot), keys).withColumn("_salt", F.explode(F.sequence(F.lit(0), F.col("_salts") - 1))).drop("_salts")
+        some = dealt.join(everywhere, [*keys, "_salt"], how).drop("_salt")
     return cold.unionByName(some)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_dedup, media, mixing, ngram_lm, quality, secrets, simhash, toxicity, url_filters
+from . import decontaminate, line_dedup, media, mixing, ngram_lm, odd_sketch, prefix_trie, quality, secrets, simhash, spelling, toxicity, url_filters
 from .common import remainder
 
 
@@ -89,8 +89,20 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.spectral_landmarks(stored)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.group_variants(spelling.vocabulary(_table(spark, sf_dir, "documents")))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(*prefix_trie.rebuild(prefix_trie.number_turns(_table(spark, sf_dir, "conversations"))))
+
+
+def op13_odd_sketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return odd_sketch.near_duplicates(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op2_ngram_lm, op3_toxicity, op4_secrets, op5_decontaminate, op6_mixing, op7_simhash, op8_line_dedup, op9_quality, op10_media)}
+    return {f.__name__: f for f in (op1_url_filters, op2_ngram_lm, op3_toxicity, op4_secrets, op5_decontaminate, op6_mixing, op7_simhash, op8_line_dedup, op9_quality, op10_media, op11_spelling, op12_prefix_trie, op13_odd_sketch)}
 
 
 URL_FILTERS_SQL = r"""
@@ -146,5 +158,66 @@ SELECT d.doc_id, rest.text, coalesce(lines_removed, 0) AS lines_removed FROM doc
 """
 
 
+_LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def _crc32_sql(text: str) -> str:
+    """CRC32 of a text of code points up to U+00FF, four bits at a time."""
+    table = []
+    for i in range(16):
+        for _ in range(4):
+            i = i >> 1 ^ (0xEDB88320 if i & 1 else 0)
+        table.append(i)
+    bits = "flatten(list_transform(string_split({}, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c) & 15, unicode(c) >> 4] ELSE [3, 12, (unicode(c) - 64) & 15, (unicode(c) - 64) >> 4] END))".format(text)
+    return f"xor(list_reduce({bits}::BIGINT[], lambda a, b: xor(a >> 4, CAST({table} AS BIGINT[])[xor(a & 15, b) + 1]), 4294967295), 4294967295)"
+
+
+_RUNS = r"unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{6,}'))"
+SPELLING_SQL = rf"""
+WITH RECURSIVE runs AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_LOWER.format(_RUNS)} AS run FROM documents),
+k AS (SELECT id, run, count(*) AS k FROM runs GROUP BY ALL), h AS (SELECT run, k, {_crc32_sql("id || ':' || run")} AS h FROM k),
+w AS MATERIALIZED (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM h GROUP BY ALL HAVING n >= 5 AND length(word) >= 6),
+cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
+near AS (SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
+    UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON rest = w.word UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON rest = w.word),
+best AS (SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM near),
+judged AS MATERIALIZED (SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 5 * n THEN near END AS form, CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM w LEFT JOIN best ON best.word = w.word AND place = 1),
+chain AS (SELECT word, word AS root FROM judged UNION ALL SELECT chain.word, form FROM chain JOIN judged ON root = judged.word WHERE form IS NOT NULL)
+SELECT judged.*, root FROM judged JOIN chain USING (word) WHERE NOT EXISTS (SELECT 1 FROM judged up WHERE up.word = root AND up.form IS NOT NULL)
+"""
+
+PREFIX_TRIE_SQL = f"""
+WITH t AS (SELECT conv_id, md5(coalesce(role, '')) || md5(coalesce(text, '')) AS said, strlen(coalesce(text, '')) AS bytes,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, {_crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM (SELECT DISTINCT conv_id FROM t)),
+rebuilt AS (SELECT c.conv_id, 0 AS part, p, said, bytes FROM c JOIN t ON t.conv_id = c.conv_id - c.conv_id % 5 AND p <= h UNION ALL SELECT c.conv_id, 1, p, said, bytes FROM c JOIN t ON t.conv_id = c.conv_id AND p > h),
+s AS (SELECT conv_id, said, bytes, row_number() OVER (PARTITION BY conv_id ORDER BY part, p) AS d FROM rebuilt),
+pre AS MATERIALIZED (SELECT conv_id, d, bytes, string_agg(said, '') OVER (PARTITION BY conv_id ORDER BY d) AS k FROM s UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+m AS MATERIALIZED (SELECT d, k, min(conv_id) AS owner, count(*) AS n, max(bytes) AS bytes FROM pre GROUP BY d, k),
+o AS MATERIALIZED (SELECT pre.conv_id, d, owner FROM pre JOIN m USING (d, k)),
+tree AS MATERIALIZED (SELECT m.owner, m.d, n, bytes, above.owner AS up, (SELECT count(*) FROM m x JOIN o y ON y.conv_id = x.owner AND y.d = x.d - 1 WHERE y.owner = m.owner AND y.d = m.d) AS kids
+    FROM m LEFT JOIN o above ON above.conv_id = m.owner AND above.d = m.d - 1),
+sums AS (SELECT o.owner, o.d, sum((n - 1) * bytes) AS saved, count(*) FILTER (kids = 0) AS leaves FROM tree JOIN o ON o.conv_id = tree.owner AND o.d <= tree.d GROUP BY ALL),
+ends AS (SELECT owner, d, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT * FROM o QUALIFY d = max(d) OVER (PARTITION BY conv_id)) GROUP BY ALL)
+SELECT tree.owner AS conv_id, tree.d AS depth, up AS parent_conv_id, n AS n_convs, kids AS n_children, leaves AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM tree JOIN sums USING (owner, d) LEFT JOIN ends USING (owner, d)
+"""
+
+ODD_SKETCH_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, coalesce(regexp_extract_all({_LOWER.format("text")}, '[^ 	-
+]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT doc_id, unnest(list_distinct(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END)) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b USING (g) WHERE a.doc_id <> b.doc_id GROUP BY ALL),
+links AS MATERIALIZED (SELECT a, b FROM common JOIN n x ON a = x.doc_id JOIN n y ON b = y.doc_id WHERE 100 * c >= 85 * (x.n + y.n - c)),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, links.b FROM reach JOIN links ON links.a = reach.b),
+least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM least LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_url_filters": URL_FILTERS_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op8_line_dedup": LINE_DEDUP_SQL}
+    return {
+        "op1_url_filters": URL_FILTERS_SQL, "op5_decontaminate": DECONTAMINATE_SQL, "op8_line_dedup": LINE_DEDUP_SQL,
+        "op11_spelling": SPELLING_SQL, "op12_prefix_trie": PREFIX_TRIE_SQL, "op13_odd_sketch": ODD_SKETCH_SQL,
+    }
