@@ -176,7 +176,8 @@ _RUNS = r"unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]{6,}'))"
 SPELLING_SQL = rf"""
 WITH RECURSIVE runs AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_LOWER.format(_RUNS)} AS run FROM documents),
 k AS (SELECT id, run, count(*) AS k FROM runs GROUP BY ALL), h AS (SELECT run, k, {_crc32_sql("id || ':' || run")} AS h FROM k),
-w AS MATERIALIZED (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, CAST(sum(k) AS BIGINT) AS n FROM h GROUP BY ALL HAVING n >= 5 AND length(word) >= 6),
+said AS (SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, k FROM h),
+w AS MATERIALIZED (SELECT word, CAST(sum(k) AS BIGINT) AS n FROM said WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
 cut AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT *, unnest(range(1, length(word) + 1)) AS i FROM w)),
 near AS (SELECT x.word, y.word AS near, y.n AS near_n FROM cut x JOIN cut y ON x.i = y.i AND x.rest = y.rest AND x.word <> y.word
     UNION SELECT cut.word, w.word, w.n FROM cut JOIN w ON rest = w.word UNION SELECT w.word, cut.word, cut.n FROM cut JOIN w ON rest = w.word),
