@@ -1,6 +1,6 @@
 """Near-duplicates of high similarity, by MinHash bands whose candidates are judged on odd sketches.
 
-A document's set holds its different shingles of five words.  ``SAMPLES`` minima of hashed shingles stand for it; two sets agree
+A document's set holds its different shingles of five words.  ``SAMPLES`` minima of its hashes stand for it; two sets agree
 in a sample with a chance of their Jaccard similarity.
 
 * Bands.  ``BANDS`` runs of ``ROWS`` minima are hashed to keys.  Sets of similarity 0.85 share no key once in a hundred
@@ -8,15 +8,18 @@ in a sample with a chance of their Jaccard similarity.
 * Odd sketch.  Every minimum flips one of ``BITS`` bits.  What two sets have in common flips a bit twice or not at all in
   the exclusive or of their sketches, so its ones count what they differ in, most precisely when that is little.  A
   pair under one key goes on only if that count is at most ``LIMIT``, which is derived from the exact
-  distribution of the count at the wanted similarity: it loses a link once in a hundred million times.
+  distribution of the count at the wanted similarity: it loses a link once in a million times.
+  A second sketch of ``WHOLE`` bits is flipped by every shingle of the set.  Its ones are never more than the shingles
+  that two sets differ in, which their sizes bound at the wanted similarity: it loses nothing, and tells sets of up to
+  some two thousand shingles apart almost exactly; larger ones are left to the minima.
 * Full sets.  What goes on is confirmed on the whole sets of 64-bit shingle hashes.  They are made anew from the texts
   of candidates alone, as all sets together would be larger than the texts.
 
 Components need not all pairs.  Under every key all members are first compared with one hub, the member nearest to
 the majority of their sketches.  After that only *outsiders*, whose component is not the hub's, are compared with
 members of other components; the sketches are compared in the join itself, and of the candidates of
-an outsider in one component only the likeliest few are confirmed, more from round to round, until it is linked or none is left.  So
-no link between components is lost, and a large group of copies costs a pair a copy and key.  Crowded keys are salted.
+an outsider only the likeliest few are confirmed, more from round to round, until it is linked or none is left.  So
+no link between components is lost, and a large group of copies costs a pair a copy.  Crowded keys are salted.
 
 Defined results: equal sets are one text, however many documents have it; a null or wordless text has an empty set, no link
 and its own id as component; fewer words than a shingle are one shingle; rows that repeat share a component; a
@@ -40,13 +43,14 @@ from .components import connected_components
 from .simhash import _centres, _shingle_bounds
 
 SHINGLE, PERCENT = 5, 85
-BANDS, ROWS, BITS = 32, 5, 256
+#: Bands and the minima of each; bits of the sketch of the minima, and of that of the whole set.
+BANDS, ROWS, BITS, WHOLE = 32, 5, 256, 512
 SAMPLES = BANDS * ROWS
 #: Members of a key that one task compares an outsider with.
 SALTED = 4096
 
 
-def ones_limit(similarity: float, samples: int = SAMPLES, bits: int = BITS, lost: float = 1e-8) -> int:
+def ones_limit(similarity: float, samples: int = SAMPLES, bits: int = BITS, lost: float = 1e-6) -> int:
     """The least count of ones that two sketches at this similarity exceed with a chance of at most ``lost``."""
     # After each flip the number of odd bits is one more or one less; a sample that differs flips twice.
     odd, over = np.zeros(bits + 1), np.zeros(bits + 1)
@@ -61,6 +65,9 @@ def ones_limit(similarity: float, samples: int = SAMPLES, bits: int = BITS, lost
 
 
 LIMIT = ones_limit(PERCENT / 100)
+#: Words of the sketch of the minima, and of that of the whole set after them.
+_MINIMA, _WHOLE = [f"_s{i}" for i in range(BITS // 64)], [f"_w{i}" for i in range(WHOLE // 64)]
+_WORDS = _MINIMA + _WHOLE
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE):
@@ -88,10 +95,10 @@ def _names(values: np.ndarray, heads: np.ndarray, counts: np.ndarray) -> list[by
 
 
 def sketch_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
-    """For every row the name of its set (None if empty), its size, the keys of its bands and its odd sketch."""
+    """For every row the name of its set (None if empty), its size, the keys of its bands and the words of its odd sketches."""
     rows = len(offsets) - 1
     names, sizes = [None] * rows, np.zeros(rows, np.int64)
-    keys, sketch = np.zeros((rows, BANDS), np.uint64), np.zeros((rows, BITS // 64), np.uint64)
+    keys, sketch = np.zeros((rows, BANDS), np.uint64), np.zeros((rows, len(_WORDS)), np.uint64)
     multipliers = mix(np.arange(1, SAMPLES + 1, dtype=np.uint64)) | np.uint64(1)
     for first, last, values, counts in shingle_sets(data, offsets, shingle):
         full = np.flatnonzero(counts)
@@ -107,12 +114,13 @@ def sketch_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = SHINGLE) -
             keys[at, s // ROWS] = mix(keys[at, s // ROWS] * np.uint64(31) + least + np.uint64(s // ROWS))
             bit = least % np.uint64(BITS)
             sketch[at, (bit // np.uint64(64)).astype(np.int64)] ^= np.uint64(1) << (bit % np.uint64(64))
+        bit = mix(values) % np.uint64(WHOLE)
+        one, word = np.uint64(1) << (bit % np.uint64(64)), bit // np.uint64(64)
+        for i in range(WHOLE // 64):
+            sketch[at, BITS // 64 + i] = np.bitwise_xor.reduceat(np.where(word == i, one, np.uint64(0)), heads)
     return names, sizes, keys, sketch
 
 
-_WORDS = [f"_s{i}" for i in range(BITS // 64)]
-
-
 def _add_sketches(docs: DataFrame, shingle: int) -> DataFrame:
     """docs (..., text) without the text and with _t, _n, _bands and the words of the sketch."""
     names = [c for c in docs.columns if c != "text"]
@@ -144,10 +152,16 @@ def _full_sets(docs: DataFrame, shingle: int) -> DataFrame:
     return docs.select("text").mapInArrow(run, "_t binary, _set array<long>")
 
 
+def _ones(other: str, names: list[str]) -> Column:
+    return sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{other}{s}"))) for s in names), F.lit(0))
+
+
 def _alike(limit: int, percent: int, other: str) -> Column:
     """Whether sizes allow the similarity and the sketches make it likely."""
-    ones = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"{other}{s}"))) for s in _WORDS), F.lit(0))
-    return (100 * F.least("_n", f"{other}_n") >= percent * F.greatest("_n", f"{other}_n")) & (ones <= limit)
+    sizes = 100 * F.least("_n", f"{other}_n") >= percent * F.greatest("_n", f"{other}_n")
+    # Sets of sizes a and b and similarity s differ in (a + b)(1 - s) / (1 + s) shingles.
+    differ = (100 + percent) * _ones(other, _WHOLE) <= (100 - percent) * (F.col("_n") + F.col(f"{other}_n"))
+    return sizes & differ & (_ones(other, _MINIMA) <= limit)
 
 
 class _Sets:
@@ -188,30 +202,31 @@ def similar_components(texts: DataFrame, sets: _Sets, percent: int) -> DataFrame
     best = centred.groupBy("_key").agg(F.min(F.struct(F.bit_count(F.col("_s0").bitwiseXOR(F.col("_centre"))).alias("apart"), "_t", "_n", *_WORDS)).alias("h"))
     hubs = materialise(best.select("_key", *[F.col(f"h.{c}").alias(f"h{c}") for c in ("_t", "_n", *_WORDS)]), "hubs")
     met = join_by_key(members, hubs, ["_key"], copies=shared, row_bytes=80).filter(F.col("_t") != F.col("h_t")).filter(_alike(limit, percent, "h"))
-    tested = materialise(_pairs(met, "_t", "h_t"), "candidate-pairs")
-    links, most = sets.confirm(tested, percent), 1
+    # A text asks the likeliest hub of all its keys.
+    likeliest = met.groupBy("_t").agg(F.min(F.struct(_ones("h", _WORDS).alias("ones"), "h_t")).alias("b"))
+    tested = materialise(_pairs(likeliest.select("_t", "b.h_t"), "_t", "h_t"), "candidate-pairs")
+    confirmed, links, most, labels = sets.confirm(tested, percent), None, 1, None
     while True:
-        labels = materialise(connected_components(links), "labels")
-        named = members.join(labels.withColumnRenamed("id", "_t"), "_t", "left").withColumn("_label", F.coalesce("component", "_t")).drop("component")
-        main = hubs.select("_key", F.col("h_t").alias("_t")).join(labels.withColumnRenamed("id", "_t"), "_t", "left").select("_key", F.coalesce("component", "_t").alias("_main"))
-        named = materialise(join_by_key(named, main, ["_key"], copies=shared, row_bytes=32), "labelled-members")
-        outside = named.filter("_label != _main")
-        open_ = materialise(outside.groupBy("_key").agg(F.count("*").alias("n")), "open-keys")
-        if open_.isEmpty():
-            return labels.select(F.col("id").alias("_t"), "component")
+        if labels is None or not confirmed.isEmpty():
+            links = confirmed if links is None else links.unionByName(confirmed)
+            labels = materialise(connected_components(links), "labels")
+            named = members.join(labels.withColumnRenamed("id", "_t"), "_t", "left").withColumn("_label", F.coalesce("component", "_t")).drop("component")
+            main = hubs.select("_key", F.col("h_t").alias("_t")).join(labels.withColumnRenamed("id", "_t"), "_t", "left").select("_key", F.coalesce("component", "_t").alias("_main"))
+            named = materialise(join_by_key(named, main, ["_key"], copies=shared, row_bytes=32), "labelled-members")
+            outside = named.filter("_label != _main")
+            open_ = materialise(outside.groupBy("_key").agg(F.count("*").alias("n")), "open-keys")
         inside = join_by_key(named, open_.select("_key"), ["_key"], "left_semi", shared, row_bytes=8)
         salts = F.ceil(F.col("_size") / SALTED).cast("int")
         inside = inside.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("_key", "_salt", *[F.col(c).alias(f"o{c}") for c in ("_t", "_n", "_label", *_WORDS)])
         asking = outside.withColumn("_salt", F.pmod(F.xxhash64("_t"), salts).cast("int")).select("_key", "_salt", "_t", "_n", "_label", *_WORDS).alias("a")
         met = asking.join(inside.alias("b"), (F.col("a._key") == F.col("b._key")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("_label") != F.col("o_label")) & _alike(limit, percent, "o"))
-        likely = met.select("_t", "o_t", "o_label", sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"o{s}"))) for s in _WORDS), F.lit(0)).alias("ones"))
-        # Tried ones are passed over; of the rest the likeliest of each share of a component goes on.
-        fresh = likely.withColumn("src", F.least("_t", "o_t")).withColumn("dst", F.greatest("_t", "o_t")).join(tested, ["src", "dst"], "left_anti")
-        some = fresh.groupBy("_t", "o_label", F.pmod(F.xxhash64("o_t"), F.lit(most)).alias("share")).agg(F.min(F.struct("ones", "o_t")).alias("b"))
+        # Tried ones are passed over; of the rest the likeliest of each share goes on.
+        fresh = met.select(F.least("_t", "o_t").alias("src"), F.greatest("_t", "o_t").alias("dst"), "_t", "o_t", _ones("o", _WORDS).alias("ones")).join(tested, ["src", "dst"], "left_anti")
+        some = fresh.groupBy("_t", F.pmod(F.xxhash64("o_t"), F.lit(most)).alias("share")).agg(F.min(F.struct("ones", "o_t")).alias("b"))
         asked = materialise(_pairs(some.select("_t", "b.o_t"), "_t", "o_t"), "candidate-pairs")
         if asked.isEmpty():
             return labels.select(F.col("id").alias("_t"), "component")
-        links, tested, most = links.unionByName(sets.confirm(asked, percent)), tested.unionByName(asked), most * 8
+        confirmed, tested, most = sets.confirm(asked, percent), tested.unionByName(asked), most * 16
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
