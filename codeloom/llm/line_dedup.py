@@ -17,8 +17,7 @@ Intermediate tables (shared halves, rivals, lost lines) are broadcast only if th
 few (``BROADCAST_BYTES``); larger ones, and in any case the tables of all lines, are joined by a shuffle that
 leaves out hot keys (``join_by_key``), so a line or half that very many documents share is not gathered in one task.
 
-Lines of fewer than ``min_words`` words (three, as in op8's SQL; the pipeline takes one) stay where they are, as
-headings and separators do, and so does any line without spaces then, however long; lines of fewer
+Every line that is not blank takes part, however short; ``min_words`` can leave out lines of fewer words.  Lines of fewer
 than ``near_min_words`` (five) are compared for equality only.
 
 Defined results: a null text stays null and an empty one empty; a document all of whose lines go has an
@@ -35,7 +34,7 @@ from pyspark.sql import Window as W
 
 from .common import join_by_key, materialise, packed, small, without
 
-MIN_WORDS, NEAR_MIN_WORDS = 3, 5
+MIN_WORDS, NEAR_MIN_WORDS = 1, 5
 BROADCAST_BYTES = 8 << 20
 
 

@@ -144,7 +144,7 @@ FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
 LINE_DEDUP_SQL = """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n FROM documents),
 w AS (SELECT doc_id, n, line, list_filter(string_split(replace(line, chr(9), ' '), ' '), lambda x: x <> '') AS ws, row_number() OVER (ORDER BY doc_id, n) AS r FROM l),
-f AS (SELECT ws, min(r) AS r FROM w WHERE len(ws) >= 3 GROUP BY ws),
+f AS (SELECT ws, min(r) AS r FROM w WHERE len(ws) >= 1 GROUP BY ws),
 halves AS (SELECT r, ws, unnest([0, 1]) AS more FROM f WHERE len(ws) >= 5),
 keys AS (SELECT r, ws, len(ws) + more AS n, 'first' AS side, ws[1:(len(ws) + more - 1) // 2] AS half FROM halves
     UNION ALL SELECT r, ws, len(ws) + more, 'last', ws[len(ws) - (len(ws) + more - 1) // 2 + 1:] FROM halves),

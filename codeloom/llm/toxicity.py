@@ -29,7 +29,8 @@ from .labelled import training_rows
 MAX_TRAINING_ROWS = 8_000
 MODULUS, HELD_OUT, THRESHOLD = 3, 1, 0.7
 BITS, EPOCHS, ALPHA, BETA, L1, L2 = 22, 4, 1.0, 1.0, 10.0, 0.5
-#: What a toxic row counts against a clean one in training, as few rows are toxic.
+#: What a toxic row counts against a clean one in training, as few rows are toxic.  Of 1, 2, 4 and 8 it found most toxic rows
+#: without a false alarm in three folds of the training rows alone.
 TOXIC_WEIGHT = 4.0
 _GAPS = (1, 2)
 _STEMS, _STEM_TIMES = (4, 5, 6, 7), (1, 3)

@@ -5,7 +5,7 @@ import os
 import re
 
 import pytest
-from codeloom.llm import common, decontaminate, line_dedup, media, mixing, ngram_lm, quality, secrets, simhash, toxicity, url_filters
+from codeloom.llm import common, decontaminate, line_dedup, media, mixing, ngram_lm, odd_sketch, prefix_trie, quality, secrets, simhash, spelling, toxicity, url_filters
 from pyspark.sql import functions as F
 
 FOLDER = os.path.dirname(common.__file__)
@@ -47,6 +47,10 @@ def test_operators(spark, docs, labels):
     intact(decontaminate.find_matches(docs, test))
     intact(mixing.mix_sources(docs))
     intact(simhash.near_duplicates(docs))
+    intact(odd_sketch.near_duplicates(docs))
+    assert spelling.group_variants(spelling.vocabulary(docs, least_count=1)).count() > 5
+    turns = docs.withColumns({"conv_id": F.col("doc_id"), "turn": F.lit(1), "role": F.lit("user")})
+    assert prefix_trie.prefix_trie(*prefix_trie.rebuild(prefix_trie.number_turns(turns))).count() > 1
     intact(line_dedup.dedup_lines(docs, min_words=1))
     intact(quality.score_quality(docs, quality.train(docs, labels)))
     intact(media.spectral_landmarks(media.encode_wav(docs)))
