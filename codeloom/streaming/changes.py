@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.relational import invalidate, upsert_files
 from ..storage import written
+from .store import GraphStore
 
 #: In a burst the gravest event counts.
 PRIORITY = ("create", "change", "delete")
@@ -32,24 +33,28 @@ def apply_batch(nodes: DataFrame, edges: DataFrame, changes: DataFrame, new_node
     return upsert_files(nodes, edges, new_nodes, new_edges)
 
 
-def follow(changes: DataFrame, nodes: DataFrame, edges: DataFrame, read: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, timeout: int = 600) -> tuple[DataFrame, DataFrame]:
+def follow(changes: DataFrame, nodes: DataFrame, edges: DataFrame, read: Callable[[DataFrame], tuple[DataFrame, DataFrame]], checkpoint: str, timeout: int = 600, compact_every: int = 64) -> tuple[DataFrame, DataFrame]:
     """The graph after all micro-batches of a stream of changes (path, event_type) that are there now.
 
-    ``read`` gives the nodes and edges of the changed files (path) of a batch.  Each batch's graph is written before
-    the next one, so a batch that runs twice starts from the same graph.
+    ``read`` gives the nodes and edges of the changed files (path) of a batch.  The graph lies in a GraphStore beside the
+    checkpoint; batch n is its version n + 1.  Started again on the same checkpoint, the stream goes on with
+    that graph, and ``nodes`` and ``edges`` are not looked at; a batch that runs twice is entered once.
     """
-    graphs = {-1: (nodes, edges)}
+    store = GraphStore(nodes.sparkSession, f"{checkpoint.rstrip('/')}-graph")
+    if store.latest() is None:
+        store.create(nodes, edges)
 
     def step(batch: DataFrame, number: int) -> None:
-        last = graphs[max(n for n in graphs if n < number)]
+        if number + 1 <= store.latest():
+            return
         changed = written(batch.select("path", "event_type").distinct(), "changes")
-        fresh = read(changed.filter("event_type != 'delete'").select("path"))
         # A changed file without any definition is replaced by nothing.
-        gone = changed.select("path", F.lit("delete").alias("event_type"))
-        graphs[number] = tuple(written(t, "graph") for t in apply_batch(*last, gone, *fresh))
+        store.apply(number + 1, changed, *read(changed.filter("event_type != 'delete'").select("path")))
+        if (number + 1) % compact_every == 0:
+            store.compact()
 
     run = changes.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     if not run.awaitTermination(timeout):
         run.stop()
         raise TimeoutError("the stream of changes did not end")
-    return graphs[max(graphs)]
+    return store.nodes(), store.edges()

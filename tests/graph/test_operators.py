@@ -148,3 +148,18 @@ def test_upsert_keeps_incoming_edges_and_prunes_dangling(spark):
     now, left = relational.upsert_files(nodes, edges, spark.createDataFrame([node("a", "f")], schema.NODES), edges_of(spark, [("a", "a")]))
     assert sorted(r.id for r in now.collect()) == ["a", "c"]
     assert {(r.source_id, r.target_id) for r in left.collect()} == {("a", "a"), ("c", "a"), ("c", schema.STUB + "q")}
+
+
+def test_components_of_chains_rings_and_bridges(spark):
+    """Long paths, rings of nodes with one edge in and out, chains between components, and chains back to where they began."""
+    path = [(f"p{i:03}", f"p{i + 1:03}") for i in range(120)]
+    ring = [(f"r{i:02}", f"r{(i + 1) % 30:02}") for i in range(30)]
+    knot = [("k1", "k2"), ("k2", "k1"), ("k1", "k3"), ("k3", "k2")]
+    bridge = [("k3", "b1"), ("b1", "b2"), ("b2", "m1"), ("m1", "m2"), ("m2", "m1")]
+    back = [("k2", "c1"), ("c1", "c2"), ("c2", "c3"), ("c3", "k2")]
+    loop = [("s", "s"), ("s", "k1"), ("r05", "out1"), ("in1", "r07")]
+    got = {}
+    for r in cycles.components(edges_of(spark, path + ring + knot + bridge + back + loop)).collect():
+        got.setdefault(r.component, set()).add(r.id)
+    assert got == {"r29": {f"r{i:02}" for i in range(30)}, "k3": {"k1", "k2", "k3", "c1", "c2", "c3"}, "m2": {"m1", "m2"}}
+    assert cycles.components(edges_of(spark, path)).count() == 0
