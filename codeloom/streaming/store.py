@@ -24,12 +24,13 @@ BUCKETS = 32
 _COMMITS = "version long, base boolean"
 
 
-class GraphStore:
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
-        self.spark, self.folder, self.buckets = spark, folder.rstrip("/"), buckets
+class Versions:
+    """Folders of versions and the table that says which of them are entered."""
 
-    def _bucket(self, path: Column) -> Column:
-        return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
+    KINDS: tuple[str, ...] = ()
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
 
     def commits(self) -> list[tuple[int, bool]]:
         """Versions from the last base on, in order; empty before there is one."""
@@ -49,15 +50,38 @@ class GraphStore:
     def _commit(self, version: int, base: bool) -> None:
         self.spark.createDataFrame([(version, base)], _COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
-    def _write(self, kind: str, version: int, rows: DataFrame, path: Column) -> None:
-        rows.withColumn("bucket", self._bucket(path)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{kind}/version={version}")
-
     def _read(self, kind: str, schema: T.StructType) -> DataFrame:
-        """All rows of this kind of the versions since the last base, with version and bucket."""
+        """All rows of this kind of the versions since the last base, with their version."""
         paths = [f"{self.folder}/{kind}/version={v}" for v, _ in self.commits()]
-        full = T.StructType([*schema.fields, T.StructField("bucket", T.IntegerType()), T.StructField("version", T.LongType())])
+        full = T.StructType([*schema.fields, T.StructField("version", T.LongType())])
         return self.spark.read.schema(full).option("basePath", f"{self.folder}/{kind}").parquet(*paths)
 
+    def _last(self, kind: str, column: str) -> DataFrame:
+        """(column, _last): the last version that has each value."""
+        rows = self._read(kind, T.StructType([T.StructField(column, T.StringType())]))
+        return if_small(written(rows.groupBy(column).agg(F.max("version").alias("_last")), f"last-{kind}"))
+
+    def clean(self) -> None:
+        """Deletes the folders of versions before the last base, which no new reader needs."""
+        first = self.commits()[0][0]
+        for r in self.spark.read.schema(_COMMITS).parquet(f"{self.folder}/commits").distinct().filter(F.col("version") < first).collect():
+            for kind in self.KINDS:
+                remove(self.spark, f"{self.folder}/{kind}/version={r.version}")
+
+
+class GraphStore(Versions):
+    KINDS = ("nodes", "edges", "gone", "lost")
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = BUCKETS):
+        super().__init__(spark, folder)
+        self.buckets = buckets
+
+    def _bucket(self, path: Column) -> Column:
+        return F.pmod(F.xxhash64(path), F.lit(self.buckets)).cast("int")
+
+    def _write(self, kind: str, version: int, rows: DataFrame, path: Column) -> None:
+        rows.withColumn("bucket", self._bucket(path)).hint("rebalance", "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/{kind}/version={version}")
+
     def create(self, nodes: DataFrame, edges: DataFrame, version: int = 0) -> None:
         """Writes a graph as the base of a version; edges belong to the file of their source."""
         version = 2 * version + 1
@@ -73,12 +97,8 @@ class GraphStore:
     def _schema(self, kind: str) -> T.StructType:
         return self.spark.read.parquet(f"{self.folder}/schema/{kind}").schema
 
-    def _last(self, kind: str, column: str) -> DataFrame:
-        rows = self._read(kind, T.StructType([T.StructField(column, T.StringType())]))
-        return if_small(written(rows.groupBy(column).agg(F.max("version").alias("_last")), f"last-{kind}"))
-
     def _live_nodes(self, buckets: list[int] | None = None) -> DataFrame:
-        rows = self._read("nodes", self._schema("nodes"))
+        rows = self._read("nodes", T.StructType([*self._schema("nodes").fields, T.StructField("bucket", T.IntegerType())]))
         rows = rows if buckets is None else rows.filter(F.col("bucket").isin(buckets))
         return rows.join(self._last("gone", "path"), "path", "left").filter("_last is null or version >= _last")
 
@@ -125,10 +145,3 @@ class GraphStore:
         """Writes the merged graph as a base; readers start from it."""
         nodes, edges = written(self.nodes(), "compacted-nodes"), written(self.edges(), "compacted-edges")
         self.create(nodes, edges, self.latest())
-
-    def clean(self) -> None:
-        """Deletes the folders of versions before the last base, which no new reader needs."""
-        first = self.commits()[0][0]
-        for r in self.spark.read.schema(_COMMITS).parquet(f"{self.folder}/commits").distinct().filter(F.col("version") < first).collect():
-            for kind in ("nodes", "edges", "gone", "lost"):
-                remove(self.spark, f"{self.folder}/{kind}/version={r.version}")
