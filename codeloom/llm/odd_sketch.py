@@ -17,7 +17,7 @@ in a sample with a chance of their Jaccard similarity.
 
 Components need not all pairs.  Under every key all members are first compared with one hub, the member nearest to
 the majority of their sketches.  After that only *outsiders*, whose component is not the hub's, are compared with
-members of other components; the sketches are compared in the join itself, and of the candidates of
+members of other components, at first of large keys with a part of them, which links most; the sketches are compared in the join itself, and of the candidates of
 an outsider only the likeliest few are confirmed, more from round to round, until it is linked or none is left.  So
 no link between components is lost, and a large group of copies costs a pair a copy.  Crowded keys are salted.
 
@@ -48,6 +48,8 @@ BANDS, ROWS, BITS, WHOLE = 32, 5, 256, 512
 SAMPLES = BANDS * ROWS
 #: Members of a key that one task compares an outsider with.
 SALTED = 4096
+#: Of keys with more than CROWD members, outsiders first meet one in so many; then all.
+CROWD, PARTS = 32, (16, 1)
 
 
 def ones_limit(similarity: float, samples: int = SAMPLES, bits: int = BITS, lost: float = 1e-6) -> int:
@@ -205,7 +207,7 @@ def similar_components(texts: DataFrame, sets: _Sets, percent: int) -> DataFrame
     # A text asks the likeliest hub of all its keys.
     likeliest = met.groupBy("_t").agg(F.min(F.struct(_ones("h", _WORDS).alias("ones"), "h_t")).alias("b"))
     tested = materialise(_pairs(likeliest.select("_t", "b.h_t"), "_t", "h_t"), "candidate-pairs")
-    confirmed, links, most, labels = sets.confirm(tested, percent), None, 1, None
+    confirmed, links, most, labels, parts = sets.confirm(tested, percent), None, 1, None, list(PARTS)
     while True:
         if labels is None or not confirmed.isEmpty():
             links = confirmed if links is None else links.unionByName(confirmed)
@@ -218,15 +220,17 @@ def similar_components(texts: DataFrame, sets: _Sets, percent: int) -> DataFrame
         inside = join_by_key(named, open_.select("_key"), ["_key"], "left_semi", shared, row_bytes=8)
         salts = F.ceil(F.col("_size") / SALTED).cast("int")
         inside = inside.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("_key", "_salt", *[F.col(c).alias(f"o{c}") for c in ("_t", "_n", "_label", *_WORDS)])
-        asking = outside.withColumn("_salt", F.pmod(F.xxhash64("_t"), salts).cast("int")).select("_key", "_salt", "_t", "_n", "_label", *_WORDS).alias("a")
-        met = asking.join(inside.alias("b"), (F.col("a._key") == F.col("b._key")) & (F.col("a._salt") == F.col("b._salt")) & (F.col("_label") != F.col("o_label")) & _alike(limit, percent, "o"))
+        asking = outside.withColumn("_salt", F.pmod(F.xxhash64("_t"), salts).cast("int")).select("_key", "_salt", "_size", "_t", "_n", "_label", *_WORDS).alias("a")
+        drawn = F.pmod(F.xxhash64("_t"), F.lit(parts[0])) == F.pmod(F.xxhash64("o_t"), F.lit(parts[0]))
+        met = asking.join(inside.alias("b"), (F.col("a._key") == F.col("b._key")) & (F.col("a._salt") == F.col("b._salt")) & ((F.col("_size") <= CROWD) | drawn) & (F.col("_label") != F.col("o_label")) & _alike(limit, percent, "o"))
         # Tried ones are passed over; of the rest the likeliest of each share goes on.
         fresh = met.select(F.least("_t", "o_t").alias("src"), F.greatest("_t", "o_t").alias("dst"), "_t", "o_t", _ones("o", _WORDS).alias("ones")).join(tested, ["src", "dst"], "left_anti")
         some = fresh.groupBy("_t", F.pmod(F.xxhash64("o_t"), F.lit(most)).alias("share")).agg(F.min(F.struct("ones", "o_t")).alias("b"))
         asked = materialise(_pairs(some.select("_t", "b.o_t"), "_t", "o_t"), "candidate-pairs")
-        if asked.isEmpty():
+        confirmed, full = sets.confirm(asked, percent), len(parts) == 1
+        if asked.isEmpty() and full:
             return labels.select(F.col("id").alias("_t"), "component")
-        confirmed, tested, most = sets.confirm(asked, percent), tested.unionByName(asked), most * 16
+        tested, most, parts = tested.unionByName(asked), most * 256 if full else most, parts[1:] or parts
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
