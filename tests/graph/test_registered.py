@@ -5,11 +5,11 @@ import os
 
 import duckdb
 import pytest
-from codeloom.plans import queries, streams, tools, views, workspace_tools
+from codeloom.plans import queries, stores, streams, tools, views, workspace_tools
 
 FOLDER = "/root/testdata/sf0.001"
 SQL = queries.oracle_sql()
-MODULES = (tools, streams, views, workspace_tools)
+MODULES = (stores, tools, streams, views, workspace_tools)
 NAMES = [n for n in SQL if any(hasattr(m, n) and getattr(m, n).__module__ == m.__name__ for m in MODULES)] + ["g1_neighbourhood", "g9_cycle_edges", "g19_unused_exports", "g23_communities", "j8_best_match", "j9_module_resolution", "x15_signature_changes", "o1_page_edges"]
 
 
