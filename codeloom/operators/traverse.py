@@ -106,20 +106,30 @@ def impact(edges: DataFrame, root: DataFrame, depth: int = 3) -> DataFrame:
 def review_impact(edges: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
     """(id, dependents, partial) for every root (id): its dependents up to ``depth`` steps, and whether the walk was cut.
 
-    All roots are walked at once, each by its own visited set; the walk is cut if its last step still found some.
+    All roots are walked at once, 64 of them as the bits of one number: a node has a row for each 64 roots that it depends
+    on, steps are merged by ``bit_or``, and what a node had before is taken off.  The walk is cut if its last step
+    still found some.
     """
-    back = edges.select(F.col("target_id").alias("a"), F.col("source_id").alias("b")).distinct()
+    back = edges.select(F.col("target_id").alias("id"), F.col("source_id").alias("b")).distinct()
+    at = F.monotonically_increasing_id()
+    numbered = written(roots.select("id").distinct().select("id", F.shiftright(at, 6).alias("block"), at.bitwiseAND(F.lit(63)).cast("int").alias("bit")), "numbered-roots")
     rounds = Rounds("impact")
-    frontier = rounds.hold(roots.select(F.col("id").alias("root"), "id").distinct())
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bit"))
+    frontier = rounds.hold(numbered.select("id", "block", one.alias("mask")))
     visited = frontier.limit(0)
     for _ in range(depth):
-        found = frontier.join(back, F.col("id") == F.col("a")).select("root", F.col("b").alias("id")).distinct().join(visited, ["root", "id"], "left_anti")
-        frontier = rounds.hold(found)
-        visited, frontier = rounds.turn(visited.unionByName(frontier), frontier)
-    n = visited.groupBy("root").agg(F.count("*").alias("dependents"))
-    cut = frontier.select("root").distinct().withColumn("partial", F.lit(True))
-    joined = roots.select(F.col("id").alias("root")).distinct().join(n, "root", "left").join(cut, "root", "left")
-    return rounds.write(joined.select(F.col("root").alias("id"), F.coalesce("dependents", F.lit(0)).alias("dependents"), F.coalesce("partial", F.lit(False)).alias("partial")))[0]
+        told = frontier.join(back, "id").groupBy(F.col("b").alias("id"), "block").agg(F.bit_or("mask").alias("told"))
+        met = told.join(visited, ["id", "block"], "left").select("id", "block", F.col("told").bitwiseAND(F.bitwise_not(F.coalesce("mask", F.lit(0).cast("long")))).alias("mask"))
+        frontier = rounds.hold(met.filter("mask != 0"))
+        visited, frontier = rounds.turn(visited.unionByName(frontier).groupBy("id", "block").agg(F.bit_or("mask").alias("mask")), frontier)
+    bits = [F.shiftrightunsigned("mask", i).bitwiseAND(F.lit(1)) for i in range(64)]
+
+    def by_root(rows: DataFrame, name: str) -> DataFrame:
+        sums = rows.groupBy("block").agg(F.array(*[F.sum(b) for b in bits]).alias("sums"))
+        return sums.select("block", F.posexplode("sums").alias("bit", name))
+
+    joined = numbered.join(by_root(visited, "n"), ["block", "bit"], "left").join(by_root(frontier, "cut"), ["block", "bit"], "left")
+    return rounds.write(joined.select("id", F.coalesce("n", F.lit(0)).cast("long").alias("dependents"), F.coalesce(F.col("cut") > 0, F.lit(False)).alias("partial")))[0]
 
 
 def connected(edges: DataFrame, root: DataFrame) -> tuple[DataFrame, DataFrame]:

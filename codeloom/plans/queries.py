@@ -39,6 +39,19 @@ def query(sql: str | None):
     return register
 
 
+_EXAMPLES: dict[str, tuple[Query, str]] = {}
+
+
+def example(sql: str):
+    """For an operator over a written tree or list, with the rows to be given: a test's case, and no registered query."""
+
+    def register(f: Query) -> Query:
+        _EXAMPLES[f.__name__] = (f, sql)
+        return f
+
+    return register
+
+
 def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return tables.part_nodes(spark, sf_dir), tables.followers(spark, sf_dir)
 
@@ -350,3 +363,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {name: sql for name, (_, sql) in _FOUND.items() if sql}
+
+
+def examples() -> dict[str, tuple[Query, str]]:
+    return dict(_EXAMPLES)

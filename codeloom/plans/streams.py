@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..sources import files, tables
 from ..storage import shared_folder
 from ..streaming import changes, usage
-from .queries import _FOUND, NODES, query
+from .queries import _FOUND, NODES, example, query
 from .workspace_tools import _rows
 
 _EVENTS = "e AS (SELECT 'u' || user_id AS path, ts, CASE event_type WHEN 'error' THEN 'delete' WHEN 'purchase' THEN 'create' ELSE 'change' END AS event_type FROM events)"
@@ -71,7 +71,7 @@ _OUTCOMES = ["absent", "stored", "hit", "changed", "absent", "stored", "hit", "e
 _ANSWERS = [None, True, True, None, None, False, False, None]
 
 
-@query(_rows("source_path VARCHAR, hour INTEGER, used BOOLEAN, outcome VARCHAR", *[(a[0], a[4], used, outcome) for a, used, outcome in zip(_ASKED, _ANSWERS, _OUTCOMES, strict=True)]))
+@example(_rows("source_path VARCHAR, hour INTEGER, used BOOLEAN, outcome VARCHAR", *[(a[0], a[4], used, outcome) for a, used, outcome in zip(_ASKED, _ANSWERS, _OUTCOMES, strict=True)]))
 def t7_usage_cache(spark, sf_dir):
     """Questions and answers about usage over 26 hours, by a written list; the SQL has the outcome of each."""
     began = F.lit("2024-01-01 00:00:00").cast("timestamp")

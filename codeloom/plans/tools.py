@@ -9,7 +9,7 @@ from ..operators import graphs, relational, traverse
 from ..schema import STUB
 from ..sources import configs, definitions, imports, resolve, tables
 from ..storage import shared_folder, written
-from .queries import EDGES, FIRST, NODES, SUPPLIERS, _graph, _suppliers, query
+from .queries import EDGES, FIRST, NODES, SUPPLIERS, _graph, _suppliers, example, query
 from .views import _PER_SESSION, FILE_EDGES, LINKS, SYMBOLS, WITH, _file_edges, _sessions, _symbols
 
 _EXTS = ("ts", "tsx", "mts", "cts", "js", "mjs", "py", "pyi", "rs", "vue", "svelte", "gql", "graphql", "cs", "csproj", "go", "java", "toml", "md", "TS")
@@ -249,7 +249,7 @@ def _literal(spark, texts):
     return spark.createDataFrame([(p, t, _CODE_LANGS[p.rsplit(".", 1)[1]]) for p, t in texts.items()], "path string, text string, lang string")
 
 
-@query("SELECT path, name, CAST(complexity AS INTEGER) AS complexity, CAST(rank AS INTEGER) AS rank FROM (VALUES ('/ws/a.ts', 'forked', 5, 1), ('/ws/b.ts', 'chosen', 6, 1), ('/ws/C.vue', 'inside', 2, 1)) AS t(path, name, complexity, rank)")
+@example("SELECT path, name, CAST(complexity AS INTEGER) AS complexity, CAST(rank AS INTEGER) AS rank FROM (VALUES ('/ws/a.ts', 'forked', 5, 1), ('/ws/b.ts', 'chosen', 6, 1), ('/ws/C.vue', 'inside', 2, 1)) AS t(path, name, complexity, rank)")
 def o10_complex_functions(spark, sf_dir):
     return graphs.complex_functions(definitions.function_complexity(_literal(spark, _CODE)))
 
@@ -265,7 +265,7 @@ _IMPORTING = {
 }
 
 
-@query("""SELECT path, module, type, CAST(line AS INTEGER) AS line FROM (VALUES ('/ws/a.ts', './x', 'import', 1), ('/ws/a.ts', './z', 'export', 3), ('/ws/a.ts', 'r', 'require', 4), ('/ws/a.ts', './d', 'dynamic', 5), ('/ws/b.vue', './v', 'import', 2),
+@example("""SELECT path, module, type, CAST(line AS INTEGER) AS line FROM (VALUES ('/ws/a.ts', './x', 'import', 1), ('/ws/a.ts', './z', 'export', 3), ('/ws/a.ts', 'r', 'require', 4), ('/ws/a.ts', './d', 'dynamic', 5), ('/ws/b.vue', './v', 'import', 2),
     ('/ws/c.py', 'os', 'import', 1), ('/ws/c.py', 'sys', 'import', 1), ('/ws/c.py', '.', 'import', 2), ('/ws/c.py', '..pkg', 'import', 3), ('/ws/d.rs', 'crate::net::tcp', 'import', 1), ('/ws/d.rs', 'io', 'module', 2),
     ('/ws/e.go', 'fmt', 'import', 3), ('/ws/e.go', 'ex.com/g/pkg', 'import', 4), ('/ws/F.java', 'java.util.List', 'import', 1), ('/ws/F.java', 'com.x.Y', 'import', 2), ('/ws/g.gql', './frag.gql', 'import', 1)) AS t(path, module, type, line)""")
 def f13_imports(spark, sf_dir):
@@ -284,7 +284,7 @@ def _values(rows):
     return ", ".join("(" + ", ".join(f"'{v}'" for v in row) + ")" for row in rows)
 
 
-@query(f"SELECT * FROM (VALUES {_values((p, m, t) for p, m, _, t in _WANTED if t)}) AS t(path, module, target_path)")
+@example(f"SELECT * FROM (VALUES {_values((p, m, t) for p, m, _, t in _WANTED if t)}) AS t(path, module, target_path)")
 def x13_resolve_by_language(spark, sf_dir):
     wanted = spark.createDataFrame([w[:3] for w in _WANTED], "path string, module string, lang string")
     return resolve.resolve(wanted, spark.createDataFrame([(p,) for p in _TREE], "path string"), roots=("/w", "/w/src"), go_modules=configs.go_modules({"/g/go.mod": "module ex.com/g\n\ngo 1.22\n"}))
@@ -306,7 +306,7 @@ _BY_ALIAS = [
 ]
 
 
-@query(f"SELECT * FROM (VALUES {_values(r for r in _BY_ALIAS if r[2])}) AS t(path, module, target_path)")
+@example(f"SELECT * FROM (VALUES {_values(r for r in _BY_ALIAS if r[2])}) AS t(path, module, target_path)")
 def x14_config_aliases(spark, sf_dir):
     wanted = spark.createDataFrame([(p, m, "typescript") for p, m, _ in _BY_ALIAS], "path string, module string, lang string")
     return resolve.resolve(wanted, spark.createDataFrame([(p,) for p in _ALIASED], "path string"), scoped=configs.alias_table(spark, _CONFIGS))

@@ -8,7 +8,7 @@ from ..functions import compact
 from ..operators import cycles, relational, reports, symbols
 from ..sources import definitions, resolve, tables
 from ..storage import written
-from .queries import EDGES, FIRST, NODES, SUPPLIERS, _graph, _suppliers, query
+from .queries import EDGES, FIRST, NODES, SUPPLIERS, _graph, _suppliers, example, query
 
 LINKS = """links AS (SELECT source_id, target_id, s.path AS source_file, t.path AS target_file, type_relation = 'USES' AS is_type_only FROM edges JOIN nodes s ON source_id = s.id JOIN nodes t ON target_id = t.id)"""
 FILE_EDGES = "fe AS (SELECT DISTINCT source_file, target_file FROM links WHERE source_file <> target_file)"
@@ -207,6 +207,14 @@ def g11_cycle_paths(spark, sf_dir):
     return cycles.cycle_paths(_suppliers(spark, sf_dir), 3)
 
 
+@query(f"""WITH RECURSIVE {SUPPLIERS}, e AS (SELECT DISTINCT source_id AS a, target_id AS b FROM edges),
+    walk(head, tail, way) AS (SELECT a, b, CASE WHEN a = b THEN [a] ELSE [a, b] END FROM e WHERE a <= b
+        UNION ALL SELECT head, e.b, CASE WHEN e.b = head THEN way ELSE list_append(way, e.b) END FROM walk JOIN e ON e.a = tail WHERE tail <> head AND (e.b = head OR (e.b > head AND len(way) < 8 AND NOT list_contains(way, e.b))))
+    SELECT list_append(way, head) AS cycle, len(way) AS size FROM walk WHERE tail = head""")
+def g11_long_cycles(spark, sf_dir):
+    return cycles.cycle_paths(_suppliers(spark, sf_dir), 8)
+
+
 _SOURCES = {
     "/ws/a.ts": "import { help } from './b';\nexport function main() {\n  help();\n  const s = 'no()'; // no()\n}\nexport class Dog extends Animal {\n  bark() {\n    this.wag();\n  }\n  wag() { main(); }\n}\n",
     "/ws/b.ts": "export const help = (x) => {\n  return x;\n};\nexport class Animal {\n}\n",
@@ -215,7 +223,7 @@ _SOURCES = {
 }
 
 
-@query("""SELECT * FROM (VALUES ('/ws/a.ts:main', '/ws/b.ts:help', 'CALLS', 3), ('/ws/a.ts:Dog', '/ws/b.ts:Animal', 'INHERITS', 6), ('/ws/a.ts:bark', '/ws/a.ts:wag', 'CALLS', 8), ('/ws/a.ts:wag', '/ws/a.ts:main', 'CALLS', 10),
+@example("""SELECT * FROM (VALUES ('/ws/a.ts:main', '/ws/b.ts:help', 'CALLS', 3), ('/ws/a.ts:Dog', '/ws/b.ts:Animal', 'INHERITS', 6), ('/ws/a.ts:bark', '/ws/a.ts:wag', 'CALLS', 8), ('/ws/a.ts:wag', '/ws/a.ts:main', 'CALLS', 10),
     ('/ws/c.py:m', '/ws/c.py:n', 'CALLS', 3), ('/ws/c.py:n', '/ws/c.py:free', 'CALLS', 5), ('/ws/d.rs:speak', '/ws/d.rs:help', 'CALLS', 3), ('/ws/d.rs:Cat', '/ws/d.rs:Pet', 'IMPLEMENTS', 1)) AS t(source_id, target_id, type_relation, source_line)""")
 def x7_call_graph(spark, sf_dir):
     """Written sources, as the tables hold none; the SQL is the list of edges that they must give."""
