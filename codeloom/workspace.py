@@ -23,7 +23,12 @@ from .storage import written
 VERSION = 1
 TABLES = ("files", "imports", "file_edges", "nodes", "edges")
 #: Words of a question that say nothing about code.
-STOPWORDS = ("the", "and", "for", "with", "that", "this", "what", "which", "where", "how", "does", "are", "from", "into", "uses", "use", "all", "who", "calls", "is", "of", "in", "to", "me", "show", "find")
+STOPWORDS = (
+    "the", "and", "for", "with", "from", "that", "this", "have", "not", "how", "does", "what", "where", "why", "when",
+    "les", "des", "une", "dans", "pour", "avec", "sur", "par", "qui", "comment", "est", "sont", "fait",
+    "src", "dist", "index", "utils", "types", "test", "spec", "impl",
+    "function", "class", "method", "interface", "export", "import", "default", "const", "return", "async", "await",
+)
 
 
 @dataclass(frozen=True)
