@@ -49,7 +49,8 @@ def validity_intervals(entries: DataFrame) -> DataFrame:
     The next entry is looked up within a span, and else in the first entries of later spans.
     """
     rank = F.array_position(F.array(*map(F.lit, ACTIONS)), F.lower("action"))
-    dated = entries.select(F.lower("pattern").alias("pattern"), F.col("listed_at").alias("valid_from"), rank.alias("rank")).filter("pattern != '' and valid_from is not null and rank > 0")
+    # A pattern means the same with a slash at its end.
+    dated = entries.select(F.regexp_replace(F.lower("pattern"), "/+$", "").alias("pattern"), F.col("listed_at").alias("valid_from"), rank.alias("rank")).filter("pattern != '' and valid_from is not null and rank > 0")
     dated = dated.groupBy("pattern", "valid_from").agg(F.max("rank").cast("int").alias("rank")).withColumn("span", _span(F.col("valid_from")))
     firsts = dated.groupBy("pattern", "span").agg(F.min("valid_from").alias("first"))
     later = firsts.select("pattern", "span", F.lead("first").over(W.partitionBy("pattern").orderBy("span")).alias("_later"))

@@ -56,3 +56,10 @@ def test_allowed_keeps_columns(spark):
     df = spark.createDataFrame([(1, "http://a.com", "k"), (2, "http://b.com", "k")], "id int, url string, pattern string").withColumn("fetched_at", F.lit("2021-01-01").cast("date"))
     kept = url_filters.allowed(df, spark.createDataFrame([("a.com", dt.date(2020, 1, 1), "block")], "pattern string, listed_at date, action string"))
     assert kept.columns == df.columns and [r.id for r in kept.collect()] == [2]
+
+
+def test_a_slash_at_the_end_of_a_pattern_means_nothing(spark):
+    entries = [("a.com/en/", dt.date(2020, 1, 1), "block"), ("b.com//", dt.date(2020, 1, 1), "block"), ("/", dt.date(2020, 1, 1), "block")]
+    captures = [(1, "http://a.com/en/x", dt.date(2021, 1, 1), ""), (2, "http://b.com/y", dt.date(2021, 1, 1), ""), (3, "http://c.com/", dt.date(2021, 1, 1), "")]
+    got = url_filters.decide(spark.createDataFrame(captures, "id long, url string, fetched_at date, text string"), spark.createDataFrame(entries, "pattern string, listed_at date, action string"))
+    assert {r.id: (r.blocked, r.pattern) for r in got.collect()} == {1: (True, "a.com/en"), 2: (True, "b.com"), 3: (False, None)}
