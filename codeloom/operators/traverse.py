@@ -8,6 +8,7 @@ beyond that.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -16,6 +17,7 @@ from pyspark.sql import Window as W
 
 from ..schema import STUB
 from ..storage import BROADCAST_ROWS, Rounds, if_small, written
+from .adjacency import Adjacency
 
 
 class Reached(NamedTuple):
@@ -38,18 +40,23 @@ def usable(edges: DataFrame, relations: list[str] | None = None, stubs: bool = F
     return kept if stubs else kept.filter(~F.startswith("source_id", F.lit(STUB)) & ~F.startswith("target_id", F.lit(STUB)))
 
 
-def reach(edges: DataFrame, seeds: DataFrame, depth: int | None, direction: str = "out", gate: DataFrame | None = None) -> Reached:
+def hop_from(ways: list[DataFrame], few: DataFrame) -> DataFrame:
+    """(id) of where the steps (a, b) of any of the ways lead from a frontier (a)."""
+    return reduce(DataFrame.unionByName, [way.join(few, "a", "left_semi").select(F.col("b").alias("id")) for way in ways]).distinct()
+
+
+def reach(edges: DataFrame | Adjacency, seeds: DataFrame, depth: int | None, direction: str = "out", gate: DataFrame | None = None) -> Reached:
     """Breadth-first search from seeds (id).  With ``gate`` (id), only nodes in it are expanded."""
-    step = steps(edges, direction)
+    ways = edges.steps(direction) if isinstance(edges, Adjacency) else [steps(edges, direction)]
     if gate is not None:
-        step = step.join(gate.select(F.col("id").alias("a")).distinct(), "a", "left_semi")
+        ways = [way.join(gate.select(F.col("id").alias("a")).distinct(), "a", "left_semi") for way in ways]
     rounds = Rounds("reached")
     frontier = written(seeds.select("id").distinct().withColumn("depth", F.lit(0)), "seeds")
     visited, hop, n = frontier, 0, frontier.count()
     while True:
         few = frontier.select(F.col("id").alias("a"))
         few = F.broadcast(few) if n <= BROADCAST_ROWS else few
-        found = step.join(few, "a", "left_semi").select(F.col("b").alias("id")).distinct().join(visited.select("id"), "id", "left_anti")
+        found = hop_from(ways, few).join(visited.select("id"), "id", "left_anti")
         found = rounds.hold(found.withColumn("depth", F.lit(hop + 1)))
         n = found.count()
         if not n or (depth is not None and hop >= depth):

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import relational
+from ..operators import relational, traverse
+from ..operators.adjacency import Adjacency
 from ..sources import tables
 from ..sources.token_index import TokenIndex
 from ..storage import shared_folder
 from ..streaming.store import GraphStore
-from .queries import EDGES, NODES, query
+from .queries import _IN, _OUT, EDGES, NODES, TRADES, _bfs, query
 
 _RENAMED = "CASE WHEN path LIKE '%2.src' THEN 'green_' || name ELSE name END"
 
@@ -82,3 +83,19 @@ def g9_largest_component(spark, sf_dir):
     member = cycles.components(tables.followers(spark, sf_dir))
     size = member.groupBy("component").agg(F.count("*").alias("n"))
     return member.join(F.broadcast(size.orderBy(F.desc("n"), F.desc("component")).limit(1)), "component").select("id", "component")
+
+
+@query(_bfs(TRADES, "u", 3) + " SELECT id, depth FROM near")
+def g1_bucketed(spark, sf_dir):
+    """The neighbourhood of g1 over edges that are kept bucketed by either end."""
+    edges = tables.trades(spark, sf_dir)
+    return traverse.reach(Adjacency.build(edges), edges.agg(F.min("source_id").alias("id")), 3, "both").nodes
+
+
+@query(_bfs(EDGES, _OUT, 3) + ", " + _bfs(EDGES, _IN, 3).split("UNION SELECT target_id, source_id FROM edges), ")[1].replace("r(id", "q(id").replace("FROM r", "FROM q").replace("= r.id", "= q.id").replace("near AS", "back AS") + " SELECT id, depth, 'out' AS way FROM near UNION ALL SELECT id, depth, 'in' FROM back")
+def g3_bucketed_ways(spark, sf_dir):
+    """Callees and callers over the whole graph of followers, by two walks over edges that are kept once."""
+    edges = tables.followers(spark, sf_dir)
+    kept, root = Adjacency.build(edges), edges.agg(F.min("source_id").alias("id"))
+    ways = [traverse.reach(kept, root, 3, way).nodes.withColumn("way", F.lit(way)) for way in ("out", "in")]
+    return ways[0].unionByName(ways[1])
