@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import relational, traverse
 from ..operators.adjacency import Adjacency
-from ..sources import tables
+from ..sources import rollup, tables
 from ..sources.token_index import TokenIndex
 from ..storage import shared_folder
 from ..streaming.store import GraphStore
@@ -99,3 +99,15 @@ def g3_bucketed_ways(spark, sf_dir):
     kept, root = Adjacency.build(edges), edges.agg(F.min("source_id").alias("id"))
     ways = [traverse.reach(kept, root, 3, way).nodes.withColumn("way", F.lit(way)) for way in ("out", "in")]
     return ways[0].unionByName(ways[1])
+
+
+@query("""SELECT 'o/' || o_custkey % 100 || '/' || o_custkey || '/' || o_orderkey AS path, CASE WHEN o_custkey % 97 = 0 THEN 'new' ELSE 'changed' END AS status FROM orders WHERE o_custkey % 97 = 0 OR o_orderkey % 500 = 0
+    UNION ALL SELECT 'gone/' || o_orderkey, 'gone' FROM orders WHERE o_orderkey % 1000 = 0""")
+def t5_stale_below(spark, sf_dir):
+    """Every order as a file below its customer's folder: what is new, changed or gone, by digests of folders."""
+    o = tables.table(spark, sf_dir, "orders")
+    path = F.concat(F.lit("o/"), F.col("o_custkey") % 100, F.lit("/"), "o_custkey", F.lit("/"), "o_orderkey")
+    now = o.select(path.alias("path"), F.col("o_orderkey").alias("mtime_ms"), F.col("o_custkey").alias("size"))
+    gone = o.filter("o_orderkey % 1000 = 0").select(F.concat(F.lit("gone/"), "o_orderkey").alias("path"), F.lit(1).cast("long").alias("mtime_ms"), F.lit(1).cast("long").alias("size"))
+    then = now.filter("size % 97 != 0").withColumn("mtime_ms", F.col("mtime_ms") - (F.col("mtime_ms") % 500 == 0).cast("int")).unionByName(gone)
+    return rollup.stale_below(now, then)[0]
