@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import relational, traverse
+from ..operators import maintain, relational, traverse
 from ..operators.adjacency import Adjacency
 from ..sources import rollup, tables
 from ..sources.token_index import TokenIndex
 from ..storage import shared_folder
 from ..streaming.store import GraphStore
-from .queries import _IN, _OUT, EDGES, NODES, TRADES, _bfs, query
+from .queries import _IN, _OUT, EDGES, FIRST, NODES, TRADES, _bfs, query
 
 _RENAMED = "CASE WHEN path LIKE '%2.src' THEN 'green_' || name ELSE name END"
 
@@ -111,3 +111,13 @@ def t5_stale_below(spark, sf_dir):
     gone = o.filter("o_orderkey % 1000 = 0").select(F.concat(F.lit("gone/"), "o_orderkey").alias("path"), F.lit(1).cast("long").alias("mtime_ms"), F.lit(1).cast("long").alias("size"))
     then = now.filter("size % 97 != 0").withColumn("mtime_ms", F.col("mtime_ms") - (F.col("mtime_ms") % 500 == 0).cast("int")).unionByName(gone)
     return rollup.stale_below(now, then)[0]
+
+
+@query(f"WITH RECURSIVE {NODES}, {FIRST}, e AS (SELECT source_id, target_id FROM edges WHERE type_relation <> 'INHERITS' OR source_line > 2), r(id) AS (SELECT id FROM nodes WHERE type = 'class' AND is_exported UNION SELECT target_id FROM r JOIN e ON source_id = r.id) SELECT id FROM r")
+def g31_maintained_alive(spark, sf_dir):
+    """What exported classes lead to, kept up to date after some edges went and others came."""
+    nodes, edges = tables.part_nodes(spark, sf_dir), tables.first_followers(spark, sf_dir)
+    roots, gone = nodes.filter("type = 'class' and is_exported"), edges.filter("type_relation = 'INHERITS' and source_line <= 2")
+    late = edges.filter("type_relation = 'USES'")
+    before = maintain.alive(edges.filter("type_relation != 'USES'"), roots)
+    return maintain.maintain(before, edges.filter("type_relation != 'INHERITS' or source_line > 2"), roots, gone, late).alive
