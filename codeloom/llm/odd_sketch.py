@@ -227,10 +227,13 @@ def similar_components(texts: DataFrame, sets: _Sets, percent: int) -> DataFrame
         fresh = met.select(F.least("_t", "o_t").alias("src"), F.greatest("_t", "o_t").alias("dst"), "_t", "o_t", _ones("o", _WORDS).alias("ones")).join(tested, ["src", "dst"], "left_anti")
         some = fresh.groupBy("_t", F.pmod(F.xxhash64("o_t"), F.lit(most)).alias("share")).agg(F.min(F.struct("ones", "o_t")).alias("b"))
         asked = materialise(_pairs(some.select("_t", "b.o_t"), "_t", "o_t"), "candidate-pairs")
-        confirmed, full = sets.confirm(asked, percent), len(parts) == 1
-        if asked.isEmpty() and full:
-            return labels.select(F.col("id").alias("_t"), "component")
-        tested, most, parts = tested.unionByName(asked), most * 256 if full else most, parts[1:] or parts
+        full = len(parts) == 1
+        if asked.isEmpty():
+            if full:
+                return labels.select(F.col("id").alias("_t"), "component")
+            confirmed, parts = asked, parts[1:]
+            continue
+        confirmed, tested, most, parts = sets.confirm(asked, percent), tested.unionByName(asked), most * 256 if full else most, parts[1:] or parts
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
