@@ -8,9 +8,9 @@ from ..operators import maintain, relational, traverse
 from ..operators.adjacency import Adjacency
 from ..sources import rollup, tables
 from ..sources.token_index import TokenIndex
-from ..storage import shared_folder
+from ..storage import shared_folder, written
 from ..streaming.store import GraphStore
-from .queries import _IN, _OUT, EDGES, FIRST, NODES, TRADES, _bfs, query
+from .queries import _IN, _OUT, EDGES, NODES, TRADES, _bfs, query
 
 _RENAMED = "CASE WHEN path LIKE '%2.src' THEN 'green_' || name ELSE name END"
 
@@ -113,11 +113,10 @@ def t5_stale_below(spark, sf_dir):
     return rollup.stale_below(now, then)[0]
 
 
-@query(f"WITH RECURSIVE {NODES}, {FIRST}, e AS (SELECT source_id, target_id FROM edges WHERE type_relation <> 'INHERITS' OR source_line > 2), r(id) AS (SELECT id FROM nodes WHERE type = 'class' AND is_exported UNION SELECT target_id FROM r JOIN e ON source_id = r.id) SELECT id FROM r")
+@query(f"WITH RECURSIVE {NODES}, {EDGES}, e AS (SELECT source_id, target_id FROM edges WHERE source_line >= 6 AND NOT (type_relation = 'INHERITS' AND target_id LIKE '%3')), r(id) AS (SELECT id FROM nodes WHERE type = 'class' AND is_exported UNION SELECT target_id FROM r JOIN e ON source_id = r.id) SELECT id FROM r")
 def g31_maintained_alive(spark, sf_dir):
-    """What exported classes lead to, kept up to date after some edges went and others came."""
-    nodes, edges = tables.part_nodes(spark, sf_dir), tables.first_followers(spark, sf_dir)
-    roots, gone = nodes.filter("type = 'class' and is_exported"), edges.filter("type_relation = 'INHERITS' and source_line <= 2")
-    late = edges.filter("type_relation = 'USES'")
+    """What exported classes lead to along the last steps of orders, kept up to date after some edges went and others came."""
+    nodes, edges = tables.part_nodes(spark, sf_dir), written(tables.followers(spark, sf_dir).filter("source_line >= 6"), "last-steps")
+    roots, is_gone = nodes.filter("type = 'class' and is_exported"), "type_relation = 'INHERITS' and target_id like '%3'"
     before = maintain.alive(edges.filter("type_relation != 'USES'"), roots)
-    return maintain.maintain(before, edges.filter("type_relation != 'INHERITS' or source_line > 2"), roots, gone, late).alive
+    return maintain.maintain(before, edges.filter(f"not ({is_gone})"), roots, edges.filter(is_gone), edges.filter("type_relation = 'USES'")).alive
