@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LOWER, NOT_SPACE, chunks, fields, join_by_key, materialise, mix, pieces, text_bytes, without, word_hashes, words
-from .components import connected_components
+from .components import connected_components, merged
 from .simhash import _centres, _shingle_bounds
 
 SHINGLE, PERCENT = 5, 85
@@ -207,11 +207,10 @@ def similar_components(texts: DataFrame, sets: _Sets, percent: int) -> DataFrame
     # A text asks the likeliest hub of all its keys.
     likeliest = met.groupBy("_t").agg(F.min(F.struct(_ones("h", _WORDS).alias("ones"), "h_t")).alias("b"))
     tested = materialise(_pairs(likeliest.select("_t", "b.h_t"), "_t", "h_t"), "candidate-pairs")
-    confirmed, links, most, labels, parts = sets.confirm(tested, percent), None, 1, None, list(PARTS)
+    confirmed, most, labels, parts = sets.confirm(tested, percent), 1, None, list(PARTS)
     while True:
         if labels is None or not confirmed.isEmpty():
-            links = confirmed if links is None else links.unionByName(confirmed)
-            labels = materialise(connected_components(links), "labels")
+            labels = materialise(connected_components(confirmed) if labels is None else merged(labels, confirmed), "labels")
             named = members.join(labels.withColumnRenamed("id", "_t"), "_t", "left").withColumn("_label", F.coalesce("component", "_t")).drop("component")
             main = hubs.select("_key", F.col("h_t").alias("_t")).join(labels.withColumnRenamed("id", "_t"), "_t", "left").select("_key", F.coalesce("component", "_t").alias("_main"))
             named = materialise(join_by_key(named, main, ["_key"], copies=shared, row_bytes=32), "labelled-members")
