@@ -11,7 +11,8 @@ every coordinate.
 * Near references: a base and the 64 fingerprints one bit away from it.  The distance to the base less that to
   neighbour i is +1 or -1, so these coordinates are kept as one packed bit each.  They locate: split into four
   quarters, two fingerprints within two bits agree on two whole quarters, and each of the six pairs of quarters
-  is a join key.
+  is a join key.  Plainly said, these coordinates are the fingerprint's bits against the base's, so partners are located by
+  blocks of bits; true distances, those to the far references, only discard.
 * Far references: 16 fixed pseudo-random fingerprints.  A joined pair is discarded when its largest coordinate
   difference is above the radius; the survivors are verified by counting differing bits.
 
