@@ -20,7 +20,7 @@ from ..functions.text import collapsed
 EXTENSIONS = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".vue", ".svelte", ".gql", ".graphql")
 #: Added to the rank of files found by the last name alone.
 LAST = 1 << 24
-#: Packages that come with the language or are never part of a source tree.
+#: Packages that come with the language or are never part of a source tree.
 JAVA = ("java", "javax", "sun", r"com\.sun", r"org\.w3c", r"org\.xml", r"org\.ietf", r"org\.omg", "jdk", "javafx")
 CSHARP = ("System", "Microsoft", "Newtonsoft", "NUnit", "Xunit", "MSTest", "AutoMapper", "FluentValidation", "MediatR", "Serilog")
 SCRIPTS = ("typescript", "javascript", "vue", "svelte", "graphql")
