@@ -21,13 +21,19 @@ quartered again, and so on until keys are small or only two coordinates are left
 can share one.  Two fingerprints within two bits agree on two quarters at every level, so no link is lost.
 
 ``keep_one`` works on similarity instead: five-word shingles with a Jaccard similarity of 0.8 or more.  Such texts
-are up to some 20 bits apart, where pivots can no longer locate partners, so candidates are texts that share a
-band of four minima of hashed shingles (``BANDS`` of them; two texts of similarity 0.8 share one in 99.5 % of
-cases).  In each band the members are compared with a hub, the one nearest to the majority fingerprint, instead
-of all with all.  Then, in bands of up to ``CROWD`` texts, those without a link are compared with all others.  In
-larger bands they are compared with ``HUBS`` of their own number, so the work grows with the texts and not with
-the square of a band; a text that resembles no hub of any of its bands, but another text there, can stay apart.
-Pairs are discarded by their pivot coordinates and sizes and verified on the sets of shingles.
+are up to some 20 bits apart, where pivots can no longer locate partners.
+
+* Hubs.  Texts that share a band of four minima of hashed shingles (``BANDS`` of them) are compared with the band's hub, the one
+  nearest to the majority fingerprint.  That links most, at a pair a text and band; it is no more than a quick start.
+* All others.  In the order of their hashes, two sets of similarity s have an element in common among the first
+  n - ceil(s n) + 1 of each, and k among k - 1 more.  These prefixes are join keys.  Under a key, every text outside the key's most
+  frequent component is compared with all of other components, after a first round over a part of them; pairs that share fewer
+  keys than their prefixes must are dropped, the others are verified until none is left that could tie two components.  So no
+  link between components is lost, however many texts share a band or a key, and a large group costs no pair of its own members.
+
+Otherwise pairs are discarded by sizes and parities alone: every shingle of a set flips one bit of its parities, so two of them
+differ in no more bits than the sets in shingles.  No pair of the wanted similarity is discarded so.  The others are
+verified on their whole sets of 64-bit hashes, which are made anew from the texts of such pairs.  Equal sets are one text.
 
 Only different fingerprints or texts take part, so copies cost one row however many there are.
 
@@ -39,27 +45,29 @@ result; input columns named like an output are replaced.
 
 from __future__ import annotations
 
-import math
+from fractions import Fraction
 from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, content, fields, join_by_key, materialise, mix, packed, pieces, text_bytes, without, word_hashes, words
-from .components import connected_components
+from .common import LOWER, NOT_SPACE, chunks, fields, join_by_key, materialise, mix, packed, pieces, text_bytes, without, words
+from .components import connected_components, merged
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
 #: Fingerprints that may share a key before it is split further.
 CROWD = 32
 #: Of keep_one: words of a shingle, the least similarity, bands and the minima of each.
 KEPT_SHINGLE, SIMILARITY, BANDS, BAND_ROWS = 5, 0.8, 10, 4
-#: Hubs of a band of more than CROWD texts, by round.
-HUBS = (1, 4)
+#: Of keys of more than CROWD texts, one in so many is asked at first, and there one in so many texts of fingerprints this near; then all.
+DRAWN, NEAR_BITS = 16, 12
+#: Of a set, one element in so many has to be shared by prefixes beyond the first.
+NEED_ONE_IN = 40
 _BASE = 0x5A5A5A5A5A5A5A5A
 NEAR = [_BASE, *[_BASE ^ (1 << i) for i in range(64)]]
 FAR = [int(x) for x in mix(np.arange(1, 17, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))]
@@ -205,117 +213,171 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", crowd: int = CROWD,
     return kept.select(*fields(out), F.lower(F.lpad(F.hex("_fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketch_texts(data: np.ndarray, offsets: np.ndarray, shingle: int, bands: int) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """For every row its fingerprint, the hash of each band of minima, and the sorted set of its shingles.
+def prefix_lengths(sizes: np.ndarray, share: Fraction) -> tuple[np.ndarray, np.ndarray]:
+    """For sets of these sizes the number of smallest hashes to look at, and how many of them a set of similarity ``share`` has too.
+
+    At least share * size elements of either are common, so at most size - that many are not, and the k-th least common element
+    comes after at most these and k - 1 others, in both.  The two prefixes share as many as the lesser of their k.
+    """
+    sizes = sizes.astype(np.int64)
+    common = -(-sizes * share.numerator // share.denominator)
+    need = np.minimum(1 + sizes // NEED_ONE_IN, np.maximum(common, 1))
+    return np.where(sizes > 0, sizes - common + need, 0), need
+
+
+def sketch_texts(data: np.ndarray, offsets: np.ndarray, shingle: int, bands: int, share: Fraction) -> tuple:
+    """For every row: name and size of its set of shingles, fingerprint, hash of each band of minima, parities, prefix.
 
-    Shingles are hashed from the hashes of their words, so no text is built for them; a row without words
-    has one shingle of its own.
+    Parities are ``WHOLE`` bits, each flipped by the shingles that fall to it; the prefix holds the smallest hashes.
+    A row without words has an empty name and an empty set.
     """
+    from .odd_sketch import WHOLE, _names, shingle_sets  # it builds on this module
+
     rows = len(offsets) - 1
-    prints, keys, sets = np.zeros(rows, np.uint64), np.zeros((rows, bands), np.uint64), []
-    odd = np.arange(1, shingle + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    names, sizes, prints = [b""] * rows, np.zeros(rows, np.int64), np.zeros(rows, np.uint64)
+    keys, parity, prefixes = np.zeros((rows, bands), np.uint64), np.zeros((rows, WHOLE // 64), np.uint64), []
     seeds = mix(np.arange(1, bands * BAND_ROWS + 1, dtype=np.uint64))
-    for first, last, part, offs in chunks(data, offsets):
-        w = words(part, offs, NOT_SPACE)
-        h = word_hashes(LOWER[part], w)
-        lo, hi, row, span = _shingle_bounds(np.maximum(w.counts, 0), shingle)
-        values = np.zeros(len(lo), np.uint64)
-        for i in range(shingle):
-            inside = i < span
-            values[inside] = mix(values[inside] * odd[i] + h[lo[inside] + i])
-        empty = np.flatnonzero(w.counts == 0)
-        at = np.searchsorted(row, empty)
-        row, values = np.insert(row, at, empty), np.insert(values, at, np.uint64(0))
-        own = _majority(values, row, last - first)
-        own[empty] = 0
-        prints[first:last] = own
-        heads = np.searchsorted(row, np.arange(last - first))
-        for b in range(bands):
-            for s in seeds[b * BAND_ROWS : (b + 1) * BAND_ROWS]:
-                least = np.minimum.reduceat((values ^ s) * np.uint64(0x9E3779B97F4A7C15) ^ (values >> np.uint64(29)), heads)
-                keys[first:last, b] = mix(keys[first:last, b] * np.uint64(31) + least)
-        short = (values >> np.uint64(32)).astype(np.uint32).view(np.int32)
-        sets += [np.unique(x) for x in np.split(short, heads[1:])]
-    return prints, keys, sets
-
-
-def _add_sketches(docs: DataFrame, shingle: int, bands: int) -> DataFrame:
-    """docs (..., text) without the text and with _fp, _bands, _n and _set."""
+    for first, last, values, counts in shingle_sets(data, offsets, shingle):
+        sizes[first:last] = counts
+        full = np.flatnonzero(counts)
+        if not len(full):
+            continue
+        heads, at = (np.cumsum(counts) - counts)[full], first + full
+        for i, name in zip(at.tolist(), _names(values, heads, counts[full]), strict=True):
+            names[i] = name
+        prints[first:last] = _majority(values, np.repeat(np.arange(last - first), counts), last - first)
+        for n, s in enumerate(seeds):
+            least = np.minimum.reduceat((values ^ s) * np.uint64(0x9E3779B97F4A7C15) ^ (values >> np.uint64(29)), heads)
+            keys[at, n // BAND_ROWS] = mix(keys[at, n // BAND_ROWS] * np.uint64(31) + least)
+        bit = mix(values) % np.uint64(WHOLE)
+        one, word = np.uint64(1) << (bit % np.uint64(64)), bit // np.uint64(64)
+        for i in range(WHOLE // 64):
+            parity[at, i] = np.bitwise_xor.reduceat(np.where(word == i, one, np.uint64(0)), heads)
+        prefixes.append(values[_ranges(heads, prefix_lengths(counts[full], share)[0])])
+    return names, sizes, prints, keys, parity, np.concatenate(prefixes) if prefixes else np.zeros(0, np.uint64)
+
+
+def _add_sketches(docs: DataFrame, shingle: int, bands: int, share: Fraction) -> DataFrame:
+    """docs (..., text) without the text and with _t, _n, _need, _fp, the words of the parities, _bands and _prefix."""
+    from .odd_sketch import _WHOLE
+
     names = [c for c in docs.columns if c != "text"]
-    long, whole = T.LongType(), T.IntegerType()
-    added = [T.StructField("_fp", long), T.StructField("_bands", T.ArrayType(long)), T.StructField("_n", whole), T.StructField("_set", T.ArrayType(whole))]
+    long, longs = T.LongType(), T.ArrayType(T.LongType())
+    added = [T.StructField("_t", T.BinaryType()), *[T.StructField(c, long) for c in ("_n", "_need", "_fp", *_WHOLE)], T.StructField("_bands", longs), T.StructField("_prefix", longs)]
     schema = T.StructType([*docs.select(*names).schema.fields, *added])
 
     def run(batches):
         for batch in pieces(batches, len(names)):
-            prints, keys, sets = sketch_texts(*text_bytes(batch.column(len(names))), shingle, bands)
-            ends = np.cumsum([0, *map(len, sets)])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets) if sets else np.zeros(0, np.int32), pa.int32()))
+            named, sizes, prints, keys, parity, prefix = sketch_texts(*text_bytes(batch.column(len(names))), shingle, bands, share)
+            lengths, need = prefix_lengths(sizes, share)
+            ends = np.concatenate([[0], np.cumsum(lengths)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix.view(np.int64)))
             bands_ = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(prints.view(np.int64)), bands_, pa.array(np.diff(ends), pa.int32()), lists], [*names, *[f.name for f in added]])
+            words_ = [pa.array(np.ascontiguousarray(parity[:, i]).view(np.int64)) for i in range(len(_WHOLE))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.binary()), pa.array(sizes), pa.array(need), pa.array(prints.view(np.int64)), *words_, bands_, lists], [*names, *[f.name for f in added]])
 
     return docs.select(*names, "text").mapInArrow(run, schema)
 
 
-def _radius(similarity: float) -> int:
-    """Bits within which fingerprints of texts this similar lie, four standard deviations included."""
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.ceil(64 * p + 4.3 * math.sqrt(64 * p * (1 - p)))
-
-
 def _centres(rows: DataFrame) -> DataFrame:
     """(_key, _centre): the majority fingerprint of every band's members."""
     sums = rows.groupBy("_key").agg(F.count("*").alias("n"), *[F.sum(F.shiftrightunsigned("_fp", i).bitwiseAND(F.lit(1))).alias(f"s{i}") for i in range(64)])
     return sums.select("_key", reduce(Column.bitwiseOR, [F.when(2 * F.col(f"s{i}") > F.col("n"), _long(1 << i)).otherwise(F.lit(0).cast("long")) for i in range(64)]).alias("_centre"))
 
 
-def _shingle_sets(marked: DataFrame, texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(_t, _set) of the texts of pairs (src, dst), each from the row that stands for its text."""
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("_t")).distinct()
-    wanted = materialise(texts.select("_t", F.col("_own.r1").alias("_r1"), F.col("_own.r2").alias("_r2")).join(ends, "_t", "left_semi"), "pair-texts")
-    return materialise(join_by_key(marked.select("_r1", "_r2", "_set"), wanted, ["_r1", "_r2"], row_bytes=56).select("_t", "_set").dropDuplicates(["_t"]), "pair-sets")
+def _alike(share: Fraction, other: str) -> Column:
+    """Whether sizes and parities allow the similarity; it is true of every pair that has it."""
+    from .odd_sketch import _WHOLE, _ones
 
+    num, den = share.numerator, share.denominator
+    sizes = den * F.least("_n", f"{other}_n") >= num * F.greatest("_n", f"{other}_n")
+    # Sets of sizes a and b and similarity s differ in at most (a + b)(1 - s) / (1 + s) shingles, and each flips one bit.
+    return sizes & ((den + num) * _ones(other, _WHOLE) <= (den - num) * (F.col("_n") + F.col(f"{other}_n")))
 
-def similar_links(texts: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """Links (src, dst) between texts (_t, _own, _fp, _n, _bands) of this similarity; ``marked`` has rows with their sets."""
-    _, far = pivot_columns(F.col("_fp"))
-    keyed = texts.select("_t", "_fp", "_n", far, F.posexplode("_bands").alias("_b", "_v")).select("_t", "_fp", "_n", "_far", F.xxhash64("_b", "_v").alias("_key"))
-    keyed = materialise(keyed, "band-keys")
+
+def _hub_pairs(texts: DataFrame, share: Fraction) -> DataFrame:
+    """Pairs (src, dst) of texts with the likeliest hub of their bands; a hub is the member nearest to the majority fingerprint."""
+    from .odd_sketch import _WHOLE, _pairs
+
+    sketch = ["_n", "_fp", *_WHOLE]
+    keyed = texts.select("_t", F.posexplode("_bands").alias("_b", "_v")).select("_t", F.xxhash64("_b", "_v").alias("_key"))
     shared = materialise(keyed.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1"), "shared-bands")
-    members = materialise(join_by_key(keyed, shared.select("_key", F.col("n").alias("_size")), ["_key"], "inner", shared, row_bytes=16), "band-members")
-    radius, left, links = _radius(similarity), members, None
-    for hubs_each in HUBS:
-        near = join_by_key(left, _centres(left), ["_key"], row_bytes=16).withColumn("_apart", _distance(F.col("_fp"), F.col("_centre")))
-        share = F.pmod(F.xxhash64("_t"), F.lit(hubs_each))
-        share = share if links is None else F.when(F.col("_size") <= CROWD, F.xxhash64("_t")).otherwise(share)
-        best = near.groupBy("_key", share.alias("_share")).agg(F.min(F.struct("_apart", "_t", "_fp", "_n", "_far")).alias("h"))
-        hubs = materialise(best.select("_key", "h._t", "h._fp", "h._n", "h._far"), "band-hubs")
-        listed = hubs.groupBy("_key").agg(F.collect_list(F.struct("_t", "_fp", "_n", "_far")).alias("_hubs"))
-        # In bands of up to CROWD texts all that have no link are hubs now; in larger ones hubs meet those without a link.
-        some = members if links is None else members.filter(F.col("_size") <= CROWD).unionByName(left.filter(F.col("_size") > CROWD))
-        asked = join_by_key(some, listed, ["_key"], row_bytes=100 * F.size("_hubs")).withColumn("h", F.explode("_hubs")).filter("_t != h._t")
-        sized = F.least("_n", "h._n") >= similarity * F.greatest("_n", "h._n")
-        asked = asked.filter(sized & _within(radius, "_far", "h._far")).filter(_distance(F.col("_fp"), F.col("h._fp")) <= radius)
-        asked = materialise(asked.select("_key", "_t", F.least("_t", "h._t").alias("src"), F.greatest("_t", "h._t").alias("dst")), "asked-pairs")
-        pairs = materialise(asked.select("src", "dst").distinct(), "pairs")
-        sets = _shingle_sets(marked, texts, pairs)
-        # Sets are always shuffled, as they are large; only those of texts with very many pairs are broadcast.
-        both = join_by_key(pairs, sets.toDF("src", "_set"), ["src"], most=0).withColumnRenamed("_set", "_a")
-        both = join_by_key(both, sets.toDF("dst", "_set"), ["dst"], copies=pairs.groupBy("dst").agg(F.count("*").alias("n")), most=0)
-        common = F.size(F.array_intersect("_a", "_set"))
-        good = materialise(both.filter(common >= similarity * (F.size("_a") + F.size("_set") - common)).select("src", "dst"), "similar-pairs")
-        links = good if links is None else links.unionByName(good)
-        done = asked.join(good, ["src", "dst"]).select("_key", "_t").unionByName(hubs.select("_key", "_t")).distinct()
-        # A hub has met its band; bands of which one member is left are done.
-        members = members.join(hubs.select("_key", "_t"), ["_key", "_t"], "left_anti")
-        left = left.join(done, ["_key", "_t"], "left_anti")
-        rest = members.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1").join(left.select("_key").distinct(), "_key", "left_semi")
-        rest = materialise(rest, "open-bands")
-        members = materialise(join_by_key(members, rest.select("_key"), ["_key"], "left_semi", rest, row_bytes=8), "band-members")
-        left = materialise(join_by_key(left, rest.select("_key"), ["_key"], "left_semi", rest, row_bytes=8), "open-members")
+    members = join_by_key(keyed, shared.select("_key"), ["_key"], "left_semi", shared, row_bytes=8)
+    members = materialise(members.join(texts.select("_t", *sketch), "_t"), "band-members")
+    apart = join_by_key(members, _centres(members), ["_key"], copies=shared, row_bytes=16).withColumn("_apart", _distance(F.col("_fp"), F.col("_centre")))
+    best = apart.groupBy("_key").agg(F.min(F.struct("_apart", "_t", *sketch)).alias("h"))
+    hubs = materialise(best.select("_key", *[F.col(f"h.{c}").alias(f"h{c}") for c in ("_t", *sketch)]), "band-hubs")
+    met = join_by_key(members, hubs, ["_key"], copies=shared, row_bytes=120).filter(F.col("_t") != F.col("h_t")).filter(_alike(share, "h"))
+    likeliest = met.groupBy("_t").agg(F.min(F.struct(_distance(F.col("_fp"), F.col("h_fp")).alias("apart"), "h_t")).alias("b"))
+    return materialise(_pairs(likeliest.select("_t", "b.h_t"), "_t", "h_t"), "hub-pairs")
+
+
+def _prefix_members(texts: DataFrame, marked: DataFrame) -> DataFrame:
+    """(_key, _i) of the hashes that the prefixes of different texts (_i) share."""
+    owners = texts.filter("_n > 0").select("_own.r1", "_own.r2", "_i")
+    keyed = join_by_key(marked.select("r1", "r2", "_prefix"), owners, ["r1", "r2"], row_bytes=24).select("_i", F.explode("_prefix").alias("_key"))
+    same = Window.partitionBy("_key")
+    keyed = keyed.select("_key", "_i", F.min("_i").over(same).alias("_from"), F.max("_i").over(same).alias("_to"))
+    return materialise(keyed.filter("_from < _to").select("_key", "_i"), "shared-prefixes")
+
+
+def _label(df: DataFrame, labels: DataFrame, end: str = "_t", column: str = "_label") -> DataFrame:
+    """df with the component of the texts in a column."""
+    return join_by_key(df, labels.toDF(end, column), [end], "left", row_bytes=32).withColumn(column, F.coalesce(column, end))
+
+
+def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """Members of keys that several components share, with _label, the key's most frequent one (_main) and _size."""
+    named = _label(members, labels)
+    each = named.groupBy("_key", "_label").agg(F.count("*").alias("n")).groupBy("_key").agg(F.max(F.struct("n", "_label")).alias("m"), F.count("*").alias("labels"), F.sum("n").alias("n"))
+    keys = materialise(each.filter("labels > 1").select("_key", F.col("m._label").alias("_main"), "n"), "open-keys")
+    return materialise(join_by_key(named, keys.select("_key", "_main", F.col("n").alias("_size")), ["_key"], copies=keys.select("_key", "n"), row_bytes=40), "open-members")
+
+
+def _met(named: DataFrame, share: Fraction, columns: list[str], also: Column) -> DataFrame:
+    """Pairs under a key of texts outside its main component with those (o) of other components; one row a key and pair."""
+    from .odd_sketch import SALTED
+
+    salts = F.ceil(F.col("_size") / SALTED).cast("int")
+    inside = named.withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1))).select("_key", "_salt", *[F.col(c).alias(f"o{c}") for c in ("_label", *columns)])
+    asking = named.filter("_label != _main").withColumn("_salt", F.pmod(F.xxhash64("_t"), salts).cast("int")).select("_key", "_salt", "_size", "_main", "_label", *columns)
+    other = (F.col("_label") != F.col("o_label")) & ((F.col("o_label") == F.col("_main")) | (F.col("_t") < F.col("o_t")))
+    met = asking.alias("a").join(inside.alias("b"), (F.col("a._key") == F.col("b._key")) & (F.col("a._salt") == F.col("b._salt")) & other & also & _alike(share, "o"))
+    return met.withColumns({"src": F.least("_t", "o_t"), "dst": F.greatest("_t", "o_t"), "apart": _distance(F.col("_fp"), F.col("o_fp"))})
+
+
+def similar_components(texts: DataFrame, marked: DataFrame, sets, share: Fraction) -> DataFrame:
+    """(id, component) of texts (_t, _i, _own, _n, _need, _fp, _bands, parities) that have a link of this similarity; ``marked`` has rows with their prefixes."""
+    from .odd_sketch import _WHOLE, _pairs
+
+    percent, columns = float(100 * share), ["_t", "_n", "_need", "_fp", *_WHOLE]
+    tested = _hub_pairs(texts.filter("_n > 0"), share)
+    labels = materialise(connected_components(sets.confirm(tested, percent)), "labels")
+    members = materialise(_prefix_members(texts, marked).join(_label(texts.select("_i", "_t"), labels).drop("_t"), "_i"), "prefix-members")
+    open_ = materialise(members.groupBy("_key").agg(F.min("_label").alias("a"), F.max("_label").alias("z"), F.count("*").alias("n")).filter("a < z").select("_key", "n"), "open-keys")
+    members = join_by_key(members.select("_key", "_i"), open_.select("_key"), ["_key"], "left_semi", open_, row_bytes=8).distinct()
+    members = materialise(members.join(texts.select("_i", *columns), "_i").drop("_i"), "members")
+    named = _open(members, labels)
+    # Alike texts share many keys, so a few of the large ones link most, before all keys are asked.
+    if not named.filter(F.col("_size") > CROWD).isEmpty():
+        drawn = (F.pmod(F.xxhash64("a._key"), F.lit(DRAWN)) == 0) & (F.pmod(F.xxhash64("_t"), F.lit(DRAWN)) == F.pmod(F.xxhash64("o_t"), F.lit(DRAWN)))
+        near = _distance(F.col("_fp"), F.col("o_fp")) <= NEAR_BITS
+        met = _met(named, share, columns, (F.col("_size") > CROWD) & drawn & near).join(tested, ["src", "dst"], "left_anti")
+        asked = materialise(_pairs(met.groupBy("_t").agg(F.min(F.struct("apart", "o_t")).alias("b")).select("_t", "b.o_t"), "_t", "o_t"), "drawn-pairs")
+        if not asked.isEmpty():
+            labels, tested = materialise(merged(labels, sets.confirm(asked, percent)), "labels"), tested.unionByName(asked)
+            named = _open(members, labels)
+    met = _met(named, share, columns, F.lit(True)).groupBy("src", "dst").agg(F.count("*").alias("n"), F.min(F.least("_need", "o_need")).alias("need"), F.min("apart").alias("apart"))
+    left, most = materialise(met.filter("n >= need").select("src", "dst", "apart").join(tested, ["src", "dst"], "left_anti"), "candidate-pairs"), 1
+    while True:
+        # Of the pairs that could still tie two components, the likeliest of each share of a text's goes on.
+        left = materialise(_label(_label(left, labels, "src", "_a"), labels, "dst", "_b").filter("_a != _b").select("src", "dst", "apart"), "left-pairs")
         if left.isEmpty():
-            break
-    return links.distinct()
+            return labels
+        asked = left.groupBy("src", F.pmod(F.xxhash64("dst"), F.lit(most)).alias("share")).agg(F.min(F.struct("apart", "dst")).alias("b")).select("src", "b.dst")
+        asked, most = materialise(asked, "asked-pairs"), most * 16
+        labels = materialise(merged(labels, sets.confirm(asked, percent)), "labels")
+        left = left.join(asked, ["src", "dst"], "left_anti")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", shingle: int = KEPT_SHINGLE, similarity: float = SIMILARITY, bands: int = BANDS) -> DataFrame:
@@ -324,24 +386,27 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", shingle: int = KEPT_SHINGL
     A row is named by the hashes of its id and text.  Those that go are usually few, and are broadcast only
     if counted to be; rows that are equal in id and text are reduced to one.
     """
+    from .odd_sketch import _WHOLE, _Sets
+
+    share = Fraction(similarity).limit_denominator(10_000)
     text, id_ = F.coalesce(F.col("text"), F.lit("")), F.col(f"`{id_col}`")
-    key = [F.xxhash64(id_, text).alias("_r1"), F.xxhash64(F.lit(1), id_, text).alias("_r2")]
-    k1, k2 = content()
-    marked = docs.select(id_.alias("_id"), *key, F.concat_ws("-", F.hex(k1), F.hex(k2)).alias("_t"), "text")
-    marked = materialise(_add_sketches(marked, shingle, bands), "sketches")
-    order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), F.col("_r1").alias("r1"), F.col("_r2").alias("r2"))
-    texts = materialise(marked.groupBy("_t").agg(F.min(order).alias("_own"), F.count("*").alias("n"), F.first("_fp").alias("_fp"), F.first("_n").alias("_n"), F.first("_bands").alias("_bands")), "texts")
-    labels = connected_components(similar_links(_parallel(texts, "_t"), marked, similarity)).withColumnRenamed("id", "_t")
+    key = [F.xxhash64(id_, text).alias("r1"), F.xxhash64(F.lit(1), id_, text).alias("r2")]
+    marked = materialise(_add_sketches(docs.select(id_.alias("_id"), *key, "text"), shingle, bands, share), "sketches")
+    order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), "r1", "r2")
+    firsts = [F.first(c).alias(c) for c in ("_n", "_need", "_fp", "_bands", *_WHOLE)]
+    texts = marked.groupBy("_t").agg(F.min(order).alias("_own"), F.count("*").alias("n"), *firsts)
+    texts = materialise(texts.withColumn("_i", F.monotonically_increasing_id()), "texts")
+    labels = similar_components(texts, marked, _Sets(docs, key, texts, shingle), share).withColumnRenamed("id", "_t")
     named = materialise(texts.join(labels, "_t", "left").select("_t", "n", "_own", F.coalesce("component", "_t").alias("_class")), "class-members")
     first = named.groupBy("_class").agg(F.min("_own").alias("_first"))
     named = join_by_key(named, first, ["_class"]).select("_t", "_first")
-    judged = join_by_key(marked.select("_t", "_id", "_r1", "_r2"), named, ["_t"], copies=texts.select("_t", "n")).select("_r1", "_r2", (order == F.col("_first")).alias("_kept"))
-    judged = materialise(judged.groupBy("_r1", "_r2").agg(F.max("_kept").alias("_kept"), F.count("*").alias("n")), "class-verdicts")
+    judged = join_by_key(marked.select("_t", "_id", "r1", "r2"), named, ["_t"], copies=texts.select("_t", "n")).select("r1", "r2", (order == F.col("_first")).alias("_kept"))
+    judged = materialise(judged.groupBy("r1", "r2").agg(F.max("_kept").alias("_kept"), F.count("*").alias("n")), "class-verdicts")
     keyed = packed(docs, *key)
-    left = join_by_key(keyed, judged.filter("not _kept").select("_r1", "_r2"), ["_r1", "_r2"], "left_anti", row_bytes=40)
-    repeated = materialise(judged.filter("_kept and n > 1").select("_r1", "_r2", "n"), "repeated-rows")
+    left = join_by_key(keyed, judged.filter("not _kept").select("r1", "r2"), ["r1", "r2"], "left_anti", row_bytes=40)
+    repeated = materialise(judged.filter("_kept and n > 1").select("r1", "r2", "n"), "repeated-rows")
     if not repeated.isEmpty():
-        twice = join_by_key(left, repeated.select("_r1", "_r2"), ["_r1", "_r2"], "left_semi", repeated, row_bytes=40)
-        once = twice.groupBy("_r1", "_r2").agg(F.first("_row").alias("_row"))
-        left = join_by_key(left, repeated.select("_r1", "_r2"), ["_r1", "_r2"], "left_anti", repeated, row_bytes=40).select("_row").unionByName(once.select("_row"))
+        twice = join_by_key(left, repeated.select("r1", "r2"), ["r1", "r2"], "left_semi", repeated, row_bytes=40)
+        once = twice.groupBy("r1", "r2").agg(F.first("_row").alias("_row"))
+        left = join_by_key(left, repeated.select("r1", "r2"), ["r1", "r2"], "left_anti", repeated, row_bytes=40).select("_row").unionByName(once.select("_row"))
     return left.select(*fields(docs))
