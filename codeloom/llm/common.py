@@ -43,6 +43,19 @@ def local_path(path: str) -> str | None:
     return path if "://" not in path else None
 
 
+#: Bytes of a batch that goes to Python; ``pieces`` yields as many at once.
+BATCH_BYTES = 4 * CHUNK_BYTES
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches end at BATCH_BYTES, unless it has a bound of its own.
+
+    They would end at 10,000 rows alone, and both the JVM's vectors and the worker hold a batch whole and several times.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None) is None:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of a string array end to end, and the offsets of its rows; null is empty."""
     if isinstance(array, pa.ChunkedArray):
@@ -54,7 +67,7 @@ def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def pieces(batches: Iterable[pa.RecordBatch], at: int, most: int = 4 * CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+def pieces(batches: Iterable[pa.RecordBatch], at: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows of the batches in smaller ones, of about ``most`` bytes of text or media in column ``at``, which bounds a worker's memory."""
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64)

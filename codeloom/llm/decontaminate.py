@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, LOWER, chunks, content, fields, join_by_key, materialise, packed, pieces, text_bytes, without, word_hashes, words
+from .common import ALNUM, LOWER, bounded_batches, chunks, content, fields, join_by_key, materialise, packed, pieces, text_bytes, without, word_hashes, words
 
 WINDOW = 13
 BLOCK_WORDS = 1_000_000
@@ -283,6 +283,7 @@ def contamination(matched: DataFrame) -> DataFrame:
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents that are not contaminated, with their own columns."""
+    bounded_batches(docs.sparkSession)
     marked = docs.select(*[c.alias(n) for c, n in zip(content(), ("_doc1", "_doc2"), strict=True)], "text")
     verdicts = contamination(find_matches(marked, benchmark, window, keep=["_doc1", "_doc2"])).filter("contaminated")
     rows = packed(docs, *content())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, fields, packed, pieces, remainder, text_bytes, with_last, without, word_hashes, words
+from .common import LOWER, NOT_SPACE, bounded_batches, chunks, fields, packed, pieces, remainder, text_bytes, with_last, without, word_hashes, words
 from .labelled import training_rows
 
 MAX_TRAINING_ROWS = 20_000
@@ -190,5 +190,6 @@ def classify(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_RO
 
 def keep_good(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAINING_ROWS) -> DataFrame:
     """The documents that the classifier does not reject, with their own columns."""
+    bounded_batches(docs.sparkSession)
     scored = score_quality(packed(docs, F.col("text")), train(docs, labels, max_rows))
     return scored.filter("predicted = 1").select(*fields(docs))

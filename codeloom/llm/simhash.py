@@ -56,7 +56,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, NOT_SPACE, chunks, fields, join_by_key, materialise, mix, packed, pieces, text_bytes, without, words
+from .common import LOWER, NOT_SPACE, bounded_batches, chunks, fields, join_by_key, materialise, mix, packed, pieces, text_bytes, without, words
 from .components import connected_components, merged
 
 SHINGLE, SEED, MAX_DISTANCE = 3, 42, 2
@@ -388,6 +388,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", shingle: int = KEPT_SHINGL
     """
     from .odd_sketch import _WHOLE, _Sets
 
+    bounded_batches(docs.sparkSession)
     share = Fraction(similarity).limit_denominator(10_000)
     text, id_ = F.coalesce(F.col("text"), F.lit("")), F.col(f"`{id_col}`")
     key = [F.xxhash64(id_, text).alias("r1"), F.xxhash64(F.lit(1), id_, text).alias("r2")]

@@ -37,3 +37,31 @@ def test_short_and_unspaced_lines_are_deduped(spark):
     docs = spark.createDataFrame([(1, "Home\n\nhttps://a.example/x\n这是一个很长的句子", "en", "s", 0), (2, "这是一个很长的句子\n\nHome\nAway\nhttps://a.example/x", "en", "s", 0)], "doc_id long, text string, lang string, source string, n_chars long")
     got = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, SF).collect()}
     assert got == {1: docs.filter("doc_id = 1").first().text, 2: "\nAway"}
+
+
+def test_batches_to_python_are_bounded(spark, tmp_path, monkeypatch):
+    bound, key = 1 << 22, "spark.sql.execution.arrow.maxBytesPerBatch"
+    seen = str(tmp_path)
+
+    def watched(batches, at, own=decontaminate.pieces):
+        def each():
+            for batch in batches:
+                with open(f"{seen}/{batch.nbytes}", "w"):
+                    yield batch
+
+        return own(each(), at)
+
+    for module in (quality, simhash, decontaminate):
+        monkeypatch.setattr(module, "pieces", watched)
+    docs = spark.range(300).selectExpr("id as doc_id", "repeat(concat('word', id, ' '), 8000) as text", "'en' as lang", "'s' as source", "0L as n_chars").coalesce(1)
+    for stage in (corpus_pipeline.drop_low_quality, corpus_pipeline.drop_near_duplicates, corpus_pipeline.drop_contaminated):
+        spark.conf.unset(key)
+        stage(spark, docs, SF).write.format("noop").mode("overwrite").save()
+        sizes = [int(p.name) for p in tmp_path.iterdir()]
+        assert max(sizes) < 2 * bound, stage
+        for p in tmp_path.iterdir():
+            p.unlink()
+    spark.conf.set(key, "1000000")
+    quality.keep_good(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    assert spark.conf.get(key) == "1000000"
+    spark.conf.unset(key)
