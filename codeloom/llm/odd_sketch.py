@@ -175,17 +175,29 @@ class _Sets:
     def confirm(self, pairs: DataFrame, percent: int) -> DataFrame:
         """The pairs (src, dst) whose sets have this similarity."""
         ends = pairs.select(F.explode(F.array("src", "dst")).alias("_t")).distinct()
-        ends = ends if self.made is None else ends.join(self.made.select("_t"), "_t", "left_anti")
-        wanted = materialise(self.texts.select("_t", "_own.r1", "_own.r2").join(ends, "_t", "left_semi").select("r1", "r2"), "pair-texts")
+        fresh = ends if self.made is None else ends.join(self.made.select("_t"), "_t", "left_anti")
+        wanted = materialise(self.texts.select("_t", "_own.r1", "_own.r2").join(fresh, "_t", "left_semi").select("r1", "r2"), "pair-texts")
         rows = join_by_key(self.docs.select(*self.key, "text"), wanted, ["r1", "r2"], "left_semi", row_bytes=16)
         made = materialise(_full_sets(rows, self.shingle).dropDuplicates(["_t"]), "pair-sets")
-        self.made = made if self.made is None else self.made.unionByName(made)
+        first, self.made = self.made is None, made if self.made is None else self.made.unionByName(made)
+        sets = self.made if first else self.asked(ends)
         size = 16 + 8 * F.size("_a")
-        both = join_by_key(pairs, self.made.toDF("src", "_a"), ["src"], row_bytes=size)
-        both = join_by_key(both, self.made.toDF("dst", "_b"), ["dst"], copies=pairs.groupBy("dst").agg(F.count("*").alias("n")), row_bytes=16 + 8 * F.size("_b"))
+        both = join_by_key(pairs, sets.toDF("src", "_a"), ["src"], row_bytes=size)
+        both = join_by_key(both, sets.toDF("dst", "_b"), ["dst"], copies=pairs.groupBy("dst").agg(F.count("*").alias("n")), row_bytes=16 + 8 * F.size("_b"))
         common = F.size(F.array_intersect("_a", "_b"))
         return materialise(both.filter(100 * common >= percent * (F.size("_a") + F.size("_b") - common)).select("src", "dst"), "confirmed-pairs")
 
+    def asked(self, ends: DataFrame) -> DataFrame:
+        """Sets made so far that hold those of these texts (_t)."""
+        return self.made
+
+
+class _FewSets(_Sets):
+    """Sets for rounds that ask fewer and fewer pairs: those that were made for earlier rounds alone stay out of the joins."""
+
+    def asked(self, ends: DataFrame) -> DataFrame:
+        return materialise(join_by_key(self.made, ends, ["_t"], "left_semi", row_bytes=16), "asked-sets")
+
 
 def _pairs(df: DataFrame, a: str, b: str) -> DataFrame:
     return df.select(F.least(a, b).alias("src"), F.greatest(a, b).alias("dst")).distinct()

@@ -326,12 +326,23 @@ def _label(df: DataFrame, labels: DataFrame, end: str = "_t", column: str = "_la
     return join_by_key(df, labels.toDF(end, column), [end], "left", row_bytes=32).withColumn(column, F.coalesce(column, end))
 
 
-def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """Members of keys that several components share, with _label, the key's most frequent one (_main) and _size."""
-    named = _label(members, labels)
+def _numbered(texts: DataFrame, labels: DataFrame) -> DataFrame:
+    """(_i, _label) of all texts; a component is named by the number of its first text, which is shorter than a hash."""
+    own = texts.select("_i", "_t")
+    linked = join_by_key(labels.toDF("_t", "_first"), own.toDF("_label", "_first"), ["_first"], row_bytes=24).select("_t", "_label")
+    return materialise(join_by_key(own, linked, ["_t"], "left", row_bytes=24).select("_i", F.coalesce("_label", "_i").alias("_label")), "numbered")
+
+
+def _open(members: DataFrame, numbered: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Members (_key, _i) of keys that several components share, with _label, the key's most frequent one (_main), _size and the sketches.
+
+    Sketches come last, by text: rows of one text lie together then, and take a fraction of the bytes that they would in order of keys.
+    """
+    named = members.join(numbered, "_i")
     each = named.groupBy("_key", "_label").agg(F.count("*").alias("n")).groupBy("_key").agg(F.max(F.struct("n", "_label")).alias("m"), F.count("*").alias("labels"), F.sum("n").alias("n"))
     keys = materialise(each.filter("labels > 1").select("_key", F.col("m._label").alias("_main"), "n"), "open-keys")
-    return materialise(join_by_key(named, keys.select("_key", "_main", F.col("n").alias("_size")), ["_key"], copies=keys.select("_key", "n"), row_bytes=40), "open-members")
+    shared = join_by_key(named, keys.select("_key", "_main", F.col("n").alias("_size")), ["_key"], copies=keys.select("_key", "n"), row_bytes=24)
+    return materialise(shared.join(sketches, "_i").drop("_i"), "open-members")
 
 
 def _met(named: DataFrame, share: Fraction, columns: list[str], also: Column) -> DataFrame:
@@ -353,20 +364,22 @@ def similar_components(texts: DataFrame, marked: DataFrame, sets, share: Fractio
     percent, columns = float(100 * share), ["_t", "_n", "_need", "_fp", *_WHOLE]
     tested = _hub_pairs(texts.filter("_n > 0"), share)
     labels = materialise(connected_components(sets.confirm(tested, percent)), "labels")
-    members = materialise(_prefix_members(texts, marked).join(_label(texts.select("_i", "_t"), labels).drop("_t"), "_i"), "prefix-members")
+    numbered, sketches = _numbered(texts, labels), texts.select("_i", *columns)
+    members = materialise(_prefix_members(texts, marked).join(numbered, "_i"), "prefix-members")
     open_ = materialise(members.groupBy("_key").agg(F.min("_label").alias("a"), F.max("_label").alias("z"), F.count("*").alias("n")).filter("a < z").select("_key", "n"), "open-keys")
-    members = join_by_key(members.select("_key", "_i"), open_.select("_key"), ["_key"], "left_semi", open_, row_bytes=8).distinct()
-    members = materialise(members.join(texts.select("_i", *columns), "_i").drop("_i"), "members")
-    named = _open(members, labels)
+    members = materialise(join_by_key(members.select("_key", "_i"), open_.select("_key"), ["_key"], "left_semi", open_, row_bytes=8).distinct(), "members")
     # Alike texts share many keys, so a few of the large ones link most, before all keys are asked.
-    if not named.filter(F.col("_size") > CROWD).isEmpty():
+    large = open_.filter(F.col("n") > CROWD)
+    if not large.isEmpty():
+        named = _open(join_by_key(members, large.select("_key"), ["_key"], "left_semi", large, row_bytes=8), numbered, sketches)
         drawn = (F.pmod(F.xxhash64("a._key"), F.lit(DRAWN)) == 0) & (F.pmod(F.xxhash64("_t"), F.lit(DRAWN)) == F.pmod(F.xxhash64("o_t"), F.lit(DRAWN)))
         near = _distance(F.col("_fp"), F.col("o_fp")) <= NEAR_BITS
         met = _met(named, share, columns, (F.col("_size") > CROWD) & drawn & near).join(tested, ["src", "dst"], "left_anti")
         asked = materialise(_pairs(met.groupBy("_t").agg(F.min(F.struct("apart", "o_t")).alias("b")).select("_t", "b.o_t"), "_t", "o_t"), "drawn-pairs")
         if not asked.isEmpty():
             labels, tested = materialise(merged(labels, sets.confirm(asked, percent)), "labels"), tested.unionByName(asked)
-            named = _open(members, labels)
+            numbered = _numbered(texts, labels)
+    named = _open(members, numbered, sketches)
     met = _met(named, share, columns, F.lit(True)).groupBy("src", "dst").agg(F.count("*").alias("n"), F.min(F.least("_need", "o_need")).alias("need"), F.min("apart").alias("apart"))
     left, most = materialise(met.filter("n >= need").select("src", "dst", "apart").join(tested, ["src", "dst"], "left_anti"), "candidate-pairs"), 1
     while True:
@@ -386,7 +399,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", shingle: int = KEPT_SHINGL
     A row is named by the hashes of its id and text.  Those that go are usually few, and are broadcast only
     if counted to be; rows that are equal in id and text are reduced to one.
     """
-    from .odd_sketch import _WHOLE, _Sets
+    from .odd_sketch import _WHOLE, _FewSets
 
     bounded_batches(docs.sparkSession)
     share = Fraction(similarity).limit_denominator(10_000)
@@ -397,7 +410,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", shingle: int = KEPT_SHINGL
     firsts = [F.first(c).alias(c) for c in ("_n", "_need", "_fp", "_bands", *_WHOLE)]
     texts = marked.groupBy("_t").agg(F.min(order).alias("_own"), F.count("*").alias("n"), *firsts)
     texts = materialise(texts.withColumn("_i", F.monotonically_increasing_id()), "texts")
-    labels = similar_components(texts, marked, _Sets(docs, key, texts, shingle), share).withColumnRenamed("id", "_t")
+    labels = similar_components(texts, marked, _FewSets(docs, key, texts, shingle), share).withColumnRenamed("id", "_t")
     named = materialise(texts.join(labels, "_t", "left").select("_t", "n", "_own", F.coalesce("component", "_t").alias("_class")), "class-members")
     first = named.groupBy("_class").agg(F.min("_own").alias("_first"))
     named = join_by_key(named, first, ["_class"]).select("_t", "_first")

@@ -1,7 +1,7 @@
 import random
 
 import xxhash
-from codeloom.llm import simhash
+from codeloom.llm import odd_sketch, simhash
 
 
 def fingerprint(text):
@@ -180,3 +180,23 @@ def test_keep_one_counts_repeated_shingles_once(spark):
     # Equal sets, though one shingle is repeated so often that it alone decides the majority of all.
     w = " ".join(f"w{i}" for i in range(30))
     assert kept(spark, [w + " a b a b a b a b", w + " a b a b a b a b" + " a b" * 200, "p q r", "P  q\tr"]) == {0, 2}
+
+
+def test_keep_one_joins_the_sets_of_asked_pairs_alone(spark, monkeypatch):
+    asked, own = [], odd_sketch.join_by_key
+
+    def counted(rows, side, keys, *args, **named):
+        if "_a" in side.columns and keys == ["src"]:
+            asked.append(side.count())
+        return own(rows, side, keys, *args, **named)
+
+    def two_rounds(texts, marked, sets, share):
+        t = [r._t for r in texts.collect()]
+        for pairs in ([t[0:2], t[2:4], t[4:6]], [t[1:3]]):
+            sets.confirm(spark.createDataFrame([tuple(p) for p in pairs], "src binary, dst binary"), 80.0)
+        return spark.createDataFrame([], "id binary, component binary")
+
+    monkeypatch.setattr(odd_sketch, "join_by_key", counted)
+    monkeypatch.setattr(simhash, "similar_components", two_rounds)
+    assert len(kept(spark, [f"text number{i} of six" for i in range(6)])) == 6
+    assert asked == [6, 2]
