@@ -26,10 +26,13 @@ are up to some 20 bits apart, where pivots can no longer locate partners.
 * Hubs.  Texts that share a band of four minima of hashed shingles (``BANDS`` of them) are compared with the band's hub, the one
   nearest to the majority fingerprint.  That links most, at a pair a text and band; it is no more than a quick start.
 * All others.  In the order of their hashes, two sets of similarity s have an element in common among the first
-  n - ceil(s n) + 1 of each, and k among k - 1 more.  These prefixes are join keys.  Under a key, every text outside the key's most
-  frequent component is compared with all of other components, after a first round over a part of them; pairs that share fewer
-  keys than their prefixes must are dropped, the others are verified until none is left that could tie two components.  So no
-  link between components is lost, however many texts share a band or a key, and a large group costs no pair of its own members.
+  n - ceil(s n) + 1 of each, and k among k - 1 more.  These prefixes are join keys.  Of two texts that must share k keys the rarest
+  shared one is not among the k - 1 most frequent keys of either, so every text leaves out as many of its own (for the least k that
+  a partner's size allows): a passage that very many long texts hold locates none of them by itself.  Under a key that is left, every
+  text outside the key's most frequent component is compared with all of other components, after a first round over a part of them;
+  pairs that share fewer of all keys than their prefixes must are dropped, the others are verified until none is left that could tie
+  two components.  So no link between components is lost, however many texts share a band or a key, and a large group costs no pair
+  of its own members.
 
 Otherwise pairs are discarded by sizes and parities alone: every shingle of a set flips one bit of its parities, so two of them
 differ in no more bits than the sets in shingles.  No pair of the wanted similarity is discarded so.  The others are
@@ -258,23 +261,25 @@ def sketch_texts(data: np.ndarray, offsets: np.ndarray, shingle: int, bands: int
 
 
 def _add_sketches(docs: DataFrame, shingle: int, bands: int, share: Fraction) -> DataFrame:
-    """docs (..., text) without the text and with _t, _n, _need, _fp, the words of the parities, _bands and _prefix."""
+    """docs (..., text) without the text and with _t, _n, _need, _spare, _fp, the words of the parities, _bands and _prefix."""
     from .odd_sketch import _WHOLE
 
     names = [c for c in docs.columns if c != "text"]
     long, longs = T.LongType(), T.ArrayType(T.LongType())
-    added = [T.StructField("_t", T.BinaryType()), *[T.StructField(c, long) for c in ("_n", "_need", "_fp", *_WHOLE)], T.StructField("_bands", longs), T.StructField("_prefix", longs)]
+    added = [T.StructField("_t", T.BinaryType()), *[T.StructField(c, long) for c in ("_n", "_need", "_spare", "_fp", *_WHOLE)], T.StructField("_bands", longs), T.StructField("_prefix", longs)]
     schema = T.StructType([*docs.select(*names).schema.fields, *added])
 
     def run(batches):
         for batch in pieces(batches, len(names)):
             named, sizes, prints, keys, parity, prefix = sketch_texts(*text_bytes(batch.column(len(names))), shingle, bands, share)
             lengths, need = prefix_lengths(sizes, share)
+            # A partner has at least this share of the size, and so needs this many common keys, or more.
+            spare = prefix_lengths(-(-sizes * share.numerator // share.denominator), share)[1] - 1
             ends = np.concatenate([[0], np.cumsum(lengths)])
             lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(prefix.view(np.int64)))
             bands_ = pa.ListArray.from_arrays(pa.array(np.arange(len(prints) + 1) * bands, pa.int32()), pa.array(keys.view(np.int64).ravel(), pa.int64()))
             words_ = [pa.array(np.ascontiguousarray(parity[:, i]).view(np.int64)) for i in range(len(_WHOLE))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.binary()), pa.array(sizes), pa.array(need), pa.array(prints.view(np.int64)), *words_, bands_, lists], [*names, *[f.name for f in added]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(named, pa.binary()), pa.array(sizes), pa.array(need), pa.array(spare), pa.array(prints.view(np.int64)), *words_, bands_, lists], [*names, *[f.name for f in added]])
 
     return docs.select(*names, "text").mapInArrow(run, schema)
 
@@ -321,6 +326,23 @@ def _prefix_members(texts: DataFrame, marked: DataFrame) -> DataFrame:
     return materialise(keyed.filter("_from < _to").select("_key", "_i"), "shared-prefixes")
 
 
+def _rare(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """Members (_key, _i, _often) without the most frequent keys of every text, as many as a pair of the similarity can spare."""
+    order = Window.partitionBy("_i").orderBy(F.desc("_often"), "_key")
+    ranked = members.withColumn("_rank", F.row_number().over(order)).join(texts.select("_i", "_spare"), "_i")
+    return materialise(ranked.filter("_rank > _spare").select("_key", "_i"), "rare-members")
+
+
+def _sharing(met: DataFrame, members: DataFrame) -> DataFrame:
+    """Pairs (_i, o_i, need) whose texts share at least ``need`` of all their keys."""
+    ends = met.select(F.explode(F.array("_i", "o_i")).alias("_i")).distinct()
+    keys = materialise(join_by_key(members, ends, ["_i"], "left_semi", row_bytes=8).groupBy("_i").agg(F.collect_set("_key").alias("_keys")), "keys-of-texts")
+    size = 16 + 8 * F.size("_keys")
+    both = join_by_key(met, keys, ["_i"], row_bytes=size).withColumnRenamed("_keys", "_own_keys")
+    both = join_by_key(both, keys.withColumnRenamed("_i", "o_i"), ["o_i"], copies=met.groupBy("o_i").agg(F.count("*").alias("n")), row_bytes=size)
+    return both.filter(F.size(F.array_intersect("_own_keys", "_keys")) >= F.col("need"))
+
+
 def _label(df: DataFrame, labels: DataFrame, end: str = "_t", column: str = "_label") -> DataFrame:
     """df with the component of the texts in a column."""
     return join_by_key(df, labels.toDF(end, column), [end], "left", row_bytes=32).withColumn(column, F.coalesce(column, end))
@@ -342,7 +364,7 @@ def _open(members: DataFrame, numbered: DataFrame, sketches: DataFrame) -> DataF
     each = named.groupBy("_key", "_label").agg(F.count("*").alias("n")).groupBy("_key").agg(F.max(F.struct("n", "_label")).alias("m"), F.count("*").alias("labels"), F.sum("n").alias("n"))
     keys = materialise(each.filter("labels > 1").select("_key", F.col("m._label").alias("_main"), "n"), "open-keys")
     shared = join_by_key(named, keys.select("_key", "_main", F.col("n").alias("_size")), ["_key"], copies=keys.select("_key", "n"), row_bytes=24)
-    return materialise(shared.join(sketches, "_i").drop("_i"), "open-members")
+    return materialise(shared.join(sketches, "_i"), "open-members")
 
 
 def _met(named: DataFrame, share: Fraction, columns: list[str], also: Column) -> DataFrame:
@@ -358,20 +380,21 @@ def _met(named: DataFrame, share: Fraction, columns: list[str], also: Column) ->
 
 
 def similar_components(texts: DataFrame, marked: DataFrame, sets, share: Fraction) -> DataFrame:
-    """(id, component) of texts (_t, _i, _own, _n, _need, _fp, _bands, parities) that have a link of this similarity; ``marked`` has rows with their prefixes."""
+    """(id, component) of texts (_t, _i, _own, _n, _need, _spare, _fp, _bands, parities) that have a link of this similarity; ``marked`` has rows with their prefixes."""
     from .odd_sketch import _WHOLE, _pairs
 
-    percent, columns = float(100 * share), ["_t", "_n", "_need", "_fp", *_WHOLE]
+    percent, columns = float(100 * share), ["_i", "_t", "_n", "_need", "_fp", *_WHOLE]
     tested = _hub_pairs(texts.filter("_n > 0"), share)
     labels = materialise(connected_components(sets.confirm(tested, percent)), "labels")
-    numbered, sketches = _numbered(texts, labels), texts.select("_i", *columns)
+    numbered, sketches = _numbered(texts, labels), texts.select(*columns)
     members = materialise(_prefix_members(texts, marked).join(numbered, "_i"), "prefix-members")
     open_ = materialise(members.groupBy("_key").agg(F.min("_label").alias("a"), F.max("_label").alias("z"), F.count("*").alias("n")).filter("a < z").select("_key", "n"), "open-keys")
-    members = materialise(join_by_key(members.select("_key", "_i"), open_.select("_key"), ["_key"], "left_semi", open_, row_bytes=8).distinct(), "members")
+    members = materialise(join_by_key(members.select("_key", "_i"), open_.select("_key", F.col("n").alias("_often")), ["_key"], copies=open_, row_bytes=16).distinct(), "members")
+    rare = _rare(members, texts)
     # Alike texts share many keys, so a few of the large ones link most, before all keys are asked.
-    large = open_.filter(F.col("n") > CROWD)
+    large = materialise(rare.groupBy("_key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWD), "large-keys")
     if not large.isEmpty():
-        named = _open(join_by_key(members, large.select("_key"), ["_key"], "left_semi", large, row_bytes=8), numbered, sketches)
+        named = _open(join_by_key(rare, large.select("_key"), ["_key"], "left_semi", large, row_bytes=8), numbered, sketches)
         drawn = (F.pmod(F.xxhash64("a._key"), F.lit(DRAWN)) == 0) & (F.pmod(F.xxhash64("_t"), F.lit(DRAWN)) == F.pmod(F.xxhash64("o_t"), F.lit(DRAWN)))
         near = _distance(F.col("_fp"), F.col("o_fp")) <= NEAR_BITS
         met = _met(named, share, columns, (F.col("_size") > CROWD) & drawn & near).join(tested, ["src", "dst"], "left_anti")
@@ -379,9 +402,9 @@ def similar_components(texts: DataFrame, marked: DataFrame, sets, share: Fractio
         if not asked.isEmpty():
             labels, tested = materialise(merged(labels, sets.confirm(asked, percent)), "labels"), tested.unionByName(asked)
             numbered = _numbered(texts, labels)
-    named = _open(members, numbered, sketches)
-    met = _met(named, share, columns, F.lit(True)).groupBy("src", "dst").agg(F.count("*").alias("n"), F.min(F.least("_need", "o_need")).alias("need"), F.min("apart").alias("apart"))
-    left, most = materialise(met.filter("n >= need").select("src", "dst", "apart").join(tested, ["src", "dst"], "left_anti"), "candidate-pairs"), 1
+    met = _met(_open(rare, numbered, sketches), share, columns, F.lit(True)).select("src", "dst", "apart", F.least("_need", "o_need").alias("need"), F.least("_i", "o_i").alias("_i"), F.greatest("_i", "o_i").alias("o_i"))
+    met = materialise(met.distinct().join(tested, ["src", "dst"], "left_anti"), "met-pairs")
+    left, most = materialise(_sharing(met, members.select("_key", "_i")).select("src", "dst", "apart"), "candidate-pairs"), 1
     while True:
         # Of the pairs that could still tie two components, the likeliest of each share of a text's goes on.
         left = materialise(_label(_label(left, labels, "src", "_a"), labels, "dst", "_b").filter("_a != _b").select("src", "dst", "apart"), "left-pairs")
@@ -407,7 +430,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", shingle: int = KEPT_SHINGL
     key = [F.xxhash64(id_, text).alias("r1"), F.xxhash64(F.lit(1), id_, text).alias("r2")]
     marked = materialise(_add_sketches(docs.select(id_.alias("_id"), *key, "text"), shingle, bands, share), "sketches")
     order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), "r1", "r2")
-    firsts = [F.first(c).alias(c) for c in ("_n", "_need", "_fp", "_bands", *_WHOLE)]
+    firsts = [F.first(c).alias(c) for c in ("_n", "_need", "_spare", "_fp", "_bands", *_WHOLE)]
     texts = marked.groupBy("_t").agg(F.min(order).alias("_own"), F.count("*").alias("n"), *firsts)
     texts = materialise(texts.withColumn("_i", F.monotonically_increasing_id()), "texts")
     labels = similar_components(texts, marked, _FewSets(docs, key, texts, shingle), share).withColumnRenamed("id", "_t")

@@ -200,3 +200,34 @@ def test_keep_one_joins_the_sets_of_asked_pairs_alone(spark, monkeypatch):
     monkeypatch.setattr(simhash, "similar_components", two_rounds)
     assert len(kept(spark, [f"text number{i} of six" for i in range(6)])) == 6
     assert asked == [6, 2]
+
+
+def test_a_passage_of_many_long_texts_locates_no_pairs(spark, monkeypatch):
+    # Long texts that share a passage and no more, too long for their parities to tell them apart; a few have a near copy.
+    rng, met, own = random.Random(14), [], simhash._met
+    passage = [f"p{i}" for i in range(60)]
+    base = [[f"w{rng.randrange(10**6)}" for _ in range(1500)] + passage for _ in range(60)]
+    texts = [" ".join(w) for w in base] + [" ".join(w[40 * i :] + ["z"]) for i, w in enumerate(base[:9])]
+
+    def counted(*args):
+        found = own(*args)
+        met.append(found.select("src", "dst").distinct().count())
+        return found
+
+    monkeypatch.setattr(simhash, "_met", counted)
+    assert kept(spark, texts) == components(texts)
+    assert sum(met) < len(texts)
+
+
+def test_frequent_keys_left_out_lose_no_pair(spark, monkeypatch):
+    # Texts of every size up to where several keys can be spared, alike at 0.8 or just below it, whose common parts are the most frequent.
+    rng, texts = random.Random(15), []
+    for n in (6, 30, 45, 55, 90, 130, 250):
+        core = [f"c{n}.{rng.randrange(10**6)}" for _ in range(n)]
+        for share in (0.05, 0.1, 0.11, 0.12, 0.125):
+            a, b = ([f"w{rng.randrange(10**6)}" for _ in range(round(n * share))] for _ in range(2))
+            texts += [" ".join(core + a), " ".join(b + core)]
+    rng.shuffle(texts)
+    # Without hubs, so that every link is found by prefixes.
+    monkeypatch.setattr(simhash, "_hub_pairs", lambda texts, share: spark.createDataFrame([], "src binary, dst binary"))
+    assert kept(spark, texts) == components(texts)
