@@ -301,7 +301,9 @@ _LINES = "l AS (SELECT 'l' || l_orderkey || '-' || l_linenumber AS id, l_orderke
 @query(f"WITH {_LINES}, g AS (SELECT o, min(id) AS first, count(DISTINCT id) AS n FROM l GROUP BY o), c AS (SELECT o, row_number() OVER (ORDER BY first) AS k FROM g WHERE n > 1) SELECT DISTINCT id, CAST(coalesce(k, 0) AS INTEGER) AS community FROM l LEFT JOIN c USING (o)")
 def g23_communities(spark, sf_dir):
     """Lines of all orders, each linked with the other lines of its order: every order of several lines is a community."""
-    line = tables.table(spark, sf_dir, "lineitem").select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), "l_orderkey").distinct()
+    # By orders, so that lines are told apart and joined where they are.
+    numbers = tables.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct()
+    line = numbers.select(F.concat(F.lit("l"), "l_orderkey", F.lit("-"), "l_linenumber").alias("id"), "l_orderkey")
     edges = line.withColumnRenamed("id", "source_id").join(line.withColumnRenamed("id", "target_id"), "l_orderkey").filter("source_id < target_id")
     return relational.communities(line.select("id"), edges)
 

@@ -86,6 +86,29 @@ def test_communities_of_cliques_and_lone_nodes(spark):
     assert {r.id: r.community for r in relational.communities(nodes, edges).collect()} == {"a": 1, "b": 1, "c": 1, "d": 2, "e": 2, "f": 2, "z": 0}
 
 
+def test_communities_by_cliques_and_by_labels(spark):
+    """Cliques are told without labels, also beside other components; edges given twice or both ways change no result."""
+    from unittest import mock
+
+    clique = lambda names: [(a, b) for i, a in enumerate(names) for b in names[i + 1 :]]
+    table = lambda pairs: spark.createDataFrame(pairs, "source_id string, target_id string")
+    nodes = spark.createDataFrame([(x,) for x in "abcdefghijklmnopqrstuvwz"], "id string")
+    cliques = clique("abcd") + clique("gef") + [("i", "h")]
+    with mock.patch.object(relational, "label_communities", side_effect=AssertionError("labels were propagated")):
+        got = {r.id: r.community for r in relational.communities(nodes, table([*cliques, ("a", "a"), ("z", "z")])).collect()}
+    want = dict.fromkeys("abcd", 1) | dict.fromkeys("efg", 2) | dict.fromkeys("hi", 3)
+    assert got == {x: want.get(x, 0) for x in "abcdefghijklmnopqrstuvwz"}
+    # A clique but for one edge, a star and a square, and cliques with edges given again.
+    others = [e for e in clique("jklm") if e != ("j", "m")] + [("n", "o"), ("n", "p"), ("n", "q")] + [("r", "s"), ("s", "t"), ("t", "u"), ("u", "r")]
+    edges = table([*cliques, *others, ("a", "b"), ("f", "e"), ("h", "i"), *clique("vw")])
+    labels = {r.id: r.community for r in relational.label_communities(edges).collect()}
+    least = {c: min(i for i in labels if labels[i] == c) for c in labels.values()}
+    number = {c: k for k, c in enumerate(sorted(least, key=least.get), 1)}
+    got = {r.id: r.community for r in relational.communities(nodes, edges).collect()}
+    assert got == {x: number[labels[x]] if x in labels else 0 for x in "abcdefghijklmnopqrstuvwz"}
+    assert relational.communities(nodes, edges.limit(0)).filter("community != 0").count() == 0
+
+
 def test_branches_of_code(spark):
     code = ["if (a) {} else if (b) {} else {}", "for (;;) { x ? 1 : 2 }", "a?.b ?? c", "f(x?: number, y?)", "switch (a) { case 1: default: }", "export default f", "do {} while (a)"]
     rows = spark.createDataFrame([(c,) for c in code], "c string").select(T.complexity(F.col("c"))).collect()
