@@ -22,6 +22,38 @@ def test_cycle_paths(spark):
     assert cycles.cycle_paths(e.limit(0), 4).count() == 0
 
 
+def test_cycle_paths_of_ranks_by_either_way_of_names(spark):
+    """Half paths hold numbers and no ids; cycles get their ids by a broadcast or a join, in the ids' own order."""
+    from unittest import mock
+
+    ids = [f"s{n}" for n in (1, 10, 2, 30, 4, 500, 6)]
+    pairs = [(a, b) for i, a in enumerate(ids) for j, b in enumerate(ids) if (i * 3 + j * 5) % 4 < 2] + [("x", "s1"), ("s4", "y")]
+    want = set()
+
+    def walk(way):
+        for a, b in pairs:
+            if a == way[-1] and b == way[0]:
+                want.add((*way, b))
+            elif a == way[-1] and b > way[0] and b not in way and len(way) < 5:
+                walk([*way, b])
+
+    for i in ids:
+        walk([i])
+    e = spark.createDataFrame(pairs, "source_id string, target_id string")
+    types = {}
+
+    def keep(df, name, written=cycles.written):
+        types[name] = df.schema
+        return written(df, name)
+
+    for most in (100, 0):
+        with mock.patch.object(cycles, "BROADCAST_ROWS", most), mock.patch.object(cycles, "written", keep):
+            rows = cycles.cycle_paths(e, 5).collect()
+        assert len(rows) == len(want) and {tuple(r.cycle) for r in rows} == want and all(len(r.cycle) == r.size + 1 for r in rows)
+        assert all(f.dataType.simpleString() in ("int", "array<int>") for f in types["half-paths"])
+    assert [r.size for r in cycles.cycle_paths(e, 1).collect()] == [1] * sum(a == b for a, b in pairs)
+
+
 def test_usage_defaults_to_used(spark):
     e = spark.createDataFrame([("a.py", "b.py"), ("a.py", "c.py"), ("x.go", "y.go")], "source_path string, target_path string")
     links = spark.createDataFrame([("a.py:f", "b.py:g", "a.py", "b.py", False)], "source_symbol_id string, target_symbol_id string, source_file string, target_file string, is_type_only boolean")
