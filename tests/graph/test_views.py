@@ -1,5 +1,6 @@
 from codeloom.functions import compact
 from codeloom.operators import cycles, relational, reports, symbols
+from codeloom.sources import tables
 from pyspark.sql import functions as F
 
 
@@ -74,3 +75,13 @@ def test_staleness_and_empty_index(spark):
 def test_ranks_follow_a_global_order(spark):
     got = relational.ranked(spark.range(1000).select((F.col("id") * 7919 % 1000).alias("v")).repartition(7), "v").collect()
     assert all(r["rank"] == r.v + 1 for r in got) and len(got) == 1000
+
+
+def test_usual_followers_read_lines_once(spark, tmp_path):
+    """Ties of a supplier's commonest followers are kept, and lines are neither read nor shuffled again for their largest count."""
+    rows = [(o, n, s, s, "2024-01-01", "A") for o, line in enumerate([(1, 2, 1), (1, 2), (1, 3, 2), (1, 3), (4,)]) for n, s in enumerate(line)]
+    columns = "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_shipdate string, l_returnflag string"
+    spark.createDataFrame(rows, columns).write.parquet(str(tmp_path / "lineitem.parquet"))
+    usual = tables.usual_followers(spark, str(tmp_path))
+    assert {(r.source_id, r.target_id) for r in usual.collect()} == {("s1", "s2"), ("s1", "s3"), ("s2", "s1"), ("s3", "s2")}
+    assert usual._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") == 1
